@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tonegrid.llm._tables import table
+from tonegrid.llm.anchors import drop_repeated_windows
 from tonegrid.llm.decontaminate import decontaminate
 from tonegrid.llm.pieces import encode_pieces
+from tonegrid.llm.suffixes import mark_repeats
 
 
 def public_tokenizer(name: str) -> str:
@@ -25,9 +27,19 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], keep_first=False, digest=True)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_windows(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op6_decontaminate": op6_decontaminate,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}

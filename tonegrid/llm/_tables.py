@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,3 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_crc(column: str) -> Column:
     """crc32 of the id as text; queries deal their folds by it."""
     return F.crc32(F.col(column).cast("string"))
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame from a reliable checkpoint in ``spark.checkpoint.dir``; a folder of its own only where none is set."""
+    context = frame.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return frame.checkpoint()

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tonegrid.llm._tables import table
 from tonegrid.llm.anchors import drop_repeated_windows
 from tonegrid.llm.decontaminate import decontaminate
+from tonegrid.llm.embeddings import near_vectors
 from tonegrid.llm.pieces import encode_pieces
+from tonegrid.llm.simhash import near_duplicates
 from tonegrid.llm.suffixes import mark_repeats
 
 
@@ -23,6 +25,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), keep=["doc_id"], ids=False)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
@@ -37,6 +47,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_simhash": op4_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,

@@ -17,9 +17,17 @@ def id_crc(column: str) -> Column:
     return F.crc32(F.col(column).cast("string"))
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame from a reliable checkpoint in ``spark.checkpoint.dir``; a folder of its own only where none is set."""
-    context = frame.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of its own where none is set."""
+    context = spark.sparkContext
+    if path := context.getConf().get("spark.checkpoint.dir"):
+        return path.rstrip("/")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame from a reliable checkpoint in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()

@@ -10,9 +10,11 @@ from tonegrid.llm._tables import table
 from tonegrid.llm.anchors import drop_repeated_windows
 from tonegrid.llm.decontaminate import decontaminate
 from tonegrid.llm.embeddings import near_vectors
+from tonegrid.llm.licenses import scan_licenses
 from tonegrid.llm.pieces import encode_pieces
 from tonegrid.llm.simhash import near_duplicates
 from tonegrid.llm.suffixes import mark_repeats
+from tonegrid.llm.token_files import round_trip
 
 
 def public_tokenizer(name: str) -> str:
@@ -33,10 +35,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], keep_first=False, digest=True)
 
@@ -49,7 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_simhash": op4_simhash,
+    "op5_license_scan": op5_license_scan,
     "op6_decontaminate": op6_decontaminate,
+    "op7_token_files": op7_token_files,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }

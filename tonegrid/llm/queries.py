@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegrid.llm._tables import table
+from tonegrid.llm._tables import id_crc, table
 from tonegrid.llm.anchors import drop_repeated_windows
 from tonegrid.llm.decontaminate import decontaminate
 from tonegrid.llm.embeddings import near_vectors
+from tonegrid.llm.language import fit_language, identify
 from tonegrid.llm.licenses import scan_licenses
 from tonegrid.llm.pieces import encode_pieces
+from tonegrid.llm.quality import fit_quality, score_quality
 from tonegrid.llm.simhash import near_duplicates
 from tonegrid.llm.suffixes import mark_repeats
 from tonegrid.llm.token_files import round_trip
@@ -27,6 +29,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), keep=["doc_id"], ids=False)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_crc("doc_id") % 3 == 1
+    model = fit_language(docs, ~held_out)
+    return identify(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +56,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_crc("doc_id") % 4 == 2
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_quality(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], keep_first=False, digest=True)
 
@@ -57,11 +73,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_language_id": op2_language_id,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_simhash": op4_simhash,
     "op5_license_scan": op5_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_files": op7_token_files,
+    "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }

@@ -1,17 +1,74 @@
-"""From raw documents to training tokens, stage by stage."""
+"""From raw documents to training tokens, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tonegrid.llm._tables import cut, table
+from tonegrid.llm.anchors import drop_repeated_windows
+from tonegrid.llm.decontaminate import decontaminate
+from tonegrid.llm.pieces import encode_pieces
+from tonegrid.llm.quality import fit_quality, score_quality
+from tonegrid.llm.queries import public_tokenizer
+from tonegrid.llm.simhash import near_duplicates
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document is rejected when it is more likely bad than good.
+REJECT_UNDER = 0.5
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects; it learns from all labels."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return score_quality(docs, model, COLUMNS, REJECT_UNDER).where("predicted = 1").select(COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose SimHash fingerprints link, the one with the smallest id stays; rows without an id stay."""
+    found = near_duplicates(docs)
+    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes words in windows of 13 that start in an earlier document too; n_chars follows the text."""
+    left = drop_repeated_windows(docs, COLUMNS)
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents of which a twentieth or more of the words stand in windows of benchmark items."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), COLUMNS).where("not contaminated").select(COLUMNS)
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with begin and end, and the digests of the ids and of the text they decode to."""
+    return encode_pieces(docs, public_tokenizer("piece_bpe_32k.model"), ["doc_id"], decoded=False)
+
 
-STAGES = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", keep_one_of_each_group),
+    ("substring dedup", drop_repeated_passages),
+    ("benchmark decontamination", drop_contaminated),
+    ("SentencePiece encoding", to_pieces),
+]
 
-#: SQL cannot express the stages.
+#: SQL cannot express a trained network, XXH64 fingerprints or SentencePiece.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over ``documents``; each result is cut from its lineage, as later stages read it
+    more than once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs

@@ -182,14 +182,14 @@ def codec(path: str) -> PieceCodec:
 STEP_CHARS = 2_000_000
 
 
-def encode_pieces(docs: DataFrame, model: str, keep: list[str], ids: bool = True) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (text: string) with piece_ids (array of int; if ``ids``), decoded, n_tokens,
-    ids_sha256 and decoded_sha256.
+def encode_pieces(docs: DataFrame, model: str, keep: list[str], ids: bool = True, decoded: bool = True) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (text: string) with n_tokens, ids_sha256, decoded_sha256, and if wanted
+    piece_ids (array of int) and decoded (string).
 
     Null and empty texts are begin and end alone and decode to the empty text. Every row is encoded whole and by
     itself. Clashing names: the added columns win.
     """
-    added = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("piece_ids", "array<int>"), ("decoded", "string")] if ids else [])]
+    added = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("piece_ids", "array<int>")] if ids else []), *([("decoded", "string")] if decoded else [])]
     keep = [c for c in keep if c not in dict(added)]
     arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
@@ -210,7 +210,9 @@ def encode_pieces(docs: DataFrame, model: str, keep: list[str], ids: bool = True
                     if ids:
                         flat = np.frombuffer(b"".join(found), "<i4")
                         ends = np.cumsum([0, *new["n_tokens"]])
-                        new |= {"piece_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), "decoded": text}
+                        new |= {"piece_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}
+                    if decoded:
+                        new["decoded"] = text
                     yield rows(schema, **{c: batch[c].slice(start, i - start) for c in keep}, **new)
                 start, size = i, len(texts[i] or "") if i < len(texts) else 0
 

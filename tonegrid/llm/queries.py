@@ -26,7 +26,7 @@ def public_tokenizer(name: str) -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), keep=["doc_id"], ids=False)
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), keep=["doc_id"], ids=False, decoded=False)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

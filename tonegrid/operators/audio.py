@@ -128,11 +128,13 @@ def analyze_clips(clips: DataFrame, partitions: int | None = None) -> DataFrame:
     Clips are large, so batches are small; the samples leave with the batch.
     """
 
+    columns = ["pid", "bpm", "bpm_conf", "ambiguous", "key", "key_conf", "timbre", "error"]
+
     def run(batches):
         for pdf in batches:
             out = []
             for pid, samples, rate in zip(pdf.pid, pdf.samples, pdf.sample_rate, strict=True):
-                row = {"pid": pid, "error": None}
+                row = dict.fromkeys(columns) | {"pid": pid}
                 try:
                     x = np.asarray(samples, np.float64)
                     row |= dict(zip(("bpm", "bpm_conf", "ambiguous"), tempo(x, rate) or (None, None, None), strict=True))
@@ -142,7 +144,7 @@ def analyze_clips(clips: DataFrame, partitions: int | None = None) -> DataFrame:
                 except (TypeError, ValueError, ZeroDivisionError) as e:
                     row["error"] = str(e) or type(e).__name__
                 out.append(row)
-            yield pd.DataFrame(out, columns=["pid", "bpm", "bpm_conf", "ambiguous", "key", "key_conf", "timbre", "error"])
+            yield pd.DataFrame(out, columns=columns)
 
     cut = clips.select("pid", excerpt(F.col("samples"), F.col("sample_rate")).alias("samples"), "sample_rate")
     cut = cut.repartition(partitions, "pid") if partitions else cut

@@ -11,7 +11,7 @@ from tonegrid.llm.anchors import drop_repeated_windows
 from tonegrid.llm.decontaminate import decontaminate
 from tonegrid.llm.embeddings import near_vectors
 from tonegrid.llm.language import fit_language, identify
-from tonegrid.llm.licenses import scan_licenses
+from tonegrid.llm.licenses import PHRASES, THRESHOLD, scan_licenses, template_tokens
 from tonegrid.llm.pieces import encode_pieces
 from tonegrid.llm.quality import fit_quality, score_quality
 from tonegrid.llm.simhash import near_duplicates
@@ -84,4 +84,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_A_TO_Z = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _A_TO_Z + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _license_sql() -> str:
+    quoted = lambda tokens: "[" + ", ".join(f"'{t}'" for t in tokens) + "]"
+    templates = ", ".join(f"('{label}', {quoted(tokens)})" for label, tokens in template_tokens())
+    phrases = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in PHRASES)
+    return f"""WITH t(label, tokens) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
+      d AS (SELECT doc_id, {_WORDS.format("text")} AS words FROM documents),
+      b AS (SELECT d.doc_id, p.label, i - 1 AS start FROM d, p, range(1, 30000) r(i) WHERE i <= len(d.words) AND d.words[i] = p.words[1] AND d.words[i : i + len(p.words) - 1] = p.words),
+      bs AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
+      l AS (SELECT doc_id, list_distinct({_WORDS.format("line")}) AS tokens FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+      m AS (SELECT doc_id, label, len(list_intersect(l.tokens, t.tokens)) / len(t.tokens) AS share FROM l, t WHERE len(list_intersect(l.tokens, t.tokens)) / len(t.tokens) >= {THRESHOLD}),
+      lab AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM b) GROUP BY 1),
+      s AS (SELECT doc_id, max(share) AS share FROM m GROUP BY 1)
+      SELECT d.doc_id, len(d.words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+      CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN lab ON lab.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id"""
+
+
+#: DuckDB statements of the queries that SQL can express.
+ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": """WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.label = b.label AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.98),
+      r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), c AS (SELECT a, min(b) AS b FROM r GROUP BY 1)
+      SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id, vec_id <= coalesce(c.b, vec_id) AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+    "op5_license_scan": _license_sql(),
+    "op6_decontaminate": f"""WITH bw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark), p AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS s FROM bw, range(1, 3000) r(i) WHERE len(w) > 0 AND i <= len(w) - least(13, len(w)) + 1),
+      d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), x AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+      h AS (SELECT doc_id, item, i, x.n FROM x JOIN p ON p.s = x.s AND p.n = x.n), k AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, range(13) r(j) WHERE j < n GROUP BY 1),
+      it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+      SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id""",
+    "op10_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+      x AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)), m AS (SELECT s, min(doc_id) AS least FROM x GROUP BY 1),
+      g AS (SELECT DISTINCT x.doc_id, i + j AS pos FROM x JOIN m ON m.s = x.s, range(13) r(j) WHERE least < x.doc_id), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+      u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM w), k AS (SELECT u.doc_id, sha256(string_agg(word, ' ' ORDER BY u.pos)) AS sha FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.pos = u.pos WHERE g.pos IS NULL GROUP BY 1)
+      SELECT w.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, coalesce(sha, sha256('')) AS kept_sha256 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id""",
+}

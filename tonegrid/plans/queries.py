@@ -195,10 +195,10 @@ def clock_and_day(spark, sf):
 
 def _halves(spark, sf):
     t = tracks_of(spark, sf).select("pid", "row_idx", "name", "collection")
-    return t.where("row_idx % 3 <> 0"), t.where("row_idx % 2 = 0").withColumn("name", F.upper("name"))
+    return t.where("row_idx % 3 <> 0"), t.where("row_idx % 3 = 0 OR row_idx % 2 = 0").withColumn("name", F.upper("name"))
 
 
-_HALVES = "base AS (SELECT pid, row_idx, name, collection FROM tracks WHERE row_idx % 3 <> 0), incoming AS (SELECT pid, row_idx, upper(name) AS name, collection FROM tracks WHERE row_idx % 2 = 0)"
+_HALVES = "base AS (SELECT pid, row_idx, name, collection FROM tracks WHERE row_idx % 3 <> 0), incoming AS (SELECT pid, row_idx, upper(name) AS name, collection FROM tracks WHERE row_idx % 3 = 0 OR row_idx % 2 = 0)"
 
 
 @register("merge_libraries", f"WITH {_HALVES} SELECT * FROM base UNION ALL SELECT * FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.pid = i.pid)", ("tracks",))
@@ -212,11 +212,11 @@ def merge_report(spark, sf):
 
 
 @register("merge_memberships", """WITH n AS (SELECT playlist, pid, CAST(substr(pid, 4) AS BIGINT) AS id FROM memberships)
-  SELECT playlist, pid FROM n WHERE id % 2 = 0 UNION SELECT playlist || ' [new]', pid FROM n WHERE id % 3 = 0 AND playlist IN (SELECT playlist FROM n WHERE id % 2 = 0)
-  UNION SELECT playlist, pid FROM n WHERE id % 3 = 0 AND playlist NOT IN (SELECT playlist FROM n WHERE id % 2 = 0)""", ("memberships",))
+  SELECT playlist, pid FROM n WHERE id % 2 = 0 UNION SELECT playlist || ' [new]', pid FROM n WHERE (id % 2 = 1 OR id % 3 = 0) AND playlist IN (SELECT playlist FROM n WHERE id % 2 = 0)
+  UNION SELECT playlist, pid FROM n WHERE (id % 2 = 1 OR id % 3 = 0) AND playlist NOT IN (SELECT playlist FROM n WHERE id % 2 = 0)""", ("memberships",))
 def merge_memberships(spark, sf):
     n = view(spark, sf, "memberships").withColumn("id", F.substring("pid", 4, 20).cast("long"))
-    old, new = n.where("id % 2 = 0").drop("id"), n.where("id % 3 = 0").drop("id")
+    old, new = n.where("id % 2 = 0").drop("id"), n.where("id % 2 = 1 OR id % 3 = 0").drop("id")
     return library.merge_memberships(old, new, library.rename_clashing(new, old, "new"))
 
 
@@ -416,15 +416,15 @@ def hulls(spark, sf):
 # --- linkage and enrichment ------------------------------------------------------------------------------------------
 
 
-@register("match_candidates", """WITH w AS (SELECT row_idx AS want_id, lower(name) AS title, lower(coalesce(artist, '')) AS artist FROM tracks WHERE row_idx % 20 = 0),
-  c AS (SELECT row_idx AS cand_id, lower(name) AS title, lower(coalesce(artist, '')) AS artist FROM tracks WHERE row_idx % 20 <> 0),
+@register("match_candidates", """WITH w AS (SELECT row_idx AS want_id, lower(name) AS title, lower(coalesce(artist, '')) AS artist FROM tracks),
+  c AS (SELECT row_idx AS cand_id, lower(name) AS title, lower(coalesce(artist, '')) AS artist FROM tracks),
   s AS (SELECT want_id, cand_id, CASE WHEN c.title = w.title THEN 2 WHEN least(12, length(c.title), length(w.title)) >= 4 AND left(c.title, least(12, length(c.title), length(w.title))) = left(w.title, least(12, length(c.title), length(w.title))) THEN 1 ELSE 0 END AS t, c.artist AS ca, w.artist AS wa FROM w, c),
   k AS (SELECT want_id, cand_id, CASE WHEN t = 0 THEN 0 WHEN ca = '' OR wa = '' THEN t WHEN ca = wa THEN t + 2 ELSE 0 END AS score FROM s)
   SELECT want_id, cand_id, CAST(score AS INTEGER) AS score FROM k WHERE score >= 2 QUALIFY row_number() OVER (PARTITION BY want_id ORDER BY score DESC, cand_id) = 1""", ("tracks",))
 def match_candidates(spark, sf):
     t = tracks_of(spark, sf).select("row_idx", F.lower("name").alias("title"), F.lower(F.coalesce("artist", F.lit(""))).alias("artist"))
-    w = t.where("row_idx % 20 = 0").withColumnRenamed("row_idx", "want_id")
-    c = t.where("row_idx % 20 <> 0").select(F.col("row_idx").alias("cand_id"), F.col("row_idx").alias("pos"), "title", "artist")
+    w = t.withColumnRenamed("row_idx", "want_id")
+    c = t.select(F.col("row_idx").alias("cand_id"), F.col("row_idx").alias("pos"), "title", "artist")
     return linkage.match_candidates(w, c)
 
 
@@ -641,7 +641,7 @@ def kmeans(spark, sf):
 
 def _placed(spark, sf) -> tuple[DataFrame, DataFrame]:
     v = vectors(spark, sf)
-    return geometry.place(v.where("row_idx % 50 = 0").withColumn("row_idx", -1 - F.col("row_idx")), v.where("row_idx % 50 <> 0"), points(spark, sf))
+    return geometry.place(v.where("row_idx % 50 = 0"), v, points(spark, sf))
 
 
 @register("place_vectors")
@@ -659,7 +659,7 @@ def transfer_labels(spark, sf):
 def place_by_tempo_key(spark, sf):
     t = tracks_of(spark, sf).where("bpm is not null and key is not null").withColumn("vec", music.tempo_key_vector(F.col("bpm"), F.col("key")))
     coords = t.select("row_idx", F.col("bpm").alias("x"), F.col("year").cast("double").alias("y"))
-    at, _ = geometry.place(t.where("row_idx % 20 = 1").select((-F.col("row_idx")).alias("row_idx"), "vec"), t.select("row_idx", "vec"), coords)
+    at, _ = geometry.place(t.select("row_idx", "vec"), t.select("row_idx", "vec"), coords)
     return at.select("query", _r("x"), _r("y"))
 
 

@@ -51,6 +51,11 @@ def test_merge_keeps_the_first_and_inherits_playlists(spark):
     assert rows(library.rename_clashing(n, taken, "new"), "playlist") == [("set", "set [new 2]")]
 
 
+def test_ids_are_numbered_from_the_first_gap(spark):
+    w, t = (spark.createDataFrame([(x,) for x in ids], "id string") for ids in (["a", "b", "c-2"], ["a", "a-2", "a-4", "c-2"]))
+    assert {tuple(r) for r in library.unique_ids(w, t).collect()} == {("a", "a-3"), ("b", "b"), ("c-2", "c-2-2")}
+
+
 def test_sample_is_exact_and_repeats(spark):
     t = spark.range(500).select(F.concat(F.lit("p"), "id").alias("pid"))
     a, b = (sorted(r.pid for r in library.sample(t, 50, 7).collect()) for _ in range(2))
@@ -192,7 +197,7 @@ def test_layout_is_finite_and_keeps_two_groups_apart(spark):
     assert np.mean(own) > 0.9
 
 
-def clicks(bpm, seconds=20, rate=22_050):
+def clicks(bpm, seconds=20, rate=44_100):
     x = np.zeros(seconds * rate, np.float32)
     for s in np.arange(0, seconds, 60 / bpm):
         i = int(s * rate)
@@ -202,7 +207,7 @@ def clicks(bpm, seconds=20, rate=22_050):
 
 def test_audio():
     for bpm in (120, 174):
-        assert abs(audio.tempo(clicks(bpm).astype(float), 22_050)[0] - bpm) < 2
+        assert abs(audio.tempo(clicks(bpm).astype(float), 44_100)[0] - bpm) < 2
     t = np.arange(8 * 22_050) / 22_050
     chords = sum(np.sin(2 * np.pi * f * t) for f in (220.0, 261.63, 329.63, 440.0))
     assert audio.key(chords, 22_050)[0] == "8A"
@@ -214,7 +219,7 @@ def test_audio():
 
 
 def test_clips_fail_alone(spark):
-    clips = spark.createDataFrame([("ok", clicks(120, 6).tolist(), 22_050), ("bad", None, 22_050)], "pid string, samples array<float>, sample_rate int")
+    clips = spark.createDataFrame([("ok", clicks(120, 6).tolist(), 44_100), ("bad", None, 44_100)], "pid string, samples array<float>, sample_rate int")
     got = {r.pid: r for r in audio.analyze_clips(clips).collect()}
     assert abs(got["ok"].bpm - 120) < 3 and got["bad"].error and got["ok"].error is None
 

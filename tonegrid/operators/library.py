@@ -6,6 +6,8 @@ Every function is DataFrames in, DataFrames out; rows meet on pid or playlist on
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,17 +85,19 @@ def slug(label: Column) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("collection"))
 
 
-def free_names(wanted: DataFrame, taken: DataFrame, column: str, name_at) -> DataFrame:
-    """``wanted`` with ``free``: the name itself, or name_at(2), name_at(3), ... : the first that is not taken.
+def free_numbers(wanted: DataFrame, used: DataFrame) -> DataFrame:
+    """``wanted`` (stem) with ``i``: the smallest number from 1 on that ``used`` (stem, i) does not hold for the stem."""
+    held = used.groupBy("stem").agg(F.collect_set("i").alias("held"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("held") + 1), "held"))
+    return wanted.join(held, "stem", "left").withColumn("i", F.coalesce(F.when(F.col("held").isNotNull(), free), F.lit(1))).drop("held")
 
-    As many numbers are tried as names are taken with that stem, so the choice needs no loop.
-    """
-    used = taken.select(F.col(column).alias("free")).distinct()
-    total = used.agg(F.count("*").alias("n"))
-    tried = wanted.crossJoin(F.broadcast(total)).withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.col("n") + 1, F.lit(1000)).cast("int"))))
-    tried = tried.withColumn("free", F.when(F.col("i") == 1, F.col(column)).otherwise(name_at(F.col("i")))).drop("n")
-    open_ = tried.join(used, "free", "left_anti")
-    return keep_first(open_, [column], F.col("i")).drop("i")
+
+def unique_ids(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """(id, free) of wanted ids: the id itself, or the first of ``id-2``, ``id-3``, ... that is not taken."""
+    numbered = taken.select(F.regexp_extract("id", r"^(.*)-(\d+)$", 1).alias("stem"), F.regexp_extract("id", r"^(.*)-(\d+)$", 2).try_cast("int").alias("i")).where("i >= 2")
+    used = taken.select(F.col("id").alias("stem"), F.lit(1).alias("i")).unionByName(numbered)
+    found = free_numbers(wanted.select(F.col("id").alias("stem")).distinct(), used)
+    return found.select(F.col("stem").alias("id"), F.when(F.col("i") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), F.col("i").cast("string"))).alias("free"))
 
 
 def merge_tracks(base: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -112,9 +116,12 @@ def merge_report(base: DataFrame, incoming: DataFrame) -> DataFrame:
 def rename_clashing(incoming: DataFrame, taken: DataFrame, label: str) -> DataFrame:
     """(playlist, free) for incoming playlists: ``name [label]``, ``name [label 2]``, ... where the name is taken."""
     clash = incoming.select("playlist").distinct().join(taken.select("playlist").distinct(), "playlist", "left_semi")
-    clash = clash.withColumn("stem", F.concat("playlist", F.lit(f" [{label}]")))
-    named = free_names(clash.select("playlist", F.col("stem")).withColumnRenamed("stem", "name"), taken.select(F.col("playlist").alias("name")), "name", lambda i: F.concat("playlist", F.lit(f" [{label} "), i.cast("string"), F.lit("]")))
-    return named.select("playlist", "free")
+    pattern = rf"^(.*) \[{re.escape(label)}(?: (\d+))?\]$"
+    number = F.coalesce(F.regexp_extract("playlist", pattern, 2).try_cast("int"), F.lit(1))
+    used = taken.where(F.col("playlist").rlike(pattern)).select(F.regexp_extract("playlist", pattern, 1).alias("stem"), number.alias("i"))
+    found = free_numbers(clash.select(F.col("playlist").alias("stem")), used)
+    mark = F.when(F.col("i") == 1, F.lit(f" [{label}]")).otherwise(F.concat(F.lit(f" [{label} "), F.col("i").cast("string"), F.lit("]")))
+    return found.select(F.col("stem").alias("playlist"), F.concat("stem", mark).alias("free"))
 
 
 def merge_memberships(base: DataFrame, incoming: DataFrame, renamed: DataFrame) -> DataFrame:

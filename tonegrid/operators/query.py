@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from tonegrid.functions.music import decade, genre_key
 
+#: Queries that every task may hold.
+BROADCAST = 10_000
+
 
 def search(tracks: DataFrame, queries: DataFrame, limit: int | None = 20, title: str = "title", artist: str = "by") -> DataFrame:
     """(query_id, rank, pid, score) of tracks whose folded title and artist hold every token of a folded query.
 
     4 the title starts with the query, 3 the artist does, 2 the title holds it, 1 the artist does, else 0; row order on
-    ties. Queries (query_id, q) are few and broadcast behind a limit of 10000; tracks are read once.
+    ties. Up to ``BROADCAST`` queries (query_id, q) are broadcast; more are left to the planner.
     """
-    asked = F.broadcast(queries.where("q <> ''").limit(10_000))
+    asked = queries.where("q <> ''")
+    if asked.limit(BROADCAST + 1).count() <= BROADCAST:
+        asked = F.broadcast(asked)
     t, a, q = F.col(title), F.coalesce(F.col(artist), F.lit("")), F.col("q")
     both = F.concat(t, F.lit(" "), a)
     met = tracks.join(asked, F.forall(F.split(q, " "), lambda token: both.contains(token)))

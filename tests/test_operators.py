@@ -260,3 +260,23 @@ def test_empty_tables(spark):
     m = spark.createDataFrame([], "playlist string, pid string")
     for f in (sets.suggest_next(t), analytics.coverage(t), analytics.find_gaps(p), analytics.cluster_labels(t), library.merge_memberships(m, m, m.selectExpr("playlist", "pid AS free")), analytics.neighborhoods(t)):
         assert f.count() == 0
+
+
+def test_outside_tracks_land_beside_their_like(spark):
+    from tonegrid.operators import placement
+
+    t = spark.createDataFrame([(i, f"p{i}", 100.0 + i % 2 * 60, f"{1 + i % 2 * 6}A", 2000, 200_000 + i, f"g{i % 2}", f"L{i % 2}", f"a{i % 4}") for i in range(40)], "row_idx long, pid string, bpm double, key string, year int, duration_ms long, genre string, label string, artist string")
+    m = t.limit(3).select(F.lit("pl").alias("playlist"), "pid")
+    rows, encoder = features.fit_features(t, m, features.SIMILARITY)
+    vec = features.vectors(rows, encoder, t)
+    reduced, basis = geometry.reduce_dims(vec, 3)
+    at = t.selectExpr("pid", "row_idx", "(row_idx % 2) * 10D AS x", "0D AS y", "CAST(row_idx % 2 AS INT) AS cluster")
+    out = t.where("row_idx in (4, 5)").withColumn("row_idx", F.col("row_idx") + 1000).withColumn("pid", F.concat(F.lit("ext:"), "pid")).withColumn("genre", F.lit(None).cast("string"))
+    placed = placement.place_outside(out, encoder, basis, reduced, at, t, 5)
+    got = {r.pid: r for r in placed.collect()}
+    assert (got["ext:p4"].cluster, got["ext:p4"].genre, got["ext:p4"].projected) == (0, "g0", True) and got["ext:p5"].x == pytest.approx(10.0)
+    grown = placement.attach_outside(at, placed)
+    assert grown.count() == 42 and placement.attach_outside(grown, placed).count() == 42
+    edited = t.withColumn("source_key", F.when(F.col("row_idx") == 4, "manual")).withColumn("source_bpm", F.lit(None).cast("string")).withColumn("bpm", F.when(F.col("row_idx") == 4, 160.0).otherwise(F.col("bpm"))).withColumn("key", F.when(F.col("row_idx") == 4, "7A").otherwise(F.col("key")))
+    moved = {r.pid: r for r in placement.move_edited(edited, at, 5).collect()}
+    assert (moved["p4"].cluster, moved["p4"].x) == (1, pytest.approx(10.0)) and moved["p6"].x == 0.0

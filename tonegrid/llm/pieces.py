@@ -25,7 +25,7 @@ NEVER = float("-inf")
 #: Longest pre-token whose agenda is scanned rather than kept in a heap.
 SCAN_CHARS = 40
 #: Distinct pre-tokens, and words, that a Python worker remembers, and the longest one that it does.
-CACHE_WORDS, CACHE_CHARS = 500_000, 48
+CACHE_WORDS, CACHE_CHARS = 200_000, 48
 
 
 def _packed(ids: list[int]) -> bytes:

@@ -23,6 +23,8 @@ BUCKETS, DIMENSIONS, ENTRIES, NEIGHBOURS = 4096, 48, 2, 2
 SAMPLE = 16_000
 #: Score from which a document is predicted to be good.
 ACCEPT = 0.7
+#: Bytes of text whose words a task holds as vectors at a time.
+PASS_BYTES = 500_000
 HIDDEN, EPOCHS, SEED = 32, 60, 7
 
 U = np.uint64
@@ -158,7 +160,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, chosen: Column, sample: int
     def run(batches):
         for batch in batches:
             texts = utf8(batch["text"])
-            for lo, hi in passes(texts):
+            for lo, hi in passes(texts, PASS_BYTES):
                 x = features(texts[lo:hi], held.value).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), batch["quality"].slice(lo, hi - lo).cast(pa.int32()), pa.array([r.tobytes() for r in x])], names=["doc_id", "quality", "x"])
 
@@ -190,7 +192,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str], accept:
         for batch in batches:
             schema = pa.schema([*(batch.schema.field(c) for c in keep), pa.field("score", pa.float64()), pa.field("predicted", pa.int32())])
             texts = utf8(batch["text"])
-            for lo, hi in passes(texts, 1_000_000):
+            for lo, hi in passes(texts, PASS_BYTES):
                 score = held.value.scores(texts[lo:hi])
                 yield rows(schema, **{c: batch[c].slice(lo, hi - lo) for c in keep}, score=score, predicted=(score >= accept).astype(np.int32))
 

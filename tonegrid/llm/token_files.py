@@ -9,12 +9,13 @@ which select finds any boundary. A table of 64-bit offsets is never kept.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegrid.llm._tables import shared_folder
@@ -24,6 +25,12 @@ CHUNK, CHUNK_BYTES, SAMPLE = 1024, 4_000_000, 128
 #: Distinct words that a Python worker remembers, and the longest one.
 CACHE_WORDS, CACHE_BYTES = 500_000, 64
 
+#: Words whose parts are plain to see: printable ASCII without a special token's opening, and Latin letters that have
+#: one lower-case form and no decomposition to undo.
+PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]*")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017e]+")
+PROBES = ("Don'ts", "it's", "A1b22***'s", "''re", "ÉTÉ×été÷", "a|b|", "!!x...", "Straße", "##'ll9")
+
 
 class EliasFano:
     """A non-decreasing sequence of non-negative integers."""
@@ -67,7 +74,11 @@ class EliasFano:
 
 
 class WordCodec:
-    """The tokenizers library, asked once for each distinct word between ASCII white space."""
+    """The tokenizers library, asked once for each distinct word between ASCII white space.
+
+    Words of plain letters fall into the parts that the vocabulary's own pattern makes, lower-cased, so that spellings
+    share them; for a vocabulary with other rules (tested on probes), and for all other words, the word is asked whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,6 +88,19 @@ class WordCodec:
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.plain = all(self._sure(x) for x in PROBES)
+
+    def _sure(self, text: str) -> bool:
+        """Whether the library encodes a text as the parts that PARTS cuts it into."""
+        ask = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        return ask(text) == [i for x in PARTS.findall(text.lower()) for i in ask(x)]
+
+    def _ask(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            for w, e in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+                into[w] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.words) > CACHE_WORDS:
@@ -86,10 +110,14 @@ class WordCodec:
         fresh = {w for words in split for w in words}.difference(known)
         known.update((w, older[w]) for w in fresh.intersection(older))
         fresh = list(fresh.difference(older))
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for w, e in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
+        whole = [w for w in fresh if not self.plain or not PLAIN.fullmatch(w.decode())]
+        self._ask(whole, known)
+        parts = {w: [x.encode() for x in PARTS.findall(w.decode().lower())] for w in set(fresh).difference(whole)}
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        self._ask(list({x for found in parts.values() for x in found}.difference(self.parts)), self.parts)
+        for w, found in parts.items():
+            known[w] = b"".join(map(self.parts.__getitem__, found))
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in fresh:
             if len(w) > CACHE_BYTES:
@@ -107,7 +135,7 @@ def codec(path: str) -> WordCodec:
 
 
 _EF = lambda name: f"{name}_bits int, {name}_low binary, {name}_high binary, {name}_samples binary"
-_RECORD = f"shard int, chunk long, n_null int, n_docs int, n_ids long, width int, ids binary, first_id long, {_EF('ends')}, {_EF('doc_ids')}"
+_RECORD = f"shard int, chunk long, before long, n_null int, n_docs int, n_ids long, width int, ids binary, first_id long, {_EF('ends')}, {_EF('doc_ids')}"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -124,7 +152,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     def run(batches):
         from pyspark import TaskContext
 
-        shard, use, chunk = TaskContext.get().partitionId(), codec(tokenizer), 0
+        shard, use, chunk, before = TaskContext.get().partitionId(), codec(tokenizer), 0, 0
         end = np.array([end_id], use.kind).tobytes()
         width = len(end)
         for batch in batches:
@@ -137,9 +165,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
                 ends = EliasFano.of(np.cumsum([len(x) // width for x in found]))
                 own = ids.drop_null().to_numpy()
                 base = int(own[0]) if len(own) else 0
-                row = [shard, chunk, ids.null_count, len(part), sum(map(len, found)) // width, width, b"".join(found), base, *ends.parts(), *EliasFano.of((own - base).astype(np.uint64)).parts()]
+                size = sum(map(len, found)) // width
+                row = [shard, chunk, before, ids.null_count, len(part), size, width, b"".join(found), base, *ends.parts(), *EliasFano.of((own - base).astype(np.uint64)).parts()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES, strict=True)], names=_NAMES)
-                chunk += 1
+                chunk, before = chunk + 1, before + size
 
     ordered.select("doc_id", "text").mapInArrow(run, _RECORD).write.parquet(path)
 
@@ -153,11 +182,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     records = spark.read.schema(_RECORD).parquet(path)
     shards = [tuple(r) for r in records.groupBy("shard").agg(F.sum("n_ids")).orderBy("shard").collect()]  # a row for each file
     before = np.cumsum([0, *(n for _, n in shards)])
-    offsets = spark.createDataFrame([(s, int(b)) for (s, _), b in zip(shards, before, strict=False)], "shard int, shard_start long")
-    small = records.select("shard", "chunk", "n_ids")
-    within = Window.partitionBy("shard").orderBy("chunk")  # a file has a bounded number of chunks
-    starts = small.select("shard", "chunk", (F.sum("n_ids").over(within) - F.col("n_ids")).alias("inside"))
-    located = records.join(starts, ["shard", "chunk"]).join(offsets, "shard").withColumn("begin", F.col("shard_start") + F.col("inside"))
+    offsets = {s: int(b) for (s, _), b in zip(shards, before, strict=False)}  # one number for each file
 
     def run(batches):
         for batch in batches:
@@ -168,12 +193,12 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                 doc_ids = [None] * r["n_null"] + (ef("doc_ids", own).select(np.arange(own)).astype(np.int64) + r["first_id"]).tolist()
                 flat = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
                 starts = np.append(0, ends[:-1])
-                cols = {"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(starts + r["begin"]), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], pa.int64())}
+                cols = {"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(starts + offsets[r["shard"]] + r["before"]), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], pa.int64())}
                 if ids:
                     cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return located.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else ""))
+    return records.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else ""))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

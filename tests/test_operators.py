@@ -157,6 +157,20 @@ def test_neighbours_agree_with_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("target", [None, "kind"])
+def test_neighbours_of_many_equal_rows_are_the_lowest(spark, target):
+    rng = np.random.default_rng(4)
+    kinds = np.round(rng.normal(size=(3, 6)), 3)
+    ids = rng.permutation(300).tolist()
+    x = {i: kinds[n % 3] for n, i in enumerate(ids)}
+    v = spark.createDataFrame([(i, x[i].tolist(), i % 2) for i in ids], "row_idx long, vec array<double>, kind int").coalesce(1)
+    got = {}
+    for r in geometry.nearest(v, k=4, target=target).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r.row_idx)
+    fits = lambda i, j: i % 2 != j % 2 if target else i != j
+    assert got == {i: sorted((j for j in x if fits(i, j)), key=lambda j: (np.sqrt(((x[i] - x[j]) ** 2).sum()), j))[:4] for i in x}
+
+
 def test_reduction_keeps_distances(spark):
     x = np.random.default_rng(5).normal(size=(40, 3)) @ np.random.default_rng(6).normal(size=(3, 8))
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_idx long, vec array<double>")

@@ -67,7 +67,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, ta
 
     Queries (row_idx, vec) default to all rows; a row is never its own neighbour. With ``target`` (a column of both),
     only rows whose value differs from the query's count. Rows and queries are dealt into blocks of bounded size; each
-    pair of blocks is one task that keeps k rows per query, and these merge by query. Vectors with a non-finite
+    pair of blocks is one task that ranks all that rounding may put among the k nearest of its rows, keeps k rows per
+    query, and these merge by query. Vectors with a non-finite
     component neither ask nor answer.
     """
     own = queries is None
@@ -95,14 +96,23 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, ta
             c = np.asarray(t[target].to_pylist(), object)
             hide |= c[q][:, None] == c[~q][None, :]
         d[hide] = np.inf
-        keep = min(d.shape[1], k + 16)  # a few more, as rounding may swap what is nearly equal
-        near = np.argpartition(d, keep - 1, axis=1)[:, :keep] if keep < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(a), 1))
-        exact = np.sqrt(((a[:, None, :] - b[near]) ** 2).sum(-1)) if near.size * a.shape[1] < 2e7 else np.stack([np.sqrt(((u - b[j]) ** 2).sum(-1)) for u, j in zip(a, near, strict=True)])
-        exact[np.take_along_axis(hide, near, 1)] = np.inf
-        order = np.lexsort((ib[near], exact), axis=1)[:, :k]
-        far, who = np.take_along_axis(exact, order, 1), ib[np.take_along_axis(near, order, 1)]
-        ok = np.isfinite(far)
-        return pa.table({"query": np.repeat(ia, far.shape[1]).reshape(far.shape)[ok], "row_idx": who[ok], "distance": far[ok]})
+        # rounding moves a squared distance, either way it is computed, by no more than ``off``
+        off = 4 * (x.shape[1] + 8) * np.finfo(np.float64).eps * ((a**2).sum(1) + (b**2).sum(1).max())
+        far = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(a), np.inf)
+        within = ~(d > (far + 2 * off)[:, None]) & ~hide
+        step = max(1, int(4e6) // (d.shape[1] * max(1, x.shape[1])))
+        out = [empty]
+        for lo in range(0, len(a), step):
+            i, j = np.nonzero(within[lo : lo + step])
+            i += lo
+            exact = np.sqrt(((a[i] - b[j]) ** 2).sum(-1))
+            ok = np.isfinite(exact)
+            i, j, exact = i[ok], j[ok], exact[ok]
+            order = np.lexsort((ib[j], exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append(pa.table({"query": ia[i[first]], "row_idx": ib[j[first]], "distance": exact[first]}))
+        return pa.concat_tables(out)
 
     found = both.groupBy("__i", "__j").applyInArrow(compare, "query long, row_idx long, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "row_idx"))

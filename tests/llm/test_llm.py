@@ -120,6 +120,18 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "COPIED", 100_000)  # machines in several steps
+    rng = random.Random(8)
+    names = [f"l{k:02}" for k in range(68)]
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3)] for k in names}
+    rows = [(len(names) * n + i, " ".join(rng.choice(words[k]) for _ in range(12)), k) for n in range(3) for i, k in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    model = language.fit_language(docs, F.lit(True))
+    assert sorted(k for _, m in model.families for k in m) == names
+    assert all(r.lang_pred == r.lang for r in language.identify(docs, model, ["lang"]).collect())
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 
 

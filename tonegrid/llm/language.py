@@ -25,6 +25,8 @@ FAMILIES = {
 }
 #: Features, and the documented bound of the training sample: about so many texts of each language.
 FEATURES, PER_LANGUAGE = 4096, 800
+#: Weights that one vectorised step of a prediction copies, beyond those of one machine.
+COPIED = 32_000_000
 UNDETERMINED = "und"
 
 _LETTERS = np.full(256, 0x20, np.uint8)
@@ -80,7 +82,9 @@ class LanguageModel:
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
         feature, start, letters = trigrams(texts)
-        total = np.add.reduceat(self.weights[feature], start, axis=0) if len(texts) else np.zeros((0, len(self.bias)))
+        step = max(1, COPIED // max(1, len(feature)))
+        parts = [np.add.reduceat(self.weights[:, i : i + step][feature], start, axis=0) for i in range(0, len(self.bias), step)] if len(texts) else []
+        total = np.concatenate(parts, axis=1) if parts else np.zeros((len(texts), len(self.bias)))
         margin = total / np.maximum(letters, 1)[:, None] + self.bias
         names, scores = [], []
         for text, m, n in zip(texts, margin, letters, strict=True):
@@ -109,14 +113,17 @@ class LanguageModel:
 
 
 def fit_language(docs: DataFrame, chosen: Column, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Learns from texts and non-null langs of about ``per_language`` rows of each language, dealt by a hash of doc_id."""
+    """Learns from texts and non-null langs of about ``per_language`` rows of each language, dealt by a hash of doc_id.
+
+    Every language is learned; the sample grows with their number, the machines with its square.
+    """
     rows_ = docs.where(chosen & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNDETERMINED))
-    counts = {r[0]: r[1] for r in rows_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    counts = {r[0]: r[1] for r in rows_.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return LanguageModel([(UNDETERMINED, [UNDETERMINED])], [], np.zeros((FEATURES + 1, 0)), np.zeros(0))
     unit = 1 << 40
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(unit, unit * per_language // n))) for k, n in counts.items()))
-    sample = rows_.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(unit)) < share).select("lang", "text")
+    shares = docs.sparkSession.createDataFrame([(k, min(unit, unit * per_language // n)) for k, n in counts.items()], "lang string, __share long")
+    sample = rows_.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(unit)) < F.col("__share")).select("lang", "text")
 
     def run(batches):
         for batch in batches:

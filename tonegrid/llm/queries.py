@@ -94,7 +94,7 @@ def _license_sql() -> str:
     phrases = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in PHRASES)
     return f"""WITH t(label, tokens) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
       d AS (SELECT doc_id, {_WORDS.format("text")} AS words FROM documents),
-      b AS (SELECT d.doc_id, p.label, i - 1 AS start FROM d, p, range(1, 30000) r(i) WHERE i <= len(d.words) AND d.words[i] = p.words[1] AND d.words[i : i + len(p.words) - 1] = p.words),
+      b AS (SELECT d.doc_id, p.label, i - 1 AS start FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d) d, p WHERE d.words[i] = p.words[1] AND d.words[i : i + len(p.words) - 1] = p.words),
       bs AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
       l AS (SELECT doc_id, list_distinct({_WORDS.format("line")}) AS tokens FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
       m AS (SELECT doc_id, label, len(list_intersect(l.tokens, t.tokens)) / len(t.tokens) AS share FROM l, t WHERE len(list_intersect(l.tokens, t.tokens)) / len(t.tokens) >= {THRESHOLD}),
@@ -110,7 +110,7 @@ ORACLES: dict[str, str] = {
       r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), c AS (SELECT a, min(b) AS b FROM r GROUP BY 1)
       SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id, vec_id <= coalesce(c.b, vec_id) AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
     "op5_license_scan": _license_sql(),
-    "op6_decontaminate": f"""WITH bw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark), p AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS s FROM bw, range(1, 3000) r(i) WHERE len(w) > 0 AND i <= len(w) - least(13, len(w)) + 1),
+    "op6_decontaminate": f"""WITH bw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark), p AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS s FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM bw WHERE len(w) > 0)),
       d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), x AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
       h AS (SELECT doc_id, item, i, x.n FROM x JOIN p ON p.s = x.s AND p.n = x.n), k AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, range(13) r(j) WHERE j < n GROUP BY 1),
       it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)

@@ -436,7 +436,7 @@ def local_duplicates(spark, sf):
 
 @register("resolve_files", """WITH f AS (SELECT page_id AS file_id, list_reverse(list_filter(string_split(lower(url), '/'), lambda x: x <> '')) AS b FROM pages),
   s AS (SELECT a.file_id AS pid, f.file_id, a.b AS a, f.b FROM f a JOIN f ON a.b[1] = f.b[1]),
-  d AS (SELECT pid, file_id, (SELECT min(i) - 1 FROM range(1, 30) r(i) WHERE a[i] IS DISTINCT FROM b[i] OR i > len(a)) AS depth FROM (SELECT pid, file_id, a, b FROM s)),
+  d AS (SELECT pid, file_id, list_min(list_filter(range(1, len(a) + 2), lambda i: a[i] IS DISTINCT FROM b[i] OR i > len(a))) - 1 AS depth FROM (SELECT pid, file_id, a, b FROM s)),
   w AS (SELECT pid, count(*) AS n, min(file_id) AS file_id, max(depth) AS depth FROM (SELECT * FROM d QUALIFY rank() OVER (PARTITION BY pid ORDER BY depth DESC) = 1) GROUP BY 1)
   SELECT pid, CASE WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS bucket, CASE WHEN n = 1 THEN file_id END AS file_id, CASE WHEN n = 1 THEN depth END AS depth, n AS n_files FROM w""")
 def resolve_files(spark, sf):

@@ -15,7 +15,7 @@ from tonegrid.llm.decontaminate import decontaminate
 from tonegrid.llm.pieces import encode_pieces
 from tonegrid.llm.quality import fit_quality, score_quality
 from tonegrid.llm.queries import public_tokenizer
-from tonegrid.llm.simhash import near_duplicates
+from tonegrid.llm.shingles import near_sets
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected when it is more likely bad than good.
@@ -29,9 +29,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHash fingerprints link, the one with the smallest id stays; rows without an id stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, the one with the smallest id stays;
+    rows without an id stay."""
+    gone = near_sets(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
@@ -53,13 +53,13 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", keep_good),
-    ("SimHash near-dedup", keep_one_of_each_group),
+    ("shingle near-dedup", keep_one_of_each_group),
     ("substring dedup", drop_repeated_passages),
     ("benchmark decontamination", drop_contaminated),
     ("SentencePiece encoding", to_pieces),
 ]
 
-#: SQL cannot express a trained network, XXH64 fingerprints or SentencePiece.
+#: SQL cannot express a trained network or SentencePiece.
 ORACLE_SQL = None
 
 

@@ -37,16 +37,22 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def passes(texts: list[bytes], limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
+def pass_ranges(sizes: Iterable[int], limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows that together hold at most ``limit`` bytes, or a single row."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        if i > start and size + len(x) > limit:
+    start = held = 0
+    i = -1
+    for i, size in enumerate(sizes):
+        if i > start and held + size > limit:
             yield start, i
-            start, size = i, 0
-        size += len(x) + 1
-    if start < len(texts):
-        yield start, len(texts)
+            start, held = i, 0
+        held += size + 1
+    if start <= i:
+        yield start, i + 1
+
+
+def passes(texts: list[bytes], limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, as by pass_ranges."""
+    return pass_ranges(map(len, texts), limit)
 
 
 def flatten(texts: list[bytes], gap: bytes = b" ") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,20 +15,22 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegrid.llm._tables import shared_folder
-from tonegrid.llm._vec import passes, utf8
+from tonegrid.llm._vec import pass_ranges
 
 CHUNK, CHUNK_BYTES, SAMPLE = 1024, 4_000_000, 128
 #: Distinct words that a Python worker remembers, and the longest one.
-CACHE_WORDS, CACHE_BYTES = 500_000, 64
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
 
 #: Words whose parts are plain to see: printable ASCII without a special token's opening, and Latin letters that have
 #: one lower-case form and no decomposition to undo.
-PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]*")
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017e]+")
+PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: The parts of lower-cased plain words, one word a line, and the line ends.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|\n|[^\na-z0-9\u00df-\u00f6\u00f8-\u017e]+")
 PROBES = ("Don'ts", "it's", "A1b22***'s", "''re", "ÉTÉ×été÷", "a|b|", "!!x...", "Straße", "##'ll9")
 
 
@@ -77,7 +79,9 @@ class WordCodec:
     """The tokenizers library, asked once for each distinct word between ASCII white space.
 
     Words of plain letters fall into the parts that the vocabulary's own pattern makes, lower-cased, so that spellings
-    share them; for a vocabulary with other rules (tested on probes), and for all other words, the word is asked whole.
+    share them; the library encodes many parts in one text, where the token that ends a word ends each part. For a
+    vocabulary with other rules (tested on probes, and by the number of ends), and for all other words, each is asked
+    by itself.
     """
 
     def __init__(self, path: str):
@@ -85,10 +89,13 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.kind = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.plain = all(self._sure(x) for x in PROBES)
 
     def _sure(self, text: str) -> bool:
@@ -96,33 +103,64 @@ class WordCodec:
         ask = lambda t: self.library.encode(t, add_special_tokens=False).ids
         return ask(text) == [i for x in PARTS.findall(text.lower()) for i in ask(x)]
 
-    def _ask(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                into[w] = np.array(e.ids, self.kind).tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+
+    def _together(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts, encoded as one text."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(parts):
+            return self._each(parts)
+        return _slices(ids.astype(self.kind).tobytes(), ends * np.dtype(self.kind).itemsize)
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of new words."""
+        plain = list(filter(PLAIN.fullmatch, words)) if self.plain else []
+        whole = list(set(words).difference(plain))
+        known = dict(zip(whole, self._each(whole), strict=True))
+        parts = PARTS.findall("\n".join(plain).lower())
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        self.parts["\n"] = b""
+        new = list(set(parts).difference(self.parts))
+        for i in range(0, len(new), 20_000):
+            self.parts.update(zip(new[i : i + 20_000], self._together(new[i : i + 20_000]), strict=True))
+        found = list(map(self.parts.__getitem__, parts))
+        lines = np.fromiter(map("\n".__eq__, parts), bool, len(parts))
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        known.update(zip(plain, _slices(b"".join(found), np.append(ends[lines], ends[-1:])), strict=True))
+        return known
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has; null is empty."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) > CACHE_WORDS:
             self.words, self.older = {}, self.words
         known, older = self.words, self.older
-        split = [t.split() for t in texts]
-        fresh = {w for words in split for w in words}.difference(known)
+        fresh = set(words).difference(known)
         known.update((w, older[w]) for w in fresh.intersection(older))
-        fresh = list(fresh.difference(older))
-        whole = [w for w in fresh if not self.plain or not PLAIN.fullmatch(w.decode())]
-        self._ask(whole, known)
-        parts = {w: [x.encode() for x in PARTS.findall(w.decode().lower())] for w in set(fresh).difference(whole)}
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        self._ask(list({x for found in parts.values() for x in found}.difference(self.parts)), self.parts)
-        for w, found in parts.items():
-            known[w] = b"".join(map(self.parts.__getitem__, found))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        fresh.difference_update(older)
+        known.update(self._learn(list(fresh)))
+        found = list(map(known.__getitem__, words))
         for w in fresh:
-            if len(w) > CACHE_BYTES:
+            if len(w) > CACHE_CHARS:
                 del known[w]
-        return out
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
+        first = np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy()
+        size = sizes[word]
+        end = np.cumsum(size)
+        ids = np.frombuffer(b"".join(found), self.kind)[np.repeat(first[word] - end + size, size) + np.arange(size.sum())]
+        cuts = split.offsets.to_numpy()
+        return ids, np.diff(np.append(0, end)[cuts - cuts[0]])
+
+
+def _slices(data: bytes, ends: np.ndarray) -> list[bytes]:
+    cuts = [0, *ends.tolist()]
+    return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _codecs: dict[str, WordCodec] = {}
@@ -153,20 +191,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         from pyspark import TaskContext
 
         shard, use, chunk, before = TaskContext.get().partitionId(), codec(tokenizer), 0, 0
-        end = np.array([end_id], use.kind).tobytes()
-        width = len(end)
+        width = np.dtype(use.kind).itemsize
         for batch in batches:
-            texts = utf8(batch["text"])
-            cuts = [x for a, b in passes(texts, CHUNK_BYTES) for x in range(a, b, CHUNK)]
+            sizes = pc.binary_length(batch["text"]).fill_null(0).to_numpy(zero_copy_only=False)
+            cuts = [x for a, b in pass_ranges(sizes, CHUNK_BYTES) for x in range(a, b, CHUNK)]
             for lo, hi in zip(cuts, [*cuts[1:], len(batch)], strict=True):
                 part = batch.slice(lo, hi - lo)
                 ids = part["doc_id"]
-                found = [x + end for x in use.encode(texts[lo:hi])]
-                ends = EliasFano.of(np.cumsum([len(x) // width for x in found]))
+                found, sizes = use.encode(part["text"])
+                ends = np.cumsum(sizes + 1)
+                flat = np.full(len(found) + len(part), end_id, use.kind)
+                own = np.ones(len(flat), bool)
+                own[ends - 1] = False
+                flat[own] = found
                 own = ids.drop_null().to_numpy()
                 base = int(own[0]) if len(own) else 0
-                size = sum(map(len, found)) // width
-                row = [shard, chunk, before, ids.null_count, len(part), size, width, b"".join(found), base, *ends.parts(), *EliasFano.of((own - base).astype(np.uint64)).parts()]
+                size = len(flat)
+                row = [shard, chunk, before, ids.null_count, len(part), size, width, flat.tobytes(), base, *EliasFano.of(ends).parts(), *EliasFano.of((own - base).astype(np.uint64)).parts()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES, strict=True)], names=_NAMES)
                 chunk, before = chunk + 1, before + size
 

@@ -361,12 +361,7 @@ def test_temperature_flattens_overconfidence():
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("hot", [512, 1])
-@pytest.mark.parametrize("keep_first", [False, True])
-def test_repeats(spark, docs, monkeypatch, hot, keep_first):
-    monkeypatch.setattr(suffixes, "HOT", hot)
-    length = 60
-    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+def repeats_by_brute_force(rows, length, keep_first):
     seen, first = {}, {}
     for n, (_, t) in enumerate(rows):
         b = (t or "").encode()
@@ -384,11 +379,37 @@ def test_repeats(spark, docs, monkeypatch, hot, keep_first):
                 gone[k : k + length] = b"\1" * length
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         want.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest(), kept))
+    return sorted(want, key=lambda w: repr((*w[:5], bytearray(w[5]))))
+
+
+def thue_morse(n, letters="ab"):
+    """Such a string and its complement defeat polynomial hashes modulo 2**64."""
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("hot", [512, 1])
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_repeats(spark, docs, monkeypatch, hot, keep_first):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    length = 60
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     got = collected(suffixes.mark_repeats(docs, ["doc_id"], length, keep_first))
-    assert [(*g[:5], bytes(g[5])) for g in got] == [w for w in sorted(want, key=lambda w: repr((*w[:5], bytearray(w[5]))))]
+    assert [(*g[:5], bytes(g[5])) for g in got] == repeats_by_brute_force(rows, length, keep_first)
     assert suffixes.mark_repeats(docs.limit(0), ["doc_id"], length).count() == 0
 
 
+@pytest.mark.parametrize("hot", [512, 1])
+def test_repeats_of_strings_that_defeat_polynomial_hashes(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(4)
+    noise = lambda: "".join(rng.choice("cdefgh") for _ in range(500))
+    texts = [noise() + thue_morse(n, x) + noise() for n in (256, 512, 1024, 2048, 4096) for x in ("ab", "ba")]
+    texts += [thue_morse(512, "xy") + texts[0][:450], thue_morse(512, "yx") + texts[0][:450]]
+    rows = list(enumerate(texts))
+    got = collected(suffixes.mark_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], 400, False))
+    assert [(*g[:5], bytes(g[5])) for g in got] == repeats_by_brute_force(rows, 400, False)
+
+
 def test_longest_previous_factors():
     rng = random.Random(10)
     data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(400)), np.uint8)
@@ -429,3 +450,13 @@ def test_repeated_windows(spark, docs, window):
         want.append((i, kept if any(gone) else t, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     assert collected(drop_repeated_windows(docs, ["doc_id", "text", "n_words"], window)) == sorted(want, key=repr)
     assert drop_repeated_windows(docs.limit(0), ["doc_id", "text"], window).count() == 0
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    rows = []
+    for k, n in enumerate((64, 512, 1024, 2048, 4096)):
+        line = [f"w{k}x{i}" for i in range(12)]
+        for x in ("ab", "ba", "ab"):
+            rows.append((len(rows), " ".join([*line[:6], thue_morse(n, x), *line[6:]])))
+    got = drop_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).select("doc_id", "n_removed")
+    assert collected(got) == [(i, 13 if i % 3 == 2 else 0) for i in sorted(range(len(rows)), key=lambda i: repr((i,)))]

@@ -96,6 +96,38 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U) * U(_R2))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as an integer; those past the end are zero."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range: the sum of its mixed pieces of eight bytes, each mixed again with its place.
+
+    No pair of different ranges is likelier than others to collide, and hashes of different salts share no step.
+    """
+    eights = _eights(data)
+    size = end - start
+    pieces = np.maximum(-(-size // 8), 1)
+    first = np.cumsum(pieces) - pieces
+    place = np.arange(pieces.sum()) - np.repeat(first, pieces)
+    at = np.repeat(start, pieces) + 8 * place
+    left = np.minimum(np.repeat(end, pieces) - at, 8).astype(U)
+    piece = eights[at] & np.where(left == U(8), ~U(0), (U(1) << (U(8) * left)) - U(1))
+    piece = mix(mix(piece ^ U(salt)) + (place.astype(U) + U(1)) * U(_R1))
+    return mix((np.add.reduceat(piece, first) if len(first) else np.zeros(0, U)) + size.astype(U) * U(_R2) + U(salt))
+
+
+def window_hashes(data: np.ndarray, starts: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the ``length`` bytes (8 at least) from each start on, from hashes of twice as many bytes each time."""
+    held, size = mix(_eights(data)[:-1] ^ U(salt)), 8
+    while 2 * size <= length:
+        held = mix(mix(held[:-size] + U(size)) * U(_R1) + held[size:])
+        size *= 2
+    return mix(mix(held[starts] + U(length)) * U(_R1) + held[starts + length - size])
+
+
 class Words:
     """The words of some texts: byte ranges, hashes, and each text's range of words."""
 
@@ -110,7 +142,7 @@ class Words:
         self.first = np.searchsorted(self.start, self.text_start)
         self.last = np.append(self.first[1:], len(self.start))
         self.count = self.last - self.first
-        self.hash = Rolling(self.data).of(self.start, self.end)
+        self.hash = range_hashes(self.data, self.start, self.end)
 
     @property
     def text(self) -> np.ndarray:
@@ -119,7 +151,7 @@ class Words:
 
     def grams(self, n: int, root: int = _R1, salt: int = 0) -> np.ndarray:
         """Hash of the n words from each word on; meaningless for the last n - 1 words of a text."""
-        words = mix(self.hash ^ U(salt)) if salt else self.hash
+        words = range_hashes(self.data, self.start, self.end, salt) if salt else self.hash
         out = np.zeros(len(words), U)
         for k in range(min(n, len(words))):
             out[: len(words) - k] = out[: len(words) - k] * U(root) + words[k:]

@@ -22,14 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tonegrid.llm._blocks import BLOCK, BUCKET, bucket_of, by_bucket, dealt, ids_and_texts, in_order, joined, runs_of
-from tonegrid.llm._vec import Rolling, flatten
+from tonegrid.llm._vec import flatten, range_hashes, window_hashes
 
 LENGTH = 400
 #: Bytes of the strings whose hashes elect anchors.
 SEED_BYTES = 16
 #: Different segments of one anchor that may share a suffix array, and bytes of one array.
 HOT, ARRAY_BYTES = 512, 1_500_000
-_ROOT2 = 0xC2B2AE3D27D4EB4F
+_SALT2 = 0xC2B2AE3D27D4EB4F
 DUP, LEAST, SHIP, SPREAD = 1, 2, 4, 8
 
 _KINDS = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
@@ -133,13 +133,12 @@ class _Block:
         ids, texts = ids_and_texts(in_order(block))
         self.data, start, end = flatten(texts)
         n, span = len(self.data), length - SEED_BYTES + 1
-        self.roll = Rolling(self.data)
         windows = _fill(start, np.maximum(end - start - length + 1, 0))
         if not len(windows):
             self.starts = np.zeros(0, np.int64)
             return
         at = np.arange(max(n - SEED_BYTES + 1, 0))
-        seeds = self.roll.of(at, at + SEED_BYTES)
+        seeds = window_hashes(self.data, at, SEED_BYTES)
         bits = np.uint64(max(24, n.bit_length()))
         low = (seeds >> bits << bits) | at.astype(np.uint64)
         reach = 1
@@ -153,7 +152,7 @@ class _Block:
         self.starts, self.sizes = windows[first], last - first
         self.a = seeds[owner[first]]
         ends = self.starts + self.sizes - 1 + length
-        self.h1, self.h2 = self.roll.of(self.starts, ends), Rolling(self.data, _ROOT2).of(self.starts, ends)
+        self.h1, self.h2 = range_hashes(self.data, self.starts, ends), range_hashes(self.data, self.starts, ends, _SALT2)
         self.ids = ids[np.searchsorted(start, self.starts, "right") - 1]
         order = np.lexsort((self.h2, self.h1, self.a))  # stable, so each distinct segment's first copy comes first
         head, run = runs_of(self.a[order], self.h1[order], self.h2[order])
@@ -240,7 +239,7 @@ def mark_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, keep_fi
         i = np.sort(b.head[code & SPREAD > 0])
         if len(i):
             w = _fill(b.starts[i], b.sizes[i])
-            h1, h2, ids = b.roll.of(w, w + length), Rolling(b.data, _ROOT2).of(w, w + length), np.repeat(b.ids[i], b.sizes[i])
+            h1, h2, ids = window_hashes(b.data, w, length), window_hashes(b.data, w, length, _SALT2), np.repeat(b.ids[i], b.sizes[i])
             order = np.lexsort((h2, h1))
             head, run = runs_of(h1[order], h2[order])
             many = np.diff(np.append(head, len(order))) > 1

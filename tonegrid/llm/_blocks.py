@@ -1,4 +1,4 @@
-"""Documents dealt into blocks by the hash of their id, and the exchange of packed hashes between blocks and buckets.
+"""Documents dealt into blocks by the hash of their id and text, and the exchange of packed hashes between blocks and buckets.
 
 A block is what one call of a grouped Arrow function holds: about ``BLOCK_BYTES`` of text, whatever the size of the
 corpus. What a block asks of the others goes out as rows of packed hashes, one row per bucket, each distinct hash once
@@ -29,7 +29,7 @@ def dealt(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(LEAST, -(-total // BLOCK_BYTES))
     buckets = max(LEAST, -(-total // BUCKET_BYTES))
-    return docs.select(*columns, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias(BLOCK)), buckets
+    return docs.select(*columns, F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias(BLOCK)), buckets
 
 
 def in_order(block: pa.Table) -> pa.Table:

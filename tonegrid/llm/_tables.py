@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +19,18 @@ def id_crc(column: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of its own where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where none is set, a local session gets a temporary one; on a cluster no folder can be assumed, and that is an error.
+    """
     context = spark.sparkContext
-    if path := context.getConf().get("spark.checkpoint.dir"):
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(path)
         return path.rstrip("/")
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from tonegrid.llm._tables import cut
 
-ROUNDS = 50
-
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For n places linked by pairs: the smallest place reachable from each."""
@@ -30,13 +28,15 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``links`` (a, b: long), for each node in a link.
 
     Each round turns every node's links towards its smallest neighbour, first for larger neighbours and then for
-    smaller ones; the number of rounds grows with the logarithm of the longest chain. Only minima are aggregated, so
-    no node's links meet in one place. Links with a null end, and from a node to itself, count for nothing.
+    smaller ones, until a round changes nothing; the number of rounds grows with the logarithm of the longest chain.
+    Only minima are aggregated, with partial minima before the exchange. The joins pair the links of a node with its one
+    minimum, so adaptive execution splits a hub's links over tasks. Links with a null end, and from a node to itself,
+    count for nothing.
     """
     big, small = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = cut(links.where("a <> b").select(big, small).distinct())
     seen = None
-    for _ in range(ROUNDS):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

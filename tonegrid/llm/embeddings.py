@@ -14,7 +14,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegrid.llm._tables import cut
@@ -23,6 +24,9 @@ from tonegrid.llm.components import components, local_roots
 THRESHOLD = 0.98
 #: Rows of a tile, and axes that accumulate at a time.
 TILE, STEP = 1024, 8
+#: Vectors of the most frequent sizes are turned into principal axes, whose squares hold so many numbers at most; those of
+#: other sizes are compared along their own axes, which is as exact.
+TURNED = 4_000_000
 #: Share of pairs alive under which pairs are decided one by one.
 SPARSE = 0.02
 
@@ -35,21 +39,28 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def principal_axes(vectors: DataFrame, column: str, size: int) -> np.ndarray:
-    """Columns are the axes of the scaled vectors, by falling share of their squared length."""
+def by_size(column: pa.Array) -> dict[int, np.ndarray]:
+    """The places of the lists of each size."""
+    sizes = pc.list_value_length(column).to_numpy()
+    return {n: np.flatnonzero(sizes == n) for n in np.unique(sizes).tolist()}
+
+
+def principal_axes(vectors: DataFrame, column: str, sizes: list[int]) -> dict[int, np.ndarray]:
+    """For each size: columns are the axes of the scaled vectors, by falling share of their squared length."""
 
     def run(batches):
-        total = np.zeros((size, size))
+        total = {n: np.zeros((n, n)) for n in sizes}
         for batch in batches:
-            x = matrix(batch[column])
-            if len(x):
+            for n, at in by_size(batch[column]).items():
+                x = matrix(batch[column].take(pa.array(at)))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["gram"])
+                total[n] += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in total.values()]).tobytes()])], names=["grams"])
 
-    grams = vectors.select(column).mapInArrow(run, "gram binary")
-    parts = grams.rdd.map(lambda r: np.frombuffer(r[0])).treeReduce(lambda a, b: a + b)
-    return np.linalg.eigh(parts.reshape(size, size))[1][:, ::-1]
+    grams = vectors.where(F.size(column).isin(sizes)).select(column).mapInArrow(run, "grams binary")
+    total = grams.rdd.map(lambda r: np.frombuffer(r[0])).treeReduce(lambda a, b: a + b)
+    cuts = np.cumsum([0, *(n * n for n in sizes)])
+    return {n: np.linalg.eigh(total[lo : lo + n * n].reshape(n, n))[1][:, ::-1] for n, lo in zip(sizes, cuts.tolist(), strict=False)}
 
 
 def reach(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -95,41 +106,36 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     key = [F.xxhash64("label", "v").alias("k1"), F.xxhash64("v", F.lit(1), "label").alias("k2")]
     fields = rows.where("fine").select("vec_id", "label", "v", F.size("v").alias("size"), *key)
     distinct = cut(fields.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("v").alias("v"), F.any_value("size").alias("size")).withColumn("node", F.xxhash64("k1", "k2")))
-    sizes = [r[0] for r in distinct.select("size").distinct().limit(65).collect()]
-    if len(sizes) > 64:
-        raise ValueError("more than 64 different vector sizes")
-    links = [_links(distinct.where(F.col("size") == n), n, threshold) for n in sizes]
-    if links:
-        linked = links[0]
-        for x in links[1:]:
-            linked = linked.unionByName(x)
-        linked = cut(linked)
-        degree = linked.groupBy("node").agg(F.sum("more").alias("more"))
-        group = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        named = distinct.select("k1", "k2", "node", "least", "copies").join(degree, "node", "left").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-        named = named.join(smallest, "component").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
-    else:
-        named = distinct.select("k1", "k2", F.lit(0).cast("long").alias("n_links"), F.col("least").alias("component_id"))
+    linked = cut(_links(distinct, threshold))
+    degree = linked.groupBy("node").agg(F.sum("more").alias("more"))
+    group = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    named = distinct.select("k1", "k2", "node", "least", "copies").join(degree, "node", "left").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(smallest, "component").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
     good = rows.where("fine").select("vec_id", *key).join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _links(distinct: DataFrame, size: int, threshold: float) -> DataFrame:
+def _links(distinct: DataFrame, threshold: float) -> DataFrame:
     """(node, more: rows linked in one pair of tiles, root: smallest node linked there)."""
-    axes = principal_axes(distinct, "v", size)
+    frequent = Window.orderBy(F.desc("count"), "size").rowsBetween(Window.unboundedPreceding, 0)
+    counts = distinct.groupBy("size").count().withColumn("held", F.sum(F.col("size").cast("long") * F.col("size")).over(frequent))
+    sizes = [r[0] for r in counts.where(F.col("held") <= TURNED).collect()]
+    axes = principal_axes(distinct, "v", sizes) if sizes else {}
     width = max(1e-6, math.sqrt(max(0.0, 2 - 2 * threshold))) * (1 + 1e-9) + 1e-9
-    first = axes[:, 0].tolist()
+    first = {n: x[:, 0] for n, x in axes.items()}
 
     def slab(batches):
-        axis = np.array(first)
         for batch in batches:
-            x = matrix(batch["v"])
-            at = np.floor(x @ axis / np.linalg.norm(x, axis=1) / width).astype(np.int32) if len(x) else np.zeros(0, np.int32)
+            at = np.zeros(len(batch), np.int32)
+            for n, rows in by_size(batch["v"]).items():
+                x = matrix(batch["v"].take(pa.array(rows)))
+                at[rows] = np.floor((x @ first[n] if n in first else x[:, 0]) / np.linalg.norm(x, axis=1) / width)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "slab"])
 
-    placed = distinct.select("node", "copies", F.xxhash64("label").alias("label"), "v").mapInArrow(slab, "node long, copies long, label long, v array<double>, slab int")
+    # only vectors of one size meet
+    placed = distinct.select("node", "copies", F.xxhash64("label", "size").alias("label"), "v").mapInArrow(slab, "node long, copies long, label long, v array<double>, slab int")
     tiles = placed.groupBy("label", "slab").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     near = tiles.select("label", F.col("tiles").alias("n"), F.explode(F.array(F.col("slab") - 1, "slab", F.col("slab") + 1)).alias("slab"), F.col("slab").alias("other"))
     near = near.groupBy("label", "slab").agg(F.collect_list(F.struct("other", "n")).alias("near"), F.max(F.when(F.col("slab") == F.col("other"), F.col("n"))).alias("own"))
@@ -142,7 +148,7 @@ def _links(distinct: DataFrame, size: int, threshold: float) -> DataFrame:
 
     def compare(pair: pa.Table) -> pa.Table:
         node, copies, x = pair["node"].to_numpy(), pair["copies"].to_numpy(), matrix(pair["v"])
-        y = x @ axes / np.linalg.norm(x, axis=1, keepdims=True)
+        y = (x @ axes[x.shape[1]] if x.shape[1] in axes else x) / np.linalg.norm(x, axis=1, keepdims=True)
         second = pair["second"].to_numpy()
         within = (pair["s1"][0], pair["t1"][0]) == (pair["s2"][0], pair["t2"][0])
         p = np.flatnonzero(~second)

@@ -171,7 +171,7 @@ def mark_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, keep_fi
     else every copy goes. Matches never cross documents and are judged on the input; overlaps count. Returns the
     columns ``keep`` of ``docs`` (doc_id: long, text: string) and n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256, and kept (binary: the remaining bytes) unless ``digest``. A null text is empty; a null doc_id comes
-    last; rows that repeat are copies of each other. Clashing names: the added columns win.
+    last; rows that repeat are copies of each other, and rows of one doc_id are in an order of their own. Clashing names: the added columns win.
     """
     added = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({} if digest else {"kept": "binary"})
     keep = [c for c in keep if c not in added]
@@ -192,7 +192,9 @@ def mark_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, keep_fi
     def answer(table: pa.Table) -> pa.Table:
         get = lambda c, kind: np.frombuffer(joined(table[c])[0], kind)
         a, h1, h2, ids, places, twice = get("a", "u8"), get("h1", "u8"), get("h2", "u8"), get("ids", "i8"), get("places", "i4"), get("twice", bool)
-        order = np.lexsort((places, ids, h2, h1, a))
+        cuts = np.cumsum(joined(table["a"])[1] // 8)
+        owner = np.repeat(table[BLOCK].to_numpy(), np.diff(np.append(0, cuts)))
+        order = np.lexsort((places, owner, ids, h2, h1, a))
         segment, of_segment = runs_of(a[order], h1[order], h2[order])
         group, of_group = runs_of(a[order][segment])
         different = np.diff(np.append(group, len(segment)))[of_group]  # segments of the anchor, for each segment
@@ -201,7 +203,6 @@ def mark_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, keep_fi
         code[segment] |= LEAST | np.where(different > HOT, SPREAD, np.where(different > 1, SHIP, 0))
         codes = np.empty(len(code), np.uint8)
         codes[order] = code
-        cuts = np.cumsum(joined(table["a"])[1] // 8)
         out = [(b, codes[lo:hi].tobytes()) for b, lo, hi in zip(table[BLOCK].to_pylist(), [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True) if (codes[lo:hi] != LEAST).any()]
         return pa.table([[b for b, _ in out], [table[BUCKET][0].as_py()] * len(out), [c for _, c in out]], schema=_ANSWER)
 
@@ -278,7 +279,7 @@ def mark_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, keep_fi
             h1, sizes = joined(w["a"])
             h1, h2, ids, places = np.frombuffer(h1, "u8"), *(np.frombuffer(joined(w[c])[0], k) for c, k in (("h2", "u8"), ("ids", "i8"), ("places", "i4")))
             owner = np.repeat(w[BLOCK].to_numpy(), sizes // 8)
-            order = np.lexsort((places, ids, h2, h1))
+            order = np.lexsort((places, owner, ids, h2, h1))
             head, run = runs_of(h1[order], h2[order])
             again = (np.diff(np.append(head, len(order))) > 1)[run]
             if keep_first:
@@ -301,7 +302,7 @@ def mark_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, keep_fi
                 group = np.searchsorted(head, lo)
                 hi = int(tails[max(group, np.searchsorted(held[tails], held[lo] + ARRAY_BYTES, "right") - 1)])
                 i = order[lo:hi]
-                i = i[np.lexsort((places[i], ids[i]))]  # so that places in the array ascend as in the corpus
+                i = i[np.lexsort((places[i], owner[i], ids[i]))]  # so that places in the array ascend as in the corpus
                 text = data[_fill(begin[i], width[i])]
                 at = np.cumsum(width[i]) - width[i]
                 starts = _fill(at, runs[i].astype(np.int64))

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonegrid.llm import embeddings, language, licenses, quality, simhash, suffixes
+from tonegrid.llm._tables import shared_folder
 from tonegrid.llm._vec import ALNUM, NOT_SPACE, Words, covered
 from tonegrid.llm.anchors import COVERS, drop_repeated_windows
 from tonegrid.llm.components import components, local_roots
@@ -75,9 +76,13 @@ def test_pieces_equal_the_library(spark, docs):
     use = PieceCodec(public_tokenizer("piece_bpe_32k.model"))
     rng = random.Random(2)
     odd = ["", "   ", " a", "a  b \n\n c", "\n", "a\tb ﬁ①", "▁x▁▁y", "\0", "日本語 𝕏😀", "<s>", "x ", "q" * 500, "ab" * 60 + " ", *("".join(rng.choice("ab \n▁é日😀\t.0²") for _ in range(rng.randint(0, 14))) for _ in range(800))]
-    for text, ids in zip(odd, use.encode_batch(odd), strict=True):
-        want = use.library.encode(text, add_bos=True, add_eos=True)
-        assert np.frombuffer(ids, "<u4").tolist() == want and use.decode(ids) == use.library.decode(want)
+    odd += [None, "\1a \1\2 b", "c\1"]
+    ids, ends = use.encode_batch(pa.array(odd))
+    for text, own, decoded in zip(odd, np.split(ids, ends[:-1]), use.decode_batch(ids, ends), strict=True):
+        want = use.library.encode(text or "", add_bos=True, add_eos=True)
+        assert own.tolist() == want and use.decode(own.tobytes()) == use.library.decode(want) == decoded.decode()
+    words = ["▁understanding", "a", "▁naïveté", "日本", "😀é", "aaaaaaa", "▁", "▁xyzzy", "ab" * 30]
+    assert use.merge_all(words) == [np.array(use.merge(w), "<u4").tobytes() for w in words]
     for word in ("▁understanding", "a" * 90, "▁naïveté"):
         assert use.merge(word) == [i for i in use.library.encode("\n" + word if word[0] != "▁" else word[1:]) if use.library.id_to_piece(i) != "<0x0A>"][0 if word[0] == "▁" else 1 :]
     got = encode_pieces(docs, public_tokenizer("piece_bpe_32k.model"), ["doc_id", "text", "n_words"])
@@ -160,6 +165,16 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
     assert embeddings.near_vectors(table.where("vec_id = 201")).first().kept
 
 
+@pytest.mark.parametrize("turned", [4_000_000, 200])
+def test_vectors_of_many_sizes(spark, monkeypatch, turned):
+    monkeypatch.setattr(embeddings, "TURNED", turned)
+    rows = [(3 * n + k, [float(i % 5 + 1) * (1 + k) for i in range(n)] if k < 2 else [float(i == 0) for i in range(n)], 1) for n in range(2, 72) for k in range(3)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    want = {(i, sum(i != j and len(a) == len(b) and cosine(a, b) >= 0.98 for j, b, _ in rows)) for i, a, _ in rows}
+    assert {(r.vec_id, r.n_links) for r in got} == want and all(r.component_id == r.vec_id - (r.vec_id % 3 == 1) for r in got)
+
+
 def test_reach_stops_early_but_exactly():
     rng = np.random.default_rng(0)
     a, b = (rng.normal(size=(90, 40)) for _ in range(2))
@@ -181,6 +196,23 @@ def test_components(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_folder_that_a_cluster_must_name():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: Cluster)
+
+    Cluster.getCheckpointDir = staticmethod(lambda: Cluster)
+    Cluster.isDefined = staticmethod(lambda: False)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster)
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -20,10 +20,19 @@ from tonegrid.llm._vec import mix, utf8
 BLOCK, BUCKET = "__block", "__bucket"
 #: Bytes of text for a block, and for a bucket; LEAST of both, so that small inputs still spread.
 BLOCK_BYTES, BUCKET_BYTES, LEAST = 2_000_000, 16_000_000, 512
+_KINDS = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+ASK = pa.schema([(BUCKET, pa.int64()), (BLOCK, pa.int32()), ("h", pa.binary())])
+ANSWER = pa.schema([(BLOCK, pa.int32()), (BUCKET, pa.int64()), ("bits", pa.binary()), ("found", pa.binary())])
+#: Bytes of a hash that is asked about; the rest only confirms.
+ASKED_BYTES = 6
 #: Stands for a null id: larger than any other.
 NO_ID = np.iinfo(np.int64).max
 
 
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"`{f.name}` {_KINDS[f.type]}" for f in schema)
+
+
 def dealt(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
     """The columns with each row's block, and the number of buckets for what blocks exchange."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -81,3 +90,35 @@ def joined(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
     """All binaries of a column in one, and their sizes."""
     parts = column.to_pylist()
     return b"".join(x or b"" for x in parts), np.array([len(x or b"") for x in parts], np.int64)
+
+
+def asked(hashes: np.ndarray, block: int, buckets: int) -> pa.Table:
+    """Rows ASK for a block's distinct hashes, one for each bucket."""
+    order, ranges = by_bucket(bucket_of(hashes, buckets))
+    out = [(k, packed(hashes[order[lo:hi]], ASKED_BYTES)) for k, lo, hi in ranges]
+    return pa.table([[k for k, _ in out], [block] * len(out), [h for _, h in out]], schema=ASK)
+
+
+def seen_twice(table: pa.Table) -> pa.Table:
+    """Rows ANSWER for a bucket's rows ASK: a bit for each hash, set if two blocks asked about it; none where no bit is set."""
+    data, sizes = joined(table["h"])
+    hashes = unpacked(data, ASKED_BYTES)
+    order = np.argsort(hashes, kind="stable")
+    starts, run = runs_of(hashes[order])
+    twice = np.zeros(len(hashes), bool)
+    twice[order] = np.diff(np.append(starts, len(order)))[run] > 1
+    sizes //= ASKED_BYTES
+    ends = np.cumsum(sizes)
+    out = [(b, np.packbits(twice[hi - n : hi]).tobytes()) for b, hi, n in zip(table[BLOCK].to_pylist(), ends.tolist(), sizes.tolist(), strict=True) if twice[hi - n : hi].any()]
+    return pa.table([[b for b, _ in out], [table[BUCKET][0].as_py()] * len(out), [x for _, x in out], [None] * len(out)], schema=ANSWER)
+
+
+def told(hashes: np.ndarray, buckets: int, answers: pa.Table) -> np.ndarray:
+    """Which of a block's distinct hashes another block asked about too."""
+    order, ranges = by_bucket(bucket_of(hashes, buckets))
+    at = {k: (lo, hi) for k, lo, hi in ranges}
+    out = np.zeros(len(hashes), bool)
+    for bucket, bits in zip(answers[BUCKET].to_pylist(), answers["bits"].to_pylist(), strict=True):
+        lo, hi = at[bucket]
+        out[order[lo:hi]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+    return out

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tonegrid.llm._blocks import BLOCK, BUCKET, bucket_of, by_bucket, dealt, ids_and_texts, in_order, joined, packed, runs_of, unpacked
+from tonegrid.llm._blocks import ANSWER, ASK, BLOCK, BUCKET, asked, bucket_of, by_bucket, ddl, dealt, ids_and_texts, in_order, joined, packed, runs_of, seen_twice, told, unpacked
 from tonegrid.llm._vec import NOT_SPACE, Words, covered
 
 WINDOW = 13
@@ -23,10 +23,7 @@ WINDOW = 13
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 _ROOT2, _SALT2 = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
-_ASK = pa.schema([(BUCKET, pa.int64()), (BLOCK, pa.int32()), ("h", pa.binary())])
-_ANSWER = pa.schema([(BLOCK, pa.int32()), (BUCKET, pa.int64()), ("bits", pa.binary()), ("found", pa.binary())])
 _CLAIM = pa.schema([(BUCKET, pa.int64()), (BLOCK, pa.int32()), ("h", pa.binary()), ("tail", pa.binary()), ("ids", pa.binary()), ("places", pa.binary())])
-_ddl = lambda schema: ", ".join(f"`{f.name}` { {pa.int64(): 'long', pa.int32(): 'int', pa.binary(): 'binary'}[f.type]}" for f in schema)
 
 
 class _Block:
@@ -36,7 +33,7 @@ class _Block:
         self.table = in_order(block)
         ids, texts = ids_and_texts(self.table)
         self.words = words = Words(texts, NOT_SPACE)
-        self.window = window
+        self.window, self.buckets = window, buckets
         self.period = max(p for p in COVERS if p <= (window + 1) // 2)
         self.ids = np.repeat(ids, words.count)
         place = np.arange(len(words.start)) - np.repeat(words.first, words.count)
@@ -52,15 +49,10 @@ class _Block:
         ends = np.append(starts[1:], len(order))
         by = self.ids[self.anchors[order]]
         self.known = by[starts] != by[ends - 1] if len(starts) else np.zeros(0, bool)  # ids ascend: two documents here have it
-        self.order, ranges = by_bucket(bucket_of(self.hashes, buckets))
-        self.ranges = {b: (lo, hi) for b, lo, hi in ranges}
 
     def windows(self, answers: pa.Table) -> np.ndarray:
         """Where windows start that hold an anchor which another document has."""
-        shared = self.known.copy()
-        for bucket, bits in zip(answers[BUCKET].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            lo, hi = self.ranges[bucket]
-            shared[self.order[lo:hi]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+        shared = self.known | told(self.hashes, self.buckets, answers)
         near = np.zeros(len(self.words.start) + self.period, bool)
         near[self.anchors[shared[self.run]] + self.period - 1] = True
         back = covered(np.flatnonzero(near[::-1]), self.period, len(near))[::-1]  # the places up to period - 1 before
@@ -83,21 +75,9 @@ def drop_repeated_windows(docs: DataFrame, keep: list[str], window: int = WINDOW
 
     def ask(table: pa.Table) -> pa.Table:
         if not len(table):
-            return _ASK.empty_table()
+            return ASK.empty_table()
         b = _Block(table, window, buckets)
-        rows = [(k, packed(b.hashes[b.order[lo:hi]], 6)) for k, (lo, hi) in b.ranges.items()]
-        return pa.table([[k for k, _ in rows], [table[BLOCK][0].as_py()] * len(rows), [h for _, h in rows]], schema=_ASK)
-
-    def answer(table: pa.Table) -> pa.Table:
-        data, sizes = joined(table["h"])
-        hashes = unpacked(data, 6)
-        order = np.argsort(hashes, kind="stable")
-        starts, run = runs_of(hashes[order])
-        twice = np.zeros(len(hashes), bool)
-        twice[order] = np.diff(np.append(starts, len(order)))[run] > 1
-        cuts = np.cumsum(sizes // 6)
-        out = [(b, np.packbits(twice[hi - n : hi]).tobytes()) for b, hi, n in zip(table[BLOCK].to_pylist(), cuts.tolist(), (sizes // 6).tolist(), strict=True) if twice[hi - n : hi].any()]
-        return pa.table([[b for b, _ in out], [table[BUCKET][0].as_py()] * len(out), [x for _, x in out], [None] * len(out)], schema=_ANSWER)
+        return asked(b.hashes, table[BLOCK][0].as_py(), buckets)
 
     def claim(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
@@ -140,7 +120,7 @@ def drop_repeated_windows(docs: DataFrame, keep: list[str], window: int = WINDOW
             hit = np.flatnonzero(gone)
             _, ranges = by_bucket(owner[hit])
             out += [(number[k], places[hit[lo:hi]].tobytes()) for k, lo, hi in ranges]
-        return pa.table([[b for b, _ in out], [0] * len(out), [None] * len(out), [x for _, x in out]], schema=_ANSWER)
+        return pa.table([[b for b, _ in out], [0] * len(out), [None] * len(out), [x for _, x in out]], schema=ANSWER)
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = [c for c in keep if not (digest and c == "text")]
@@ -163,9 +143,9 @@ def drop_repeated_windows(docs: DataFrame, keep: list[str], window: int = WINDOW
             new["text"] = [x.as_py() if not n else k.decode() for x, n, k in zip(table["text"], removed, kept, strict=True)]
         return pa.table({c: pa.array(new[c], table.schema.field(c).type) if c in new else table[c] for c in names} | {c: pa.array(new[c]) for c in added})
 
-    asked = blocks.groupBy(BLOCK).applyInArrow(ask, _ddl(_ASK))
-    answers = asked.groupBy(BUCKET).applyInArrow(answer, _ddl(_ANSWER))
-    claims = blocks.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(claim, _ddl(_CLAIM))
-    settled = claims.groupBy(BUCKET).applyInArrow(settle, _ddl(_ANSWER))
+    asking = blocks.groupBy(BLOCK).applyInArrow(ask, ddl(ASK))
+    answers = asking.groupBy(BUCKET).applyInArrow(seen_twice, ddl(ANSWER))
+    claims = blocks.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(claim, ddl(_CLAIM))
+    settled = claims.groupBy(BUCKET).applyInArrow(settle, ddl(ANSWER))
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in names), *(f"{c} {t}" for c, t in added.items())])
     return blocks.groupBy(BLOCK).cogroup(settled.groupBy(BLOCK)).applyInArrow(finish, schema)

@@ -1,21 +1,27 @@
-"""Near-dedup by the Jaccard similarity of word-shingle sets: a complete prefix-filtered join, each pair verified.
+"""SimHash near-dedup carried to a stated similarity: every pair of texts whose sets of word shingles are similar enough.
 
-The shingles of all texts have one order: those that a sample finds frequent come last. Of a set of s shingles, at
-least ceil(4 s / 5) must be shared at similarity 0.8, so two such sets share one of their first s - ceil(4 s / 5) + 1
-shingles. Sets meet there; sizes, places and sketches bound what they can share; the sets themselves decide. The sample only
-shapes the order, and any order is complete.
+Pigeonring filtering over SimHash fingerprints (``simhash``) proposes the close copies. As fingerprints of texts at a
+Jaccard similarity of 0.8 may differ in any number of bits, what they miss comes from a complete prefix-filtered join:
+shingles have one order (those that a sample finds frequent come last); of a set of s, ceil(4 s / 5) at least must be
+shared, so two such sets share one of their first s - ceil(4 s / 5) + 1 shingles. Sizes, places and sketches bound what a
+proposed pair can share, and the sets themselves decide. The sample only shapes the order, and any order is complete.
+
+Blocks of documents exchange the prefix shingles as packed hashes, as in substring dedup, so only shingles that two
+sets share become rows; sets travel once for each pair that is left to decide.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonegrid.llm._blocks import ANSWER, ASK, BLOCK, BUCKET, asked, ddl, dealt, ids_and_texts, in_order, runs_of, seen_twice, told
 from tonegrid.llm._tables import cut
 from tonegrid.llm._vec import NOT_SPACE, Words, passes, utf8
 from tonegrid.llm.components import components
+from tonegrid.llm.simhash import link
 
 #: Words of a shingle, and the least similarity as a fraction.
 WORDS, SHARED, OF = 5, 4, 5
@@ -26,13 +32,18 @@ TABLE = 4_000_000
 #: Bytes of text whose sets a task holds at a time.
 STEP = 500_000
 #: Words of 64 bits of a sketch.
-SKETCH = 16
+SKETCH = 8
+#: Sets that are compared with one set in one task.
+MEMBERS = 256
+
+_ENTRY = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("at", pa.int32())])
+_SHIP = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("salt", pa.int32()), ("set", pa.binary())])
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The sorted 64-bit hashes of each text's distinct shingles; a shorter text is one shingle, without words none."""
     out = []
-    for lo, hi in passes(texts):
+    for lo, hi in passes(texts, STEP):
         w = Words(texts[lo:hi], NOT_SPACE, lower=True)
         grams = w.grams(words)
         short = {n: w.grams(n) for n in {*w.count.tolist()} if 0 < n < words}
@@ -41,29 +52,55 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def _read(batches, words: int):
-    """Slices of the batches, of at most about STEP bytes of text, and the sets of their texts."""
-    for batch in batches:
-        texts = utf8(batch["text"])
-        for lo, hi in passes(texts, STEP):
-            yield batch.slice(lo, hi - lo), shingle_sets(texts[lo:hi], words)
-
-
-def _names(sets: list[np.ndarray]) -> np.ndarray:
+def name_of(s: np.ndarray) -> int:
+    """A set's node."""
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
+def sketch(s: np.ndarray) -> bytes:
     """Parities of how many shingles fall on each of 64 * SKETCH bits: sketches differ in no more bits than sets in shingles."""
     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def set_print(s: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of hashes."""
+    bits = 2 * np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) > len(s)
+    return int(np.packbits(bits).view(np.int64)[0])
+
+
+def _may_share(s1, s2, rest1, rest2) -> Column:
+    """Whether sets of these sizes with so many shingles left can be similar; for columns and for arrays."""
+    least, most = (np.minimum, np.maximum) if isinstance(s1, np.ndarray) else (F.least, F.greatest)
+    return (OF * least(s1, s2) >= SHARED * most(s1, s2)) & ((OF + SHARED) * least(rest1, rest2) >= SHARED * (s1 + s2))
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits sketches differ, row by row."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
-def _pairs(groups: DataFrame, star: bool) -> DataFrame:
-    """Distinct pairs (a, b) of a group's sets that sizes, places and sketches admit: with its smallest node, or all that
-    are of different components."""
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH)
+
+
+def _admitted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b, n) whose sketches differ in no more bits than similar sets may in shingles."""
+
+    def run(batches):
+        for batch in batches:
+            differ = _differ(_sketches(batch["x"]), _sketches(batch["y"]))
+            ok = (OF + SHARED) * differ <= (OF - SHARED) * (batch["s"].to_numpy().astype(np.int64) + batch["t"].to_numpy())
+            yield batch.select(["a", "b", "n"]).filter(pa.array(ok))
+
+    of = lambda node, x, s: nodes.select(F.col("node").alias(node), F.col("sketch").alias(x), F.col("size").alias(s))
+    return pairs.join(of("a", "x", "s"), "a").join(of("b", "y", "t"), "b").select("a", "b", "n", "x", "y", "s", "t").mapInArrow(run, "a long, b long, n long")
+
+
+def _pairs_between_parts(groups: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a group's sets that are of different components and that sizes, places and sketches admit."""
 
     def run(batches):
         for batch in batches:
@@ -71,123 +108,170 @@ def _pairs(groups: DataFrame, star: bool) -> DataFrame:
             held = batch["held"]
             cuts, flat = held.offsets.to_numpy(), held.flatten()
             node, size, at, part = (flat.field(c).to_numpy() for c in ("node", "size", "at", "part"))
-            sketches = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
+            sketches = _sketches(flat.field("sketch"))
             base = cuts[0]
             for lo, hi in zip((cuts[:-1] - base).tolist(), (cuts[1:] - base).tolist(), strict=True):
                 order = lo + np.argsort(node[lo:hi], kind="stable")
-                n, s, p, c = node[order], size[order].astype(np.int64), at[order].astype(np.int64), part[order]
-                if (c == c[0]).all():
-                    continue
-                rest, step = s - p, max(1, TABLE // len(n))
-                for k in range(0, 1 if star else len(n), step):
-                    i = np.arange(k, k + 1 if star else min(len(n), k + step))[:, None]
-                    both = s[i] + s
-                    ok = (c[i] != c) & (i < np.arange(len(n))) & (OF * np.minimum(s[i], s) >= SHARED * np.maximum(s[i], s)) & ((OF + SHARED) * np.minimum(rest[i], rest) >= SHARED * both)
-                    x, y = np.nonzero(ok)
-                    x, y = _admitted(x, y, k, s, sketches[order])
-                    found.append(np.stack([n[x + k], n[y]], axis=1))
+                n, s, p, c, k = node[order], size[order].astype(np.int64), at[order].astype(np.int64), part[order], sketches[order]
+                step = max(1, TABLE // len(n))
+                for first in range(0, len(n), step):
+                    i = np.arange(first, min(len(n), first + step))[:, None]
+                    x, y = np.nonzero((c[i] != c) & (i < np.arange(len(n))) & _may_share(s[i], s, (s - p)[i], s - p))
+                    for some in range(0, len(x), 1 << 17):
+                        u, v = x[some : some + (1 << 17)] + first, y[some : some + (1 << 17)]
+                        ok = (OF + SHARED) * _differ(k[u], k[v]) <= (OF - SHARED) * (s[u] + s[v])
+                        found.append(np.stack([n[u[ok]], n[v[ok]]], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return groups.mapInArrow(run, "a long, b long").distinct()
 
 
-def _admitted(x: np.ndarray, y: np.ndarray, k: int, size: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (x + k, y) whose sketches differ in no more bits than similar sets may in shingles."""
-    ok = np.zeros(len(x), bool)
-    for i in range(0, len(x), 1 << 17):
-        a, b = x[i : i + (1 << 17)] + k, y[i : i + (1 << 17)]
-        differ = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64)
-        ok[i : i + (1 << 17)] = (OF + SHARED) * differ <= (OF - SHARED) * (size[a] + size[b])
-    return x[ok], y[ok]
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the similarity."""
-
-    def run(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                ok.append((OF + SHARED) * len(np.intersect1d(x, y, assume_unique=True)) >= SHARED * (len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def near_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, component_id) of each row of ``docs`` (doc_id: long, text: string) with an id.
 
     component_id: the smallest doc_id reachable over links between texts whose sets of ``words``-word shingles have a
     Jaccard similarity of 0.8 or more, itself included. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Texts
-    without words, null too, are alike. Sets and shingles are told apart by 64-bit hashes.
+    without words, null too, are alike; rows of one doc_id link what their texts link. Sets and shingles are told apart
+    by 64-bit hashes. An empty table gives none; further columns play no part.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
+    blocks, buckets = dealt(docs, ["doc_id", "text"])
 
     def name(batches):
-        for batch, sets in _read(batches, words):
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_names(sets)), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "sketch"])
-
-    named = cut(docs.mapInArrow(name, "doc_id long, node long, sketch binary"))
-    nodes = cut(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")))
-    modulus = max(1, nodes.count() // SAMPLE)
+        for batch in batches:
+            texts = utf8(batch["text"])
+            for lo, hi in passes(texts, STEP):
+                sets = shingle_sets(texts[lo:hi], words)
+                part = batch.slice(lo, hi - lo)
+                cols = [part["doc_id"], part[BLOCK], pa.array(map(name_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary()), pa.array(map(set_print, sets), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", BLOCK, "node", "size", "sketch", "fp"])
+
+    named = cut(blocks.mapInArrow(name, f"doc_id long, {BLOCK} int, node long, size int, sketch binary, fp long"))
+    first = F.min(F.struct("doc_id", BLOCK)).alias("first")
+    nodes = cut(named.groupBy("node").agg(first, F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"), F.any_value("fp").alias("fp")).select("node", "first.*", "size", "sketch", "fp"))
+
+    rank_of = _ranks(docs, words, max(1, nodes.count() // SAMPLE))
+    held = docs.sparkSession.sparkContext.broadcast(rank_of)  # RANKED shingles at most
+
+    def own_sets(table: pa.Table, ids: set[int], names: set[int]) -> dict[int, np.ndarray]:
+        """The sets of the wanted documents of a block, by node."""
+        doc_ids, texts = ids_and_texts(table)
+        some = [t for i, t in zip(doc_ids.tolist(), texts, strict=True) if i in ids]
+        found = {name_of(s): s for s in shingle_sets(some, words)}
+        return {n: found[n] for n in sorted(names & found.keys())}
+
+    def prefixes(table: pa.Table, chosen: pa.Table) -> tuple[np.ndarray, ...]:
+        """Token, node, size and place of the prefix shingles of the sets that the block answers for."""
+        known, rank = held.value
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        for n, s in own_sets(in_order(table), set(chosen["doc_id"].to_pylist()), set(chosen["node"].to_pylist())).items():
+            if not len(s):
+                continue
+            later = np.zeros(len(s), np.int64)
+            if len(known):
+                i = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                later = np.where(known[i] == s, rank[i], 0)
+            head = s[np.argsort(later, kind="stable")][: len(s) + -SHARED * len(s) // OF + 1]
+            parts.append((head, np.full(len(head), n, np.int64), np.full(len(head), len(s), np.int32), np.arange(len(head), dtype=np.int32)))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def distinct(token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct tokens, each token's place among them, and which ones two sets of the block share."""
+        order = np.argsort(token, kind="stable")
+        starts, run = runs_of(token[order])
+        place = np.empty(len(order), np.int64)
+        place[order] = run
+        return token[order][starts], place, np.diff(np.append(starts, len(order))) > 1
+
+    def ask(table: pa.Table, chosen: pa.Table) -> pa.Table:
+        if not len(table) or not len(chosen):
+            return ASK.empty_table()
+        return asked(distinct(prefixes(table, chosen)[0])[0], table[BLOCK][0].as_py(), buckets)
+
+    def entries_of(table: pa.Table, right: pa.Table) -> pa.Table:
+        chosen = right.filter(pa.compute.is_valid(right["node"]))
+        if not len(table) or not len(chosen):
+            return _ENTRY.empty_table()
+        token, node, size, at = prefixes(table, chosen)
+        tokens, place, shared = distinct(token)
+        shared |= told(tokens, buckets, right.filter(pa.compute.is_valid(right["bits"])))
+        hit = shared[place]
+        return pa.table([token[hit].view(np.int64), node[hit], size[hit], at[hit]], schema=_ENTRY)
+
+    chosen = nodes.select(BLOCK, "doc_id", "node")
+    asking = blocks.groupBy(BLOCK).cogroup(chosen.groupBy(BLOCK)).applyInArrow(ask, ddl(ASK))
+    answers = asking.groupBy(BUCKET).applyInArrow(seen_twice, ddl(ANSWER))
+    right = chosen.unionByName(answers.select(BLOCK, BUCKET, "bits"), allowMissingColumns=True)
+    entries = cut(blocks.groupBy(BLOCK).cogroup(right.groupBy(BLOCK)).applyInArrow(entries_of, ddl(_ENTRY)))
+
+    def ship(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not len(table) or not len(wanted):
+            return _SHIP.empty_table()
+        sets = own_sets(table, set(wanted["doc_id"].to_pylist()), set(wanted["node"].to_pylist()))
+        return pa.table([wanted["a"], wanted["b"], wanted["salt"], pa.array([sets[n].tobytes() for n in wanted["node"].to_pylist()], pa.binary())], schema=_SHIP)
+
+    def decide(table: pa.Table) -> pa.Table:
+        table = table.take(pa.compute.sort_indices(table.select(["a", "salt", "b"]), sort_keys=[("a", "ascending"), ("salt", "ascending"), ("b", "ascending")], null_placement="at_start"))
+        hits, center = [], None
+        for a, b, s in zip(*(table[c].to_pylist() for c in ("a", "b", "set")), strict=True):
+            s = np.frombuffer(s, np.uint64)
+            if b is None:
+                center = s
+            elif (OF + SHARED) * len(np.intersect1d(center, s, assume_unique=True)) >= SHARED * (len(center) + len(s)):
+                hits.append((a, b))
+        return pa.table([[a for a, _ in hits], [b for _, b in hits]], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    def sets_of(chosen: DataFrame) -> DataFrame:
-        """(node, set) of chosen nodes (node, doc_id), from their texts."""
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets reach the similarity: a set travels to each set that it is compared with, MEMBERS at most in one place."""
+        pairs = pairs.select("a", "b")
+        slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("slices"))
+        home = nodes.select("node", BLOCK, "doc_id")
+        b_side = pairs.join(slices, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int")).withColumn("node", F.col("b"))
+        a_side = slices.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("salt"), F.col("a").alias("node"))
+        wanted = b_side.select("a", "b", "salt", "node").unionByName(a_side).join(home, "node")
+        shipped = blocks.groupBy(BLOCK).cogroup(wanted.groupBy(BLOCK)).applyInArrow(ship, ddl(_SHIP))
+        return shipped.groupBy(F.pmod(F.xxhash64("a", "salt"), F.lit(buckets))).applyInArrow(decide, "a long, b long")
+
+    # every set of a shingle's group with the smallest one, and what SimHash proposes
+    least = entries.groupBy("token").agg(F.min(F.struct("node", "size", "at")).alias("m"))
+    stars = entries.join(least, "token").where(F.col("node") != F.col("m.node"))
+    stars = stars.where(_may_share(F.col("size"), F.col("m.size"), F.col("size") - F.col("at"), F.col("m.size") - F.col("m.at"))).groupBy(F.col("m.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    prints = nodes.where("size > 0").select("node", "fp")
+    by_print = cut(prints.groupBy("fp").agg(F.min("node").alias("node")))
+    same = prints.join(by_print.select("fp", F.col("node").alias("a")), "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    close = link(by_print).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    proposed = stars.unionByName(same.unionByName(close).select("a", "b", F.lit(1 << 20).cast("long").alias("n")))
+    stars = cut(_admitted(proposed.groupBy("a", "b").agg(F.max("n").alias("n")), nodes))
+    best = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
+    links = cut(verified(best))
+    known = components(links)
+    part = lambda node, name: known.select(F.col("node").alias(node), F.col("component").alias(name))
+    others = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(part("a", "p"), "a", "left").join(part("b", "q"), "b", "left").where(F.coalesce("p", "a") != F.coalesce("q", "b"))
+    # groups of three and more whose sets are still apart
+    rest = entries.join(known, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    apart = rest.groupBy("token").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("n > 2 and low <> high").select("token")
+    drawn = rest.join(apart, "token").join(nodes.select("node", "sketch"), "node")
+    groups = drawn.groupBy("token").agg(F.collect_list(F.struct("node", "size", "at", "part", "sketch")).alias("held")).select("held")
+    more = _pairs_between_parts(groups).join(stars, ["a", "b"], "left_anti")
+    found = components(links.unionByName(verified(cut(others.select("a", "b").unionByName(more)))))
+    whole = cut(nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("part")))
+    smallest = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return named.join(whole.select("node", "part").join(smallest, "part"), "node").select("doc_id", "component_id")
 
-        def run(batches):
-            for batch, sets in _read(batches, words):
-                yield pa.RecordBatch.from_arrays([batch["node"], pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"]).filter(pa.array(_names(sets) == batch["node"].to_numpy()))
 
-        return docs.join(chosen, "doc_id").select("node", "text").mapInArrow(run, "node long, set binary")
+def _ranks(docs: DataFrame, words: int, modulus: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts finds frequent, sorted, and the rank of each: the most frequent one is last."""
 
     def split(batches):
-        for batch, sets in _read(batches, words):
-            chosen = [t for t, n in zip(sets, _names(sets).tolist(), strict=True) if n % modulus == 0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *chosen]).view(np.int64))], names=["token"])
+        for batch in batches:
+            texts = utf8(batch["text"])
+            for lo, hi in passes(texts, STEP):
+                tokens = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts[lo:hi], words)])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["token"])
 
-    sample = docs.select("text").mapInArrow(split, "token long")
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(modulus)) == 0).select("text").distinct().mapInArrow(split, "token long")
     often = [r[0] for r in sample.groupBy("token").count().where(F.col("count") >= LEAST).orderBy(F.desc("count"), "token").limit(RANKED).collect()]
-    held = docs.sparkSession.sparkContext.broadcast((np.sort(np.array(often, np.int64).view(np.uint64)), len(often) - np.argsort(np.array(often, np.int64).view(np.uint64), kind="stable")))
-
-    def first(batches):
-        known, rank = held.value
-        for _, sets in _read(batches, words):
-            token, node, size, at = [], [], [], []
-            for n, s in zip(_names(sets).tolist(), sets, strict=True):
-                if not len(s):
-                    continue
-                later = np.zeros(len(s), np.int64)
-                if len(known):
-                    i = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    later = np.where(known[i] == s, rank[i], 0)
-                s = s[np.argsort(later, kind="stable")][: len(s) + -SHARED * len(s) // OF + 1]
-                token.append(s)
-                node.append(np.full(len(s), n, np.int64))
-                size.append(np.full(len(s), len(later), np.int32))
-                at.append(np.arange(len(s), dtype=np.int32))
-            join = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]))
-            yield pa.RecordBatch.from_arrays([join([t.view(np.int64) for t in token], np.int64), join(node, np.int64), join(size, np.int32), join(at, np.int32)], names=["token", "node", "size", "at"])
-
-    entries = docs.select("text").mapInArrow(first, "token long, node long, size int, at int")
-    grouped = entries.groupBy("token").agg(F.collect_set(F.struct("node", "size", "at")).alias("held")).where(F.size("held") > 1)
-    entries = cut(grouped.select("token", F.explode("held").alias("h")).select("token", "h.*"))
-    gather = lambda f: f.groupBy("token").agg(F.collect_list(F.struct("node", "size", "at", "part", "sketch")).alias("held")).select("held")
-
-    drawn = entries.join(nodes.select("node", "sketch"), "node")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return _similar(pairs, cut(sets_of(ends.join(nodes.select("node", "doc_id"), "node")).dropDuplicates(["node"])))
-
-    stars = cut(_pairs(gather(drawn.withColumn("part", F.col("node"))), star=True))
-    links = cut(verified(stars))
-    known = components(links)
-    rest = drawn.join(known, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    more = verified(cut(_pairs(gather(rest), star=False).join(stars, ["a", "b"], "left_anti")))
-    found = components(links.unionByName(more))
-    whole = cut(nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("part")))
-    least = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return named.join(whole.select("node", "part").join(least, "part"), "node").select("doc_id", "component_id")
+    tokens = np.array(often, np.int64).view(np.uint64)
+    order = np.argsort(tokens, kind="stable")
+    return tokens[order], len(tokens) - order

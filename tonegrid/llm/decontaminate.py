@@ -4,20 +4,22 @@ The patterns are the windows of benchmark items; all patterns of one length form
 table over blocks of consecutive words says how far the search may jump when a block ends a window, blocks that end a
 pattern select the patterns to test, and a comparison of the words themselves confirms each occurrence.
 
-The pattern tables are broadcast in parts of at most ``part_bytes`` of benchmark text; with more text the documents
-pass through one search per part, in one job, so that no broadcast grows with the benchmark.
+The tables are flat arrays over the benchmark's words, about eight bytes for each byte of text, broadcast in parts of at
+most ``part_bytes`` of text. Further parts are searched one after another, each from a checkpoint of what is hit so far,
+so that neither driver nor executors ever hold the tables of more than one.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonegrid.llm._blocks import runs_of
+from tonegrid.llm._tables import cut
 from tonegrid.llm._vec import ALNUM, Words, covered, mix, passes, rows, utf8
 
 WINDOW = 13
@@ -25,30 +27,39 @@ WINDOW = 13
 BLOCK = 3
 #: Window ends that one search lane walks; the lanes of a pass advance together.
 LANE = 512
-PART_BYTES = 16_000_000
+PART_BYTES = 8_000_000
 
 U = np.uint64
-_BLOCK_ROOT = U(0x8CB92BA72F3D8DD7)
+_BLOCK_ROOT, _SALT = U(0x8CB92BA72F3D8DD7), 0x165667B19E3779F9
 
 
 class SearchClass:
-    """Shift table and suffix buckets of patterns of ``length`` words each."""
+    """Shift table and suffix buckets of windows of ``length`` words each, which start at ``starts`` in the items' words."""
 
-    def __init__(self, length: int, patterns: list[tuple[bytes, ...]], hashes: np.ndarray):
+    def __init__(self, length: int, text: Words, starts: np.ndarray):
         self.length, self.block = length, min(BLOCK, length)
-        self.words = patterns
-        blocks, shifts = [], []
-        for end in range(self.block, length + 1):
-            blocks.append(_blocks(hashes, np.full(len(patterns), end - 1), self.block, rows_first=True))
-            shifts.append(np.full(len(patterns), length - end))
-        blocks, shifts = np.concatenate(blocks), np.concatenate(shifts)
-        order = np.lexsort((shifts, blocks))
-        blocks, shifts = blocks[order], shifts[order]
-        new = np.append(True, blocks[1:] != blocks[:-1])
-        self.keys, self.shifts = blocks[new], shifts[new]
-        suffix = _blocks(hashes, np.full(len(patterns), length - 1), self.block, rows_first=True)
-        self.order = np.argsort(suffix, kind="stable")
-        self.suffix, self.hashes = suffix[self.order], hashes[self.order]
+        self.data, self.start, self.end, self.hash = text.data, text.start, text.end, text.hash
+        self.owner = text.text[starts].astype(np.int32)
+        # blocks by their last word: the window that ends there, or else the item's first one, gives the shift
+        item = np.unique(self.owner)
+        size = text.count[item] - self.block + 1
+        last = _ranges(text.first[item] + self.block - 1, size)
+        shift = np.maximum(np.repeat(text.first[item] + length - 1, size) - last, 0)
+        blocks = _blocks(self.hash, last, self.block)
+        order = np.lexsort((shift, blocks))
+        keys = blocks[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        self.keys, self.shifts = keys[new], shift[order][new].astype(np.int32)
+        # windows that repeat are one pattern, told apart by two hashes; the pattern's own words confirm a match
+        one, two = text.grams(length)[starts], text.grams(length, salt=_SALT)[starts]
+        order = np.lexsort((self.owner, two, one))
+        head, _ = runs_of(one[order], two[order])
+        suffix = _blocks(self.hash, starts[order[head]] + length - 1, self.block)
+        by = np.argsort(suffix, kind="stable")
+        self.suffix, self.first = suffix[by], starts[order[head]][by]
+        tails = np.append(head[1:], len(order))
+        self.owners = self.owner[order][_ranges(head[by], (tails - head)[by])]
+        self.cuts = np.append(0, np.cumsum((tails - head)[by]))
 
     def search(self, text: Words) -> tuple[np.ndarray, np.ndarray]:
         """Where windows start in the words of the texts, and which pattern is there."""
@@ -76,40 +87,43 @@ class SearchClass:
 
     def _test(self, text: Words, ends: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low, high = np.searchsorted(self.suffix, blocks), np.searchsorted(self.suffix, blocks, "right")
-        size = high - low
-        ends = np.repeat(ends, size)
-        pattern = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+        ends, pattern = np.repeat(ends, high - low), _ranges(low, high - low)
         for k in range(self.length):
-            same = text.hash[ends - k] == self.hashes[pattern, self.length - 1 - k]
+            same = text.hash[ends - k] == self.hash[self.first[pattern] + self.length - 1 - k]
             ends, pattern = ends[same], pattern[same]
-        starts, which = ends - self.length + 1, self.order[pattern]
-        data = text.data
-        same = [all(data[text.start[s + k] : text.end[s + k]].tobytes() == w for k, w in enumerate(self.words[p])) for s, p in zip(starts.tolist(), which.tolist(), strict=True)]
-        return starts[same], which[same]
+        starts, first, ok = ends - self.length + 1, self.first[pattern], np.ones(len(ends), bool)
+        for k in range(self.length):
+            places = zip(text.start[starts + k].tolist(), text.end[starts + k].tolist(), self.start[first + k].tolist(), self.end[first + k].tolist(), strict=True)
+            ok &= np.fromiter((text.data[a:b].tobytes() == self.data[c:d].tobytes() for a, b, c, d in places), bool, len(ok))
+        return starts[ok], pattern[ok]
+
+    def items(self, pattern: int) -> list[int]:
+        """The items that hold a pattern, by place in the list."""
+        return self.owners[self.cuts[pattern] : self.cuts[pattern + 1]].tolist()
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range after another."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-def _blocks(hashes: np.ndarray, ends: np.ndarray, size: int, rows_first: bool = False) -> np.ndarray:
-    """Hash of the ``size`` words that end at each of ``ends``; of each row's words if rows come first."""
+def _blocks(hashes: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words that end at each of ``ends``."""
     out = np.zeros(len(ends), U)
     for k in range(size - 1, -1, -1):
-        out = out * _BLOCK_ROOT + (hashes[np.arange(len(ends)), ends - k] if rows_first else hashes[ends - k])
+        out = out * _BLOCK_ROOT + hashes[ends - k]
     return mix(out)
 
 
-def search_classes(items: list[tuple[str, bytes]], window: int = WINDOW) -> list[tuple[SearchClass, list[np.ndarray]]]:
-    """The windows of the items by length, and the items (by place in the list) that hold each."""
-    text = Words([x for _, x in items], ALNUM, lower=True)
-    by_length: dict[int, dict[tuple[bytes, ...], tuple[int, set[int]]]] = defaultdict(dict)
-    for i, n in enumerate(text.count.tolist()):
-        length = min(n, window)
-        for s in range(text.first[i], text.last[i] - length + 1) if n else ():
-            words = tuple(text.data[a:b].tobytes() for a, b in zip(text.start[s : s + length].tolist(), text.end[s : s + length].tolist(), strict=True))
-            by_length[length].setdefault(words, (s, set()))[1].add(i)
+def search_classes(items: list[bytes], window: int = WINDOW) -> list[SearchClass]:
+    """The windows of the items by length."""
+    text = Words(items, ALNUM, lower=True)
+    text.start, text.end = text.start.astype(np.int32), text.end.astype(np.int32)
+    lengths = np.minimum(text.count, window)
     out = []
-    for length, found in sorted(by_length.items()):
-        first = np.array([s for s, _ in found.values()])
-        hashes = text.hash[first[:, None] + np.arange(length)]
-        out.append((SearchClass(length, list(found), hashes), [np.array(sorted(x)) for _, x in found.values()]))
+    for length in sorted({*lengths.tolist()} - {0}):
+        item = np.flatnonzero(lengths == length)
+        out.append(SearchClass(length, text, _ranges(text.first[item], text.count[item] - length + 1)))
     return out
 
 
@@ -124,11 +138,11 @@ def _scan(batches, schema: pa.Schema, names: list[str], classes, carried: bool,
                 for i, (places, items) in enumerate(zip(batch["hit_words"][low:high].to_pylist(), batch["hit_items"][low:high].to_pylist(), strict=True)):
                     hit[text.first[i] + np.frombuffer(places, np.uint32)] = True
                     held[i].update(items)
-            for search, items in classes:
+            for search in classes:
                 starts, which = search.search(text)
                 hit |= covered(starts, search.length, len(hit))
                 for i, p in set(zip(owner[starts].tolist(), which.tolist(), strict=True)):
-                    held[i].update(names[k] for k in items[p])
+                    held[i].update(names[k] for k in search.items(p))
             per_text = np.add.reduceat(np.append(hit, False).astype(np.int64), text.first) * (text.count > 0) if len(text.count) else np.zeros(0, np.int64)
             part = batch.slice(low, high - low)
             if last:
@@ -165,7 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], window
     for k in range(n_parts):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k) if n_parts > 1 else items
         found = [(r[0], r[1].encode()) for r in part.collect()]  # at most about part_bytes
-        tables = spark.sparkContext.broadcast((search_classes(found, window), [x for x, _ in found]))
+        tables = spark.sparkContext.broadcast((search_classes([x for _, x in found], window), [x for x, _ in found]))
         last = k == n_parts - 1
         names = keep if last else list(dict.fromkeys([*keep, "text"]))
         schema = ddl(names) + (", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else ", hit_words binary, hit_items array<string>")
@@ -180,4 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], window
                 yield from _scan([batch], schema, ids, classes, carried, last)
 
         out = out.mapInArrow(run, schema)
+        if not last:
+            out = cut(out)
+            tables.destroy()
     return out

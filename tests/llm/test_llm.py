@@ -267,11 +267,11 @@ def test_licenses(spark, docs):
                     starts.append(k)
                     base.add(label)
         labels, score = set(base), 0.0
-        for line in (r.text or "").split("\n"):
-            held = set(ALNUMS.findall(low(line)))
-            for label, tokens in licenses.template_tokens():
+        for label, tokens, n, marks in licenses.template_tokens():
+            for k in range(0, len(w), n):
+                held = set(w[k : k + 2 * n])
                 share = len(held & set(tokens)) / len(tokens)
-                if share >= licenses.THRESHOLD:
+                if share >= licenses.THRESHOLD and held >= set(marks):
                     labels.add(label)
                     score = max(score, share)
         want = (len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else score)
@@ -280,6 +280,16 @@ def test_licenses(spark, docs):
     assert licenses.scan_licenses(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_wrapped_and_other_notices(spark):
+    rows = [
+        (1, "noise\nRedistribution and use in source\n * and binary forms, with or without\n * modification, are permitted"), (2, "Released under the Apache License"),
+        (3, "Subject to the terms of the Mozilla Public\nLicense, version 2.0"), (4, "Licensed under CC BY-SA 4.0"), (5, "license " * 50 + "released " * 50 + "under " * 50 + "mit " * 50 + "the " * 50),
+        (6, " ".join(f"w{i}" for i in range(7)) + " Released under\nthe MIT License" + " end" * 9),
+    ]
+    got = {r.doc_id: (r.labels, r.n_base) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got == {1: ("bsd-3", 0), 2: ("", 0), 3: ("mpl-2", 0), 4: ("cc-by-sa", 0), 5: ("", 0), 6: ("mit", 1)}
+
+
 def test_license_phrases_back_to_back(spark):
     d = spark.createDataFrame([(1, "Under the MIT license under the mit LICENSE, mit"), (2, "K under the mit licenses")], "doc_id long, text string")
     a, b = licenses.scan_licenses(d, ["doc_id"]).orderBy("doc_id").collect()

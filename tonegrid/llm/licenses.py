@@ -1,9 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame operations alone.
 
-A block is a line; it meets a template if it holds at least ``threshold`` of the template's distinct tokens. Tokens are
-ordered from the rarest to the most frequent over the whole corpus. A block that meets the threshold holds one of the
-first |T| - c + 1 tokens of the template (c: tokens that must be shared), has at least c tokens, and from its first
-shared prefix token on both sides still have c tokens to share. What passes these filters is verified.
+For a template of n words, blocks are 2 n consecutive words of a text, one from every n-th word on and across line ends,
+so every stretch of n words lies inside a block. A block meets a template if it holds at least ``threshold`` of the
+template's distinct tokens, those that tell the license apart among them. Tokens are ordered from the rarest to the
+most frequent over the whole corpus. A block that meets the threshold holds one of the first |T| - c + 1 tokens of the
+template (c: tokens that must be shared), has at least c tokens, and from its first shared prefix token on both sides
+still have c tokens to share. Only blocks around prefix tokens are formed; what passes the filters is verified.
 """
 
 from __future__ import annotations
@@ -22,15 +24,19 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Templates of license statements by label.
+#: Templates of license statements: label, text, and the words without which it is another license's.
 TEMPLATES = (
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("mpl-2", "Subject to the terms of the Mozilla Public License, version 2.0"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0", "apache"),
+    ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution"),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "endorse"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", "cc nc"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0", "cc sa"),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3", "gnu general 3"),
+    ("isc", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted", "fee granted"),
+    ("mit", "Released under the MIT License", "mit"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "granted charge obtaining"),
+    ("mpl-2", "Subject to the terms of the Mozilla Public License, version 2.0", "mozilla"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered"),
 )
 
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -50,12 +56,12 @@ def _spaces(text: Column) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def template_tokens(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
-    """Label and distinct tokens of each template."""
+def template_tokens(templates=TEMPLATES) -> list[tuple[str, list[str], int, list[str]]]:
+    """Label, distinct tokens, number of words and distinguishing tokens of each template."""
     out = []
-    for label, text in templates:
-        text = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in text.translate(str.maketrans(_UPPER, _LOWER)))
-        out.append((label, list(dict.fromkeys(text.split()))))
+    for label, text, marks in templates:
+        words = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in text.translate(str.maketrans(_UPPER, _LOWER))).split()
+        out.append((label, list(dict.fromkeys(words)), len(words), marks.split()))
     return out
 
 
@@ -64,8 +70,8 @@ def scan_licenses(docs: DataFrame, keep: list[str], templates=TEMPLATES, phrases
     labels and score.
 
     n_base counts the places where a phrase's words stand consecutively, first_word and last_word are the smallest and
-    largest start (null if none), base_labels their labels; labels adds those of templates that a line meets; score is
-    1 with a phrase, else the largest share of a template's tokens in a line that meets it, else 0. A null text is
+    largest start (null if none), base_labels their labels; labels adds those of templates that a block meets; score
+    is 1 with a phrase, else the largest share of a template's tokens in a block that meets it, else 0. A null text is
     empty. Repeated rows are scanned alike. Clashing names: the added columns win.
     """
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
@@ -96,31 +102,41 @@ def scan_licenses(docs: DataFrame, keep: list[str], templates=TEMPLATES, phrases
     return both.select(*keep, "n_words", "n_base", "first_word", "last_word", F.array_join("__base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
 
 
-def _met(rows: DataFrame, templates: list[tuple[str, list[str]]], threshold: float) -> DataFrame:
-    """(__row, __size, __met: labels, __score) of rows with a line that meets a template."""
+def _met(rows: DataFrame, templates: list[tuple[str, list[str], int, list[str]]], threshold: float) -> DataFrame:
+    """(__row, __size, __met: labels, __score) of rows with a block that meets a template."""
     spark = rows.sparkSession
-    vocabulary = sorted({t for _, tokens in templates for t in tokens})
+    vocabulary = sorted({t for _, tokens, *_ in templates for t in tokens})
     words = rows.select(F.explode(F.split(F.trim(lowered(F.regexp_replace("__text", _GAPS, " "))), " ")).alias("token"))
     counts = dict(tuple(r) for r in words.where(F.col("token").isin(vocabulary)).groupBy("token").count().collect())  # a row for each template token
     ranks = {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (counts.get(t, 0), t)))}
-    index, shapes = [], []
-    for n, (label, tokens) in enumerate(templates):
-        need = math.ceil(threshold * len(tokens) - 1e-9)
-        order = sorted(tokens, key=ranks.__getitem__)
-        shapes.append((n, label, len(order), need, [ranks[t] for t in order]))
-        index += [(ranks[t], n, i) for i, t in enumerate(order[: len(order) - need + 1])]
-    prefix = {r for r, _, _ in index}
-    least = min(need for *_, need, _ in shapes)
-    rare = "|".join(t for t in vocabulary if ranks[t] in prefix)
-    lines = rows.where(F.col("__text").rlike(f"(?i)(?<![A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}])(?:{rare})(?![A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}])")).select("__row", "__size", F.posexplode(F.split("__text", "\n")).alias("line", "text"))
     rank_of = F.create_map(*(F.lit(x) for t, r in ranks.items() for x in (t, r)))
-    tokens = F.array_distinct(F.split(F.trim(lowered(F.regexp_replace("text", _GAPS, " "))), " "))
-    ranked = F.array_sort(F.array_compact(F.transform(F.filter("tokens", lambda t: t.isin(vocabulary)), lambda t: rank_of[t])))
-    lines = lines.select("__row", "__size", "line", tokens.alias("tokens")).where(F.size("tokens") >= least).select("__row", "__size", "line", F.size("tokens").alias("n"), ranked.alias("ranks")).where(F.size("ranks") >= least)
-    starts = spark.createDataFrame(index, "rank int, template int, at int")
-    shape = spark.createDataFrame(shapes, "template int, label string, size int, need int, wanted array<int>")
-    pairs = lines.select("*", F.posexplode("ranks").alias("place", "rank")).join(F.broadcast(starts), "rank")  # both are as small as the templates
-    firsts = pairs.groupBy("__row", "__size", "line", "template").agg(F.min_by(F.struct("at", "place", "n", "ranks"), "at").alias("f"))
-    held = firsts.join(F.broadcast(shape), "template").where((F.col("f.n") >= F.col("need")) & (F.least(F.col("size") - F.col("f.at"), F.size("f.ranks") - F.col("f.place")) >= F.col("need")))
-    sure = held.withColumn("share", F.size(F.array_intersect("f.ranks", "wanted")) / F.col("size")).where(F.col("share") * F.col("size") >= F.col("need"))
+    shapes, prefixes = [], []
+    for n, (label, tokens, length, marks) in enumerate(templates):
+        need = math.ceil(threshold * len(tokens) - 1e-9)
+        order = sorted(ranks[t] for t in tokens)
+        prefixes.append((length, order[: len(order) - need + 1]))
+        shapes.append((n, label, len(order), need, order, order[: len(order) - need + 1], sorted(ranks[t] for t in marks)))
+    rare = {r for _, prefix in prefixes for r in prefix}
+    any_rare = "|".join(t for t in vocabulary if ranks[t] in rare)
+    holds = F.col("__text").rlike(f"(?i)(?<![A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}])(?:{any_rare})(?![A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}])")
+    ranked = F.transform(F.split(F.trim(lowered(F.regexp_replace("__text", _GAPS, " "))), " "), lambda w: F.coalesce(rank_of[w], F.lit(-1)))
+    texts = rows.where(holds).select("__row", "__size", ranked.alias("ranks"))
+    here = F.filter(F.transform("ranks", lambda r, i: F.struct(r.alias("rank"), i.alias("place"))), lambda h: h["rank"].isin(sorted(rare)))
+    texts = texts.select("__row", "__size", "ranks", here.alias("here"))
+
+    def blocks(n: int, length: int, prefix: list[int]) -> Column:
+        """The blocks around the template's prefix tokens, each with its distinct tokens of the vocabulary."""
+        found = F.filter("here", lambda h: h["rank"].isin(prefix))
+        number = F.array_distinct(F.flatten(F.transform(found, lambda h: F.array(F.floor(h["place"] / length), F.greatest(F.floor(h["place"] / length) - 1, F.lit(0))))))
+        of = lambda b: F.array_sort(F.array_distinct(F.filter(F.slice("ranks", (b * length + 1).cast("int"), F.lit(2 * length)), lambda r: r >= 0)))
+        return F.transform(number, lambda b: F.struct(F.lit(n).alias("template"), of(b).alias("held")))
+
+    every = F.flatten(F.array(*(blocks(n, length, prefix) for n, (length, prefix) in enumerate(prefixes))))
+    shape = spark.createDataFrame(shapes, "template int, label string, size int, need int, wanted array<int>, prefix array<int>, marks array<int>")
+    pairs = texts.select("__row", "__size", F.explode(every).alias("b")).select("__row", "__size", "b.*").join(F.broadcast(shape), "template")  # a row for each template
+    first = F.array_min(F.array_intersect("held", "prefix"))
+    left = F.least(F.col("size") - F.array_position("wanted", first) + 1, F.size("held") - F.array_position("held", first) + 1)
+    fit = pairs.where((F.size("held") >= F.col("need")) & (left >= F.col("need")))
+    shared = F.size(F.array_intersect("held", "wanted"))
+    sure = fit.where((shared >= F.col("need")) & (F.size(F.array_except("marks", "held")) == 0)).withColumn("share", shared / F.col("size"))
     return sure.groupBy("__row", "__size").agg(F.array_sort(F.collect_set("label")).alias("__met"), F.max("share").alias("__score"))

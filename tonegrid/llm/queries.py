@@ -90,14 +90,15 @@ _WORDS = "regexp_extract_all(" + _A_TO_Z + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'
 
 def _license_sql() -> str:
     quoted = lambda tokens: "[" + ", ".join(f"'{t}'" for t in tokens) + "]"
-    templates = ", ".join(f"('{label}', {quoted(tokens)})" for label, tokens in template_tokens())
+    templates = ", ".join(f"({n}, '{label}', {quoted(tokens)}, {length}, {quoted(marks)})" for n, (label, tokens, length, marks) in enumerate(template_tokens()))
     phrases = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in PHRASES)
-    return f"""WITH t(label, tokens) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
+    return f"""WITH t(n, label, tokens, length, marks) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
       d AS (SELECT doc_id, {_WORDS.format("text")} AS words FROM documents),
       b AS (SELECT d.doc_id, p.label, i - 1 AS start FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d) d, p WHERE d.words[i] = p.words[1] AND d.words[i : i + len(p.words) - 1] = p.words),
       bs AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
-      l AS (SELECT doc_id, list_distinct({_WORDS.format("line")}) AS tokens FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
-      m AS (SELECT doc_id, label, len(list_intersect(l.tokens, t.tokens)) / len(t.tokens) AS share FROM l, t WHERE len(list_intersect(l.tokens, t.tokens)) / len(t.tokens) >= {THRESHOLD}),
+      v AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM d),
+      m AS (SELECT doc_id, label, count(DISTINCT word) / len(tokens) AS share FROM v JOIN t ON list_contains(tokens, word), (VALUES (0), (1)) o(o) WHERE place // length >= o
+        GROUP BY doc_id, n, label, tokens, marks, place // length - o HAVING count(DISTINCT word) / len(tokens) >= {THRESHOLD} AND count(DISTINCT word) FILTER (list_contains(marks, word)) = len(marks)),
       lab AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM b) GROUP BY 1),
       s AS (SELECT doc_id, max(share) AS share FROM m GROUP BY 1)
       SELECT d.doc_id, len(d.words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 CAMELOT = r"^0*(\d{1,2})\s*([ABab])$"
 OPEN_KEY = r"^0?(\d{1,2})\s*([mMdD])$"
 CLASSICAL = r"^([A-Ga-g])([#b]?)\s*(major|maj|minor|min|m)?\.?$"
+# The semitone of each letter.
+SEMITONES = {"c": 0, "d": 2, "e": 4, "f": 5, "g": 7, "a": 9, "b": 11}
 NOTE_NAMES = ("C", "C#", "D", "Eb", "E", "F", "F#", "G", "Ab", "A", "Bb", "B")
 BPM_LOW, BPM_HIGH = 60, 200
 DANCE = r"(?i)house|techno|trance|electro|dance|edm|drum\s*&?\s*bass|dnb|garage|hardstyle|disco"
@@ -37,7 +39,7 @@ def to_camelot(key: Column) -> Column:
     valid = lambda n: n.between(1, 12)
     wheel = F.when(valid(number(CAMELOT)), F.concat(number(CAMELOT).cast("string"), F.upper(part(CAMELOT, 2))))
     opened = F.when(valid(number(OPEN_KEY)), F.concat((F.pmod(number(OPEN_KEY) + 6, F.lit(12)) + 1).cast("string"), F.when(F.lower(part(OPEN_KEY, 2)) == "m", "A").otherwise("B")))
-    steps = F.instr(F.lit("c d ef g a b"), F.lower(part(CLASSICAL, 1))) - 1  # letters at their semitones
+    steps = F.create_map(*(F.lit(x) for letter in SEMITONES.items() for x in letter))[F.lower(part(CLASSICAL, 1))]
     pitch = F.pmod(steps + F.when(part(CLASSICAL, 2) == "#", 1).when(part(CLASSICAL, 2) == "b", -1).otherwise(0), F.lit(12))
     minor = part(CLASSICAL, 3).isin("m", "min", "minor")
     classical = F.when(part(CLASSICAL, 1) != "", camelot_of_pitch(pitch, minor))

@@ -20,7 +20,6 @@ CREDIT_IN_BRACKETS = r"\bfe?a?t\.?\b|\bfeaturing\b"
 CREDIT = r"[\s,]*\b(?:feat\.?|ft\.?|featuring)\b.*$"
 ARTIST_SEPARATOR = r"\s*(?:,|&|\bx\b|\bvs\.?\b|\band\b)\s*"
 QUOTES = "\"'’`´"
-SEARCH_QUOTES = "\"'’`´"
 NO_LABELS = (
     r"(?:www\.)?bpmsupreme\.com", "bpm supreme", "dj ?city", "beatport", "distrokid", "the orchard", "believe(?: digital)?", "awal",
     "tunecore", "ingrooves", "symphonic(?: distribution)?", "independent label", "not on label", r"\[?no label\]?",
@@ -79,7 +78,7 @@ def artist_form(artist: str) -> str:
 
 
 def search_form(s: str) -> str:
-    return _unquoted(_plain(s), SEARCH_QUOTES)
+    return _unquoted(_plain(s), QUOTES)
 
 
 def label_form(raw: str | None, artist: str | None) -> str | None:
@@ -150,7 +149,9 @@ def fold_segment(segment: Column) -> Column:
 def canonical_label(raw: Column, artist: Column) -> Column:
     @F.pandas_udf("string")
     def run(r: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([label_form(x, y) if isinstance(x, str) else None for x, y in zip(r, (y if isinstance(y, str) else None for y in a), strict=True)], dtype=object)
+        pairs = [(x, y if isinstance(y, str) else None) for x, y in zip(r, a, strict=True)]
+        known = {p: label_form(*p) if isinstance(p[0], str) else None for p in set(pairs)}
+        return pd.Series([known[p] for p in pairs], dtype=object)
 
     return run(raw, artist)
 
@@ -169,6 +170,11 @@ def copyright_owner(text: Column) -> Column:
     return F.trim(F.get(F.split(s, r"(?i)\s+under exclusive licen[cs]e to\s+"), 0))
 
 
+def label_of_copyright(line: Column, artist: Column) -> Column:
+    """The label that a copyright line names, in its canonical form."""
+    return canonical_label(copyright_owner(line), artist)
+
+
 def decode_location(location: Column) -> Column:
     """The path of a file URL; a malformed one stays as it is."""
     path = F.regexp_replace(location, r"(?i)^file://(?:localhost)?", "")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonegrid.functions.music import bpm_suspect
+from tonegrid.functions.music import bpm_suspect, suggest_bpm
 
 # Fields of an answer, days that a miss is remembered.
 FIELDS = ("bpm", "key", "preview_url", "tags", "label")
@@ -99,23 +101,70 @@ def source_tallies(cascaded: DataFrame, names: list[str]) -> DataFrame:
     return stacked.groupBy("source").agg(F.count("status").alias("calls"), count("hit").alias("hits"), count("miss").alias("misses"), count("error").alias("errors"), F.count_if(F.col("status").isNull()).alias("skipped"))
 
 
-def apply_answers(tracks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Tracks with what answers (pid, bpm, key, label, source) add: only what is missing and not manual; flags doubt."""
-    got = answers.groupBy("pid").agg(*(F.first(c, ignorenulls=True).alias(f"a_{c}") for c in ("bpm", "key", "label", "source")))
-    out = tracks.join(got, "pid", "left")
-    manual = lambda c: F.coalesce(F.col(c) == "manual", F.lit(False)) if c in tracks.columns else F.lit(False)
-    takes = {"bpm": F.col("bpm").isNull() & F.col("a_bpm").isNotNull() & ~manual("source_bpm"), "key": F.col("key").isNull() & F.col("a_key").isNotNull() & ~manual("source_key"), "label": F.col("label").isNull() & F.col("a_label").isNotNull()}
-    changed = takes["bpm"] | takes["key"] | takes["label"]
-    suspect = takes["bpm"] & bpm_suspect(F.col("a_bpm"), F.col("genre"))
-    out = out.withColumn("changed", changed).withColumn("bpm_suspect", F.coalesce(suspect, F.lit(False)))
-    return out.select(*(F.when(takes[c], F.col(f"a_{c}")).otherwise(F.col(c)).alias(c) if c in takes else F.col(c) for c in tracks.columns), "changed", "bpm_suspect")
+def _manual(tracks: DataFrame, field: str) -> Column:
+    source = f"source_{field}"
+    return F.coalesce(F.col(source) == "manual", F.lit(False)) if source in tracks.columns else F.lit(False)
+
+
+def _updated(tracks: DataFrame, met: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """The columns of tracks and those new ones, with the given values in place of what they name."""
+    return met.select(*(values[c].alias(c) if c in values else F.col(c) for c in tracks.columns), *(v.alias(c) for c, v in values.items() if c not in tracks.columns))
+
+
+def _kept(tracks: DataFrame, column: str, kind: str = "string") -> Column:
+    return F.col(column) if column in tracks.columns else F.lit(None).cast(kind)
+
+
+def apply_answers(tracks: DataFrame, answers: DataFrame, *order: str) -> DataFrame:
+    """Tracks with what answers (pid, bpm, key, label, source and, if there, preview_url, catalogue_id, tags,
+    bpm_confidence, key_confidence) add: only what is missing and not manual; tags unite.
+
+    Of several answers for one pid, the first by ``order`` that states a field gives it (the smallest value on ties).
+    Adds the source and confidence of what was taken, changed, and bpm_suspect for a tempo no record runs at or that a
+    genre makes doubtful.
+    """
+    has = [c for c in ("bpm", "key", "label", "preview_url", "catalogue_id") if c in answers.columns]
+    stated = lambda c: F.struct(F.col(c).alias("value"), F.col("source"), (F.col(f"{c}_confidence") if f"{c}_confidence" in answers.columns else F.lit(None).cast("double")).alias("confidence"))
+    picks = [F.min_by(stated(c), F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("__v"), "source"))).alias(f"a_{c}") for c in has]
+    if "tags" in answers.columns:
+        picks.append(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("tags").alias("__t")))), lambda x: F.coalesce(x["__t"], F.array().cast("array<string>")))).alias("a_tags"))
+    met = tracks.join(answers.groupBy("pid").agg(*picks), "pid", "left")
+    takes = {c: _kept(tracks, c).isNull() & F.col(f"a_{c}.value").isNotNull() & ~_manual(tracks, c) for c in has}
+    values = {c: F.when(takes[c], F.col(f"a_{c}.value")).otherwise(_kept(tracks, c, dict(answers.dtypes)[c])) for c in has}
+    for c in ("bpm", "key", "label"):
+        if c in has:
+            values[f"source_{c}"] = F.when(takes[c], F.col(f"a_{c}.source")).otherwise(_kept(tracks, f"source_{c}"))
+    for c in ("bpm", "key"):
+        if f"{c}_confidence" in answers.columns:
+            values[f"{c}_confidence"] = F.when(takes[c], F.col(f"a_{c}.confidence")).otherwise(_kept(tracks, f"{c}_confidence", "double"))
+    changed = [*takes.values()]
+    if "tags" in answers.columns:
+        values["tags"] = F.when(F.size("a_tags") > 0, F.array_distinct(F.concat(F.coalesce(_kept(tracks, "tags", "array<string>"), F.array().cast("array<string>")), "a_tags"))).otherwise(_kept(tracks, "tags", "array<string>"))
+        changed.append(F.coalesce(F.size("a_tags") > 0, F.lit(False)))
+    doubt = F.coalesce(takes["bpm"] & bpm_suspect(F.col("a_bpm.value"), F.col("genre")), F.lit(False)) if "bpm" in has else F.lit(False)
+    values["changed"] = reduce(or_, changed)
+    values["bpm_suspect"] = F.coalesce(_kept(tracks, "bpm_suspect", "boolean"), F.lit(False)) | doubt
+    return _updated(tracks, met, values)
 
 
 def apply_audio(tracks: DataFrame, results: DataFrame) -> DataFrame:
-    """Tracks with tempo and key of results (pid, bpm, key, ambiguous, timbre) where they lack them; timbre always lands."""
+    """Tracks with tempo and key of results (pid, bpm, key, ambiguous, timbre) where they lack them and none is manual.
+
+    An ambiguous tempo, or one that the genre makes doubtful, is suspect. A timbre always lands; a track without a
+    result, or whose result has none, keeps its own. One result for each pid.
+    """
     got = results.select("pid", F.col("bpm").alias("a_bpm"), F.col("key").alias("a_key"), "ambiguous", F.col("timbre").alias("a_timbre"))
-    out = tracks.join(got, "pid", "left").withColumn("bpm_suspect", F.col("bpm").isNull() & F.coalesce("ambiguous", F.lit(False)))
-    return out.withColumn("bpm", F.coalesce("bpm", "a_bpm")).withColumn("key", F.coalesce("key", "a_key")).withColumn("timbre", F.col("a_timbre")).drop("a_bpm", "a_key", "ambiguous", "a_timbre")
+    met = tracks.join(got, "pid", "left")
+    takes = {c: F.col(c).isNull() & F.col(f"a_{c}").isNotNull() & ~_manual(tracks, c) for c in ("bpm", "key")}
+    takes["bpm"] = F.coalesce(takes["bpm"] & (F.col("a_bpm") > 0), F.lit(False))
+    sounds = F.coalesce(F.size("a_timbre") > 0, F.lit(False))
+    doubt = takes["bpm"] & (F.coalesce("ambiguous", F.lit(False)) | suggest_bpm(F.col("a_bpm"), _kept(tracks, "genre")).isNotNull())
+    values = {c: F.when(takes[c], F.col(f"a_{c}")).otherwise(F.col(c)) for c in takes}
+    values |= {f"source_{c}": F.when(takes[c], "dsp").otherwise(_kept(tracks, f"source_{c}")) for c in takes}
+    values["timbre"] = F.when(sounds, F.col("a_timbre")).otherwise(_kept(tracks, "timbre", dict(results.dtypes)["timbre"]))
+    values["bpm_suspect"] = F.coalesce(_kept(tracks, "bpm_suspect", "boolean"), F.lit(False)) | doubt
+    values["changed"] = takes["bpm"] | takes["key"] | sounds
+    return _updated(tracks, met, values)
 
 
 def read_cache(wanted: DataFrame, cache: DataFrame, now: Column, version: int) -> DataFrame:

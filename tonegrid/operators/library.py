@@ -66,6 +66,15 @@ def join_playlist_refs(refs: DataFrame, tracks: DataFrame) -> DataFrame:
     return met.groupBy("file", "playlist", "pid").agg(F.min("pos").alias("pos"))
 
 
+def join_playlist_items(items: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(file, playlist, pid, pos) of items (file, playlist, track_id, pos) that meet a track; repeats stay.
+
+    Of tracks with one id in a file, the last counts.
+    """
+    by_id = tracks.groupBy("file", "track_id").agg(F.max_by("pid", "row_idx").alias("pid"))
+    return items.join(by_id, ["file", "track_id"]).select("file", "playlist", "pid", "pos")
+
+
 def filter_playlists(playlists: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped) of playlists (file, playlist, pos, master, distinguished) with items (file, playlist, track_id).
 
@@ -74,7 +83,9 @@ def filter_playlists(playlists: DataFrame, items: DataFrame) -> tuple[DataFrame,
     """
     own = playlists.where(~(F.coalesce("master", F.lit(False)) | F.col("distinguished").isNotNull() | F.col("playlist").isin(*RESERVED)))
     members = items.join(own.select("file", "playlist"), ["file", "playlist"], "left_semi")
-    signature = members.groupBy("file", "playlist").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("track_id")), ","), 256).alias("signature"))
+    # two order-free sums of hashes and a count tell multisets of members apart without gathering them
+    sums = [F.sum(F.xxhash64(F.lit(salt), F.hash("track_id"), "track_id").cast("decimal(20,0)")).cast("string") for salt in (1, 2)]
+    signature = members.groupBy("file", "playlist").agg(F.concat_ws(":", F.count("*").cast("string"), *sums).alias("signature"))
     kept = keep_first(own.join(signature, ["file", "playlist"]), ["file", "signature"], F.col("pos")).drop("signature")
     return kept, playlists.join(kept, ["file", "playlist"], "left_anti")
 
@@ -152,6 +163,50 @@ def sample(tracks: DataFrame, size: int, seed: int = 42, exclude: DataFrame | No
     return rows.orderBy(F.xxhash64(F.lit(seed), "pid"), "pid").limit(size)
 
 
+def downsample_library(tracks: DataFrame, memberships: DataFrame, size: int, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tracks, memberships, emptied): a uniform sample, playlists narrowed to it, and the playlists it left empty.
+
+    ``size`` or fewer tracks stay as they are. A playlist column of tracks (array) loses the emptied names and no others.
+    """
+    if tracks.limit(size + 1).count() <= size:
+        return tracks, memberships, memberships.select("playlist").limit(0)
+    kept = sample(tracks, size, seed)
+    narrowed = memberships.join(kept.select("pid").distinct(), "pid", "left_semi")
+    emptied = memberships.select("playlist").distinct().join(narrowed.select("playlist").distinct(), "playlist", "left_anti")
+    if "playlists" in tracks.columns:
+        named = kept.select("pid", F.posexplode_outer("playlists").alias("n", "playlist")).join(emptied.withColumn("gone", F.lit(True)), "playlist", "left").where("gone is null")
+        lists = named.groupBy("pid").agg(F.array_sort(F.collect_list(F.when(F.col("playlist").isNotNull(), F.struct("n", "playlist")))).alias("l"))
+        kept = kept.join(lists, "pid", "left").withColumn("playlists", F.coalesce("l.playlist", F.array().cast("array<string>"))).drop("l")
+    return kept, narrowed, emptied
+
+
+def exclusion_report(tracks: DataFrame, exclude: DataFrame) -> DataFrame:
+    """(excluded, unknown, eligible): excluded pids, those of no track, and the tracks that are left."""
+    known = tracks.select("pid").distinct().withColumn("known", F.lit(True))
+    gone = exclude.select("pid").distinct().join(known, "pid", "left").agg(F.count("*").alias("excluded"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    left = tracks.join(exclude.select("pid").distinct(), "pid", "left_anti").agg(F.count("*").alias("eligible"))
+    return gone.crossJoin(F.broadcast(left))
+
+
+def tag_collection(tracks: DataFrame, collection: str) -> DataFrame:
+    """Every track of a freshly read library in its collection."""
+    return tracks.withColumn("collection", F.lit(collection))
+
+
+def ensure_collections(tracks: DataFrame, collections: DataFrame, fallback: str = "Imported library") -> tuple[DataFrame, DataFrame]:
+    """Tracks that all have a collection, and collections (id, label, pos, format, track_count) with one entry at least.
+
+    Tracks without one join the first collection; where there is none, one is made of ``fallback``, whose format the
+    pids tell.
+    """
+    format_ = F.when(F.bool_or(F.col("pid").startswith("rbtxt:")), "rekordbox-txt").when(F.bool_or(F.col("pid").startswith("rb:")), "rekordbox").otherwise("apple")
+    made = tracks.agg(F.count("*").alias("track_count"), format_.alias("format")).select(slug(F.lit(fallback)).alias("id"), F.lit(fallback).alias("label"), F.lit(0).alias("pos"), "format", "track_count")
+    given = collections.agg(F.count("*").alias("given"))
+    known = collections.select("id", "label", "pos", "format", "track_count").unionByName(made.crossJoin(F.broadcast(given)).where("given = 0").drop("given"))
+    first = known.agg(F.min_by("id", "pos").alias("first"))
+    return tracks.crossJoin(F.broadcast(first)).withColumn("collection", F.coalesce("collection", "first")).drop("first"), known
+
+
 def sample_presets(n: Column) -> Column:
     return F.filter(F.array(*map(F.lit, SAMPLE_SIZES)), lambda x: x < n)
 

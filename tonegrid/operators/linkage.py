@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonegrid.functions.text import decode_location, path_segments
+from tonegrid.functions.text import decode_location, fold_segment, path_segments
 
 # Least score of a match, letters that must agree, scripts that cannot be compared with others.
 MIN_SCORE, SHARED, CONTAINED = 2, 12, 4
 CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]"
-BLOCK = 4
 
 
 def contains_word(hay: Column, needle: Column) -> Column:
@@ -26,7 +25,7 @@ def match_score(c_title: Column, c_artist: Column, w_title: Column, w_artist: Co
     """0 to 4 over normal forms: the title counts up to 2 and must agree; a known artist must too, unless the scripts
     differ, where an exact title gives 3."""
     n = F.least(F.lit(SHARED), F.length(c_title), F.length(w_title))
-    title = F.when(c_title == w_title, 2).when((n >= BLOCK) & (F.substring(c_title, F.lit(1), n) == F.substring(w_title, F.lit(1), n)), 1).otherwise(0)
+    title = F.when(c_title == w_title, 2).when((n >= CONTAINED) & (F.substring(c_title, F.lit(1), n) == F.substring(w_title, F.lit(1), n)), 1).otherwise(0)
     missing = (F.coalesce(c_artist, F.lit("")) == "") | (F.coalesce(w_artist, F.lit("")) == "")
     apart = c_artist.rlike(CJK) != w_artist.rlike(CJK)
     shorter, longer = F.when(F.length(c_artist) <= F.length(w_artist), c_artist).otherwise(w_artist), F.when(F.length(c_artist) <= F.length(w_artist), w_artist).otherwise(c_artist)
@@ -39,18 +38,28 @@ def match_candidates(wanted: DataFrame, candidates: DataFrame, min_score: int =
     """(want_id, cand_id, score): the best candidate of each wanted row, the earliest on ties.
 
     wanted (want_id, title, artist) and candidates (cand_id, pos, title, artist) hold normal forms. Titles that score
-    agree in their first four letters or are equal and shorter, so both sides meet on those letters. Equal (title,
-    artist) pairs are scored once, and only the first of equal candidates can win, so a crowded block stays small.
+    agree in all letters of the shorter one, or in the first twelve, so each side is met at the other's own length: only
+    titles with the same twelve letters, or one that is the beginning of the other, are ever compared. Equal (title,
+    artist) pairs are scored once, and only the first of equal candidates can win.
     """
-    block = F.substring("title", 1, BLOCK).alias("block")
-    w = wanted.groupBy("title", "artist").agg(F.first("title").alias("t")).select(block, F.col("title").alias("w_title"), F.col("artist").alias("w_artist"))
-    c = candidates.groupBy("title", "artist").agg(F.min_by("cand_id", "pos").alias("cand_id"), F.min("pos").alias("pos")).select(block, F.col("title").alias("c_title"), F.col("artist").alias("c_artist"), "cand_id", "pos")
-    scored = w.join(c, "block").withColumn("score", match_score(F.col("c_title"), F.col("c_artist"), F.col("w_title"), F.col("w_artist"))).where(F.col("score") >= min_score)
+    w = wanted.groupBy("title", "artist").agg(F.count("*").alias("n")).select(F.col("title").alias("w_title"), F.col("artist").alias("w_artist"))
+    c = candidates.groupBy("title", "artist").agg(F.min_by("cand_id", "pos").alias("cand_id"), F.min("pos").alias("pos")).select(F.col("title").alias("c_title"), F.col("artist").alias("c_artist"), "cand_id", "pos")
+    met = _keyed(w, "w_title", "short_w", "short_c").join(_keyed(c, "c_title", "short_c", "short_w"), "key").drop("key")
+    scored = met.withColumn("score", match_score(F.col("c_title"), F.col("c_artist"), F.col("w_title"), F.col("w_artist"))).where(F.col("score") >= min_score)
     best = scored.groupBy("w_title", "w_artist").agg(F.max_by(F.struct("cand_id", "score"), F.struct("score", (-F.col("pos")).alias("p"))).alias("b"))
     met = wanted.join(best, wanted.title.eqNullSafe(best.w_title) & wanted.artist.eqNullSafe(best.w_artist))
     return met.select("want_id", F.col("b.cand_id").alias("cand_id"), F.col("b.score").alias("score"))
 
 
+def _keyed(rows: DataFrame, title: str, own: str, other: str) -> DataFrame:
+    """Rows under the keys that titles meet at: as long as both are, as the shorter side, and as the longer one."""
+    t = F.col(title)
+    size = F.least(F.length(t), F.lit(SHARED))
+    key = lambda kind, n: F.concat(F.lit(f"{kind}:"), F.substring(t, F.lit(1), n))
+    starts = F.when(size > CONTAINED, F.transform(F.sequence(F.lit(CONTAINED), size - 1), lambda n: key(other, n))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("key", F.explode(F.concat(F.array(key("same", size), key(own, size)), starts)))
+
+
 def local_duplicates(rows: DataFrame, library: DataFrame) -> DataFrame:
     """Rows (lookup_key) with the first library pid of the same key, or null."""
     first = library.groupBy("lookup_key").agg(F.min_by("pid", "row_idx").alias("local_pid"))
@@ -60,21 +69,22 @@ def local_duplicates(rows: DataFrame, library: DataFrame) -> DataFrame:
 def resolve_files(tracks: DataFrame, files: DataFrame, synthetic_prefix: str) -> DataFrame:
     """(pid, bucket, file_id, depth, n_files): matched, ambiguous, unmatched or without_location, one bucket per track.
 
-    The file that shares most trailing path segments with the track's location wins if it is the only one. Both sides
-    meet on the file name; where the last two segments meet already, only those files are compared.
+    The file that shares most trailing path segments with the track's location wins if it is the only one. Segments are
+    alike in any case and in any Unicode composition. Each side is known by all ends of its paths, and those of files are
+    counted, so a file name that thousands share is one row, and a track's longest known end decides.
     """
-    fold = lambda p: F.transform(F.reverse(path_segments(p)), F.lower)
     rows = tracks.withColumn("path", decode_location(F.col("location")))
-    placed = rows.where(F.col("path").isNotNull() & ~F.col("path").startswith(synthetic_prefix)).select("pid", fold(F.col("path")).alias("a")).where(F.size("a") > 0)
-    index = files.select("file_id", fold(F.col("path")).alias("b")).where(F.size("b") > 0)
-    two = lambda c: F.concat_ws("/", F.slice(c, 1, 2))
-    near = placed.where(F.size("a") > 1).withColumn("k", two("a")).join(index.where(F.size("b") > 1).withColumn("k", two("b")), "k").drop("k")
-    rest = placed.join(near.select("pid").distinct(), "pid", "left_anti").withColumn("k", F.get("a", 0)).join(index.withColumn("k", F.get("b", 0)), "k").drop("k")
-    same = F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False)))
-    depth = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("long"))
-    scored = near.unionByName(rest).select("pid", "file_id", depth.alias("depth"))
-    best = scored.withColumn("r", F.rank().over(Window.partitionBy("pid").orderBy(F.desc("depth")))).where("r = 1")
-    found = best.groupBy("pid").agg(F.count("*").alias("n_files"), F.min("file_id").alias("file_id"), F.max("depth").alias("depth"))
-    located = F.col("path").isNotNull() & (F.col("path") != "") & ~F.col("path").startswith(synthetic_prefix)
-    bucket = F.when(~F.coalesce(located, F.lit(False)), "without_location").when(F.col("n_files").isNull(), "unmatched").when(F.col("n_files") > 1, "ambiguous").otherwise("matched")
-    return rows.join(found, "pid", "left").select("pid", bucket.alias("bucket"), F.when(F.col("n_files") == 1, F.col("file_id")).alias("file_id"), F.when(F.col("n_files") == 1, F.col("depth")).alias("depth"), F.coalesce("n_files", F.lit(0)).alias("n_files"))
+    located = F.coalesce(F.col("path").isNotNull() & (F.col("path") != "") & ~F.col("path").startswith(synthetic_prefix), F.lit(False))
+    ends = lambda f, key: f.select(key, F.reverse(path_segments(_folded(F.col("path")))).alias("s")).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("s"), F.lit(1))), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice("s", F.lit(1), n), "/").alias("end")))).alias("e")).select(key, "e.*").where("end <> ''")
+    known = ends(files, "file_id").groupBy("end").agg(F.count("*").alias("n_files"), F.min("file_id").alias("file_id"))
+    met = ends(rows.where(located), "pid").join(known, "end")
+    found = met.groupBy("pid").agg(F.max_by(F.struct("n_files", "file_id", "depth"), "depth").alias("f")).select("pid", "f.*")
+    bucket = F.when(~located, "without_location").when(F.col("n_files").isNull(), "unmatched").when(F.col("n_files") > 1, "ambiguous").otherwise("matched")
+    only = lambda c: F.when(F.col("n_files") == 1, F.col(c))
+    return rows.join(found, "pid", "left").select("pid", bucket.alias("bucket"), only("file_id").alias("file_id"), only("depth").cast("long").alias("depth"), F.coalesce("n_files", F.lit(0)).alias("n_files"))
+
+
+def _folded(path: Column) -> Column:
+    """Lower case and composed; only text beyond ASCII leaves the JVM."""
+    plain = path.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, F.lower(path)).otherwise(fold_segment(F.when(~plain, path)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegrid.functions.music import decade, genre_key
+from tonegrid.operators.analytics import TempoScale
 
 #: Queries that every task may hold.
 BROADCAST = 10_000
@@ -48,11 +49,14 @@ def in_viewport(x: Column, y: Column, box: tuple[float, float, float, float], ma
     return x.between(x0 - dx, x1 + dx) & y.between(y0 - dy, y1 + dy)
 
 
-def highlighted(tracks: DataFrame, kind: str, value, memberships: DataFrame | None = None) -> DataFrame:
-    """Tracks of one playlist, cluster, collection, genre or decade."""
+def highlighted(tracks: DataFrame, kind: str, value, memberships: DataFrame | None = None, scale: TempoScale | None = None) -> DataFrame:
+    """Tracks of one playlist, cluster, collection, genre, key, decade or bin of a tempo scale."""
     if kind == "playlist":
         return tracks.join(memberships.where(F.col("playlist") == value).select("pid").distinct(), "pid", "left_semi")
-    column = {"cluster": F.col("cluster") if "cluster" in tracks.columns else None, "collection": F.col("collection"), "genre": genre_key(F.col("genre")), "decade": decade(F.col("year"))}[kind]
+    column = {
+        "cluster": lambda: F.col("cluster"), "collection": lambda: F.col("collection"), "genre": lambda: genre_key(F.col("genre")), "key": lambda: F.col("key"),
+        "decade": lambda: decade(F.col("year")), "bpm": lambda: scale.bin(F.col("bpm")),
+    }[kind]()
     return tracks.where(column == value)
 
 

@@ -5,6 +5,10 @@ The expressions are plain SQL, so that the DuckDB statements of the oracles read
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: view: (table, expressions, distinct)
@@ -29,9 +33,27 @@ VIEWS = {
         "event_id", "'rb:' || CAST(1 + user_id % 200 AS STRING) AS pid", "event_type AS status", "value AS raw_tempo", "ts",
         "CASE WHEN event_id % 3 = 0 THEN 'title-only' ELSE 'combined' END AS via",
     ], False),
+    #: Recorded lookups: purchases stand for matches; titles carry edition notes and other cases.
+    "trial": ("events", [
+        "event_id", "'rb:' || CAST(1 + user_id % 400 AS STRING) AS pid", "CASE event_type WHEN 'purchase' THEN 'matched' WHEN 'click' THEN 'http-error' ELSE 'no-match' END AS status",
+        "CASE WHEN event_id % 3 = 0 THEN 'title-only' ELSE 'combined' END AS via", "CASE WHEN event_id % 13 = 0 THEN 0.0 ELSE value END AS raw_tempo", "'Song ' || CAST(user_id AS STRING) AS title",
+        "CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '米津' ELSE 'Band ' || CAST(user_id % 9 AS STRING) END AS artist",
+        "CASE WHEN event_id % 5 = 0 THEN 'Other ' ELSE 'SONG ' END || CAST(user_id AS STRING) || CASE WHEN event_id % 2 = 0 THEN ' (Radio Edit)' ELSE '' END AS matched_title",
+        "CASE WHEN event_id % 7 = 0 THEN 'Crew ' ELSE 'band ' END || CAST(user_id % 9 AS STRING) || CASE WHEN event_id % 2 = 0 THEN ' feat. Guest' ELSE '' END AS matched_artist",
+        "CASE WHEN event_id % 17 = 0 THEN 'H-dur' WHEN event_id % 4 = 0 THEN NULL ELSE 'Am' END AS key_of", "CASE WHEN event_id % 19 = 0 THEN '13m' WHEN event_id % 6 = 0 THEN NULL ELSE CAST(1 + event_id % 2 AS STRING) || 'm' END AS open_key",
+    ], False),
 }
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir; a temporary one in a local session."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{path.rstrip('/')}/exports-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{tempfile.mkdtemp(prefix='exports-')}/out"
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; only the columns it names reach the scan."""
     table, columns, distinct = VIEWS[name]

@@ -154,18 +154,6 @@ def lookup_keys(spark, sf):
     return tracks_of(spark, sf).select("row_idx", text.lookup_key(F.col("artist"), F.col("name")).alias("lookup_key"))
 
 
-@register("track_ids")
-def track_ids(spark, sf):
-    t = tracks_of(spark, sf)
-    return t.select("row_idx", library.export_pid(F.lit(None).cast("string"), F.col("artist"), F.col("name"), F.col("row_idx")).alias("pid"), text.hash_64(F.col("pid")).alias("hash"))
-
-
-@register("text_export_ids")
-def text_export_ids(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet").withColumn("line", F.col("p_partkey"))
-    return library.text_export_pids(p, ["p_brand", "p_type", "p_size"]).select("line", "pid")
-
-
 @register("path_parts", "SELECT page_id, list_filter(regexp_split_to_array(url, '[/\\\\]+'), lambda x: x <> '')[-1] AS file, len(list_filter(regexp_split_to_array(url, '[/\\\\]+'), lambda x: x <> '')) AS depth FROM pages")
 def path_parts(spark, sf):
     parts = text.path_segments(text.decode_location(F.col("url")))
@@ -233,11 +221,6 @@ def restrict_library(spark, sf):
     return library.restrict(tracks_of(spark, sf), m, m.where("playlist = 'pl1'"))[0].select("pid", "name")
 
 
-@register("downsample", "SELECT count(*) AS n, count(DISTINCT pid) AS pids FROM (SELECT pid FROM tracks LIMIT 1000)", ("tracks",))
-def downsample(spark, sf):
-    return library.sample(tracks_of(spark, sf), 1000).agg(F.count("*").alias("n"), F.count_distinct("pid").alias("pids"))
-
-
 @register("apply_overrides", """WITH o AS (SELECT pid, arg_max(raw_tempo, ts) FILTER (raw_tempo IS NOT NULL) AS bpm FROM (SELECT pid, max(raw_tempo) AS raw_tempo, ts FROM outcomes GROUP BY pid, ts) GROUP BY pid)
   SELECT t.pid, round(coalesce(o.bpm, t.bpm), 6) AS bpm, t.key, CASE WHEN o.bpm IS NOT NULL THEN 'manual' END AS source_bpm FROM tracks t LEFT JOIN o ON t.pid = o.pid""", ("tracks", "outcomes"))
 def apply_overrides(spark, sf):
@@ -307,21 +290,6 @@ def influence(spark, sf):
 _TOP = "SELECT '{c}' AS kind, CAST(row_number() OVER (ORDER BY n DESC, seen, term) AS INTEGER) AS rank, term, CAST(n AS DOUBLE) AS value FROM (SELECT {c} AS term, count(*) AS n, min(row_idx) AS seen FROM tracks WHERE {c} IS NOT NULL GROUP BY 1) QUALIFY rank <= 15"
 
 
-@register("taste_report", f"WITH g AS ({_TOP.format(c='genre')}), a AS ({_TOP.format(c='artist')}) SELECT * FROM g UNION ALL SELECT * FROM a UNION ALL SELECT 'top10_artist_share', 0, '', round(sum(value) / (SELECT count(*) FROM tracks), 6) FROM a WHERE rank <= 10", ("tracks",))
-def taste_report(spark, sf):
-    return analytics.taste_report(tracks_of(spark, sf))
-
-
-@register("legends", """SELECT 'genre' AS mode, lower(genre) AS slot, count(*) AS n FROM tracks GROUP BY ALL UNION ALL SELECT 'collection', collection, count(*) FROM tracks GROUP BY ALL
-  UNION ALL SELECT 'key', key, count(*) FROM tracks GROUP BY ALL UNION ALL SELECT 'year', CAST(CAST(floor(year / 10.0) * 10 AS INTEGER) AS STRING), count(*) FROM tracks GROUP BY ALL""", ("tracks",))
-def legends(spark, sf):
-    t, out = tracks_of(spark, sf), None
-    for mode in ("genre", "collection", "key", "year"):
-        part = analytics.legend(t, mode).select(F.lit(mode).alias("mode"), "slot", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @register("display_genres", "SELECT lower(g) AS key, CASE WHEN min(row_idx) IS NOT NULL THEN max(genre) END AS label FROM (SELECT row_idx, genre, genre AS g FROM tracks) GROUP BY 1", ("tracks",))
 def display_genres(spark, sf):
     t = tracks_of(spark, sf)
@@ -376,11 +344,6 @@ def cluster_terms(spark, sf):
     return analytics.cluster_terms(clustered(spark, sf)).select("cluster", "term", "tf", _r("score"))
 
 
-@register("cluster_labels")
-def cluster_labels(spark, sf):
-    return analytics.cluster_labels(clustered(spark, sf))
-
-
 @register("neighborhoods", f"""WITH {_C}, g AS (SELECT cluster, genre, count(*) AS n, min(row_idx) AS seen FROM c WHERE genre IS NOT NULL GROUP BY ALL), a AS (SELECT cluster, artist, count(*) AS n, min(row_idx) AS seen FROM c WHERE artist IS NOT NULL GROUP BY ALL),
   gt AS (SELECT cluster, string_agg(genre, ',' ORDER BY n DESC, seen) AS genres FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, seen) <= 3) GROUP BY 1),
   ar AS (SELECT cluster, string_agg(artist, ',' ORDER BY n DESC, seen) AS artists FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, seen) <= 3) GROUP BY 1),
@@ -390,14 +353,6 @@ def neighborhoods(spark, sf):
     return analytics.neighborhoods(clustered(spark, sf)).select("cluster", F.array_join("genres", ",").alias("genres"), F.array_join("artists", ",").alias("artists"), "decade")
 
 
-@register("suggest_queries")
-def suggest_queries(spark, sf):
-    n = analytics.neighborhoods(clustered(spark, sf))
-    b = n.select((F.col("cluster") - 1).alias("cluster"), F.col("genres").alias("g2"), F.col("artists").alias("a2"), F.col("decade").alias("d2"))
-    c = F.col
-    return n.join(b, "cluster").select("cluster", analytics.suggest_queries(c("genres"), c("artists"), c("decade"), c("g2"), c("a2"), c("d2")).alias("queries"))
-
-
 @register("genre_purity", f"WITH {_C}, n AS (SELECT cluster, genre, count(*) AS n FROM c GROUP BY ALL) SELECT round(sum(m) / sum(s), 6) AS purity, count(*) AS clusters FROM (SELECT cluster, max(n) AS m, sum(n) AS s FROM n GROUP BY 1)", ("tracks",))
 def genre_purity(spark, sf):
     return analytics.genre_purity(clustered(spark, sf))
@@ -490,14 +445,6 @@ def source_tallies(spark, sf):
     return enrich.source_tallies(enrich.cascade(wanted, tiers), [t.name for t in tiers])
 
 
-@register("apply_answers", """WITH e AS (SELECT pid, max(raw_tempo) AS b FROM outcomes GROUP BY 1)
-  SELECT t.pid, round(coalesce(bpm, b), 6) AS bpm, coalesce(key, CASE WHEN e.pid IS NOT NULL THEN '8A' END) AS key, (bpm IS NULL AND b IS NOT NULL) OR (key IS NULL AND e.pid IS NOT NULL) AS changed,
-  coalesce(bpm IS NULL AND (b < 60 OR b > 200), false) AS bpm_suspect FROM tracks t LEFT JOIN e ON t.pid = e.pid""", ("tracks", "outcomes"))
-def apply_answers(spark, sf):
-    a = view(spark, sf, "outcomes").groupBy("pid").agg(F.max("raw_tempo").alias("bpm")).withColumn("key", F.lit("8A")).withColumn("label", F.lit(None).cast("string")).withColumn("source", F.lit("x"))
-    return enrich.apply_answers(tracks_of(spark, sf), a).select("pid", _r("bpm"), "key", "changed", "bpm_suspect")
-
-
 def _cache(spark, sf) -> DataFrame:
     return view(spark, sf, "outcomes").select(F.col("pid").alias("lookup_key"), (F.col("event_id") % 2).alias("v"), "ts", (F.col("status") == "purchase").alias("hit"), F.when(F.col("event_id") % 5 == 0, F.array(F.lit("bpm"))).alias("covered"), F.array(F.lit("key")).alias("have"), "event_id")
 
@@ -706,13 +653,6 @@ def top_genres_by_collection(spark, sf):
     return study.top_by_collection(tracks_of(spark, sf), "genre", 4)
 
 
-@register("trial_funnel", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY event_id) AS nth FROM outcomes)
-  SELECT CASE WHEN nth > 1 THEN 'duplicate' WHEN t.pid IS NULL THEN 'unknown' WHEN status <> 'purchase' THEN 'unmatched:' || status WHEN via = 'title-only' THEN 'title-only' WHEN coalesce(raw_tempo, 0) <= 0 THEN 'no-tempo' WHEN key IS NULL THEN 'no-key' ELSE 'kept' END AS gate, count(*) AS n
-  FROM n LEFT JOIN tracks t ON n.pid = t.pid GROUP BY 1""", ("tracks", "outcomes"))
-def trial_funnel(spark, sf):
-    return study.trial_funnel(view(spark, sf, "outcomes"), tracks_of(spark, sf))
-
-
 @register("lookup_report", "SELECT status, via, count(*) AS n, count(*) FILTER (raw_tempo > 0) AS usable, count(*) FILTER (raw_tempo > 0 AND (raw_tempo < 60 OR raw_tempo > 200)) AS implausible FROM outcomes GROUP BY ALL", ("outcomes",))
 def lookup_report(spark, sf):
     return study.lookup_report(view(spark, sf, "outcomes"))
@@ -767,11 +707,6 @@ def tracklist_lines(spark, sf):
     return sinks.tracklist_lines(_entries(spark, sf))
 
 
-@register("xml_track_lines")
-def xml_track_lines(spark, sf):
-    return sinks.xml_track_lines(tracks_of(spark, sf))
-
-
 @register("xml_playlist_lines", """WITH m AS (SELECT playlist, row_idx FROM memberships m JOIN tracks t ON m.pid = t.pid)
   SELECT playlist, CAST(0 AS BIGINT) AS pos, '<NODE Name="' || playlist || '" Type="1" KeyType="0" Entries="' || CAST(count(*) AS STRING) || '">' AS line FROM m GROUP BY 1 UNION ALL SELECT playlist, row_number() OVER (PARTITION BY playlist ORDER BY row_idx), '<TRACK Key="' || CAST(row_idx AS STRING) || '"/>' FROM m""", ("tracks", "memberships"))
 def xml_playlist_lines(spark, sf):
@@ -789,14 +724,6 @@ def audio_files(spark, sf):
     return readers.audio_files(paths)[0].select("file_id")
 
 
-@register("catalogue_answers", "SELECT row_idx, CAST(0 AS INTEGER) AS pos, artist, name AS title, bpm, CASE WHEN year > 1900 THEN year END AS year FROM tracks WHERE row_idx % 7 <> 0", ("tracks",))
-def catalogue_answers(spark, sf):
-    t = tracks_of(spark, sf)
-    item = F.struct(F.struct(F.col("artist").alias("name")).alias("artist"), F.col("name").alias("title"), F.coalesce(F.col("bpm").cast("string"), F.lit("0")).alias("tempo"), F.concat(F.col("year").cast("string"), F.lit("-01-01")).alias("release_date"))
-    body = F.when(F.col("row_idx") % 7 == 0, F.lit('{"search": {"error": "no result"}}')).otherwise(F.to_json(F.struct(F.array(item).alias("search"))))
-    return readers.parse_candidates(t.select("row_idx", body.alias("body")))
-
-
 @register("analyze_clips")
 def analyze_clips(spark, sf):
     """A click track for each supplier, its tempo and pitch by the key, made by sequence and transform."""

@@ -40,7 +40,7 @@ def read_xml_tracks(spark: SparkSession, path: str) -> DataFrame:
     positive = lambda c, t: F.when(F.col(c).try_cast(t) > 0, F.col(c).try_cast(t))
     return rows.where("_TrackID is not null and _Name is not null and _Name <> ''").select(
         F.col("_TrackID").try_cast("long").alias("track_id"), F.col("_Name").alias("name"), text("_Artist").alias("artist"), text("_Album").alias("album"), text("_Genre").alias("genre"),
-        positive("_Year", "int").alias("year"), (F.coalesce(positive("_TotalTime", "double"), F.lit(0.0)) * 1000).cast("long").alias("duration_ms"), positive("_AverageBpm", "double").alias("bpm"),
+        positive("_Year", "int").alias("year"), half_up(F.coalesce(positive("_TotalTime", "double"), F.lit(0.0)) * 1000).cast("long").alias("duration_ms"), positive("_AverageBpm", "double").alias("bpm"),
         to_camelot(F.col("_Tonality")).alias("key"), F.try_to_date("_DateAdded", "yyyy-MM-dd").alias("date_added"), text("_Location").alias("location"), text("_Label").alias("label"),
         F.when(text("_Remixer").isNotNull(), F.array("_Remixer")).alias("tags"),
     )
@@ -113,14 +113,30 @@ def read_text_export(spark: SparkSession, path: str, encoding: str = "UTF-16") -
     )
 
 
+#: Fields of the three catalogues' items; a field that an answer lacks is null.
+_ITEM = (
+    "array<struct<id: string, title: string, trackName: string, artist: struct<name: string>, artistName: string, album: struct<title: string>, tempo: string, bpm: string, "
+    "key_of: string, open_key: string, release_date: string, preview: string, previewUrl: string, primaryGenreName: string, copyright: string, duration: string>>"
+)
+
+
 def parse_candidates(payloads: DataFrame, column: str = "body") -> DataFrame:
-    """Candidates (payload columns, pos, artist, title, bpm, year) of search answers; one that is no list has none."""
-    item = "array<struct<artist: struct<name: string>, title: string, tempo: string, release_date: string>>"
+    """Candidates (payload columns, pos, catalogue_id, artist, title, album, bpm, key, year, duration_ms, preview_url, tags,
+    copyright) of search answers of three catalogues: lists under ``search``, ``data`` or ``results``.
+
+    An answer that is no list, an error say, has none; a tempo of 0 and a year up to 1900 are unknown.
+    """
     body = F.coalesce(F.get_json_object(column, "$.search"), F.get_json_object(column, "$.data"), F.get_json_object(column, "$.results"))
-    found = payloads.where(body.startswith("[")).withColumn("__c", F.from_json(body, item))
+    found = payloads.where(body.startswith("[")).withColumn("__c", F.from_json(body, _ITEM))
     rows = found.select(*payloads.columns, F.posexplode("__c").alias("pos", "c"))
     year = F.substring("c.release_date", 1, 4).try_cast("int")
-    return rows.select(*[c for c in payloads.columns if c != column], "pos", F.col("c.artist.name").alias("artist"), F.col("c.title").alias("title"), F.when(F.col("c.tempo").try_cast("double") > 0, F.col("c.tempo").try_cast("double")).alias("bpm"), F.when(year > 1900, year).alias("year"))
+    tempo = F.coalesce("c.tempo", "c.bpm").try_cast("double")
+    text = lambda *c: F.nullif(F.coalesce(*c), F.lit(""))
+    return rows.select(
+        *[c for c in payloads.columns if c != column], "pos", F.col("c.id").alias("catalogue_id"), F.coalesce("c.artist.name", "c.artistName").alias("artist"), F.coalesce("c.title", "c.trackName").alias("title"),
+        F.col("c.album.title").alias("album"), F.when(tempo > 0, tempo).alias("bpm"), F.coalesce(to_camelot(F.col("c.open_key")), to_camelot(F.col("c.key_of"))).alias("key"), F.when(year > 1900, year).alias("year"),
+        (F.nullif(F.col("c.duration").try_cast("long"), F.lit(0)) * 1000).alias("duration_ms"), text("c.preview", "c.previewUrl").alias("preview_url"), F.when(text("c.primaryGenreName").isNotNull(), F.array("c.primaryGenreName")).alias("tags"), F.col("c.copyright").alias("copyright"),
+    )
 
 
 def read_checkpoints(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonegrid.functions.music import half_up
@@ -14,6 +14,12 @@ def save_library(tracks: DataFrame, path: str) -> None:
     tracks.write.mode("overwrite").partitionBy("library_id").parquet(path)
 
 
+def load_library(spark: SparkSession, path: str, library_id: str | None = None) -> DataFrame:
+    """A saved library, or all of them."""
+    saved = spark.read.parquet(path)
+    return saved if library_id is None else saved.where(F.col("library_id") == library_id).drop("library_id")
+
+
 def by_line(artist: Column, name: Column, unknown: str) -> Column:
     return F.concat(F.coalesce(artist, F.lit(unknown)), F.lit(" - "), name)
 
@@ -48,18 +54,54 @@ def escaped(text: Column) -> Column:
     return text
 
 
+def encoded(segment: Column) -> Column:
+    """A path segment as in a file URL."""
+    out = F.url_encode(segment)
+    for code, char in (("+", "%20"), ("%21", "!"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
 def xml_track_lines(tracks: DataFrame, synthetic: str = SYNTHETIC) -> DataFrame:
-    """(row_idx, line) of TRACK elements; fields that are missing are left out."""
+    """(row_idx, line) of TRACK elements; fields that are missing are left out, a track without a file gets a stand-in."""
+    col = lambda c: F.col(c) if c in tracks.columns else F.lit(None).cast("string")
     part = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f' {name}="'), escaped(value), F.lit('"'))).otherwise("")
     number = lambda c, n: F.format_string(f"%.{n}f", F.col(c).cast("double"))
+    path = F.when(col("location").startswith("file://"), F.regexp_replace(col("location"), "^file://(localhost)?", "")).otherwise(F.concat(F.lit(synthetic), encoded(F.col("pid"))))
     line = F.concat(
-        F.lit("<TRACK"), part("TrackID", F.col("row_idx").cast("string")), part("Name", F.col("name")), part("Artist", F.col("artist")), part("Genre", F.col("genre")),
+        F.lit("<TRACK"), part("TrackID", F.col("row_idx").cast("string")), part("Name", F.col("name")), part("Artist", F.nullif(F.col("artist"), F.lit(""))), part("Album", F.nullif(col("album"), F.lit(""))), part("Genre", F.nullif(F.col("genre"), F.lit(""))),
         part("TotalTime", F.format_string("%.3f", F.col("duration_ms") / 1000)), part("Year", F.col("year").cast("string")), part("AverageBpm", F.when(F.col("bpm").isNotNull(), number("bpm", 2))),
-        part("Tonality", F.col("key")), part("Label", F.col("label")), part("Location", F.concat(F.lit(f"file://localhost{synthetic}"), F.col("pid"))), F.lit("/>"),
+        part("Tonality", F.col("key")), part("DateAdded", F.substring(col("date_added").cast("string"), 1, 10)), part("Label", F.col("label")), part("Location", F.concat(F.lit("file://localhost"), path)), F.lit("/>"),
     )
     return tracks.select("row_idx", line.alias("line"))
 
 
+def xml_document(tracks: DataFrame, memberships: DataFrame, product: str = "tonegrid") -> DataFrame:
+    """(section, name, pos, line): all lines of one library's XML document, in order of the first three."""
+    lists = xml_playlist_lines(memberships, tracks)
+    counts = tracks.agg(F.count("*").alias("tracks")).crossJoin(F.broadcast(lists.where("pos = 0").agg(F.count("*").alias("lists"))))
+    line = lambda section, *parts: F.struct(F.lit(section).alias("section"), F.lit("").alias("name"), F.lit(0).cast("long").alias("pos"), F.concat(*parts).alias("line"))
+    frame = counts.select(F.explode(F.array(
+        line(0, F.lit('<?xml version="1.0" encoding="UTF-8"?>')), line(1, F.lit('<DJ_PLAYLISTS Version="1.0.0">')), line(2, F.lit(f'<PRODUCT Name="{product}"/>')),
+        line(3, F.lit('<COLLECTION Entries="'), F.col("tracks").cast("string"), F.lit('">')), line(5, F.lit("</COLLECTION>")), line(6, F.lit("<PLAYLISTS>")),
+        line(7, F.lit('<NODE Type="0" Name="ROOT" Count="'), F.col("lists").cast("string"), F.lit('">')), line(9, F.lit("</NODE>")), line(10, F.lit("</PLAYLISTS>")), line(11, F.lit("</DJ_PLAYLISTS>")),
+    )).alias("l")).select("l.*")
+    body = xml_track_lines(tracks).select(F.lit(4).alias("section"), F.lit("").alias("name"), F.col("row_idx").cast("long").alias("pos"), "line")
+    ends = lists.groupBy("playlist").agg((F.max("pos") + 1).alias("pos")).select(F.lit(8).alias("section"), F.col("playlist").alias("name"), "pos", F.lit("</NODE>").alias("line"))
+    return frame.unionByName(body).unionByName(lists.select(F.lit(8).alias("section"), F.col("playlist").alias("name"), "pos", "line")).unionByName(ends)
+
+
+def write_xml(tracks: DataFrame, memberships: DataFrame, path: str) -> None:
+    """One document in one file: its lines are sorted by one task, which spills rather than hold them."""
+    ordered = xml_document(tracks, memberships).repartition(1).sortWithinPartitions("section", "name", "pos")
+    ordered.select("line").write.mode("overwrite").text(path)
+
+
+def write_text_export(rows: DataFrame, path: str) -> None:
+    """A tab-separated export with a header."""
+    rows.write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
+
+
 def xml_playlist_lines(memberships: DataFrame, tracks: DataFrame) -> DataFrame:
     """(playlist, pos, line): a NODE with its count, then a reference for each distinct track."""
     met = memberships.select("playlist", "pid").distinct().join(tracks.select("pid", "row_idx"), "pid")
@@ -69,9 +111,8 @@ def xml_playlist_lines(memberships: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, key: str, order: str, path: str) -> None:
-    """A text file in a folder of its own for each key."""
-    text = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "line"))).alias("l")).select(key, F.array_join("l.line", "\n").alias("value"))
-    text.write.mode("overwrite").partitionBy(key).text(path)
+    """A text file in a folder of its own for each key; lines are sorted within tasks and never gathered."""
+    lines.select(key, order, F.col("line").alias("value")).repartition(key).sortWithinPartitions(key, order).select(key, "value").write.mode("overwrite").partitionBy(key).text(path)
 
 
 def map_rows(points: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -80,5 +121,15 @@ def map_rows(points: DataFrame, tracks: DataFrame) -> DataFrame:
     return points.select("row_idx", "x", "y", "collection", "cluster").join(facts, "row_idx", "left")
 
 
-def write_map_json(points: DataFrame, tracks: DataFrame, path: str) -> None:
-    map_rows(points, tracks).write.mode("overwrite").json(path)
+def map_header(points: DataFrame, scenario: str, seed: int, knn: int) -> DataFrame:
+    """(scenario, seed, knn, clusters, points, collections): what an embedding is of, in one row."""
+    per = points.groupBy("collection").agg(F.count("*").alias("n"))
+    one = points.agg(F.count_distinct("cluster").alias("clusters"), F.count("*").alias("points"))
+    collections = per.agg(F.array_sort(F.collect_list(F.struct(F.col("collection").alias("id"), F.col("n").alias("trackCount")))).alias("collections"))
+    return one.crossJoin(F.broadcast(collections)).select(F.lit(scenario).alias("scenario"), F.lit(seed).alias("seed"), F.lit(knn).alias("knn"), "clusters", "points", "collections")
+
+
+def write_map_json(points: DataFrame, tracks: DataFrame, path: str, scenario: str = "", seed: int = 42, knn: int = 15) -> None:
+    """The header in ``header``, the points in ``points``."""
+    map_header(points, scenario, seed, knn).write.mode("overwrite").json(f"{path}/header")
+    map_rows(points, tracks).write.mode("overwrite").json(f"{path}/points")

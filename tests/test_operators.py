@@ -1,5 +1,7 @@
 """Operators on small tables."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +159,20 @@ def test_neighbours_agree_with_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("target", [None, "kind"])
+def test_neighbours_in_cells_of_blobs_and_copies(spark, target):
+    rng = np.random.default_rng(8)
+    x = np.round(np.concatenate([rng.normal(c, 0.3, (40, 3)) for c in ((0, 0, 0), (9, 0, 0), (0, 9, 9), (50, 50, 0))] + [np.ones((60, 3))]), 2)
+    v = spark.createDataFrame([(i, r.tolist(), i % 3) for i, r in enumerate(x)], "row_idx long, vec array<double>, kind int").repartition(3)
+    q = spark.createDataFrame([(1000 + i, r, i % 3) for i, r in enumerate([[0.1, 0.0, 0.0], [200.0, 1.0, 1.0], [1.0, 1.0, 1.0], [math.nan, 0.0, 0.0]])], "row_idx long, vec array<double>, kind int")
+    for queries, asked in ((None, [(i, r, i % 3) for i, r in enumerate(x)]), (q, [(r.row_idx, np.array(r.vec), r.kind) for r in q.collect()[:3]])):
+        got = {}
+        for r in geometry.nearest(v, queries, k=5, target=target, block_rows=16).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append(r.row_idx)
+        fits = lambda i, c, j: j % 3 != c if target else i != j
+        assert got == {i: sorted((j for j in range(len(x)) if fits(i, c, j)), key=lambda j: (np.sqrt(((r - x[j]) ** 2).sum()), j))[:5] for i, r, c in asked}
+
+
 @pytest.mark.parametrize("target", [None, "kind"])
 def test_neighbours_of_many_equal_rows_are_the_lowest(spark, target):
     rng = np.random.default_rng(4)
@@ -203,7 +219,7 @@ def test_placement_lands_among_its_neighbours(spark):
 def test_layout_is_finite_and_keeps_two_groups_apart(spark):
     rng = np.random.default_rng(2)
     v = spark.createDataFrame([(i, (rng.normal(0, 1, 4) + 3 * (i % 2)).tolist()) for i in range(40)], "row_idx long, vec array<double>")
-    at = {r.node: (r.x, r.y) for r in geometry.layout_2d(geometry.fuzzy_graph(v, 15), 10).collect()}
+    at = {r.node: (r.x, r.y) for r in geometry.layout_2d(geometry.fuzzy_graph(v, 15)).collect()}
     xy = np.array([at[i] for i in range(40)])
     assert np.isfinite(xy).all()
     centres = [xy[k::2].mean(0) for k in (0, 1)]
@@ -211,6 +227,22 @@ def test_layout_is_finite_and_keeps_two_groups_apart(spark):
     assert np.mean(own) > 0.9
 
 
+def test_layout_reaches_the_leading_eigenvectors(spark):
+    rng = np.random.default_rng(7)
+    n = 90
+    w = np.triu((rng.random((n, n)) < 0.06) * rng.random((n, n)), 1)
+    w[np.arange(n - 1), np.arange(1, n)] = 0.3
+    w = w + w.T
+    graph = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(np.triu(w)), strict=True)], "a long, b long, weight double")
+    got = np.array([(r.x, r.y) for r in geometry.layout_2d(graph, tolerance=1e-6).orderBy("node").collect()])
+    root = np.sqrt(w.sum(1))
+    axes = np.linalg.eigh(w / np.outer(root, root))[1][:, ::-1][:, 1:3]
+    want = axes / root[:, None]
+    assert np.allclose(got, want * np.sign((got * want).sum(0)), atol=1e-4)
+    with pytest.raises(ArithmeticError):
+        geometry.layout_2d(graph, tolerance=1e-6, steps=4)
+
+
 def clicks(bpm, seconds=20, rate=44_100):
     x = np.zeros(seconds * rate, np.float32)
     for s in np.arange(0, seconds, 60 / bpm):

@@ -9,11 +9,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegrid.functions.music import key_vector
 from tonegrid.functions.text import artist_key
+from tonegrid.operators.lineage import cut
 
 NUMERIC = ("bpm_log", "bpm_sin", "bpm_cos", "key_sin", "key_cos", "key_minor", "year", "duration")
 
@@ -77,8 +81,11 @@ def _terms(tracks: DataFrame, memberships: DataFrame, options: Options, label_ke
 
 
 def vocabulary(terms: DataFrame, n: int, options: Options) -> DataFrame:
-    """(block, term, df, idf): all playlists and genres, and the most frequent tags, labels and artists."""
-    counted = terms.groupBy("block", "term").agg(F.count("*").alias("df"), F.min("row_idx").alias("seen"))
+    """(block, term, df, idf): all playlists and genres, and the most frequent tags, labels and artists.
+
+    Terms are counted once; the bounded heads come from the counts.
+    """
+    counted = cut(terms.groupBy("block", "term").agg(F.count("*").alias("df"), F.min("row_idx").alias("seen")))
     limits = {"tag": options.max_tags, "label": options.max_labels, "artist": options.max_artists, "playlist": options.max_playlists, "genre": options.max_genres}
     kept = None
     for block, most in limits.items():
@@ -88,7 +95,7 @@ def vocabulary(terms: DataFrame, n: int, options: Options) -> DataFrame:
         if most:  # a bounded head, not a ranking of all
             rows = rows.orderBy(F.desc("df"), *(["term"] if block == "label" else ["seen", "term"])).limit(most)
         kept = rows if kept is None else kept.unionByName(rows)
-    return kept.select("block", "term", "df", F.log(F.lit(float(n)) / F.greatest("df", F.lit(1))).alias("idf"))
+    return cut(kept.select("block", "term", "df", F.log(F.lit(float(n)) / F.greatest("df", F.lit(1))).alias("idf")))
 
 
 def numeric_moments(tracks: DataFrame, options: Options) -> dict[str, tuple[float, float]]:
@@ -164,7 +171,7 @@ def fit_features(tracks: DataFrame, memberships: DataFrame, options: Options = O
         rows = blend_artists(rows, tracks, options.artist_blend)
     moments = numeric_moments(tracks, options)
     rows = rows.unionByName(numeric_rows(tracks, moments, options))
-    present = {"label": terms.where("block = 'label'").join(vocab, ["block", "term"], "left_semi").count()}
+    present = {"label": vocab.where("block = 'label'").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]}  # a track has one label
     timbre: list[tuple[float, float]] = []
     if options.timbre > 0 and "timbre" not in options.exclude and "timbre" in tracks.columns:
         extra, timbre = timbre_rows(tracks)
@@ -193,19 +200,32 @@ def encode(tracks: DataFrame, encoder: Encoder, label_key: Column | None = None)
 
 
 def columns(encoder: Encoder) -> DataFrame:
-    """(block, term, col): a column for each term, blocks in order, numeric columns last but for timbre."""
+    """(block, term, col): a column for each term, blocks in order, numeric columns last but for timbre.
+
+    Terms are numbered within their block, and blocks by how many terms those before them hold.
+    """
     spark = encoder.vocabulary.sparkSession
-    order = {"playlist": 0, "genre": 1, "tag": 2, "label": 3, "artist": 4, "numeric": 5, "timbre": 6}
+    order = ("playlist", "genre", "tag", "label", "artist", "numeric", "timbre")
     fixed = [("numeric", t) for t in NUMERIC] + [("timbre", str(i)) for i in range(len(encoder.timbre))]
     named = encoder.vocabulary.select("block", "term").unionByName(spark.createDataFrame(fixed, "block string, term string"))
-    rank = F.create_map(*(F.lit(x) for b, i in order.items() for x in (b, i)))
-    return named.withColumn("col", F.row_number().over(Window.orderBy(rank[F.col("block")], "term")) - 1)
+    sizes = {r[0]: r[1] for r in named.groupBy("block").count().collect()}  # a row for each block
+    before = F.create_map(*(F.lit(x) for i, b in enumerate(order) for x in (b, sum(sizes.get(c, 0) for c in order[:i]))))
+    return named.withColumn("col", F.row_number().over(Window.partitionBy("block").orderBy("term")) - 1 + before[F.col("block")])
 
 
 def vectors(features: DataFrame, encoder: Encoder, tracks: DataFrame) -> DataFrame:
     """(row_idx, vec): arrays over the columns of the fit. For vocabularies that a row can carry (a few thousand)."""
-    places = columns(encoder)
+    places = cut(columns(encoder))
     width = places.count()
-    sparse = features.join(F.broadcast(places), ["block", "term"]).groupBy("row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    return tracks.select("row_idx").join(sparse, "row_idx", "left").select("row_idx", dense.alias("vec"))
+    sparse = features.join(places, ["block", "term"]).groupBy("row_idx").agg(F.collect_list(F.struct("col", "value")).alias("m"))
+
+    def run(batches):
+        for b in batches:
+            held = b["m"]
+            sizes = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
+            flat = held.flatten()
+            dense = np.zeros((len(b), width))
+            dense[np.repeat(np.arange(len(b)), sizes), flat.field("col").to_numpy(zero_copy_only=False)] = flat.field("value").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b["row_idx"].cast(pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(dense.ravel()), width).cast(pa.list_(pa.float64()))], names=["row_idx", "vec"])
+
+    return tracks.select("row_idx").join(sparse, "row_idx", "left").select("row_idx", "m").mapInArrow(run, "row_idx long, vec array<double>")

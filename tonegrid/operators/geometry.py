@@ -7,11 +7,16 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonegrid.operators.lineage import cut
+
 #: Rows of a block of the neighbour search.
 BLOCK_ROWS = 4096
+#: Pivots of the neighbour search, at most.
+CELLS = 1024
 NEIGHBOURS = 15
 
 
@@ -66,21 +71,95 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, ta
     """(query, row_idx, distance, rank): the k exact nearest rows of each query, lower rows first on ties.
 
     Queries (row_idx, vec) default to all rows; a row is never its own neighbour. With ``target`` (a column of both),
-    only rows whose value differs from the query's count. Rows and queries are dealt into blocks of bounded size; each
-    pair of blocks is one task that ranks all that rounding may put among the k nearest of its rows, keeps k rows per
-    query, and these merge by query. Vectors with a non-finite
-    component neither ask nor answer.
+    only rows whose value differs from the query's count. Vectors with a non-finite component neither ask nor answer.
+
+    Rows belong to the cell of their nearest pivot. A query is answered in its own cell first; its k-th distance there
+    bounds what it needs, so it then goes only to cells whose pivot and radius leave room within that. Cells are dealt
+    into blocks of bounded size, and of equal vectors (and target) only the k + 1 lowest rows can be answers. Pivots and
+    radii, CELLS at most, are what reaches the driver.
     """
-    own = queries is None
-    queries = vectors if own else queries
+    queries = vectors if queries is None else queries
     fine = F.forall("vec", lambda x: F.abs(x.cast("double")) < float("inf"))
     extra = [target] if target else []
     rows, asked = vectors.where(fine).select("row_idx", "vec", *extra), queries.where(fine).select("row_idx", "vec", *extra)
-    n_rows, n_asked = (max(1, -(-f.count() // block_rows)) for f in (rows, asked))
-    deal = lambda f, n: f.withColumn("__b", F.pmod(F.xxhash64("row_idx"), F.lit(n)).cast("int"))
-    left = deal(asked, n_asked).select("*", F.lit(True).alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("__o")).withColumnRenamed("__b", "__i").withColumnRenamed("__o", "__j")
-    right = deal(rows, n_rows).select("*", F.lit(False).alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("__o")).withColumnRenamed("__b", "__j").withColumnRenamed("__o", "__i")
-    both = left.unionByName(right)
+    n = rows.count()
+    if n <= block_rows:
+        few = max(1, -(-asked.count() // block_rows)) if n else 1
+        return _ranked(_compared(asked.withColumn("cell", F.lit(0)), rows.withColumn("cell", F.lit(0)), {0: 1}, {0: few}, k, target), k)
+    copies = Window.partitionBy(F.xxhash64("vec", *extra), "vec", *extra).orderBy("row_idx")
+    rows = rows.withColumn("__c", F.row_number().over(copies)).where(F.col("__c") <= k + 1).drop("__c")
+    drawn = rows.orderBy(F.xxhash64("row_idx"), "row_idx").limit(min(CELLS, -(-n // block_rows) * 4)).collect()
+    pivots = np.array([r["vec"] for r in drawn], np.float64)
+    rows, asked = (cut(_in_cells(f, pivots, extra)) for f in (rows, asked))
+    cells = {r[0]: (r[1], r[2]) for r in rows.groupBy("cell").agg(F.count("*"), F.max("away")).collect()}
+    parts = lambda counts: {c: -(-m // block_rows) for c, m in counts.items()}
+    row_parts = parts({c: m for c, (m, _) in cells.items()})
+    at_home = asked.where(F.col("cell").isin(list(cells)))
+    home = cut(_compared(at_home, rows, row_parts, parts(_counted(at_home)), k, target))
+    bound = home.groupBy("query").agg(F.when(F.count("*") >= k, F.max_by("distance", F.struct("distance", "row_idx"))).alias("bound"))
+    abroad = cut(_visits(asked.join(bound.withColumnRenamed("query", "row_idx"), "row_idx", "left"), pivots, {c: r for c, (_, r) in cells.items()}, extra))
+    return _ranked(home.unionByName(_compared(abroad, rows, row_parts, parts(_counted(abroad)), k, target)), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "row_idx"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "row_idx", "distance", "rank")
+
+
+def _counted(frame: DataFrame) -> dict[int, int]:
+    return {r[0]: r[1] for r in frame.groupBy("cell").count().collect()}  # a row for each cell
+
+
+def _apart(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances from each row to each pivot."""
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0))
+
+
+def _in_cells(frame: DataFrame, pivots: np.ndarray, extra: list[str]) -> DataFrame:
+    """Rows with the cell of their nearest pivot, and how far away that is."""
+
+    def run(batches):
+        for b in batches:
+            d = _apart(_matrix(b["vec"]), pivots) if b.num_rows else np.zeros((0, len(pivots)))
+            cell = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=[*b.schema.names, "cell", "away"])
+
+    fields = {f.name: f.dataType.simpleString() for f in frame.schema}
+    return frame.mapInArrow(run, ", ".join(f"`{c}` {fields[c]}" for c in ("row_idx", "vec", *extra)) + ", cell int, away double")
+
+
+def _visits(asked: DataFrame, pivots: np.ndarray, radii: dict[int, float], extra: list[str]) -> DataFrame:
+    """Queries once for each cell, beside their own, that may hold a row within their bound (null: any row)."""
+    number = np.array(sorted(radii))
+    radius = np.array([radii[c] for c in number.tolist()])
+    # rounding may move a distance from a pivot by this share of the largest norm
+    slack = 1e-7 * (1 + np.sqrt((pivots**2).sum(1)).max())
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b["vec"])
+            bound = pc.fill_null(b["bound"], np.inf).to_numpy(zero_copy_only=False)
+            near = _apart(x, pivots[number]) - radius - slack * (1 + np.sqrt((x**2).sum(1)))[:, None] <= bound[:, None]
+            near &= number != b["cell"].to_numpy()[:, None]
+            i, j = np.nonzero(near)
+            kept = b.select(["row_idx", "vec", *extra]).take(pa.array(i))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(number[j].astype(np.int32))], names=[*kept.schema.names, "cell"])
+
+    fields = {f.name: f.dataType.simpleString() for f in asked.schema}
+    return asked.select("row_idx", "vec", *extra, "cell", "bound").mapInArrow(run, ", ".join(f"`{c}` {fields[c]}" for c in ("row_idx", "vec", *extra)) + ", cell int")
+
+
+def _compared(asked: DataFrame, rows: DataFrame, row_parts: dict[int, int], asked_parts: dict[int, int], k: int, target: str | None) -> DataFrame:
+    """(query, row_idx, distance): k rows and ties of each query's cell, block by block."""
+    spark = rows.sparkSession
+    parts = spark.createDataFrame([(c, row_parts[c], m) for c, m in asked_parts.items() if c in row_parts], "cell int, rows int, asked int")
+    extra = [target] if target else []
+    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "row_idx"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(parts, "cell").select("row_idx", "vec", *extra, "cell", F.lit(True).alias("__q"), deal(1, "asked").alias("__i"), each("rows").alias("__j"))
+    right = rows.join(parts, "cell").select("row_idx", "vec", *extra, "cell", F.lit(False).alias("__q"), each("asked").alias("__i"), deal(2, "rows").alias("__j"))
 
     def compare(t: pa.Table) -> pa.Table:
         q = t["__q"].to_numpy()
@@ -114,9 +193,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, ta
             out.append(pa.table({"query": ia[i[first]], "row_idx": ib[j[first]], "distance": exact[first]}))
         return pa.concat_tables(out)
 
-    found = both.groupBy("__i", "__j").applyInArrow(compare, "query long, row_idx long, distance double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "row_idx"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "row_idx", "distance", "rank")
+    return left.unionByName(right).groupBy("cell", "__i", "__j").applyInArrow(compare, "query long, row_idx long, distance double")
 
 
 def default_clusters(n: int) -> int:
@@ -134,7 +211,7 @@ def kmeans_2d(points: DataFrame, k: int, seed: int = 42, rounds: int = 60) -> tu
     """Points (row_idx, x, y) with ``cluster``, and the centres.
 
     Seeds are drawn one by one with odds by squared distance to the nearest chosen one (the draw is a keyed hash, so
-    it does not depend on partitions); then centres move to the means of their points until none moves. Only k rows
+    it does not depend on partitions); then centres move to the means of their points until no point changes its cluster. Only k rows
     reach the driver per round.
     """
     points = points.select("row_idx", "x", "y").where("x is not null and y is not null").persist()
@@ -147,12 +224,15 @@ def kmeans_2d(points: DataFrame, k: int, seed: int = 42, rounds: int = 60) -> tu
             if r is None:
                 break
             centres.append((r[0], r[1]))
+        before = None
         for _ in range(rounds):
-            means = {r[0]: (r[1], r[2]) for r in assign(points, centres).groupBy("cluster").agg(F.avg("x"), F.avg("y")).collect()}
-            moved = [means.get(i, c) for i, c in enumerate(centres)]
-            if moved == centres:
+            held = assign(points, centres)
+            held = held.withColumn("moved", F.lit(True)) if before is None else assign(held.withColumnRenamed("cluster", "now"), before).select("x", "y", F.col("now").alias("cluster"), (F.col("now") != F.col("cluster")).alias("moved"))
+            means = held.groupBy("cluster").agg(F.avg("x"), F.avg("y"), F.count_if("moved")).collect()
+            if not any(r[3] for r in means):
                 break
-            centres = moved
+            before, means = centres, {r[0]: (r[1], r[2]) for r in means}
+            centres = [means.get(i, c) for i, c in enumerate(centres)]
         return assign(points, centres), centres
     finally:
         points.unpersist()
@@ -163,12 +243,12 @@ def smooth_bandwidths(distances: np.ndarray, k: int, connectivity: float) -> tup
     n, m = distances.shape
     rho = np.zeros(n)
     whole, part = int(connectivity), connectivity - int(connectivity)
-    for i in range(n if connectivity > 0 else 0):
-        some = distances[i][distances[i] > 0]
-        if len(some) >= connectivity and whole > 0:
-            rho[i] = some[whole - 1] + (part * (some[whole] - some[whole - 1]) if part > 1e-5 else 0)
-        elif len(some):
-            rho[i] = part * some[0] if len(some) >= connectivity else some.max()
+    if connectivity > 0 and m:  # distances ascend, so the positive ones are the last
+        zeros = (distances <= 0).sum(axis=1)
+        at = lambda j: distances[np.arange(n), np.minimum(zeros + j, m - 1)]
+        enough = m - zeros >= connectivity
+        exact = at(whole - 1) + (part * (at(whole) - at(whole - 1)) if part > 1e-5 else 0) if whole > 0 else part * at(0)
+        rho = np.where(enough, exact, np.where(zeros < m, distances[:, -1], 0.0))
     low, high, mid = np.zeros(n), np.full(n, np.inf), np.ones(n)
     over = np.maximum(distances[:, 1:] - rho[:, None], 0)
     open_ = np.ones(n, bool)
@@ -237,35 +317,58 @@ def fuzzy_graph(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return pair.groupBy("a", "b").agg((F.sum("weight") - F.when(F.count("*") > 1, F.exp(F.sum(F.log("weight")))).otherwise(0.0)).alias("weight"))
 
 
-def layout_2d(graph: DataFrame, rounds: int = 12, seed: int = 42) -> DataFrame:
-    """(node, x, y): the two leading non-trivial axes of the normalized graph, by power iteration on the edges.
+def layout_2d(graph: DataFrame, tolerance: float = 1e-3, steps: int = 80, seed: int = 42) -> DataFrame:
+    """(node, x, y): the two leading non-trivial eigenvectors of the normalized graph, over its degrees' roots.
 
-    Each round is one join and one grouped sum over the edges, and the few sums that keep the axes apart. Lineage is
-    cut by a reliable checkpoint where a folder is set.
+    Lanczos steps: each multiplies the newest direction by the graph, one join and one grouped sum over the edges, and
+    makes the product orthogonal to the trivial axis and to all directions so far, whose values a node keeps in an array
+    of ``steps`` numbers at most. The driver holds a tridiagonal matrix; the steps end when both axes leave a residual of
+    ``tolerance`` at most. If they do not within ``steps``, that is an error. An axis points where its first node (by
+    number) that is not near zero is positive.
     """
     both = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(graph.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
     degree = both.groupBy("u").agg(F.sum("weight").alias("deg"))
-    spark = graph.sparkSession
-    keep = (lambda f: f.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() or spark.sparkContext.getConf().get("spark.checkpoint.dir") else (lambda f: f.persist())
-    edges = keep(both.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("deg").alias("dv")), "v").select("u", "v", (F.col("weight") / F.sqrt(F.col("deg") * F.col("dv"))).alias("w")))
-    start = lambda s: F.pmod(F.xxhash64(F.lit(seed + s), "u"), F.lit(2_000_001)) / 1e6 - 1
-    state = keep(degree.select("u", F.sqrt("deg").alias("t"), start(1).alias("x"), start(2).alias("y")))
-    for _ in range(rounds):
-        moved = edges.join(state.select(F.col("u").alias("v"), "x", "y"), "v").groupBy("u").agg(F.sum(F.col("w") * F.col("x")).alias("nx"), F.sum(F.col("w") * F.col("y")).alias("ny"))
-        half = state.join(moved, "u").select("u", "t", ((F.col("x") + F.col("nx")) / 2).alias("x"), ((F.col("y") + F.col("ny")) / 2).alias("y"))
-        state = keep(_apart(half))
-    return state.select(F.col("u").alias("node"), (F.col("x") / F.col("t")).alias("x"), (F.col("y") / F.col("t")).alias("y"))
-
-
-def _apart(state: DataFrame) -> DataFrame:
-    """Both axes at length one, free of the trivial axis and of each other."""
-    dot = lambda a, b: F.sum(F.col(a) * F.col(b))
-    r = state.agg(dot("t", "t"), dot("t", "x"), dot("t", "y")).first()
-    state = state.withColumn("x", F.col("x") - F.lit(r[1] / r[0]) * F.col("t")).withColumn("y", F.col("y") - F.lit(r[2] / r[0]) * F.col("t"))
-    r = state.agg(dot("x", "x"), dot("x", "y")).first()
-    state = state.withColumn("y", F.col("y") - F.lit((r[1] / r[0]) if r[0] else 0.0) * F.col("x"))
-    n = state.agg(dot("x", "x"), dot("y", "y")).first()
-    one = lambda c, s: F.col(c) / F.lit(math.sqrt(s) or 1.0)
-    return state.withColumn("x", one("x", n[0])).withColumn("y", one("y", n[1]))
-
-
+    edges = cut(both.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("deg").alias("dv")), "v").select("u", "v", (F.col("weight") / F.sqrt(F.col("deg") * F.col("dv"))).alias("w")))
+    start = F.pmod(F.xxhash64(F.lit(seed), "u"), F.lit(2_000_001)) / 1e6 - 1
+    # q: the trivial axis, then the directions; n: the product to come
+    state = cut(degree.select("u", F.array(F.sqrt("deg")).alias("q"), start.alias("n")))
+    nodes = state.count()
+    if nodes < 3:
+        return state.select(F.col("u").alias("node"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    norm = state.agg(F.sqrt(F.sum(F.get("q", 0) * F.get("q", 0)))).first()[0]
+    state = state.withColumn("q", F.array(F.get("q", 0) / norm))
+    diagonal: list[float] = []
+    beside: list[float] = []
+    for _ in range(min(steps, nodes - 1)):
+        state, left = _freed(state)
+        if left < 1e-12:  # the graph has no further direction from here
+            break
+        beside.append(left)
+        state = cut(state.select("u", F.concat("q", F.array(F.col("n") / left)).alias("q")))
+        last = F.element_at("q", -1)
+        moved = edges.join(state.select(F.col("u").alias("v"), last.alias("x")), "v").groupBy("u").agg(F.sum(F.col("w") * F.col("x")).alias("n"))
+        state = cut(state.join(moved, "u"))
+        diagonal.append(state.agg(F.sum(last * F.col("n"))).first()[0])
+        ritz, axes = np.linalg.eigh(np.diag(diagonal) + np.diag(beside[1:], 1) + np.diag(beside[1:], -1))
+        if len(ritz) >= 2 and (len(ritz) % 4 == 0 or len(ritz) == nodes - 1):
+            rest = _freed(state)[1]
+            if (np.abs(axes[-1, -2:]) * rest <= tolerance).all():
+                break
+    else:
+        if nodes - 1 > steps:
+            raise ArithmeticError(f"the layout's axes did not settle within {steps} steps")
+    two = axes[:, ::-1][:, :2]
+    of = lambda c: F.aggregate(F.zip_with(F.slice("q", 2, len(two)), F.array(*(F.lit(float(v)) for v in two[:, c])), lambda p, w: p * w), F.lit(0.0), lambda s, p: s + p)
+    found = state.select(F.col("u").alias("node"), *((of(c) if c < two.shape[1] else F.lit(0.0)).alias(n) for c, n in enumerate("xy")), F.get("q", 0).alias("t"))
+    sign = lambda c: F.coalesce(F.min_by(F.signum(c), F.when(F.abs(F.col(c)) > 1e-6, F.col("node"))), F.lit(1.0)).alias(f"s{c}")
+    found = found.crossJoin(F.broadcast(found.agg(sign("x"), sign("y"))))
+    return found.select("node", (F.col("x") * F.col("sx") / (F.col("t") * norm)).alias("x"), (F.col("y") * F.col("sy") / (F.col("t") * norm)).alias("y"))
+
+
+def _freed(state: DataFrame) -> tuple[DataFrame, float]:
+    """The product without its parts along all directions so far, taken out twice against rounding; and its length."""
+    for _ in range(2):
+        parts = state.select(F.posexplode(F.transform("q", lambda x: x * F.col("n"))).alias("i", "p")).groupBy("i").agg(F.sum("p")).collect()  # a row for each direction
+        along = F.array(*(F.lit(float(p)) for _, p in sorted(map(tuple, parts))))
+        state = state.withColumn("n", F.col("n") - F.aggregate(F.zip_with("q", along, lambda x, p: x * p), F.lit(0.0), lambda s, p: s + p))
+    return state, state.agg(F.sqrt(F.sum(F.col("n") * F.col("n")))).first()[0]

@@ -51,6 +51,10 @@ def _wheel_neighbours(key: Column) -> Column:
     return F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(F.array(F.lit("A"), F.lit("B")), lambda m: F.concat((F.pmod(n - 1 + d, F.lit(12)) + 1).cast("string"), m))))
 
 
+#: Parts that combinations with nothing to judge are dealt into.
+SPREAD = 16
+
+
 def suggest_next(tracks: DataFrame, current: DataFrame | None = None, k: int = 50) -> DataFrame:
     """(pid, rank, to_pid, score): for each current track (all, if None) the k best next ones, row order on ties.
 
@@ -91,12 +95,15 @@ def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
     slots, codes = a.where(has("a", "bpm")).withColumn("slot", F.explode(near("a"))), a.where(has("a", "key")).withColumn("code", F.explode(_wheel_neighbours(F.col("a.key"))))
     in_slot = b.where(has("b", "bpm")).withColumn("slot", bucket("b"))
     in_code = b.where(has("b", "key")).withColumn("code", F.col("b.key"))
+    lacks = lambda s: F.when(has(s, "key") & has(s, "bpm"), "none").when(has(s, "bpm"), "key").when(has(s, "key"), "bpm").otherwise("both")
+    meets = F.when(lacks("a") == "both", F.array(*map(F.lit, ("none", "key", "bpm")))).when(lacks("a") == "key", F.array(F.lit("bpm"))).when(lacks("a") == "bpm", F.array(F.lit("key"))).otherwise(F.array().cast("array<string>"))
     both_keys, both_tempos = has("a", "key") & has("b", "key"), has("a", "bpm") & has("b", "bpm")
     parts = [
         slots.where(has("a", "key")).withColumn("code", F.explode(_wheel_neighbours(F.col("a.key")))).join(in_slot.where(has("b", "key")).withColumn("code", F.col("b.key")), ["slot", "code"]),
         slots.join(in_slot, "slot").where(~both_keys),  # only tempos to judge
         codes.join(in_code, "code").where(~both_tempos),  # only keys to judge
-        a.crossJoin(b).where(~both_keys & ~both_tempos),  # nothing to judge: combinations, not tracks
+        # nothing to judge: what lacks both meets all, what lacks one meets what lacks the other; combinations, not tracks
+        a.withColumn("lacks", F.explode(meets)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).join(b.withColumn("lacks", lacks("b")).withColumn("part", F.pmod("b_shape", F.lit(SPREAD)).cast("int")), ["lacks", "part"]),
     ]
     cols = ["a_shape", "a", "b_shape", "b"]
     out = parts[0].select(cols)

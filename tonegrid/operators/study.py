@@ -59,7 +59,7 @@ def size_matched(tracks: DataFrame, seed: int = 42) -> DataFrame:
 def tempo_profile(tracks: DataFrame) -> DataFrame:
     """(collection, n, p25, median, p75, close): floor-index quantiles, and the share within 5 BPM of the median."""
     q = floor_quantiles(tracks, "collection", "bpm", {"p25": 0.25, "median": 0.5, "p75": 0.75})
-    near = tracks.where("bpm is not null").join(F.broadcast(q.select("collection", "median")), "collection").groupBy("collection").agg(F.avg((F.abs(F.col("bpm") - F.col("median")) <= 5).cast("double")).alias("close"))
+    near = tracks.where("bpm is not null").join(q.select("collection", "median"), "collection").groupBy("collection").agg(F.avg((F.abs(F.col("bpm") - F.col("median")) <= 5).cast("double")).alias("close"))
     return q.join(near, "collection").withColumn("close", F.round("close", 6))
 
 

@@ -5,10 +5,6 @@ The expressions are plain SQL, so that the DuckDB statements of the oracles read
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: view: (table, expressions, distinct)
@@ -45,15 +41,6 @@ VIEWS = {
 }
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir; a temporary one in a local session."""
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        return f"{path.rstrip('/')}/exports-{uuid.uuid4().hex}"
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{tempfile.mkdtemp(prefix='exports-')}/out"
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; only the columns it names reach the scan."""
     table, columns, distinct = VIEWS[name]

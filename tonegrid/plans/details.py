@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tonegrid.functions import text
 from tonegrid.operators import analytics, enrich, features, library, query, study
-from tonegrid.plans.bridge import scratch, view
+from tonegrid.operators.lineage import new_folder
+from tonegrid.plans.bridge import view
 from tonegrid.plans.queries import _C, _TOP, _r, clustered, register, tracks_of
 from tonegrid.sources import readers, sinks
 
@@ -308,7 +309,7 @@ def xml_track_lines(spark, sf):
 
 
 def _xml(spark, sf) -> str:
-    out = scratch(spark)
+    out = new_folder(spark, "exports")
     t = tracks_of(spark, sf).withColumn("name", F.concat("name", F.lit(' & "<more>"'))).withColumn("date_added", F.lit("2024-05-06T07:08"))
     sinks.write_xml(t, view(spark, sf, "memberships"), out)
     return out
@@ -328,7 +329,7 @@ def xml_playlists_read_back(spark, sf):
 @register("text_export_read_back", "SELECT name, artist AS by, bpm AS tempo, key AS camelot, CAST(duration_ms // 1000 AS BIGINT) * 1000 AS duration_ms, CAST(DATE '2020-01-01' + CAST(row_idx % 300 AS INTEGER) AS DATE) AS added FROM tracks", ("tracks",))
 def text_export_read_back(spark, sf):
     """The library written as a tab-separated export and read again."""
-    c, out = F.col, scratch(spark)
+    c, out = F.col, new_folder(spark, "exports")
     seconds = F.floor(c("duration_ms") / 1000)
     clock = F.format_string("%02d:%02d", F.floor(seconds / 60), seconds % 60)
     rows = tracks_of(spark, sf).select(
@@ -341,7 +342,7 @@ def text_export_read_back(spark, sf):
 
 @register("library_read_back", "SELECT pid, name, collection FROM tracks WHERE collection = 'c2'", ("tracks",))
 def library_read_back(spark, sf):
-    out = scratch(spark)
+    out = new_folder(spark, "exports")
     sinks.save_library(tracks_of(spark, sf).select("pid", "name", "collection", F.col("collection").alias("library_id")), out)
     return sinks.load_library(spark, out, "c2")
 

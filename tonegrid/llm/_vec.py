@@ -12,6 +12,7 @@ PASS_BYTES = 2_000_000
 
 U = np.uint64
 _R1, _R2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so invertible modulo 2**64
+_R3 = 0xD1342543DE82EF9B  # 3 modulo 8, so its powers keep apart longest
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -119,13 +120,32 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int
     return mix((np.add.reduceat(piece, first) if len(first) else np.zeros(0, U)) + size.astype(U) * U(_R2) + U(salt))
 
 
+def seed_hashes(data: np.ndarray) -> np.ndarray:
+    """A number for the sixteen bytes from each place on: equal bytes, equal numbers, in an order that looks random."""
+    eights = _eights(data)[:-1]
+    out = eights[:-8] * U(_R1) ^ (eights[8:] * U(_R2) >> U(29))
+    out *= U(0xA0761D6478BD642F)
+    out ^= out >> U(32)
+    return out[: max(0, len(data) - 15)]
+
+
 def window_hashes(data: np.ndarray, starts: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of the ``length`` bytes (8 at least) from each start on, from hashes of twice as many bytes each time."""
-    held, size = mix(_eights(data)[:-1] ^ U(salt)), 8
-    while 2 * size <= length:
-        held = mix(mix(held[:-size] + U(size)) * U(_R1) + held[size:])
-        size *= 2
-    return mix(mix(held[starts] + U(length)) * U(_R1) + held[starts + length - size])
+    """A 64-bit hash of the ``length`` bytes (8 at least) from each start on.
+
+    A polynomial over mixed pieces of eight bytes, from prefix sums of every eighth place. Only a polynomial of thousands
+    of pieces would have structured strings that collide, so lengths are at most some thousand bytes.
+    """
+    eights = _eights(data)
+    pieces = length // 8
+    n = -(-len(data) // 8) * 8
+    mixed = np.zeros(n, U)
+    mixed[: len(data)] = mix(eights[:-1] ^ U(salt))
+    up, down = powers(_R3, n // 8)
+    sums = np.zeros((n // 8 + 1, 8), U)
+    np.cumsum(mixed.reshape(-1, 8) * up[: n // 8, None], axis=0, out=sums[1:])
+    row, column = starts >> 3, starts & 7
+    out = (sums[row + pieces, column] - sums[row, column]) * down[row]
+    return mix(out + mixed[starts + length - 8] * U(_R2) + U(length) * U(_R1) + U(salt))
 
 
 class Words:

@@ -5,9 +5,9 @@ bytes elect the same anchor at the same offset. Consecutive windows with one anc
 run's windows cover are its segment. Blocks of documents exchange the hashes of anchors and segments:
 
 * a segment that occurs twice repeats as a whole, and needs no more work than that;
-* of different segments with one anchor, one copy each meets in a suffix array: suffixes sorted to ``length`` bytes,
-  the longest common prefixes of neighbours, and previous and next smaller positions give each window's longest
-  previous factor, so what is found earlier is found once;
+* of different segments with one anchor, one copy each meets in a suffix array, without the stretches whose windows
+  are alone by their hash: suffixes sorted to ``length`` bytes, the longest common prefixes of neighbours, and previous
+  and next smaller positions give each window's longest previous factor, so what is found earlier is found once;
 * an anchor with more than ``HOT`` different segments has its windows compared by 128-bit hashes instead, spread over
   all tasks, each distinct window once per block: the exact way for groups too large for one suffix array.
 """
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tonegrid.llm._blocks import BLOCK, BUCKET, bucket_of, by_bucket, dealt, ids_and_texts, in_order, joined, runs_of
-from tonegrid.llm._vec import flatten, range_hashes, window_hashes
+from tonegrid.llm._vec import flatten, range_hashes, seed_hashes, window_hashes
 
 LENGTH = 400
 #: Bytes of the strings whose hashes elect anchors.
@@ -126,6 +126,22 @@ def _fill(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
 
 
+def _repeating(data: np.ndarray, begin: np.ndarray, runs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The stretches of segments whose windows have a hash that another window has: segment, begin, windows, and how far
+    into the segment. No other window can match, so the suffix arrays need no more than these."""
+    starts, segment = _fill(begin, runs.astype(np.int64)), np.repeat(np.arange(len(runs)), runs)
+    hashes = window_hashes(data, starts, length)
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    twice = np.zeros(len(starts), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    at = np.flatnonzero(twice)
+    cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(segment[at]) > 0)) + 1
+    first, last = (np.append(0, cut), np.append(cut, len(at))) if len(at) else (at, at)
+    some = segment[at[first]]
+    return some, starts[at[first]], last - first, (starts[at[first]] - begin[some]).astype(np.int32)
+
+
 class _Block:
     """A block's runs, and their distinct segments."""
 
@@ -137,8 +153,8 @@ class _Block:
         if not len(windows):
             self.starts = np.zeros(0, np.int64)
             return
-        at = np.arange(max(n - SEED_BYTES + 1, 0))
-        seeds = window_hashes(self.data, at, SEED_BYTES)
+        seeds = seed_hashes(self.data)
+        at = np.arange(len(seeds))
         bits = np.uint64(max(24, n.bit_length()))
         low = (seeds >> bits << bits) | at.astype(np.uint64)
         reach = 1
@@ -239,8 +255,9 @@ def mark_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, keep_fi
             rows.append((k, SEGMENTS, b.a[i].tobytes(), b"", b.ids[i].tobytes(), s.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), data))
         i = np.sort(b.head[code & SPREAD > 0])
         if len(i):
-            w = _fill(b.starts[i], b.sizes[i])
-            h1, h2, ids = window_hashes(b.data, w, length), window_hashes(b.data, w, length, _SALT2), np.repeat(b.ids[i], b.sizes[i])
+            w, width = _fill(b.starts[i], b.sizes[i]), b.sizes[i] + length - 1
+            own, at = b.data[_fill(b.starts[i], width)], _fill(np.cumsum(width) - width, b.sizes[i])
+            h1, h2, ids = window_hashes(own, at, length), window_hashes(own, at, length, _SALT2), np.repeat(b.ids[i], b.sizes[i])
             order = np.lexsort((h2, h1))
             head, run = runs_of(h1[order], h2[order])
             many = np.diff(np.append(head, len(order))) > 1
@@ -293,8 +310,10 @@ def mark_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, keep_fi
             data = np.frombuffer(joined(s["data"])[0], np.uint8)
             width = runs.astype(np.int64) + length - 1
             begin = np.cumsum(width) - width
+            some, begin, runs, ahead = _repeating(data, begin, runs, length)
+            a, ids, places, owner, width = a[some], ids[some], places[some] + ahead, owner[some], runs + length - 1
             order = np.argsort(a, kind="stable")
-            head, _ = runs_of(a[order])
+            head, _ = runs_of(a[order]) if len(order) else (np.zeros(0, np.int64), None)
             tails = np.append(head[1:], len(order))
             held = np.append(0, np.cumsum(width[order]))
             lo = 0

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,10 @@ SAMPLE, LEAST, RANKED = 4096, 3, 50_000
 TABLE = 4_000_000
 #: Bytes of text whose sets a task holds at a time.
 STEP = 500_000
-#: Words of 64 bits of a sketch.
-SKETCH = 8
+#: Fewest bits of a sketch; it has a bit for each shingle at least.
+SKETCH = 256
+#: Pairs whose sketches are compared at a time.
+PAIRS = 1 << 15
 #: Sets that are compared with one set in one task.
 MEMBERS = 256
 
@@ -60,8 +63,12 @@ def name_of(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of how many shingles fall on each of 64 * SKETCH bits: sketches differ in no more bits than sets in shingles."""
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    """Parities of how many shingles fall on each bit: sketches differ in no more bits than sets in shingles.
+
+    The number of bits is a power of two, so a longer sketch folds onto a shorter one.
+    """
+    bits = max(SKETCH, 1 << (len(s) - 1).bit_length() if len(s) else 0)
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -77,13 +84,29 @@ def _may_share(s1, s2, rest1, rest2) -> Column:
     return (OF * least(s1, s2) >= SHARED * most(s1, s2)) & ((OF + SHARED) * least(rest1, rest2) >= SHARED * (s1 + s2))
 
 
-def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many bits sketches differ, row by row."""
-    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+class Sketches:
+    """The sketches of a column, and in how many bits they differ."""
+
+    def __init__(self, column: pa.Array):
+        self.words = np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+        self.size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        self.start = np.cumsum(self.size) - self.size
 
+    def _of(self, at: np.ndarray, size: int, least: int) -> np.ndarray:
+        words = self.words[self.start[at][:, None] + np.arange(size)]
+        while words.shape[1] > least:
+            words = words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
+        return words
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH)
+    def differ(self, at: np.ndarray, other: Sketches, there: np.ndarray) -> np.ndarray:
+        """For pairs of places here and there: the bits in which they differ, the longer one folded."""
+        out = np.zeros(len(at), np.int64)
+        for lo in range(0, len(at), PAIRS):
+            u, v = at[lo : lo + PAIRS], there[lo : lo + PAIRS]
+            for m, n in {*zip(self.size[u].tolist(), other.size[v].tolist(), strict=True)}:
+                i = np.flatnonzero((self.size[u] == m) & (other.size[v] == n))
+                out[lo + i] = np.bitwise_count(self._of(u[i], m, min(m, n)) ^ other._of(v[i], n, min(m, n))).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _admitted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -91,7 +114,8 @@ def _admitted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            differ = _differ(_sketches(batch["x"]), _sketches(batch["y"]))
+            rows = np.arange(len(batch))
+            differ = Sketches(batch["x"]).differ(rows, Sketches(batch["y"]), rows)
             ok = (OF + SHARED) * differ <= (OF - SHARED) * (batch["s"].to_numpy().astype(np.int64) + batch["t"].to_numpy())
             yield batch.select(["a", "b", "n"]).filter(pa.array(ok))
 
@@ -108,19 +132,18 @@ def _pairs_between_parts(groups: DataFrame) -> DataFrame:
             held = batch["held"]
             cuts, flat = held.offsets.to_numpy(), held.flatten()
             node, size, at, part = (flat.field(c).to_numpy() for c in ("node", "size", "at", "part"))
-            sketches = _sketches(flat.field("sketch"))
-            base = cuts[0]
+            sketches, base = Sketches(flat.field("sketch")), cuts[0]
+            size, at = size.astype(np.int64), at.astype(np.int64)
             for lo, hi in zip((cuts[:-1] - base).tolist(), (cuts[1:] - base).tolist(), strict=True):
                 order = lo + np.argsort(node[lo:hi], kind="stable")
-                n, s, p, c, k = node[order], size[order].astype(np.int64), at[order].astype(np.int64), part[order], sketches[order]
-                step = max(1, TABLE // len(n))
-                for first in range(0, len(n), step):
-                    i = np.arange(first, min(len(n), first + step))[:, None]
-                    x, y = np.nonzero((c[i] != c) & (i < np.arange(len(n))) & _may_share(s[i], s, (s - p)[i], s - p))
-                    for some in range(0, len(x), 1 << 17):
-                        u, v = x[some : some + (1 << 17)] + first, y[some : some + (1 << 17)]
-                        ok = (OF + SHARED) * _differ(k[u], k[v]) <= (OF - SHARED) * (s[u] + s[v])
-                        found.append(np.stack([n[u[ok]], n[v[ok]]], axis=1))
+                s, rest, c = size[order], size[order] - at[order], part[order]
+                step = max(1, TABLE // len(order))
+                for first in range(0, len(order), step):
+                    i = np.arange(first, min(len(order), first + step))[:, None]
+                    x, y = np.nonzero((c[i] != c) & (i < np.arange(len(order))) & _may_share(s[i], s, rest[i], rest))
+                    u, v = order[x + first], order[y]
+                    ok = (OF + SHARED) * sketches.differ(u, sketches, v) <= (OF - SHARED) * (size[u] + size[v])
+                    found.append(np.stack([node[u[ok]], node[v[ok]]], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -190,12 +213,12 @@ def near_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         return asked(distinct(prefixes(table, chosen)[0])[0], table[BLOCK][0].as_py(), buckets)
 
     def entries_of(table: pa.Table, right: pa.Table) -> pa.Table:
-        chosen = right.filter(pa.compute.is_valid(right["node"]))
+        chosen = right.filter(pc.is_valid(right["node"]))
         if not len(table) or not len(chosen):
             return _ENTRY.empty_table()
         token, node, size, at = prefixes(table, chosen)
         tokens, place, shared = distinct(token)
-        shared |= told(tokens, buckets, right.filter(pa.compute.is_valid(right["bits"])))
+        shared |= told(tokens, buckets, right.filter(pc.is_valid(right["bits"])))
         hit = shared[place]
         return pa.table([token[hit].view(np.int64), node[hit], size[hit], at[hit]], schema=_ENTRY)
 
@@ -212,7 +235,7 @@ def near_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         return pa.table([wanted["a"], wanted["b"], wanted["salt"], pa.array([sets[n].tobytes() for n in wanted["node"].to_pylist()], pa.binary())], schema=_SHIP)
 
     def decide(table: pa.Table) -> pa.Table:
-        table = table.take(pa.compute.sort_indices(table.select(["a", "salt", "b"]), sort_keys=[("a", "ascending"), ("salt", "ascending"), ("b", "ascending")], null_placement="at_start"))
+        table = table.take(pc.sort_indices(table.select(["a", "salt", "b"]), sort_keys=[("a", "ascending"), ("salt", "ascending"), ("b", "ascending")], null_placement="at_start"))
         hits, center = [], None
         for a, b, s in zip(*(table[c].to_pylist() for c in ("a", "b", "set")), strict=True):
             s = np.frombuffer(s, np.uint64)

@@ -26,6 +26,17 @@ _ROOT2, _SALT2 = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _CLAIM = pa.schema([(BUCKET, pa.int64()), (BLOCK, pa.int32()), ("h", pa.binary()), ("tail", pa.binary()), ("ids", pa.binary()), ("places", pa.binary())])
 
 
+def _without(text: bytes, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> bytes:
+    """The text without runs of words: each with the space behind it, or before it where no word follows."""
+    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    out, at = [], 0
+    for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        low, high = (start[i], start[j]) if j < len(start) else (end[i - 1] if i else 0, end[j - 1])
+        out.append(text[at:low])
+        at = high
+    return b"".join([*out, text[at:]])
+
+
 class _Block:
     """The words and anchors of a block's documents."""
 
@@ -64,8 +75,8 @@ def drop_repeated_windows(docs: DataFrame, keep: list[str], window: int = WINDOW
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; windows are judged on the input. Returns the columns ``keep`` of
     ``docs`` (doc_id: long, text: string) and n_words, n_removed, kept_sha256 (of the kept words joined by one space).
-    Without ``digest``, text is the kept words joined by one space where words were removed, and else unchanged; null
-    stays null. A null doc_id is larger than any other; rows of one doc_id count as one document, each row judged.
+    Without ``digest``, text is what is left when each run of removed words goes with the space behind it (before it, at
+    the end of a text), so lines stay lines; null stays null. A null doc_id is larger than any other; rows of one doc_id count as one document, each row judged.
     Clashing names: the added columns win.
     """
     added = {"n_words": "long", "n_removed": "long", "kept_sha256": "string"}
@@ -132,15 +143,19 @@ def drop_repeated_windows(docs: DataFrame, keep: list[str], window: int = WINDOW
         starts = np.concatenate([np.frombuffer(x, np.int32) for x in answers["found"].to_pylist()] or [np.zeros(0, np.int32)])
         gone = covered(starts.astype(np.int64), window, len(words.start))
         removed = np.add.reduceat(np.append(gone, False).astype(np.int64), words.first) * (words.count > 0) if len(texts) else np.zeros(0, np.int64)
-        kept = []
+        kept, left = [], {}
         for i, x in enumerate(texts):
             parts = x.split()
             if removed[i]:
-                parts = [w for w, g in zip(parts, gone[words.first[i] : words.last[i]].tolist(), strict=True) if not g]
+                cover = gone[words.first[i] : words.last[i]]
+                parts = [w for w, g in zip(parts, cover.tolist(), strict=True) if not g]
+                if "text" in names:
+                    at = slice(words.first[i], words.last[i])
+                    left[i] = _without(x, words.start[at] - words.text_start[i], words.end[at] - words.text_start[i], cover).decode()
             kept.append(b" ".join(parts))
         new = {"n_words": words.count, "n_removed": removed, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
         if "text" in names:
-            new["text"] = [x.as_py() if not n else k.decode() for x, n, k in zip(table["text"], removed, kept, strict=True)]
+            new["text"] = [left.get(i, x) for i, x in enumerate(table["text"].to_pylist())]
         return pa.table({c: pa.array(new[c], table.schema.field(c).type) if c in new else table[c] for c in names} | {c: pa.array(new[c]) for c in added})
 
     asking = blocks.groupBy(BLOCK).applyInArrow(ask, ddl(ASK))

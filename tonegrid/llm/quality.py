@@ -73,7 +73,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
 
     parts = docs.select("text").mapInArrow(run, "sums binary")
-    total = parts.rdd.map(lambda r: np.frombuffer(r[0])).treeReduce(lambda a, b: a + b, 3).reshape(BUCKETS, DIMENSIONS)
+    add = lambda a, b: a + b
+    total = parts.rdd.map(lambda r: np.frombuffer(r[0])).treeAggregate(np.zeros(BUCKETS * DIMENSIONS), add, add, 3).reshape(BUCKETS, DIMENSIONS)
     return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 

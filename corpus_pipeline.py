@@ -23,31 +23,52 @@ REJECT_UNDER = 0.5
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects; it learns from all labels."""
+    """Drops the documents that the quality classifier rejects; it learns from all labels.
+
+    Null and empty texts get the score of a text without words, and go if that is too low. Rows are judged one by one,
+    so repeated rows and rows without an id share the fate of their text. Labels that are null or of no document teach
+    nothing; without two kinds of labels all texts have one score. Further columns of ``docs`` are dropped.
+    """
     model = fit_quality(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return score_quality(docs, model, COLUMNS, REJECT_UNDER).where("predicted = 1").select(COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, the one with the smallest id stays;
-    rows without an id stay."""
+    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, the one with the smallest id stays.
+
+    SimHash fingerprints propose links by pigeonring filtering, a prefix join those that fingerprints can't promise, and
+    the sets decide. Null, empty and blank texts are alike. Rows without an id stay, and link nothing; rows that repeat
+    an id stay or go together. Further columns of ``docs`` are dropped.
+    """
     gone = near_sets(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes words in windows of 13 that start in an earlier document too; n_chars follows the text."""
+    """Removes words in windows of 13 that start in an earlier document too; n_chars follows a text that lost some.
+
+    Lines stay lines; a text may become empty and its row stays. Null texts stay null. A null id counts as the last
+    document; rows of one id are one document, so copies of a row lose nothing to each other. Further columns of
+    ``docs`` are dropped.
+    """
     left = drop_repeated_windows(docs, COLUMNS)
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents of which a twentieth or more of the words stand in windows of benchmark items."""
+    """Drops the documents of which a twentieth or more of the words stand in windows of benchmark items.
+
+    Null and empty texts, and all texts where the benchmark is empty, stay. Rows are judged one by one, repeated rows
+    and rows without an id too. Further columns of ``docs`` are dropped.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), COLUMNS).where("not contaminated").select(COLUMNS)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with begin and end, and the digests of the ids and of the text they decode to."""
+    """Per row: doc_id, n_tokens, digests of the ids (with begin and end) and of the text they decode to, and piece_ids.
+
+    Null and empty texts are begin and end alone. Rows are encoded one by one, repeated rows and rows without an id too.
+    """
     return encode_pieces(docs, public_tokenizer("piece_bpe_32k.model"), ["doc_id"], decoded=False)
 
 

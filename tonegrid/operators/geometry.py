@@ -39,8 +39,9 @@ def gram(vectors: DataFrame, vec: str = "vec") -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"g": [total.tobytes()]})
 
     parts = vectors.select(vec).mapInArrow(run, "g binary").rdd.map(lambda r: np.frombuffer(r[0]))
-    total = parts.treeReduce(lambda a, b: a + b)
-    return total.reshape(math.isqrt(len(total)), -1)
+    add = lambda a, b: b if a is None else a if b is None else a + b
+    total = parts.treeAggregate(None, add, add)
+    return np.zeros((0, 0)) if total is None else total.reshape(math.isqrt(len(total)), -1)
 
 
 def reduce_dims(vectors: DataFrame, k: int = 50) -> tuple[DataFrame, np.ndarray | None]:

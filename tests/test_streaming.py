@@ -12,17 +12,28 @@ def test_import_equals_batch(spark, tmp_path):
     for f in (a, b):
         f.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         jobs.stream_import(spark, str(tmp_path / "in"), SCHEMA, str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
-    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "table/v1")).collect())
+    got = sorted(tuple(r) for r in jobs.read_table(spark, str(tmp_path / "table")).collect())
     assert got == sorted(tuple(r) for r in merge_tracks(a, b).collect())
 
 
+def test_a_batch_leaves_other_parts_alone(spark, tmp_path):
+    for n, part in enumerate((range(0, 300), range(300, 303))):
+        spark.createDataFrame([(f"p{i}", i, "n") for i in part], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.stream_import(spark, str(tmp_path / "in"), SCHEMA, str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
+        files = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
+        if n == 0:
+            old = files
+    assert jobs.read_table(spark, str(tmp_path / "table")).count() == 303
+    assert len(old.items() - files.items()) <= 3
+
+
 def test_answers_land_first_wins(spark, tmp_path):
     tracks = spark.createDataFrame([("x", None, None, "House", None), ("y", 120.0, "8A", None, None)], "pid string, bpm double, key string, genre string, label string")
     schema = "pid string, bpm double, key string, label string, source string"
     for bpm in (90.0, 100.0):
         spark.createDataFrame([("x", bpm, "9A", None, "s"), ("y", 1.0, "1A", "L", "s")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         jobs.stream_enrich(spark, str(tmp_path / "in"), schema, tracks, str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
-    got = {r.pid: r for r in spark.read.parquet(str(tmp_path / "table/v1")).collect()}
+    got = {r.pid: r for r in jobs.read_table(spark, str(tmp_path / "table")).collect()}
     assert (got["x"].bpm, got["x"].key, got["y"].bpm, got["y"].label) == (90.0, "9A", 120.0, "L")
 
 

@@ -5,40 +5,73 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tonegrid.operators.enrich import apply_answers
 from tonegrid.operators.library import merge_tracks
+from tonegrid.operators.lineage import cut
 
 
-def _upserting(stream: DataFrame, table: str, checkpoint: str, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> StreamingQuery:
-    """Each batch turns the latest version of ``table`` (a folder of versions) into the next one.
+#: Parts that a table is dealt into by pid unless told otherwise; a batch rewrites those that hold its pids, so a large
+#: table wants more of them.
+PARTS = 256
+BUCKET = "__bucket"
 
-    A version is named by the batch that makes it, so a batch that runs again after a failure writes the same version.
+
+def _dealt(frame: DataFrame, parts: int) -> DataFrame:
+    return frame.withColumn(BUCKET, F.pmod(F.xxhash64("pid"), F.lit(parts)).cast("int"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
+def _write(frame: DataFrame, table: str) -> None:
+    """Replaces the parts of the table that the frame holds, and no others."""
+    frame.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(table)
+
+
+def read_table(spark: SparkSession, table: str) -> DataFrame:
+    """The table that a stream maintains."""
+    return spark.read.parquet(table).drop(BUCKET)
+
+
+def _upserting(stream: DataFrame, table: str, checkpoint: str, step: Callable[[DataFrame, DataFrame], DataFrame], parts: int, first: DataFrame | None = None) -> StreamingQuery:
+    """Each batch brings the parts of ``table`` that hold its pids up to date; the table starts as ``first``.
+
+    ``step`` (rows so far, batch) must give the same when the batch was in already, so a batch that runs again after a
+    failure does no harm.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{table}/v{number - 1}") if number else None
-        step(before, batch).write.mode("overwrite").parquet(f"{table}/v{number}")
+        if first is not None and not _exists(spark, table):
+            _write(_dealt(first, parts), table)
+        batch = cut(_dealt(batch, parts))
+        touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # ``parts`` at most
+        before = spark.read.parquet(table).where(F.col(BUCKET).isin(touched)).select(batch.columns if first is None else [*first.columns, BUCKET]) if _exists(spark, table) else batch.limit(0)
+        _write(cut(_dealt(step(before.drop(BUCKET), batch.drop(BUCKET)), parts)), table)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_import(spark: SparkSession, incoming: str, schema: str, table: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
+def stream_import(spark: SparkSession, incoming: str, schema: str, table: str, checkpoint: str, files_per_batch: int = 1, parts: int = PARTS) -> StreamingQuery:
     """Track files are merged into the library one after another; a known pid keeps its first row."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(incoming)
-    return _upserting(stream, table, checkpoint, lambda before, batch: merge_tracks(before if before is not None else batch.limit(0), batch))
+    return _upserting(stream, table, checkpoint, merge_tracks, parts)
 
 
-def stream_enrich(spark: SparkSession, answers: str, schema: str, tracks: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Lookup answers (pid, bpm, key, label, source) land in the tracks as they come; the checkpoint resumes the work."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(answers)
+def stream_enrich(spark: SparkSession, answers: str, schema: str, tracks: DataFrame, table: str, checkpoint: str, order: tuple[str, ...] = (), parts: int = PARTS) -> StreamingQuery:
+    """Lookup answers (pid, bpm, key, label, source, and the columns ``order``) land in the tracks as they come.
 
-    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        return apply_answers(before if before is not None else tracks, batch).select(*tracks.columns)
-
-    return _upserting(stream, table, checkpoint, step)
+    The first to state a field gives it: across batches the earlier batch, within one the first by ``order``. The
+    checkpoint resumes the work.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(answers)
+    return _upserting(stream, table, checkpoint, lambda before, batch: apply_answers(before, batch, *order).select(*tracks.columns), parts, tracks)
 
 
 def stream_place(spark: SparkSession, incoming: str, schema: str, place_batch: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:

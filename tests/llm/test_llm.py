@@ -12,7 +12,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonegrid.llm import embeddings, language, licenses, quality, simhash, suffixes
-from tonegrid.llm._tables import shared_folder
 from tonegrid.llm._vec import ALNUM, NOT_SPACE, Words, covered
 from tonegrid.llm.anchors import COVERS, drop_repeated_windows
 from tonegrid.llm.components import components, local_roots
@@ -20,6 +19,7 @@ from tonegrid.llm.decontaminate import decontaminate
 from tonegrid.llm.pieces import PieceCodec, encode_pieces
 from tonegrid.llm.queries import public_tokenizer
 from tonegrid.llm.token_files import EliasFano, WordCodec, read_tokens, write_tokens
+from tonegrid.operators.lineage import shared_folder
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 ALNUMS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

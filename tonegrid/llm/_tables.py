@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,26 +13,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_crc(column: str) -> Column:
     """crc32 of the id as text; queries deal their folds by it."""
     return F.crc32(F.col(column).cast("string"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where none is set, a local session gets a temporary one; on a cluster no folder can be assumed, and that is an error.
-    """
-    context = spark.sparkContext
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(path)
-        return path.rstrip("/")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame from a reliable checkpoint in the shared folder."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()

@@ -116,6 +116,15 @@ ORACLES: dict[str, str] = {
       h AS (SELECT doc_id, item, i, x.n FROM x JOIN p ON p.s = x.s AND p.n = x.n), k AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, range(13) r(j) WHERE j < n GROUP BY 1),
       it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
       SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id""",
+    "op9_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+      e AS (SELECT doc_id, base, substring(h, 2 * base + 1, 2798) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399, 1000)) AS base FROM d)),
+      w AS (SELECT doc_id, base + j AS i, md5_number(substring(g, 2 * j + 1, 800)) AS m FROM (SELECT doc_id, base, g, unnest(range(0, least(1000, length(g) // 2 - 399))) AS j FROM e)),
+      r AS (SELECT doc_id, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+      g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT *, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 400)::INTEGER AS fresh FROM r)),
+      s AS (SELECT doc_id, span, min(i) AS lo, max(i) + 400 AS hi FROM g GROUP BY 1, 2), n AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last FROM s GROUP BY 1),
+      k AS (SELECT s.doc_id, string_agg(substring(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s) s JOIN d ON d.doc_id = s.doc_id GROUP BY 1)
+      SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE kept || substring(h, 2 * last + 1) END)) AS kept_sha256
+      FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op10_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
       x AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)), m AS (SELECT s, min(doc_id) AS least FROM x GROUP BY 1),
       g AS (SELECT DISTINCT x.doc_id, i + j AS pos FROM x JOIN m ON m.s = x.s, range(13) r(j) WHERE least < x.doc_id), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),

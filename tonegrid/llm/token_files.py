@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.llm._tables import shared_folder
 from tonegrid.llm._vec import pass_ranges
+from tonegrid.operators.lineage import shared_folder
 
 CHUNK, CHUNK_BYTES, SAMPLE = 1024, 4_000_000, 128
 #: Distinct words that a Python worker remembers, and the longest one.

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonegrid.llm._blocks import ANSWER, ASK, BLOCK, BUCKET, asked, ddl, dealt, ids_and_texts, in_order, runs_of, seen_twice, told
+from tonegrid.llm._blocks import ANSWER, ASK, BLOCK, BUCKET, asked, ddl, dealt, ids_and_texts, in_order, packed, runs_of, seen_twice, told, unpacked
 from tonegrid.llm._vec import NOT_SPACE, Words, passes, utf8
 from tonegrid.llm.components import components
 from tonegrid.llm.simhash import link
@@ -36,6 +36,8 @@ STEP = 500_000
 SKETCH = 256
 #: Pairs whose sketches are compared at a time.
 PAIRS = 1 << 15
+#: Bytes of a shingle's hash that travel with its set.
+SENT = 6
 #: Sets that are compared with one set in one task.
 MEMBERS = 256
 
@@ -150,16 +152,16 @@ def _pairs_between_parts(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, component_id) of each row of ``docs`` (doc_id: long, text: string) with an id.
+def keep_first_of_near(docs: DataFrame, keep: list[str], words: int = WORDS) -> DataFrame:
+    """The columns ``keep`` of the rows of ``docs`` (doc_id: long, text: string) that are first of their component.
 
-    component_id: the smallest doc_id reachable over links between texts whose sets of ``words``-word shingles have a
-    Jaccard similarity of 0.8 or more, itself included. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Texts
-    without words, null too, are alike; rows of one doc_id link what their texts link. Sets and shingles are told apart
-    by 64-bit hashes. An empty table gives none; further columns play no part.
+    A component joins documents over links between texts whose sets of ``words``-word shingles have a Jaccard similarity
+    of 0.8 or more; the smallest doc_id stays. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Texts without
+    words, null too, are alike. Rows without an id stay, and link nothing; rows of one doc_id link what their texts link,
+    and go together. Sets and shingles are told apart by 64-bit hashes, of which 48 bits travel with a set. Texts are
+    exchanged once, into blocks that every later pass reads again.
     """
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    blocks, buckets = dealt(docs, ["doc_id", "text"])
+    blocks, buckets = dealt(docs, list(dict.fromkeys([*keep, "doc_id", "text"])))
 
     def name(batches):
         for batch in batches:
@@ -170,11 +172,11 @@ def near_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 cols = [part["doc_id"], part[BLOCK], pa.array(map(name_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary()), pa.array(map(set_print, sets), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", BLOCK, "node", "size", "sketch", "fp"])
 
-    named = cut(blocks.mapInArrow(name, f"doc_id long, {BLOCK} int, node long, size int, sketch binary, fp long"))
+    named = cut(blocks.where("doc_id is not null").select("doc_id", "text", BLOCK).mapInArrow(name, f"doc_id long, {BLOCK} int, node long, size int, sketch binary, fp long"))
     first = F.min(F.struct("doc_id", BLOCK)).alias("first")
     nodes = cut(named.groupBy("node").agg(first, F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"), F.any_value("fp").alias("fp")).select("node", "first.*", "size", "sketch", "fp"))
 
-    rank_of = _ranks(docs, words, max(1, nodes.count() // SAMPLE))
+    rank_of = _ranks(docs.where("doc_id is not null"), words, max(1, nodes.count() // SAMPLE))
     held = docs.sparkSession.sparkContext.broadcast(rank_of)  # RANKED shingles at most
 
     def own_sets(table: pa.Table, ids: set[int], names: set[int]) -> dict[int, np.ndarray]:
@@ -232,13 +234,13 @@ def near_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         if not len(table) or not len(wanted):
             return _SHIP.empty_table()
         sets = own_sets(table, set(wanted["doc_id"].to_pylist()), set(wanted["node"].to_pylist()))
-        return pa.table([wanted["a"], wanted["b"], wanted["salt"], pa.array([sets[n].tobytes() for n in wanted["node"].to_pylist()], pa.binary())], schema=_SHIP)
+        return pa.table([wanted["a"], wanted["b"], wanted["salt"], pa.array([packed(sets[n], SENT) for n in wanted["node"].to_pylist()], pa.binary())], schema=_SHIP)
 
     def decide(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table.select(["a", "salt", "b"]), sort_keys=[("a", "ascending"), ("salt", "ascending"), ("b", "ascending")], null_placement="at_start"))
         hits, center = [], None
         for a, b, s in zip(*(table[c].to_pylist() for c in ("a", "b", "set")), strict=True):
-            s = np.frombuffer(s, np.uint64)
+            s = unpacked(s, SENT)
             if b is None:
                 center = s
             elif (OF + SHARED) * len(np.intersect1d(center, s, assume_unique=True)) >= SHARED * (len(center) + len(s)):
@@ -280,7 +282,15 @@ def near_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = components(links.unionByName(verified(cut(others.select("a", "b").unionByName(more)))))
     whole = cut(nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("part")))
     smallest = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return named.join(whole.select("node", "part").join(smallest, "part"), "node").select("doc_id", "component_id")
+    later = named.select("doc_id", "node").join(whole.select("node", "part").join(smallest, "part"), "node").where("doc_id <> component_id").select("doc_id").distinct()
+    gone = named.select("doc_id", BLOCK).distinct().join(later, "doc_id")
+
+    def first_ones(table: pa.Table, gone: pa.Table) -> pa.Table:
+        stays = pc.fill_null(pc.invert(pc.is_in(table["doc_id"], gone["doc_id"].combine_chunks())), True)
+        return table.select(keep).filter(stays)
+
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return blocks.groupBy(BLOCK).cogroup(gone.groupBy(BLOCK)).applyInArrow(first_ones, ", ".join(f"`{c}` {fields[c]}" for c in keep))
 
 
 def _ranks(docs: DataFrame, words: int, modulus: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ from tonegrid.llm.decontaminate import decontaminate
 from tonegrid.llm.pieces import encode_pieces
 from tonegrid.llm.quality import fit_quality, score_quality
 from tonegrid.llm.queries import public_tokenizer
-from tonegrid.llm.shingles import near_sets
+from tonegrid.llm.shingles import keep_first_of_near
 from tonegrid.operators.lineage import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,8 +41,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     the sets decide. Null, empty and blank texts are alike. Rows without an id stay, and link nothing; rows that repeat
     an id stay or go together. Further columns of ``docs`` are dropped.
     """
-    gone = near_sets(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    return keep_first_of_near(docs, COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,8 +141,10 @@ def test_every_language_is_learned(spark, monkeypatch):
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_embeddings_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("many", [10**9, 20])
+def test_embeddings_against_all_pairs(spark, monkeypatch, many):
     monkeypatch.setattr(embeddings, "TILE", 16)
+    monkeypatch.setattr(embeddings, "MANY", many)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(25, 12))
     rows = []

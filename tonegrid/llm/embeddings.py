@@ -1,8 +1,9 @@
 """Embedding near-dedup by PCA-ordered tiled comparison.
 
 Vectors are scaled to length one and turned into the axes of the corpus's principal components, largest first. Two
-unit vectors with cosine >= t differ by at most sqrt(2 - 2t) on the first axis, so slabs of that width only meet their
-neighbours; slabs are dealt into tiles of bounded size, and each pair of tiles is one group. Inside it, products
+unit vectors with cosine >= t differ by at most sqrt(2 - 2t) on each axis, so slabs of that width on the first axis, and
+on the second one too for a label of many vectors, only meet their neighbours; what falls into one is dealt into tiles
+of bounded size, and each pair of tiles is one group. Inside it, products
 accumulate over the leading axes; the product of the remaining norms bounds what is left, and rows, columns and at last
 pairs that cannot reach the threshold drop out. Those left are decided by the cosine of the vectors as given, in double
 precision.
@@ -27,6 +28,8 @@ TILE, STEP = 1024, 8
 #: Vectors of the most frequent sizes are turned into principal axes, whose squares hold so many numbers at most; those of
 #: other sizes are compared along their own axes, which is as exact.
 TURNED = 4_000_000
+#: Vectors of a label from which the second axis has slabs too.
+MANY = 32 * TILE
 #: Share of pairs alive under which pairs are decided one by one.
 SPARSE = 0.02
 
@@ -124,20 +127,24 @@ def _links(distinct: DataFrame, threshold: float) -> DataFrame:
     sizes = [r[0] for r in counts.where(F.col("held") <= TURNED).collect()]
     axes = principal_axes(distinct, "v", sizes) if sizes else {}
     width = max(1e-6, math.sqrt(max(0.0, 2 - 2 * threshold))) * (1 + 1e-9) + 1e-9
-    first = {n: x[:, 0] for n, x in axes.items()}
+    two = {n: x[:, :2] for n, x in axes.items()}
 
     def slab(batches):
         for batch in batches:
-            at = np.zeros(len(batch), np.int32)
+            at = np.zeros((len(batch), 2), np.int32)
             for n, rows in by_size(batch["v"]).items():
                 x = matrix(batch["v"].take(pa.array(rows)))
-                at[rows] = np.floor((x @ first[n] if n in first else x[:, 0]) / np.linalg.norm(x, axis=1) / width)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "slab"])
+                lead = x @ two[n] if n in two else x[:, :2]
+                at[rows, : lead.shape[1]] = np.floor(lead / np.linalg.norm(x, axis=1, keepdims=True) / width)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, at.T)], names=[*batch.schema.names, "one", "two"])
 
     # only vectors of one size meet
-    placed = distinct.select("node", "copies", F.xxhash64("label", "size").alias("label"), "v").mapInArrow(slab, "node long, copies long, label long, v array<double>, slab int")
+    placed = distinct.select("node", "copies", F.xxhash64("label", "size").alias("label"), "v").mapInArrow(slab, "node long, copies long, label long, v array<double>, one int, two int")
+    many = placed.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("label", F.lit(True).alias("many"))
+    placed = placed.join(many, "label", "left").withColumn("slab", F.struct("one", F.when(F.col("many"), F.col("two")).otherwise(0).alias("two"))).drop("one", "two", "many")
     tiles = placed.groupBy("label", "slab").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    near = tiles.select("label", F.col("tiles").alias("n"), F.explode(F.array(F.col("slab") - 1, "slab", F.col("slab") + 1)).alias("slab"), F.col("slab").alias("other"))
+    around = F.array(*(F.struct((F.col("slab.one") + i).alias("one"), (F.col("slab.two") + j).alias("two")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    near = tiles.select("label", F.col("tiles").alias("n"), F.explode(around).alias("slab"), F.col("slab").alias("other"))
     near = near.groupBy("label", "slab").agg(F.collect_list(F.struct("other", "n")).alias("near"), F.max(F.when(F.col("slab") == F.col("other"), F.col("n"))).alias("own"))
     spread = placed.join(near.where("own is not null"), ["label", "slab"]).withColumn("tile", F.pmod("node", "own").cast("int"))
     spread = spread.select("node", "copies", "label", "v", "slab", "tile", F.explode("near").alias("o"))
@@ -150,7 +157,7 @@ def _links(distinct: DataFrame, threshold: float) -> DataFrame:
         node, copies, x = pair["node"].to_numpy(), pair["copies"].to_numpy(), matrix(pair["v"])
         y = (x @ axes[x.shape[1]] if x.shape[1] in axes else x) / np.linalg.norm(x, axis=1, keepdims=True)
         second = pair["second"].to_numpy()
-        within = (pair["s1"][0], pair["t1"][0]) == (pair["s2"][0], pair["t2"][0])
+        within = (pair["s1"][0].as_py(), pair["t1"][0]) == (pair["s2"][0].as_py(), pair["t2"][0])
         p = np.flatnonzero(~second)
         q = p if within else np.flatnonzero(second)
         i, j = reach(y[p], y[q], x[p], x[q], threshold)

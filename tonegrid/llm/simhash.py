@@ -3,7 +3,8 @@
 A fingerprint of 64 bits is cut into 2 * max_bits + 1 segments on a ring. If two fingerprints differ in at most
 ``max_bits`` bits, then from some segment on every chain of l consecutive segments differs in at most
 floor(l * max_bits / segments) bits; so its first two segments agree. Fingerprints meet where two consecutive segments
-agree, the rest of the chain is checked against its budgets, and the full Hamming distance decides.
+agree, the rest of the chain is checked against its budgets, and the full Hamming distance decides. Some chain of any
+pair passes, so a group need only link the pairs whose chain starts at its own segment.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def link(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 order = np.argsort(ids)
                 fps, ids = fps[order], ids[order]
                 left, right = _near(fps, max_bits)
-                if len(fps) <= GROUP and len(left):  # a larger group has looked up only what the full check admits
+                if len(left):
                     ok = _chain(fps[left], fps[right], ring, start, max_bits)
                     left, right = left[ok], right[ok]
                 if len(left):

@@ -322,10 +322,10 @@ def _xml(spark, sf) -> str:
     return out
 
 
-@register("xml_tracks_read_back", f"""SELECT row_idx AS track_id, name || ' & "<more>"' AS name, artist, genre, year, CAST(duration_ms AS BIGINT) AS duration_ms, bpm, key, label, DATE '2024-05-06' AS date_added, 'file://localhost{sinks.SYNTHETIC}' || {_ENCODED} AS location FROM tracks""", ("tracks",))
+@register("xml_tracks_read_back", f"""SELECT row_idx AS track_id, name || ' & "<more>"' AS name, artist, genre, year, CAST(duration_ms AS BIGINT) AS duration_ms, bpm, key, CASE WHEN artist IS NULL THEN label END AS label, CASE WHEN bpm IS NOT NULL THEN 1.0 END::DOUBLE AS bpm_confidence, CASE WHEN key IS NOT NULL THEN 'rekordbox' END AS source_key, '{sinks.SYNTHETIC}' || pid AS path, DATE '2024-05-06' AS date_added, 'file://localhost{sinks.SYNTHETIC}' || {_ENCODED} AS location FROM tracks""", ("tracks",))
 def xml_tracks_read_back(spark, sf):
-    """The whole library written as one XML document and read again."""
-    return readers.read_xml_tracks(spark, f"{_xml(spark, sf)}/*.txt").select("track_id", "name", "artist", "genre", "year", "duration_ms", "bpm", "key", "label", "date_added", "location")
+    """The whole library written as one XML document and read again; a label that is the artist's own name is none."""
+    return readers.read_xml_tracks(spark, f"{_xml(spark, sf)}/*.txt").select("track_id", "name", "artist", "genre", "year", "duration_ms", "bpm", "key", "label", "bpm_confidence", "source_key", "path", "date_added", "location")
 
 
 @register("xml_playlists_read_back", "SELECT playlist, CAST(0 AS INTEGER) AS key_type, CAST(row_idx AS STRING) AS key, row_number() OVER (PARTITION BY playlist ORDER BY row_idx) - 1 AS pos FROM memberships m JOIN tracks t ON m.pid = t.pid", ("tracks", "memberships"))
@@ -347,6 +347,14 @@ def text_export_read_back(spark, sf):
     return readers.read_text_export(spark, f"{out}/*.csv", "UTF-8").select("name", "by", "tempo", "camelot", "duration_ms", "added")
 
 
+@register("text_export_report", "SELECT count(*) AS declared, count(*) FILTER (row_idx % 9 <> 0) AS parsed, count(*) FILTER (row_idx % 9 = 0) AS skipped FROM tracks", ("tracks",))
+def text_export_report(spark, sf):
+    out = new_folder(spark, "exports")
+    rows = tracks_of(spark, sf).select(*(F.when(F.col("row_idx") % 9 != 0, F.col("name")).alias(c) if c == "Track Title" else F.lit("-").alias(c) for c in readers.TEXT_COLUMNS))
+    sinks.write_text_export(rows, out)
+    return readers.text_export_report(spark, f"{out}/*.csv", "UTF-8")
+
+
 @register("library_read_back", "SELECT pid, name, collection FROM tracks WHERE collection = 'c2'", ("tracks",))
 def library_read_back(spark, sf):
     out = new_folder(spark, "exports")

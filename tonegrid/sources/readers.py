@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import plistlib
 import xml.etree.ElementTree as ET
+from datetime import datetime
 from io import BytesIO
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegrid.functions.music import half_up, to_camelot
-from tonegrid.functions.text import clock_ms, day, path_segments
+from tonegrid.functions.text import canonical_label, clock_ms, day, decode_location, path_segments
 
 # Columns of a text export, audio extensions, depth and number of listed files.
 TEXT_COLUMNS = ("#", "Artwork", "Track Title", "Artist", "Album", "Genre", "BPM", "Rating", "Time", "Key", "Date Added")
@@ -34,16 +35,26 @@ def route(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_xml_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """Tracks of XML exports; references in playlists carry a key and no name, and are left out."""
+    """Tracks of XML exports; references in playlists carry a key and no name, and are left out.
+
+    Tempo and key are the user's own analysis: confidence 1, source ``rekordbox``. ``path`` is the decoded location.
+    """
     rows = spark.read.format("xml").option("rowTag", "TRACK").schema(_XML_TRACK).load(path)
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
     positive = lambda c, t: F.when(F.col(c).try_cast(t) > 0, F.col(c).try_cast(t))
-    return rows.where("_TrackID is not null and _Name is not null and _Name <> ''").select(
+    found = rows.where("_TrackID is not null and _Name is not null and _Name <> ''").select(
         F.col("_TrackID").try_cast("long").alias("track_id"), F.col("_Name").alias("name"), text("_Artist").alias("artist"), text("_Album").alias("album"), text("_Genre").alias("genre"),
         positive("_Year", "int").alias("year"), half_up(F.coalesce(positive("_TotalTime", "double"), F.lit(0.0)) * 1000).cast("long").alias("duration_ms"), positive("_AverageBpm", "double").alias("bpm"),
-        to_camelot(F.col("_Tonality")).alias("key"), F.try_to_date("_DateAdded", "yyyy-MM-dd").alias("date_added"), text("_Location").alias("location"), text("_Label").alias("label"),
-        F.when(text("_Remixer").isNotNull(), F.array("_Remixer")).alias("tags"),
+        to_camelot(F.col("_Tonality")).alias("key"), F.try_to_date("_DateAdded", "yyyy-MM-dd").alias("date_added"), text("_Location").alias("location"), decode_location(text("_Location")).alias("path"),
+        canonical_label(text("_Label"), text("_Artist")).alias("label"), F.when(text("_Remixer").isNotNull(), F.array("_Remixer")).alias("tags"),
     )
+    return _with_origin(found, ("bpm", "key", "label"), ("bpm", "key"), "rekordbox")
+
+
+def _with_origin(tracks: DataFrame, fields: tuple[str, ...], sure: tuple[str, ...], source: str) -> DataFrame:
+    """Where the fields came from, and full confidence in some of them."""
+    origin = {f"source_{c}": F.when(F.col(c).isNotNull(), source) for c in fields}
+    return tracks.withColumns(origin | {f"{c}_confidence": F.when(F.col(c).isNotNull(), 1.0) for c in sure})
 
 
 def _documents(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
@@ -78,14 +89,15 @@ def read_xml_playlists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_plist_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """Tracks with a persistent id, a track id and a name."""
+    """Tracks with a persistent id, a track id and a name; a tempo is the file's own, with confidence 1."""
 
     def parse(content: bytes):
         for t in plistlib.loads(content).get("Tracks", {}).values():
             if t.get("Persistent ID") and t.get("Track ID") and t.get("Name"):
-                yield {"pid": t["Persistent ID"], "track_id": int(t["Track ID"]), "name": t["Name"], "artist": t.get("Artist"), "album": t.get("Album"), "genre": t.get("Genre"), "year": t.get("Year") or None, "duration_ms": int(t.get("Total Time", 0)), "bpm": float(t["BPM"]) if t.get("BPM") else None, "location": t.get("Location")}
+                yield {"pid": t["Persistent ID"], "track_id": int(t["Track ID"]), "name": t["Name"], "artist": t.get("Artist"), "album": t.get("Album"), "genre": t.get("Genre"), "year": t.get("Year") or None, "duration_ms": int(t.get("Total Time", 0)), "bpm": float(t["BPM"]) if t.get("BPM") else None, "location": t.get("Location"), "date_added": t.get("Date Added") if isinstance(t.get("Date Added"), datetime) else None}
 
-    return _documents(spark, path, parse, "file string, pid string, track_id long, name string, artist string, album string, genre string, year double, duration_ms long, bpm double, location string").withColumn("year", F.col("year").cast("int"))
+    found = _documents(spark, path, parse, "file string, pid string, track_id long, name string, artist string, album string, genre string, year double, duration_ms long, bpm double, location string, date_added timestamp").withColumn("year", F.col("year").cast("int"))
+    return _with_origin(found, ("bpm",), ("bpm",), "file")
 
 
 def read_plist_playlists(spark: SparkSession, path: str) -> DataFrame:
@@ -100,12 +112,22 @@ def read_plist_playlists(spark: SparkSession, path: str) -> DataFrame:
     return _documents(spark, path, parse, "file string, playlist string, list_pos long, master boolean, distinguished double, smart boolean, track_id double, pos long").withColumn("track_id", F.col("track_id").cast("long")).withColumn("distinguished", F.col("distinguished").cast("long"))
 
 
-def read_text_export(spark: SparkSession, path: str, encoding: str = "UTF-16") -> DataFrame:
-    """Rows of a text export, numbered; a missing column is an error, a row without title is left out."""
+def text_export_report(spark: SparkSession, path: str, encoding: str = "UTF-16") -> DataFrame:
+    """(declared, parsed, skipped) rows of a text export; those without title are skipped."""
+    titled = F.coalesce(F.trim("`Track Title`") != "", F.lit(False))
+    return _text_rows(spark, path, encoding).agg(F.count("*").alias("declared"), F.count_if(titled).alias("parsed"), F.count_if(~titled).alias("skipped"))
+
+
+def _text_rows(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     rows = spark.read.csv(path, sep="\t", header=True, encoding=encoding, multiLine=True, quote="")
     if missing := set(TEXT_COLUMNS) - set(rows.columns):
         raise ValueError(f"columns are missing: {', '.join(sorted(missing))}")
-    rows = rows.withColumn("line", F.monotonically_increasing_id())
+    return rows
+
+
+def read_text_export(spark: SparkSession, path: str, encoding: str = "UTF-16") -> DataFrame:
+    """Rows of a text export, numbered; a missing column is an error, a row without title is left out."""
+    rows = _text_rows(spark, path, encoding).withColumn("line", F.monotonically_increasing_id())
     text = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
     return rows.where(text("Track Title").isNotNull()).select(
         "line", *(F.col(f"`{c}`") for c in TEXT_COLUMNS), text("Track Title").alias("name"), text("Artist").alias("by"), F.when(text("BPM").try_cast("double") > 0, text("BPM").try_cast("double")).alias("tempo"),

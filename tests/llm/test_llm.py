@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonegrid.llm import embeddings, language, licenses, quality, simhash, suffixes
-from tonegrid.llm._vec import ALNUM, NOT_SPACE, Words, covered
+from tonegrid.llm._vec import ALNUM, NOT_SPACE, PASS_BYTES, Words, covered
 from tonegrid.llm.anchors import COVERS, drop_repeated_windows
 from tonegrid.llm.components import components, local_roots
 from tonegrid.llm.decontaminate import decontaminate
@@ -118,6 +118,9 @@ def test_language(spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = language.fit_language(docs, ~held, 50)
     assert [f for f, _ in model.families] == ["germanic", "romance"]
+    twice = docs.unionByName(docs.where("doc_id in (5, 300)"))
+    again = [r.lang_pred for i in (5, 300) for r in language.identify(twice, model, ["doc_id"]).where(f"doc_id = {i}").collect()]
+    assert len(again) == 4 and again[0] == again[1] and again[2:] == ["und", "und"]
     got = {r.doc_id: r for r in language.identify(docs.withColumn("held", held), model, ["doc_id", "lang", "held", "score"]).collect()}
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got.values())
     assert np.mean([r.lang_pred == r.lang for r in got.values() if r.held and r.doc_id < 300]) > 0.97
@@ -387,6 +390,8 @@ def test_quality(spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     model = quality.fit_quality(docs, marks, ~held)
     got = {r.doc_id: r for r in quality.score_quality(docs.withColumn("held", held), model, ["doc_id", "held"]).collect()}
+    for i in (4, 901):
+        assert [r.score for r in quality.score_quality(docs.unionByName(docs), model, ["doc_id"]).where(f"doc_id = {i}").collect()] == [got[i].score] * 2
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
     truth = dict(labels)
     assert np.mean([(got[i].score > 0.5) == bool(truth[i]) for i in truth if got[i].held]) > 0.95
@@ -517,3 +522,41 @@ def test_words_that_defeat_polynomial_hashes(spark):
             rows.append((len(rows), " ".join([*line[:6], thue_morse(n, x), *line[6:]])))
     got = drop_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).select("doc_id", "n_removed")
     assert collected(got) == [(i, 13 if i % 3 == 2 else 0) for i in sorted(range(len(rows)), key=lambda i: repr((i,)))]
+
+
+# --- all -------------------------------------------------------------------------------------------------------------
+
+
+def test_texts_longer_than_a_pass(spark):
+    """Two texts of over 2 MB, one of them twice, beside short ones: every operator takes them whole."""
+    rng = random.Random(21)
+    stock = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(stock) for _ in range(380_000)) + "\nunder the MIT license"
+    other = "Under The MIT license\n" + " ".join(rng.choice(stock) for _ in range(380_000))
+    rows = [(1, long), (2, "short text"), (3, long), (4, other), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert len(long) > PASS_BYTES
+    words = {i: (t or "").split() for i, t in rows}
+    use = PieceCodec(public_tokenizer("piece_bpe_32k.model"))
+    for r in encode_pieces(docs, public_tokenizer("piece_bpe_32k.model"), ["doc_id"], ids=False, decoded=False).collect():
+        assert r.n_tokens == len(use.library.encode(dict(rows)[r.doc_id] or "", add_bos=True, add_eos=True))
+    assert language.identify(docs, language.fit_language(docs.withColumn("lang", F.lit("en")), F.lit(True)), ["doc_id"]).where("lang_pred = 'en'").count() == 4
+    prints = {r.doc_id: r.fingerprint for r in simhash.near_duplicates(docs).collect()}
+    assert prints[1] == prints[3] != prints[4] and prints[4] == f"{simhash.fingerprint(other.encode()):016x}"
+    licensed = {r.doc_id: (r.n_words, r.first_word, r.last_word) for r in licenses.scan_licenses(docs, ["doc_id"]).collect()}
+    assert licensed[1] == (380_004, 380_000, 380_000) and licensed[4] == (380_004, 0, 0) and licensed[5] == (0, None, None)
+    bench = spark.createDataFrame([("x", " ".join(words[4][-13:])), ("y", other)], "item_id string, text string")
+    hits = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate(docs, bench, ["doc_id"]).collect()}
+    assert hits[4] == (380_004, 2) and hits[2] == (0, 0)
+    path = f"{shared_folder(spark)}/long-tokens"
+    write_tokens(docs, path, public_tokenizer("word_bpe_49k.json"), 2)
+    library = WordCodec(public_tokenizer("word_bpe_49k.json")).library
+    for r in read_tokens(spark, path).collect():
+        assert r.ids == [*library.encode(dict(rows)[r.doc_id] or "", add_special_tokens=False).ids, 2]
+    repeats = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.mark_repeats(docs, ["doc_id"], 400, False, digest=True).collect()}
+    assert repeats == {1: (len(long),) * 2, 2: (10, 0), 3: (len(long),) * 2, 4: (len(other), 0), 5: (0, 0)}
+    removed = {r.doc_id: r.n_removed for r in drop_repeated_windows(docs, ["doc_id"], digest=True).collect()}
+    assert removed == {1: 0, 2: 0, 3: len(words[3]), 4: 0, 5: 0}
+    model = quality.fit_quality(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), F.lit(True))
+    scores = {r.doc_id: r.score for r in quality.score_quality(docs, model, ["doc_id"]).collect()}
+    assert scores[1] == scores[3] and all(0 <= x <= 1 for x in scores.values())

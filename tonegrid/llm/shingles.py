@@ -38,6 +38,8 @@ SKETCH = 256
 PAIRS = 1 << 15
 #: Bytes of a shingle's hash that travel with its set.
 SENT = 6
+#: Values that ids are hashed to, for a filter of bounded size before texts are exchanged.
+HASHES = 1 << 20
 #: Sets that are compared with one set in one task.
 MEMBERS = 256
 
@@ -158,10 +160,10 @@ def keep_first_of_near(docs: DataFrame, keep: list[str], words: int = WORDS) ->
     A component joins documents over links between texts whose sets of ``words``-word shingles have a Jaccard similarity
     of 0.8 or more; the smallest doc_id stays. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Texts without
     words, null too, are alike. Rows without an id stay, and link nothing; rows of one doc_id link what their texts link,
-    and go together. Sets and shingles are told apart by 64-bit hashes, of which 48 bits travel with a set. Texts are
-    exchanged once, into blocks that every later pass reads again.
+    and go together. Sets and shingles are told apart by 64-bit hashes, of which 48 bits travel with a set. All texts are
+    exchanged once; later on, only those whose id falls on one of HASHES values in demand.
     """
-    blocks, buckets = dealt(docs, list(dict.fromkeys([*keep, "doc_id", "text"])))
+    blocks, buckets = dealt(docs, ["doc_id", "text"])
 
     def name(batches):
         for batch in batches:
@@ -247,6 +249,9 @@ def keep_first_of_near(docs: DataFrame, keep: list[str], words: int = WORDS) ->
                 hits.append((a, b))
         return pa.table([[a for a, _ in hits], [b for _, b in hits]], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
+    hash_of = lambda c: F.pmod(F.xxhash64(c), F.lit(HASHES))
+    in_demand = lambda f: F.broadcast(f.select(hash_of("doc_id").alias("hash")).distinct())  # noqa: E731  HASHES rows at most
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose sets reach the similarity: a set travels to each set that it is compared with, MEMBERS at most in one place."""
         pairs = pairs.select("a", "b")
@@ -254,8 +259,9 @@ def keep_first_of_near(docs: DataFrame, keep: list[str], words: int = WORDS) ->
         home = nodes.select("node", BLOCK, "doc_id")
         b_side = pairs.join(slices, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int")).withColumn("node", F.col("b"))
         a_side = slices.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("salt"), F.col("a").alias("node"))
-        wanted = b_side.select("a", "b", "salt", "node").unionByName(a_side).join(home, "node")
-        shipped = blocks.groupBy(BLOCK).cogroup(wanted.groupBy(BLOCK)).applyInArrow(ship, ddl(_SHIP))
+        wanted = cut(b_side.select("a", "b", "salt", "node").unionByName(a_side).join(home, "node"))
+        some = blocks.select("doc_id", "text", BLOCK).join(in_demand(wanted), hash_of("doc_id") == F.col("hash"), "left_semi")
+        shipped = some.groupBy(BLOCK).cogroup(wanted.groupBy(BLOCK)).applyInArrow(ship, ddl(_SHIP))
         return shipped.groupBy(F.pmod(F.xxhash64("a", "salt"), F.lit(buckets))).applyInArrow(decide, "a long, b long")
 
     # every set of a shingle's group with the smallest one, and what SimHash proposes
@@ -282,15 +288,11 @@ def keep_first_of_near(docs: DataFrame, keep: list[str], words: int = WORDS) ->
     found = components(links.unionByName(verified(cut(others.select("a", "b").unionByName(more)))))
     whole = cut(nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("part")))
     smallest = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    later = named.select("doc_id", "node").join(whole.select("node", "part").join(smallest, "part"), "node").where("doc_id <> component_id").select("doc_id").distinct()
-    gone = named.select("doc_id", BLOCK).distinct().join(later, "doc_id")
-
-    def first_ones(table: pa.Table, gone: pa.Table) -> pa.Table:
-        stays = pc.fill_null(pc.invert(pc.is_in(table["doc_id"], gone["doc_id"].combine_chunks())), True)
-        return table.select(keep).filter(stays)
-
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return blocks.groupBy(BLOCK).cogroup(gone.groupBy(BLOCK)).applyInArrow(first_ones, ", ".join(f"`{c}` {fields[c]}" for c in keep))
+    gone = cut(named.select("doc_id", "node").join(whole.select("node", "part").join(smallest, "part"), "node").where("doc_id <> component_id").select("doc_id").distinct())
+    rows = docs.select(*dict.fromkeys([*keep, "doc_id"]))
+    sure = rows.join(in_demand(gone), hash_of("doc_id") == F.col("hash"), "left_anti")
+    doubtful = rows.join(in_demand(gone), hash_of("doc_id") == F.col("hash"), "left_semi").join(gone, "doc_id", "left_anti")
+    return sure.select(keep).unionByName(doubtful.select(keep))
 
 
 def _ranks(docs: DataFrame, words: int, modulus: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,8 +1,7 @@
-"""The DuckDB statements reach the end of long texts, items and paths."""
+"""The DuckDB statements reach the end of deep paths."""
 
 import duckdb
 
-from tonegrid.llm.queries import ORACLES as LLM
 from tonegrid.plans.queries import ORACLES as CORE
 
 
@@ -15,17 +14,6 @@ def answer(sql, **tables):
     return [dict(zip([c[0] for c in found.description], r, strict=True)) for r in found.fetchall()]
 
 
-def test_license_places_in_long_texts():
-    (row,) = answer(LLM["op5_license_scan"], documents=("doc_id BIGINT, text VARCHAR", [(1, "w " * 30_500 + "under the MIT License")]))
-    assert (row["n_base"], row["first_word"], row["base_labels"]) == (1, 30_500, "mit")
-
-
-def test_windows_of_long_items():
-    item = [f"w{i}" for i in range(3200)]
-    (row,) = answer(LLM["op6_decontaminate"], documents=("doc_id BIGINT, text VARCHAR", [(1, " ".join(item[3100:3120]))]), benchmark=("item_id BIGINT, text VARCHAR", [(7, " ".join(item))]))
-    assert (row["n_hit"], row["n_items"], row["contaminated"]) == (20, 1, True)
-
-
 def test_depth_of_deep_paths():
     deep = "/".join(f"d{i}" for i in range(40))
     rows = answer(CORE["resolve_files"], pages=("page_id BIGINT, url VARCHAR", [(1, f"x/{deep}"), (2, f"y/{deep}")]))

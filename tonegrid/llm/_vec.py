@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -191,6 +192,13 @@ def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     return np.cumsum(step)[:-1] > 0
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system, where the C library can; idle workers then hold little."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A batch with these columns, in the order of the schema."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)

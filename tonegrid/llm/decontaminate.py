@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonegrid.llm._blocks import runs_of
-from tonegrid.llm._vec import ALNUM, Words, covered, mix, passes, rows, utf8
+from tonegrid.llm._vec import ALNUM, Words, covered, mix, passes, release, rows, utf8
 from tonegrid.operators.lineage import cut
 
 WINDOW = 13
@@ -192,6 +192,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], window
                     added = _DIGEST if last else [("hit_words", pa.binary()), ("hit_items", pa.list_(pa.string()))]
                     schema = pa.schema([*(batch.schema.field(c) for c in names), *(pa.field(*x) for x in added)])
                 yield from _scan([batch], schema, ids, classes, carried, last)
+            release()
 
         out = out.mapInArrow(run, schema)
         if not last:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tonegrid.llm._vec import pass_ranges, rows
+from tonegrid.llm._vec import pass_ranges, release, rows
 
 SPACE = "▁"
 #: A pair that is no piece comes after all others.
@@ -29,7 +29,7 @@ NEVER = 1 << 30
 #: Longest pre-token whose agenda advances with the others.
 TOGETHER = 64
 #: Distinct pre-tokens, and words, that a Python worker remembers, and the longest one that it does.
-CACHE_WORDS, CACHE_CHARS = 200_000, 48
+CACHE_WORDS, CACHE_CHARS = 100_000, 48
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -291,7 +291,7 @@ def codec(path: str) -> PieceCodec:
 
 
 #: Bytes of text that are encoded at a time.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 def encode_pieces(docs: DataFrame, model: str, keep: list[str], ids: bool = True, decoded: bool = True) -> DataFrame:
@@ -322,6 +322,7 @@ def encode_pieces(docs: DataFrame, model: str, keep: list[str], ids: bool = True
                 if decoded:
                     new["decoded"] = [x.decode() for x in text]
                 yield rows(schema, **{c: part[c] for c in keep}, **new)
+        release()
 
     fields = {f.name: f for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep), *(f"{c} {t}" for c, t in added)])

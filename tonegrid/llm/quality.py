@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonegrid.llm._vec import Rolling, byte_table, flatten, mix, passes, rows, utf8
+from tonegrid.llm._vec import Rolling, byte_table, flatten, mix, passes, release, rows, utf8
 
 #: Word buckets, dimensions, non-zero entries of an index vector, and neighbours on each side.
 BUCKETS, DIMENSIONS, ENTRIES, NEIGHBOURS = 4096, 48, 2, 2
@@ -71,6 +71,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                         for e in range(ENTRIES):
                             total += np.bincount(bucket[here] * DIMENSIONS + at[bucket[there], e], sign[bucket[there], e], len(total))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+        release()
 
     parts = docs.select("text").mapInArrow(run, "sums binary")
     add = lambda a, b: a + b
@@ -196,6 +197,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str], accept:
             for lo, hi in passes(texts, PASS_BYTES):
                 score = held.value.scores(texts[lo:hi])
                 yield rows(schema, **{c: batch[c].slice(lo, hi - lo) for c in keep}, score=score, predicted=(score >= accept).astype(np.int32))
+        release()
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{c}` {fields[c]}" for c in keep), "score double, predicted int"]))

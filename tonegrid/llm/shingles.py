@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegrid.llm._blocks import ANSWER, ASK, BLOCK, BUCKET, asked, ddl, dealt, ids_and_texts, in_order, packed, runs_of, seen_twice, told, unpacked
-from tonegrid.llm._vec import NOT_SPACE, Words, passes, utf8
+from tonegrid.llm._vec import NOT_SPACE, Words, passes, release, utf8
 from tonegrid.llm.components import components
 from tonegrid.llm.simhash import link
 from tonegrid.operators.lineage import cut
@@ -29,13 +29,13 @@ WORDS, SHARED, OF = 5, 4, 5
 #: The texts of about so many distinct sets tell which shingles are frequent (LEAST times or more); so many are ranked.
 SAMPLE, LEAST, RANKED = 4096, 3, 50_000
 #: Pairs of places of a group that are compared at a time.
-TABLE = 4_000_000
+TABLE = 500_000
 #: Bytes of text whose sets a task holds at a time.
 STEP = 500_000
 #: Fewest bits of a sketch; it has a bit for each shingle at least.
 SKETCH = 256
-#: Pairs whose sketches are compared at a time.
-PAIRS = 1 << 15
+#: Words of 64 bits of the sketches that are compared at a time.
+COMPARED = 500_000
 #: Bytes of a shingle's hash that travel with its set.
 SENT = 6
 #: Values that ids are hashed to, for a filter of bounded size before texts are exchanged.
@@ -105,11 +105,14 @@ class Sketches:
     def differ(self, at: np.ndarray, other: Sketches, there: np.ndarray) -> np.ndarray:
         """For pairs of places here and there: the bits in which they differ, the longer one folded."""
         out = np.zeros(len(at), np.int64)
-        for lo in range(0, len(at), PAIRS):
-            u, v = at[lo : lo + PAIRS], there[lo : lo + PAIRS]
-            for m, n in {*zip(self.size[u].tolist(), other.size[v].tolist(), strict=True)}:
-                i = np.flatnonzero((self.size[u] == m) & (other.size[v] == n))
-                out[lo + i] = np.bitwise_count(self._of(u[i], m, min(m, n)) ^ other._of(v[i], n, min(m, n))).sum(axis=1, dtype=np.int64)
+        kinds = self.size[at] << 32 | other.size[there]
+        for kind in np.unique(kinds).tolist():
+            m, n = kind >> 32, kind & 0xFFFFFFFF
+            every = np.flatnonzero(kinds == kind)
+            step = max(1, COMPARED // max(m, n))
+            for lo in range(0, len(every), step):
+                i = every[lo : lo + step]
+                out[i] = np.bitwise_count(self._of(at[i], m, min(m, n)) ^ other._of(there[i], n, min(m, n))).sum(axis=1, dtype=np.int64)
         return out
 
 
@@ -150,6 +153,7 @@ def _pairs_between_parts(groups: DataFrame) -> DataFrame:
                     found.append(np.stack([node[u[ok]], node[v[ok]]], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        release()
 
     return groups.mapInArrow(run, "a long, b long").distinct()
 
@@ -173,6 +177,7 @@ def keep_first_of_near(docs: DataFrame, keep: list[str], words: int = WORDS) ->
                 part = batch.slice(lo, hi - lo)
                 cols = [part["doc_id"], part[BLOCK], pa.array(map(name_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary()), pa.array(map(set_print, sets), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", BLOCK, "node", "size", "sketch", "fp"])
+        release()
 
     named = cut(blocks.where("doc_id is not null").select("doc_id", "text", BLOCK).mapInArrow(name, f"doc_id long, {BLOCK} int, node long, size int, sketch binary, fp long"))
     first = F.min(F.struct("doc_id", BLOCK)).alias("first")
@@ -224,6 +229,7 @@ def keep_first_of_near(docs: DataFrame, keep: list[str], words: int = WORDS) ->
         tokens, place, shared = distinct(token)
         shared |= told(tokens, buckets, right.filter(pc.is_valid(right["bits"])))
         hit = shared[place]
+        release()
         return pa.table([token[hit].view(np.int64), node[hit], size[hit], at[hit]], schema=_ENTRY)
 
     chosen = nodes.select(BLOCK, "doc_id", "node")
@@ -247,6 +253,7 @@ def keep_first_of_near(docs: DataFrame, keep: list[str], words: int = WORDS) ->
                 center = s
             elif (OF + SHARED) * len(np.intersect1d(center, s, assume_unique=True)) >= SHARED * (len(center) + len(s)):
                 hits.append((a, b))
+        release()
         return pa.table([[a for a, _ in hits], [b for _, b in hits]], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     hash_of = lambda c: F.pmod(F.xxhash64(c), F.lit(HASHES))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tonegrid.llm._blocks import ANSWER, ASK, BLOCK, BUCKET, asked, bucket_of, by_bucket, ddl, dealt, ids_and_texts, in_order, joined, packed, runs_of, seen_twice, told, unpacked
-from tonegrid.llm._vec import NOT_SPACE, Words, covered
+from tonegrid.llm._vec import NOT_SPACE, Words, covered, release
 
 WINDOW = 13
 #: Perfect difference covers: every difference modulo the period comes from two elements.
@@ -112,6 +112,7 @@ def drop_repeated_windows(docs: DataFrame, keep: list[str], window: int = WINDOW
             i = by[lo:hi]
             rows.append((k, packed(e1[i], 8), packed(e2[i], 4), b.ids[where[i]].tobytes(), where[i].astype(np.int32).tobytes()))
         cols = list(zip(*rows, strict=True))
+        release()
         return pa.table([cols[0], [number] * len(rows), *cols[1:]], schema=_CLAIM)
 
     def settle(table: pa.Table) -> pa.Table:
@@ -131,6 +132,7 @@ def drop_repeated_windows(docs: DataFrame, keep: list[str], window: int = WINDOW
             hit = np.flatnonzero(gone)
             _, ranges = by_bucket(owner[hit])
             out += [(number[k], places[hit[lo:hi]].tobytes()) for k, lo, hi in ranges]
+        release()
         return pa.table([[b for b, _ in out], [0] * len(out), [None] * len(out), [x for _, x in out]], schema=ANSWER)
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -156,6 +158,7 @@ def drop_repeated_windows(docs: DataFrame, keep: list[str], window: int = WINDOW
         new = {"n_words": words.count, "n_removed": removed, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
         if "text" in names:
             new["text"] = [left.get(i, x) for i, x in enumerate(table["text"].to_pylist())]
+        release()
         return pa.table({c: pa.array(new[c], table.schema.field(c).type) if c in new else table[c] for c in names} | {c: pa.array(new[c]) for c in added})
 
     asking = blocks.groupBy(BLOCK).applyInArrow(ask, ddl(ASK))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tonegrid.llm._tables import id_crc, table
 from tonegrid.llm.anchors import drop_repeated_windows
@@ -14,6 +15,7 @@ from tonegrid.llm.language import fit_language, identify
 from tonegrid.llm.licenses import PHRASES, THRESHOLD, scan_licenses, template_tokens
 from tonegrid.llm.pieces import encode_pieces
 from tonegrid.llm.quality import fit_quality, score_quality
+from tonegrid.llm.rules import RULES, STOP_WORDS, apply_rules
 from tonegrid.llm.simhash import near_duplicates
 from tonegrid.llm.suffixes import mark_repeats
 from tonegrid.llm.token_files import round_trip
@@ -71,6 +73,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_windows(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = apply_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 _A_TO_Z = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,6 +113,27 @@ def _license_sql() -> str:
       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN lab ON lab.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id"""
 
 
+def _rules_sql() -> str:
+    words = "list_filter(regexp_split_to_array(text, '[ \\x09-\\x0D]+'), lambda x: x <> '')"
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    broken = lambda r: " OR ".join([f"100 * {r.count} < {r.least} * {r.of}"] * (r.least is not None) + [f"100 * {r.count} > {r.most} * {r.of}"] * (r.most is not None))
+    failed = ", ".join(f"CASE WHEN n_words >= {r.from_words} AND ({broken(r)}) THEN '{r.name}' END" for r in RULES)
+    matching = lambda rx: f"len(list_filter(lines, lambda x: regexp_matches(x, '{rx}')))"
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+      w AS (SELECT doc_id, text, {words} AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) AS lines FROM d),
+      x AS (SELECT doc_id, i, array_to_string(words[i : i + 4], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+      r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM x) WHERE n > 1),
+      c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, range(5) t(j) GROUP BY 1),
+      m AS (SELECT w.doc_id, len(words) AS n_words, CAST(list_sum(list_transform(words, lambda x: length(x))) AS BIGINT) AS chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
+        len(list_filter(words, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words, CASE WHEN strlen(text) * 2 < length(text) * 3 THEN len(words) ELSE 0 END AS n_latin_words,
+        len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS n_stop_words, {matching("^[ \\t]*[-*•]")} AS n_bullet_lines, {matching("(\\.\\.\\.|…)[ \\t\\r]*$")} AS n_ellipsis_lines
+        FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
+      f AS (SELECT *, coalesce(chars, 0) AS word_chars, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+      g AS (SELECT *, concat_ws(',', {failed}) AS failed_rules FROM f)
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM g"""
+
+
 #: DuckDB statements of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op3_embedding_dedup": """WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.label = b.label AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.98),
@@ -125,6 +154,7 @@ ORACLES: dict[str, str] = {
       k AS (SELECT s.doc_id, string_agg(substring(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s) s JOIN d ON d.doc_id = s.doc_id GROUP BY 1)
       SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE kept || substring(h, 2 * last + 1) END)) AS kept_sha256
       FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op13_quality_rules": _rules_sql(),
     "op10_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
       x AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)), m AS (SELECT s, min(doc_id) AS least FROM x GROUP BY 1),
       g AS (SELECT DISTINCT x.doc_id, i + j AS pos FROM x JOIN m ON m.s = x.s, range(13) r(j) WHERE least < x.doc_id), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),

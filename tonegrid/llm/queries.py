@@ -13,6 +13,7 @@ from tonegrid.llm.decontaminate import decontaminate
 from tonegrid.llm.embeddings import near_vectors
 from tonegrid.llm.language import fit_language, identify
 from tonegrid.llm.licenses import PHRASES, THRESHOLD, scan_licenses, template_tokens
+from tonegrid.llm.manifest import build_manifest, digest, fold_proof, leaf_digest
 from tonegrid.llm.pieces import encode_pieces
 from tonegrid.llm.quality import fit_quality, score_quality
 from tonegrid.llm.rules import RULES, STOP_WORDS, apply_rules
@@ -73,6 +74,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_windows(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    added = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    tampered = leaf_digest([added if c == "n_chars" else F.col(c) for c in fields])
+    docs = docs.withColumn("claimed", F.when(id_crc("doc_id") % 7 == 0, tampered))
+    leaves = build_manifest(docs, fields, "lang", "doc_id", keep=["doc_id", "claimed"])
+    proof = digest(F.array_join(F.transform("proof", lambda s: s["hash"]), ""))
+    leaves = leaves.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), fold_proof(F.coalesce("claimed", "leaf"), F.col("proof")).alias("folded_root"))
+    return leaves.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.withColumn("failed_rules", F.array_join("failed_rules", ","))
@@ -89,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -113,6 +126,27 @@ def _license_sql() -> str:
       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN lab ON lab.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id"""
 
 
+def _crc_sql(text: str) -> str:
+    """crc32 bit by bit, of ASCII text."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+
+
+def _manifest_sql() -> str:
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda n: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    tree = lambda name, of: f"{name}(g, lev, i, n, h) AS (SELECT g, 0, i, n, h FROM {of} UNION ALL SELECT g, lev + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY g, lev, i // 2, n)"
+    climb = lambda name, of, t: f"""{name}(doc, k, g, lev, i, n, proof, acc) AS (SELECT doc, k, g, 0, i, n, proof, acc FROM {of} UNION ALL
+      SELECT p.doc, p.k, p.g, p.lev + 1, p.i // 2, (p.n + 1) // 2, proof || coalesce(s.h, ''), sha256(CASE WHEN s.i < p.i THEN s.h || acc WHEN s.i > p.i THEN acc || s.h ELSE acc END)
+      FROM {name} p LEFT JOIN {t} s ON s.g IS NOT DISTINCT FROM p.g AND s.lev = p.lev AND s.i = xor(p.i, 1) WHERE p.n > 1)"""
+    return f"""WITH RECURSIVE l AS (SELECT doc_id AS doc, lang AS g, {leaf("n_chars")} AS h, CASE WHEN {_crc_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {leaf("(n_chars + 1)")} END AS claimed FROM documents),
+      r AS (SELECT doc, g, h, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (ORDER BY g, doc, h) AS k, '' AS proof, coalesce(claimed, h) AS acc FROM l WINDOW w AS (PARTITION BY g ORDER BY doc NULLS FIRST, h)),
+      {tree("t", "r")}, sub AS (SELECT g AS lang, 0 AS g, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1), {tree("u", "sub")},
+      {climb("p", "r", "t")}, q AS (SELECT doc, k, sub.g, sub.i, sub.n, proof, acc FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.g WHERE p.n = 1), {climb("v", "q", "u")}
+      SELECT r.doc AS doc_id, r.h AS leaf, sub.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(v.proof) AS proof_sha256, v.acc AS folded_root, v.acc = (SELECT h FROM u WHERE n = 1) AS verified
+      FROM v JOIN r ON r.k = v.k JOIN sub ON sub.lang IS NOT DISTINCT FROM r.g WHERE v.n = 1"""
+
+
 def _rules_sql() -> str:
     words = "list_filter(regexp_split_to_array(text, '[ \\x09-\\x0D]+'), lambda x: x <> '')"
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -154,6 +188,7 @@ ORACLES: dict[str, str] = {
       k AS (SELECT s.doc_id, string_agg(substring(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s) s JOIN d ON d.doc_id = s.doc_id GROUP BY 1)
       SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE kept || substring(h, 2 * last + 1) END)) AS kept_sha256
       FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op12_merkle_manifest": _manifest_sql(),
     "op13_quality_rules": _rules_sql(),
     "op10_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
       x AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)), m AS (SELECT s, min(doc_id) AS least FROM x GROUP BY 1),

@@ -20,6 +20,7 @@ from tonegrid.llm.rules import RULES, STOP_WORDS, apply_rules
 from tonegrid.llm.simhash import near_duplicates
 from tonegrid.llm.suffixes import mark_repeats
 from tonegrid.llm.token_files import round_trip
+from tonegrid.llm.tries import build_trie, rebuild
 
 
 def public_tokenizer(name: str) -> str:
@@ -74,6 +75,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_windows(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_trie(rebuild(table(spark, sf_dir, "conversations")))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fields = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
     added = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_quality_rules": op13_quality_rules,
 }
@@ -132,6 +138,20 @@ def _crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {byte}), 4294967295)"
 
 
+def _trie_sql() -> str:
+    return f"""WITH t AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+      c AS (SELECT t.conv_id AS c, t.own, b.own AS base, ({_crc_sql("CAST(t.conv_id AS VARCHAR)")} % 6)::INTEGER AS h FROM t LEFT JOIN t b ON b.conv_id = t.conv_id - t.conv_id % 100),
+      s AS (SELECT c, coalesce(base[1 : h], []) || own[h + 1 :] AS seq FROM c),
+      m AS (SELECT c, d, seq[1 : d] AS pre, seq[1 : d - 1] AS up, seq[d].x AS last, d = len(seq) AS ends FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM s)),
+      n AS (SELECT min(c) AS conv_id, d AS depth, pre, any_value(up) AS up, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(any_value(last)) END AS saved,
+        sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY d, pre),
+      k AS (SELECT n.conv_id, n.depth, p.conv_id AS parent, n.pre, n.n_convs, n.saved, n.ends_sha256, (SELECT count(*) FROM n o WHERE o.depth = n.depth + 1 AND o.up = n.pre) AS n_children
+        FROM n LEFT JOIN n p ON p.depth = n.depth - 1 AND p.pre = n.up),
+      a AS (SELECT m.pre, m.d, sum(k.saved) AS saved, count(*) FILTER (k.n_children = 0) AS leaves FROM k JOIN m ON m.c = k.conv_id AND m.d <= k.depth GROUP BY 1, 2)
+      SELECT k.conv_id, k.depth, k.parent AS parent_conv_id, k.n_convs, k.n_children, a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, k.ends_sha256 FROM k JOIN a ON a.d = k.depth AND a.pre = k.pre"""
+
+
 def _manifest_sql() -> str:
     part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
     leaf = lambda n: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
@@ -188,6 +208,7 @@ ORACLES: dict[str, str] = {
       k AS (SELECT s.doc_id, string_agg(substring(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s) s JOIN d ON d.doc_id = s.doc_id GROUP BY 1)
       SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE kept || substring(h, 2 * last + 1) END)) AS kept_sha256
       FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op11_prefix_trie": _trie_sql(),
     "op12_merkle_manifest": _manifest_sql(),
     "op13_quality_rules": _rules_sql(),
     "op10_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

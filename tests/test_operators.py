@@ -24,9 +24,10 @@ def test_suggestions_respect_every_branch(spark):
     assert alone.count() == 6 - 0 and {r.score for r in alone.collect()} == {0.36}
 
 
-def test_suggestions_agree_with_all_pairs(spark):
-    rng = np.random.default_rng(1)
-    data = [(f"p{i}", i, None if rng.random() < 0.2 else float(rng.integers(60, 200)), None if rng.random() < 0.2 else f"{rng.integers(1, 13)}{'AB'[rng.integers(2)]}", float(rng.choice([0.5, 1.0]))) for i in range(60)]
+@pytest.mark.parametrize("n, tempo, k", [(60, lambda r: float(r.integers(60, 200)), 5), (160, lambda r: round(float(r.uniform(60, 200)), 2), 3), (120, lambda r: round(float(128 * 2.0 ** r.integers(-2, 3) * r.uniform(0.93, 1.07)), 2), 200)])
+def test_suggestions_agree_with_all_pairs(spark, n, tempo, k):
+    rng = np.random.default_rng(n)
+    data = [(f"p{i}", i, None if rng.random() < 0.2 else tempo(rng), None if rng.random() < 0.2 else f"{rng.integers(1, 13)}{'AB'[rng.integers(2)]}", [0.5, 1.0, 0.8, None][rng.integers(4)]) for i in range(n)]
     t = spark.createDataFrame(data, TRACK)
     side = lambda p: F.struct("pid", "row_idx", "bpm", "key", F.col("confidence").alias("bpm_conf"), F.col("confidence").alias("key_conf")).alias(p)
     pairs = t.select(side("a")).crossJoin(t.where("bpm is not null or key is not null").select(side("b"))).where("a.pid <> b.pid")
@@ -36,9 +37,43 @@ def test_suggestions_agree_with_all_pairs(spark):
     for r in sorted(want, key=lambda r: (-r.s, r.i)):
         best.setdefault(r.p, []).append((r.q, r.s))
     got = {}
-    for r in sets.suggest_next(t, k=5).orderBy("pid", "rank").collect():
+    for r in sets.suggest_next(t, k=k).orderBy("pid", "rank").collect():
         got.setdefault(r.pid, []).append((r.to_pid, r.score))
-    assert got == {p: v[:5] for p, v in best.items()}
+    assert got == {p: v[:k] for p, v in best.items()}
+
+
+def test_tempo_cells_hold_what_the_tolerance_says():
+    """Within INNER any two tempos pass, beyond OUTER none does."""
+    passes = lambda ratio: math.floor(abs(ratio - 1) * 1000 + 0.5) / 10 <= 6
+    for d in range(-16, 17):
+        ends = [2 ** ((d + e) / sets.CELLS) for e in (-0.999999, -0.5, 0, 0.5, 0.999999)]
+        assert all(map(passes, ends)) if sets.INNER[0] <= d <= sets.INNER[1] else d in sets.OUTER or not any(map(passes, ends))
+
+
+def test_redundant_imports_change_nothing_and_others_bring_all(spark):
+    make = lambda tracks, members, collections: library.Library(spark.createDataFrame(tracks, "pid string, row_idx long, collection string"), spark.createDataFrame(members, "playlist string, pid string"), spark.createDataFrame(collections, "id string, label string, pos int, track_count long"))
+    base = make([("x", 0, "a"), ("y", 1, "a")], [("set", "x")], [("a", "First", 0, 2)])
+    again = library.merge(base, make([("x", 0, "b")], [("set", "x"), ("other", "x")], [("b", "Second", 0, 1)]), "Second")
+    assert again is base
+    more = library.merge(base, make([("x", 0, "b"), ("z", 1, "b")], [("set", "x"), ("other", "z")], [("b", "Second", 0, 9), ("c", "Empty", 1, 4)]), "Second")
+    assert rows(more.tracks.select("pid", "collection"), "pid") == [("x", "a"), ("y", "a"), ("z", "b")]
+    assert rows(more.memberships, "playlist", "pid") == [("other", "z"), ("set", "x"), ("set [Second]", "x")]
+    assert rows(more.collections.select("id", "pos", "track_count"), "pos") == [("a", 0, 2), ("b", 1, 1), ("c", 2, 4)]
+    empty = make([], [], [])
+    assert library.merge(empty, base, "First").tracks.count() == 2 and library.merge(base, empty, "x") is base
+
+
+def test_overrides_leave_the_rest_alone(spark):
+    t = spark.createDataFrame(
+        [("a", 120.0, "8A", "deezer", "file", 0.5, 0.4, True), ("b", 90.0, None, "deezer", None, 0.5, None, True), ("c", 100.0, "1A", None, "file", None, 0.3, False), ("d", 1.0, "2A", "x", "y", 0.1, 0.2, True)],
+        "pid string, bpm double, key string, source_bpm string, source_key string, confidence_bpm double, confidence_key double, bpm_suspect boolean",
+    )
+    o = spark.createDataFrame([("a", 126.0, None, 1), ("a", 125.0, None, 2), ("b", None, "3B", 1), ("b", 0.0, "", 2), ("none", 1.0, "1A", 1)], "pid string, bpm double, key string, ts int")
+    assert rows(library.apply_overrides(t, o), "pid") == [
+        ("a", 125.0, "8A", "manual", "file", 1.0, 0.4, False), ("b", 90.0, "3B", "deezer", "manual", 0.5, 1.0, True), ("c", 100.0, "1A", None, "file", None, 0.3, False), ("d", 1.0, "2A", "x", "y", 0.1, 0.2, True),
+    ]
+    bare = library.apply_overrides(t.select("pid", "bpm", "key"), o).where("pid = 'a'").first()
+    assert (bare.bpm, bare.source_bpm, bare.confidence_bpm, bare.source_key) == (125.0, "manual", 1.0, None)
 
 
 def test_merge_keeps_the_first_and_inherits_playlists(spark):

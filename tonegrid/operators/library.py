@@ -7,6 +7,7 @@ Every function is DataFrames in, DataFrames out; rows meet on pid or playlist on
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,6 +142,33 @@ def merge_memberships(base: DataFrame, incoming: DataFrame, renamed: DataFrame)
     return base.select("playlist", "pid").unionByName(moved).distinct()
 
 
+class Library(NamedTuple):
+    """tracks (pid, row_idx, collection, ...), memberships (playlist, pid) and collections (id, label, pos, track_count, ...)."""
+
+    tracks: DataFrame
+    memberships: DataFrame
+    collections: DataFrame
+
+
+def merge(base: Library, incoming: Library, label: str) -> Library:
+    """The union of two libraries in import order, or ``base`` untouched where ``incoming`` has no new pid.
+
+    A known pid keeps its first row and inherits the incoming playlists. A playlist whose name is taken gets ``label``
+    behind it. Collections of ``incoming`` follow those of ``base``, and all are counted anew; one that owns no track
+    keeps its count.
+    """
+    if incoming.tracks.join(base.tracks.select("pid"), "pid", "left_anti").isEmpty():
+        return base
+    renamed = rename_clashing(incoming.memberships, base.memberships, label)
+    last = base.collections.agg(F.max("pos")).first()[0]
+    after = incoming.collections.withColumn("pos", F.col("pos") + F.lit(0 if last is None else last + 1))
+    tracks = merge_tracks(base.tracks, incoming.tracks)
+    both = base.collections.unionByName(after, allowMissingColumns=True)
+    counted = tracks.groupBy(F.col("collection").alias("id")).agg(F.count("*").alias("n"))
+    both = both.join(counted, "id", "left").withColumn("track_count", F.coalesce("n", "track_count")).drop("n")
+    return Library(tracks, merge_memberships(base.memberships, incoming.memberships, renamed), both)
+
+
 def track_counts(collections: DataFrame, tracks: DataFrame) -> DataFrame:
     n = tracks.groupBy(F.col("collection").alias("id")).agg(F.count("*").alias("track_count"))
     return collections.drop("track_count").join(n, "id", "left").fillna(0, ["track_count"])
@@ -212,8 +240,23 @@ def sample_presets(n: Column) -> Column:
 
 
 def apply_overrides(tracks: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Manual bpm and key of overrides (pid, bpm, key, ts) win; of several, the latest that states the field."""
-    latest = overrides.groupBy("pid").agg(F.max_by("bpm", F.when(F.col("bpm").isNotNull(), F.col("ts"))).alias("o_bpm"), F.max_by("key", F.when(F.col("key").isNotNull(), F.col("ts"))).alias("o_key"))
-    out = tracks.join(latest, "pid", "left")
-    out = out.withColumn("source_bpm", F.when(F.col("o_bpm").isNotNull(), "manual")).withColumn("source_key", F.when(F.col("o_key").isNotNull(), "manual"))
-    return out.withColumn("bpm", F.coalesce("o_bpm", "bpm")).withColumn("key", F.coalesce("o_key", "key")).drop("o_bpm", "o_key")
+    """Manual bpm and key of overrides (pid, bpm, key, ts) win; of several, the latest that states the field.
+
+    A field that is set gets the source manual and confidence 1, and a tempo that is set is no longer suspect. Everything
+    else stays as it is: sources and confidences (source_bpm, source_key, confidence_bpm, confidence_key; null where tracks
+    have no such column) of other tracks and other fields, and bpm_suspect. A bpm of 0 or an empty key sets nothing.
+    """
+    stated = overrides.select("pid", "ts", F.when(F.col("bpm") > 0, F.col("bpm")).alias("bpm"), F.when(F.col("key") != "", F.col("key")).alias("key"))
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(f"_{c}")
+    out = tracks.join(stated.groupBy("pid").agg(newest("bpm"), newest("key")), "pid", "left")
+    old = lambda c, kind: F.col(c) if c in tracks.columns else F.lit(None).cast(kind)
+    for c in ("bpm", "key"):
+        there = F.col(f"_{c}").isNotNull()
+        out = out.withColumns({
+            c: F.coalesce(f"_{c}", c),
+            f"source_{c}": F.when(there, "manual").otherwise(old(f"source_{c}", "string")),
+            f"confidence_{c}": F.when(there, 1.0).otherwise(old(f"confidence_{c}", "double")),
+        })
+    if "bpm_suspect" in tracks.columns:
+        out = out.withColumn("bpm_suspect", F.when(F.col("_bpm").isNotNull(), F.lit(False)).otherwise(F.col("bpm_suspect")))
+    return out.drop("_bpm", "_key")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegrid.functions.music import bpm_delta_pct, half_up, key_compatibility
+from tonegrid.operators.lineage import cut
 
 # Tolerance and the factors of a transition's score.
 TOLERANCE, NEAR, CLASH, UNKNOWN = 6.0, 0.7, 0.35, 0.6
@@ -51,8 +52,20 @@ def _wheel_neighbours(key: Column) -> Column:
     return F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(F.array(F.lit("A"), F.lit("B")), lambda m: F.concat((F.pmod(n - 1 + d, F.lit(12)) + 1).cast("string"), m))))
 
 
-#: Parts that combinations with nothing to judge are dealt into.
-SPREAD = 16
+#: Cells of an octave. Tempos whose cells are within INNER of each other (an octave up or down apart) follow each other
+#: whatever they are within their cells; those of the OUTER distances must be looked at; the tolerance reaches no further.
+#: (log2 of 1.0605 is 0.0848 and of 0.9395 -0.0900, as differences are rounded to a tenth of a percent.)
+CELLS = 128
+INNER, OUTER = (-10, 9), (-12, -11, 10, 11)
+
+
+def _cell(bpm: Column) -> Column:
+    return F.floor(F.log2(bpm) * CELLS).cast("int")
+
+
+def _reached(cell: Column, distances) -> Column:
+    """The cells at these distances, an octave apart too, as text."""
+    return F.transform(F.array(*(F.lit(d + o) for o in (-CELLS, 0, CELLS) for d in distances)), lambda d: (cell + d).cast("string"))
 
 
 def suggest_next(tracks: DataFrame, current: DataFrame | None = None, k: int = 50) -> DataFrame:
@@ -60,56 +73,92 @@ def suggest_next(tracks: DataFrame, current: DataFrame | None = None, k: int = 5
 
     Neither a key clash nor a tempo over tolerance passes, and a track without key and tempo is never suggested.
 
-    Tempos are folded into one octave of logarithmic buckets as wide as the tolerance, so tracks that may follow each
-    other share a bucket or stand in neighbouring ones; with both keys known they also share one of six codes. What
-    lacks a tempo or a key meets on the other alone. The few distinct (key, tempo, confidence) combinations are judged
-    once and ranked; only the k first tracks of a combination can be among the k best, so no pair beyond those is made.
+    Where a tempo passes, the score does not depend on it, so a class of tracks with one key and confidence in tempo cells
+    that pass as a whole counts by its first k + 1 rows alone. Classes meet on (cell or none, key or none), are scored
+    once for all current tracks of one cell, key and confidence, and are visited from the best score down until k + 1 rows are
+    found; only rows of visited classes are made. Tracks in the cells where the tolerance ends are judged by their own
+    tempo, by distinct (tempo, key, confidence), and only where they would be among the best so far. What is made is so bound
+    by the number of cells, keys and confidences, not by pairs of tracks, however many distinct tempos there are.
     """
     attributes = ["bpm", "key", "confidence"]
     pool = tracks.where("bpm is not null or key is not null").select("pid", "row_idx", *attributes)
     current = (tracks if current is None else current).select("pid", *attributes)
     shape = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in attributes)).alias("shape")
-    pool, current = pool.select("*", shape), current.select("*", shape)
-    first = Window.partitionBy("shape").orderBy("row_idx")
-    pool = pool.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)  # one more, as a track skips itself
-    side = lambda f, p: f.select(F.col("shape").alias(f"{p}_shape"), *(F.col(c) for c in attributes)).distinct().select(f"{p}_shape", F.struct("bpm", "key", F.col("confidence").alias("bpm_conf"), F.col("confidence").alias("key_conf")).alias(p))
-    a, b = side(current, "a"), side(pool, "b")
-    pairs = _meeting(a, b)
-    judged = transition("a", "b")
-    fine = pairs.select("a_shape", "b_shape", judged["score"].alias("score"), judged["compat"].alias("compat"), judged["delta_pct"].alias("delta"))
-    fine = fine.where(~F.coalesce(F.col("compat") == "clash", F.lit(False)) & ~F.coalesce(F.col("delta") > TOLERANCE, F.lit(False))).select("a_shape", "b_shape", "score")
-    members = fine.join(pool.select(F.col("shape").alias("b_shape"), F.col("pid").alias("to_pid"), "row_idx"), "b_shape")
-    best = Window.partitionBy("a_shape").orderBy(F.desc("score"), "row_idx")
-    ranked = members.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("a_shape", "r", "to_pid", "score")
-    met = current.select("pid", F.col("shape").alias("a_shape")).join(ranked, "a_shape").where("pid <> to_pid")
+    place = F.xxhash64(F.coalesce(_cell(F.col("bpm")).cast("string"), F.lit("?")), *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in attributes[1:])).alias("place")
+    current = current.select("pid", shape, place, *attributes)
+    shapes = current.select("shape", "place", *attributes).distinct()
+
+    classes = _classes(pool, k)
+    asked = shapes.select("place", _cell(F.col("bpm")).alias("cell"), "key", "confidence").distinct()
+    inner = _visited(asked, classes, k)
+    best = Window.partitionBy("place").orderBy(F.desc("score"), "row_idx")
+    inner = inner.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    inner = cut(inner)  # read twice; k + 1 rows for each cell, key and confidence that ask
+    last = inner.groupBy("place").agg(F.count("*").alias("n"), F.max(F.struct((-F.col("score")).alias("s"), "row_idx")).alias("last"))
+    last = last.where(F.col("n") > k).select("place", (-F.col("last.s")).alias("least"), F.col("last.row_idx").alias("before"))
+
+    edge = _edge(shapes.join(last, "place", "left"), pool, k)
+    found = shapes.select("place", "shape").join(inner, "place").select("shape", "row_idx", "to_pid", "score").unionByName(edge)
+    best = Window.partitionBy("shape").orderBy(F.desc("score"), "row_idx")
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("shape", "r", "to_pid", "score")
+    met = current.select("pid", "shape").join(found, "shape").where("pid <> to_pid")
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("r"))).where(F.col("rank") <= k).select("pid", "rank", "to_pid", "score")
 
 
-def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of combinations that could follow each other, in three disjoint joins on equality."""
-    step = 0.1  # octaves; the tolerance of 6 % is 0.09 at most, on either side of the rounded difference
-    buckets = round(1 / step)
-    bucket = lambda s: F.floor(F.pmod(F.log2(F.col(f"{s}.bpm")), F.lit(1.0)) / step).cast("int")
-    near = lambda s: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(bucket(s) + d, F.lit(buckets)))
-    has = lambda s, f: F.col(f"{s}.{f}").isNotNull()
-    slots, codes = a.where(has("a", "bpm")).withColumn("slot", F.explode(near("a"))), a.where(has("a", "key")).withColumn("code", F.explode(_wheel_neighbours(F.col("a.key"))))
-    in_slot = b.where(has("b", "bpm")).withColumn("slot", bucket("b"))
-    in_code = b.where(has("b", "key")).withColumn("code", F.col("b.key"))
-    lacks = lambda s: F.when(has(s, "key") & has(s, "bpm"), "none").when(has(s, "bpm"), "key").when(has(s, "key"), "bpm").otherwise("both")
-    meets = F.when(lacks("a") == "both", F.array(*map(F.lit, ("none", "key", "bpm")))).when(lacks("a") == "key", F.array(F.lit("bpm"))).when(lacks("a") == "bpm", F.array(F.lit("key"))).otherwise(F.array().cast("array<string>"))
-    both_keys, both_tempos = has("a", "key") & has("b", "key"), has("a", "bpm") & has("b", "bpm")
-    parts = [
-        slots.where(has("a", "key")).withColumn("code", F.explode(_wheel_neighbours(F.col("a.key")))).join(in_slot.where(has("b", "key")).withColumn("code", F.col("b.key")), ["slot", "code"]),
-        slots.join(in_slot, "slot").where(~both_keys),  # only tempos to judge
-        codes.join(in_code, "code").where(~both_tempos),  # only keys to judge
-        # nothing to judge: what lacks both meets all, what lacks one meets what lacks the other; combinations, not tracks
-        a.withColumn("lacks", F.explode(meets)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).join(b.withColumn("lacks", lacks("b")).withColumn("part", F.pmod("b_shape", F.lit(SPREAD)).cast("int")), ["lacks", "part"]),
-    ]
-    cols = ["a_shape", "a", "b_shape", "b"]
-    out = parts[0].select(cols)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(cols))
-    return out.dropDuplicates(["a_shape", "b_shape"])
+def _classes(pool: DataFrame, k: int) -> DataFrame:
+    """(cell, code, has_bpm, has_key, confidence, n, heads): the first k + 1 rows by row_idx that a current track of the cell
+    (none: it has no tempo) and the key code (none: it has no key) may go on to, whatever the tempos within the cells."""
+    kind = ["key", "confidence", "own"]
+    rows = pool.withColumn("own", _cell(F.col("bpm"))).where("bpm is null or own is not null")
+    firsts = rows.withColumn("r", F.row_number().over(Window.partitionBy(*kind).orderBy("row_idx"))).where(F.col("r") <= k + 1)  # one more, as a track skips itself
+    askers = _reached(F.col("own"), range(-INNER[1], 1 - INNER[0]))  # the cells from which this one is within INNER
+    cells = F.when(F.col("own").isNull(), F.array(F.lit("?"), F.lit("none"))).otherwise(F.array_append(askers, F.lit("none")))
+    codes = F.array(F.coalesce("key", F.lit("?")), F.lit("none"))
+    spread = firsts.select("pid", "row_idx", "confidence", F.col("own").isNotNull().alias("has_bpm"), F.col("key").isNotNull().alias("has_key"), F.explode(cells).alias("cell"), codes.alias("codes"))
+    spread = spread.withColumn("code", F.explode("codes")).drop("codes")
+    one = ["cell", "code", "has_bpm", "has_key", "confidence"]
+    spread = spread.withColumn("r", F.row_number().over(Window.partitionBy(*one).orderBy("row_idx"))).where(F.col("r") <= k + 1)
+    return spread.groupBy(*one).agg(F.count("*").alias("n"), F.collect_list(F.struct("row_idx", F.col("pid").alias("to_pid"))).alias("heads"))
+
+
+def _coded(side: DataFrame) -> DataFrame:
+    """A row for each code that ``key`` goes on to, with its factor; null where a key is unknown."""
+    codes = F.when(F.col("key").isNull(), F.array(F.lit("none"))).otherwise(F.array_append(_wheel_neighbours(F.col("key")), F.lit("?")))
+    compat = F.when(~F.col("code").isin("none", "?"), key_compatibility(F.col("key"), F.col("code")))
+    rows = side.withColumn("code", F.explode(codes)).withColumn("compat", compat).where("compat is null or compat <> 'clash'")
+    return rows.withColumn("factor", F.when(F.col("compat") == "near", NEAR).when(F.col("compat").isNotNull(), 1.0)).drop("compat", "key")
+
+
+def _score(tempos: Column) -> Column:
+    """The score of ``transition`` where no tempo drifts; sure and confidence are the two sides' confidences."""
+    both = _confidence(F.col("sure"), F.col("confidence"))
+    return half_up(F.when(F.col("factor").isNotNull(), F.col("factor") * both).otherwise(UNKNOWN) * F.when(tempos, 1.0 * both).otherwise(UNKNOWN), 2)
+
+
+def _visited(asked: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(place, row_idx, to_pid, score) of the classes that are needed to fill k + 1 places."""
+    cells = F.when(F.col("cell").isNull(), F.array(F.lit("none"))).otherwise(F.array(F.col("cell").cast("string"), F.lit("?")))
+    side = _coded(asked.select("place", "key", F.col("confidence").alias("sure"), "cell"))
+    side = side.select("place", "sure", "code", "factor", F.col("cell").isNotNull().alias("timed"), F.explode(cells).alias("cell"))
+    met = side.join(classes, ["cell", "code"]).select("place", "n", "heads", _score(F.col("timed") & F.col("has_bpm")).alias("score"))
+    down = Window.partitionBy("place").orderBy(F.desc("score"))
+    met = met.withColumn("with", F.sum("n").over(down.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("level", F.sum("n").over(Window.partitionBy("place", "score")))
+    return met.where(F.col("with") - F.col("level") <= k).select("place", "score", F.inline("heads"))
+
+
+def _edge(shapes: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """(shape, row_idx, to_pid, score) from the cells where the tolerance ends, if better than (least, before) of the shape."""
+    attributes = ["bpm", "key", "confidence"]
+    pool = pool.where("bpm > 0").withColumn("r", F.row_number().over(Window.partitionBy(*attributes).orderBy("row_idx"))).where(F.col("r") <= k + 1)
+    b = pool.groupBy(*attributes).agg(F.min("row_idx").alias("first"), F.collect_list(F.struct("row_idx", F.col("pid").alias("to_pid"))).alias("heads"))
+    codes = F.array(F.coalesce("key", F.lit("?")), F.lit("none"))
+    b = b.select(F.col("bpm").alias("to_bpm"), "confidence", "first", "heads", _cell(F.col("bpm")).cast("string").alias("cell"), F.explode(codes).alias("code"))
+    a = _coded(shapes.where("bpm > 0").select("shape", "least", "before", "bpm", "key", F.col("confidence").alias("sure")))
+    met = a.withColumn("cell", F.explode(_reached(_cell(F.col("bpm")), OUTER))).join(b, ["cell", "code"]).where(bpm_delta_pct(F.col("bpm"), F.col("to_bpm")) <= TOLERANCE)
+    met = met.select("shape", "least", "before", "first", "heads", _score(F.lit(True)).alias("score"))
+    better = lambda row: F.col("least").isNull() | (F.col("score") > F.col("least")) | ((F.col("score") == F.col("least")) & (F.col(row) < F.col("before")))
+    met = met.where(better("first")).select("shape", "least", "before", "score", F.inline("heads"))
+    return met.where(better("row_idx")).select("shape", "row_idx", "to_pid", "score")
 
 
 def order_for_set(tracks: DataFrame, *keys: str) -> DataFrame:

@@ -221,11 +221,49 @@ def restrict_library(spark, sf):
     return library.restrict(tracks_of(spark, sf), m, m.where("playlist = 'pl1'"))[0].select("pid", "name")
 
 
-@register("apply_overrides", """WITH o AS (SELECT pid, arg_max(raw_tempo, ts) FILTER (raw_tempo IS NOT NULL) AS bpm FROM (SELECT pid, max(raw_tempo) AS raw_tempo, ts FROM outcomes GROUP BY pid, ts) GROUP BY pid)
-  SELECT t.pid, round(coalesce(o.bpm, t.bpm), 6) AS bpm, t.key, CASE WHEN o.bpm IS NOT NULL THEN 'manual' END AS source_bpm FROM tracks t LEFT JOIN o ON t.pid = o.pid""", ("tracks", "outcomes"))
+@register("apply_overrides", """WITH o AS (SELECT pid, arg_max(nullif(raw_tempo, 0), ts) FILTER (raw_tempo > 0) AS bpm, arg_max(key, ts) FILTER (key <> '') AS key
+    FROM (SELECT pid, max(raw_tempo) AS raw_tempo, max(CASE WHEN event_id % 4 = 0 THEN '8A' WHEN event_id % 4 = 1 THEN '' END) AS key, ts FROM outcomes WHERE event_id % 3 > 0 GROUP BY pid, ts) GROUP BY pid)
+  SELECT t.pid, round(coalesce(o.bpm, t.bpm), 6) AS bpm, coalesce(o.key, t.key) AS key, CASE WHEN o.bpm IS NOT NULL THEN 'manual' WHEN row_idx % 4 > 0 THEN 'deezer' END AS source_bpm,
+    CASE WHEN o.key IS NOT NULL THEN 'manual' WHEN row_idx % 3 > 0 THEN 'file' END AS source_key, CASE WHEN o.bpm IS NOT NULL THEN 1.0 ELSE confidence END::DOUBLE AS confidence_bpm,
+    CASE WHEN o.key IS NOT NULL THEN 1.0 END::DOUBLE AS confidence_key, o.bpm IS NULL AND row_idx % 2 = 0 AS bpm_suspect FROM tracks t LEFT JOIN o ON t.pid = o.pid""", ("tracks", "outcomes"))
 def apply_overrides(spark, sf):
-    o = view(spark, sf, "outcomes").groupBy("pid", "ts").agg(F.max("raw_tempo").alias("bpm")).withColumn("key", F.lit(None).cast("string"))
-    return library.apply_overrides(tracks_of(spark, sf), o).select("pid", _r("bpm"), "key", "source_bpm")
+    stated = F.when(F.col("event_id") % 4 == 0, "8A").when(F.col("event_id") % 4 == 1, "")
+    o = view(spark, sf, "outcomes").where("event_id % 3 > 0").groupBy("pid", "ts").agg(F.max("raw_tempo").alias("bpm"), F.max(stated).alias("key"))
+    t = tracks_of(spark, sf).withColumns({"source_bpm": F.when(F.col("row_idx") % 4 > 0, "deezer"), "source_key": F.when(F.col("row_idx") % 3 > 0, "file"), "confidence_bpm": F.col("confidence"), "bpm_suspect": F.col("row_idx") % 2 == 0})
+    return library.apply_overrides(t, o).select("pid", _r("bpm"), "key", "source_bpm", "source_key", "confidence_bpm", "confidence_key", "bpm_suspect")
+
+
+def _two_libraries(spark, sf, incoming: str) -> library.Library:
+    """The tracks that are no multiples of three, united with those of a condition, filed under c3."""
+    t, m = tracks_of(spark, sf).select("pid", "row_idx", "collection"), view(spark, sf, "memberships")
+    numbered = m.withColumn("row_idx", F.substring("pid", 4, 20).cast("long"))
+    listed = lambda ids: spark.createDataFrame([(i, i.upper(), n, 7) for n, i in enumerate(ids)], "id string, label string, pos int, track_count long")
+    base = library.Library(t.where("row_idx % 3 <> 0"), numbered.where("row_idx % 3 <> 0").select("playlist", "pid"), listed(["c0", "c1", "c2"]))
+    new = library.Library(t.where(incoming).withColumn("collection", F.lit("c3")), numbered.where(incoming).select("playlist", "pid"), listed(["c3"]))
+    return library.merge(base, new, "C3")
+
+
+def _whole(found: library.Library) -> DataFrame:
+    """Tracks by collection, memberships and collections in one table."""
+    tracks = found.tracks.select(F.lit("track").alias("kind"), F.col("pid").alias("a"), F.col("collection").alias("b"), F.lit(0).cast("long").alias("n"))
+    members = found.memberships.select(F.lit("member").alias("kind"), F.col("playlist").alias("a"), F.col("pid").alias("b"), F.lit(0).cast("long").alias("n"))
+    return tracks.unionByName(members).unionByName(found.collections.select(F.lit("collection").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b"), F.col("track_count").alias("n")))
+
+
+@register("merge_whole_library", """WITH m AS (SELECT playlist, pid, CAST(substr(pid, 4) AS BIGINT) AS i FROM memberships), k AS (SELECT DISTINCT playlist FROM m WHERE i % 3 <> 0),
+  t AS (SELECT pid, CASE WHEN row_idx % 3 <> 0 THEN collection ELSE 'c3' END AS c FROM tracks WHERE row_idx % 3 <> 0 OR row_idx % 2 = 0)
+  SELECT 'track' AS kind, pid AS a, c AS b, 0::BIGINT AS n FROM t UNION ALL SELECT 'member', playlist, pid, 0 FROM m WHERE i % 3 <> 0
+  UNION ALL SELECT 'member', CASE WHEN playlist IN (SELECT playlist FROM k) THEN playlist || ' [C3]' ELSE playlist END, pid, 0 FROM m WHERE i % 2 = 0
+  UNION ALL SELECT 'collection', id, upper(id), coalesce((SELECT count(*) FROM t WHERE c = id HAVING count(*) > 0), 7) FROM (VALUES ('c0'), ('c1'), ('c2'), ('c3')) v(id)""", ("tracks", "memberships"))
+def merge_whole_library(spark, sf):
+    return _whole(_two_libraries(spark, sf, "row_idx % 2 = 0"))
+
+
+@register("merge_redundant_library", """WITH m AS (SELECT playlist, pid, CAST(substr(pid, 4) AS BIGINT) AS i FROM memberships)
+  SELECT 'track' AS kind, pid AS a, collection AS b, 0::BIGINT AS n FROM tracks WHERE row_idx % 3 <> 0 UNION ALL SELECT 'member', playlist, pid, 0 FROM m WHERE i % 3 <> 0
+  UNION ALL SELECT 'collection', id, upper(id), 7 FROM (VALUES ('c0'), ('c1'), ('c2')) v(id)""", ("tracks", "memberships"))
+def merge_redundant_library(spark, sf):
+    return _whole(_two_libraries(spark, sf, "row_idx % 3 = 1"))
 
 
 @register("keep_first_answer", "SELECT pid, event_id, status FROM outcomes QUALIFY row_number() OVER (PARTITION BY pid ORDER BY event_id) = 1", ("outcomes",))

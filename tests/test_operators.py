@@ -135,6 +135,35 @@ def test_matching(spark):
     assert rows(linkage.match_candidates(w, c), "want_id") == [(1, 11, 4), (2, 12, 3)]
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_matching_against_all_pairs(spark, least):
+    """Titles that begin alike, artists within artists, missing ones, scripts, punctuation, repeats and ties."""
+    rng = np.random.default_rng(least)
+    titles = ["intro", "intro", "intro", "introduction", "introduction to it all", "intr", "int", "intermission one", "intermission two", "夜に駆ける", None, ""]
+    artists = [None, "", "band", "the band", "dj band", "dj", "dj the", "Ünder", "ünder world", "米津玄師", "米津 x", "!!!", "!!!!", "what!!!! now", "a-ha", "ha", "aha", "x band x", "bandage", "new order", "the new order", "order new"]
+    make = lambda n: [(i, titles[rng.integers(len(titles))], artists[rng.integers(len(artists))]) for i in range(n)]
+    w, c = make(90), make(120)
+    w_frame = spark.createDataFrame(w, "want_id long, title string, artist string")
+    c_frame = spark.createDataFrame([(1000 + i, 119 - i, t, a) for i, t, a in c], "cand_id long, pos long, title string, artist string")
+    pairs = w_frame.selectExpr("want_id", "title AS wt", "artist AS wa").crossJoin(c_frame.selectExpr("cand_id", "pos", "title AS ct", "artist AS ca"))
+    best = {}
+    for r in pairs.withColumn("score", linkage.match_score(*(F.col(x) for x in ("ct", "ca", "wt", "wa")))).where(F.col("score") >= least).collect():
+        best[r.want_id] = max(best.get(r.want_id, (-1, 0, 0)), (r.score, -r.pos, r.cand_id))
+    assert rows(linkage.match_candidates(w_frame, c_frame, least), "want_id") == [(i, b[2], b[0]) for i, b in sorted(best.items())]
+    assert len(best) > 30
+
+
+def test_a_hot_title_makes_no_square(spark):
+    """Of 300 tracks named alike on both sides, no row before the score holds more than a few for each."""
+    w = spark.createDataFrame([(i, "intro", f"group {i} of the town") for i in range(300)], "want_id long, title string, artist string")
+    c = spark.createDataFrame([(i, i, "intro", f"group {i} of the town") for i in range(300)], "cand_id long, pos long, title string, artist string")
+    rare = linkage._rarest_words(w.select("artist"))
+    a = linkage._named(linkage._keyed(w, "title", "short_w", "short_c"), "artist", rare, "in_c", "in_w")
+    b = linkage._named(linkage._keyed(c, "title", "short_c", "short_w"), "artist", rare, "in_w", "in_c")
+    assert a.join(b, ["key", "word"]).count() <= 300 * 4
+    assert rows(linkage.match_candidates(w, c), "want_id") == [(i, i, 4) for i in range(300)]
+
+
 @pytest.mark.parametrize(("hay", "needle", "there"), [("the new order", "new order", True), ("feliciano", "elic", False), ("abab ab", "ab", True), ("xneux neu", "neu", True)])
 def test_whole_words(spark, hay, needle, there):
     assert spark.range(1).select(linkage.contains_word(F.lit(hay), F.lit(needle))).first()[0] is there

@@ -39,18 +39,62 @@ def match_candidates(wanted: DataFrame, candidates: DataFrame, min_score: int =
 
     wanted (want_id, title, artist) and candidates (cand_id, pos, title, artist) hold normal forms. Titles that score
     agree in all letters of the shorter one, or in the first twelve, so each side is met at the other's own length: only
-    titles with the same twelve letters, or one that is the beginning of the other, are ever compared. Equal (title,
+    titles with the same twelve letters, or one that is the beginning of the other, are ever compared. Within such titles,
+    artists that score are equal or one stands in the other, so the rarest word of the one is a word of the other; pairs meet
+    on both keys, and a title that thousands share makes no square. Where the artist decides nothing (one is missing, or
+    the scripts can't be compared) only the first candidate of a title and kind of artist can win. Equal (title,
     artist) pairs are scored once, and only the first of equal candidates can win.
     """
     w = wanted.groupBy("title", "artist").agg(F.count("*").alias("n")).select(F.col("title").alias("w_title"), F.col("artist").alias("w_artist"))
     c = candidates.groupBy("title", "artist").agg(F.min_by("cand_id", "pos").alias("cand_id"), F.min("pos").alias("pos")).select(F.col("title").alias("c_title"), F.col("artist").alias("c_artist"), "cand_id", "pos")
-    met = _keyed(w, "w_title", "short_w", "short_c").join(_keyed(c, "c_title", "short_c", "short_w"), "key").drop("key")
-    scored = met.withColumn("score", match_score(F.col("c_title"), F.col("c_artist"), F.col("w_title"), F.col("w_artist"))).where(F.col("score") >= min_score)
+    cols = ["w_title", "w_artist", "c_title", "c_artist", "cand_id", "pos"]
+
+    rare = _rarest_words(w.select(F.col("w_artist").alias("artist")).union(c.select("c_artist")))
+    w_known = _named(_keyed(w.where(F.col("w_artist") != ""), "w_title", "short_w", "short_c"), "w_artist", rare, "in_c", "in_w")
+    c_known = _named(_keyed(c.where(F.col("c_artist") != ""), "c_title", "short_c", "short_w"), "c_artist", rare, "in_w", "in_c")
+    met = w_known.join(c_known, ["key", "word"]).select(cols)
+
+    kind = lambda artist: F.when(F.coalesce(artist, F.lit("")) == "", "missing").when(artist.rlike(CJK), "cjk").otherwise("other")
+    first = F.min_by(F.struct("c_artist", "cand_id", "pos"), "pos").alias("f")
+    firsts = c.withColumn("kind", F.explode(F.array(kind(F.col("c_artist")), F.lit("any")))).groupBy("c_title", "kind").agg(first).select("c_title", "kind", "f.*")
+    asks = F.when(kind(F.col("w_artist")) == "missing", F.array(F.lit("any"))).otherwise(F.array(F.lit("missing"), F.when(kind(F.col("w_artist")) == "cjk", "other").otherwise("cjk")))
+    asked = w.withColumn("kind", F.explode(asks))
+    if min_score > 1:  # titles that only begin alike give 1 at most here
+        plain = asked.join(firsts, (F.col("w_title") == F.col("c_title")) & (asked.kind == firsts.kind)).select(cols)
+    else:
+        plain = _keyed(asked, "w_title", "short_w", "short_c").join(_keyed(firsts, "c_title", "short_c", "short_w"), ["key", "kind"]).select(cols)
+
+    scored = met.unionByName(plain).withColumn("score", match_score(F.col("c_title"), F.col("c_artist"), F.col("w_title"), F.col("w_artist"))).where(F.col("score") >= min_score)
     best = scored.groupBy("w_title", "w_artist").agg(F.max_by(F.struct("cand_id", "score"), F.struct("score", (-F.col("pos")).alias("p"))).alias("b"))
     met = wanted.join(best, wanted.title.eqNullSafe(best.w_title) & wanted.artist.eqNullSafe(best.w_artist))
     return met.select("want_id", F.col("b.cand_id").alias("cand_id"), F.col("b.score").alias("score"))
 
 
+def _words(artist: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(artist, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
+def _rarest_words(artists: DataFrame) -> DataFrame:
+    """(artist, rarest): of the words of each artist the one that the fewest artists have."""
+    words = artists.distinct().select("artist", F.explode(_words(F.col("artist"))).alias("word"))
+    counted = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word")
+    return counted.groupBy("artist").agg(F.min_by("word", F.struct("n", "word")).alias("rarest"))
+
+
+def _named(rows: DataFrame, artist: str, rare: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows under the words that artists meet at: the rarest, as what may stand in the other, and all, as what holds it.
+
+    An artist without letters or digits meets its equals, and those with as many other characters in a row.
+    """
+    name = F.col(artist)
+    met = rows.join(rare.select(F.col("artist").alias(artist), "rarest"), artist, "left")
+    key = lambda kind, word: F.concat(F.lit(f"{kind}:"), word)
+    odd = F.when(name.rlike(rf"[^\p{{L}}\p{{N}}]{{{CONTAINED}}}"), F.array(F.lit(f"{other}:")))
+    inside = F.when(F.col("rarest").isNull(), F.array(F.lit(f"{own}:"), key("same", name))).otherwise(F.array(key(own, F.col("rarest"))))
+    words = F.concat(inside, F.transform(_words(name), lambda x: key(other, x)), F.coalesce(odd, F.array().cast("array<string>")))
+    return met.withColumn("word", F.explode(F.array_distinct(words))).drop("rarest")
+
+
 def _keyed(rows: DataFrame, title: str, own: str, other: str) -> DataFrame:
     """Rows under the keys that titles meet at: as long as both are, as the shorter side, and as the longer one."""
     t = F.col(title)

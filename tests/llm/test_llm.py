@@ -258,6 +258,39 @@ def test_links_join_all_within_reach(spark, monkeypatch, group):
     assert [got.get(i, i) for i in range(len(f))] == root.tolist()
 
 
+@pytest.mark.parametrize("bits", [2, 3])
+def test_chains_prune_before_the_full_check(spark, bits):
+    """Of one group, the pairs that reach the full check are those whose chain keeps its budgets, far fewer than all."""
+    rng = random.Random(8)
+    ring = simhash._segments(bits)
+    n = len(ring)
+    head = rng.getrandbits(64) & ((1 << ring[2][0]) - 1)  # segments 0 and 1 agree
+    prints = {head | (rng.getrandbits(64) >> ring[2][0] << ring[2][0]) for _ in range(500)}
+    prints |= {p ^ (1 << rng.randrange(ring[2][0], 64)) ^ (1 << rng.randrange(ring[2][0], 64)) for p in list(prints)}
+    fps = np.array(sorted(prints), np.uint64)
+    part = lambda k: (fps >> np.uint64(ring[k][0])) & np.uint64((1 << ring[k][1]) - 1)
+    parts, budgets = np.stack([part(k) for k in range(2, n)], axis=1), [(k + 1) * bits // n for k in range(2, n)]
+    order = np.lexsort(parts.T[::-1])
+    left, right = simhash._chained(np.zeros(len(fps), np.int64), parts[order], budgets)
+    got = {tuple(sorted((a, b))) for a, b in zip(order[left].tolist(), order[right].tolist(), strict=True) if a != b}
+    sums = np.cumsum([np.bitwise_count(p[:, None] ^ p[None]) for p in parts.T], axis=0)
+    want = np.triu((sums <= np.array(budgets)[:, None, None]).all(axis=0), 1)
+    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(want)), strict=True))
+    assert len(left) - len(fps) == len(got) and 50 < len(got) < len(fps) ** 2 / 200
+
+
+def test_null_ids_link_what_they_stand_between(spark):
+    docs = spark.createDataFrame([(1, "zero"), (2, "far"), (None, "between"), (7, "alone")], "doc_id long, text string")
+    prints = {"zero": 0, "between": 0b11, "far": 0b1111, "alone": 1 << 40 | 0b111111111}
+    given = docs.withColumn("fp", F.create_map(*(F.lit(x) for p in prints.items() for x in p))[F.col("text")].cast("long")).select("doc_id", "fp")
+    original, simhash.fingerprints = simhash.fingerprints, lambda *_: given
+    try:
+        got = {r.fingerprint: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    finally:
+        simhash.fingerprints = original
+    assert got == {f"{p:016x}": 7 if t == "alone" else 1 for t, p in prints.items()}
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 

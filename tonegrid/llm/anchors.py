@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tonegrid.llm._blocks import ANSWER, ASK, BLOCK, BUCKET, asked, bucket_of, by_bucket, ddl, dealt, ids_and_texts, in_order, joined, packed, runs_of, seen_twice, told, unpacked
+from tonegrid.llm._tables import apart
 from tonegrid.llm._vec import NOT_SPACE, Words, covered, release
 
 WINDOW = 13
@@ -80,7 +81,7 @@ def drop_repeated_windows(docs: DataFrame, keep: list[str], window: int = WINDOW
     Clashing names: the added columns win.
     """
     added = {"n_words": "long", "n_removed": "long", "kept_sha256": "string"}
-    keep = [c for c in keep if c not in added]
+    docs, keep, back = apart(docs, [c for c in keep if c not in added], (BLOCK, BUCKET))
     columns = list(dict.fromkeys([*keep, "doc_id", "text"]))
     blocks, buckets = dealt(docs, columns)
 
@@ -166,4 +167,4 @@ def drop_repeated_windows(docs: DataFrame, keep: list[str], window: int = WINDOW
     claims = blocks.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(claim, ddl(_CLAIM))
     settled = claims.groupBy(BUCKET).applyInArrow(settle, ddl(ANSWER))
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in names), *(f"{c} {t}" for c, t in added.items())])
-    return blocks.groupBy(BLOCK).cogroup(settled.groupBy(BLOCK)).applyInArrow(finish, schema)
+    return blocks.groupBy(BLOCK).cogroup(settled.groupBy(BLOCK)).applyInArrow(finish, schema).withColumnsRenamed(back)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonegrid.llm._blocks import runs_of
+from tonegrid.llm._tables import apart
 from tonegrid.llm._vec import ALNUM, Words, covered, mix, passes, release, rows, utf8
 from tonegrid.operators.lineage import cut
 
@@ -168,11 +169,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], window
     Clashing names: the added columns win.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_parts = max(1, -(-total // part_bytes))
+    docs, keep, back = apart(docs, [c for c in keep if c not in dict(_DIGEST)], ("hit_words", "hit_items"))
     docs = docs.select(*keep, *[c for c in ("text",) if c not in keep])
-    keep = [c for c in keep if c not in dict(_DIGEST)]
     fields = {f.name: f for f in docs.schema}
     ddl = lambda names: ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in names)
     out = docs.select(*dict.fromkeys([*keep, "text"]))
@@ -198,4 +199,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], window
         if not last:
             out = cut(out)
             tables.destroy()
-    return out
+    return out.withColumnsRenamed(back)

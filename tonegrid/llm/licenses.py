@@ -2,10 +2,12 @@
 
 For a template of n words, blocks are 2 n consecutive words of a text, one from every n-th word on and across line ends,
 so every stretch of n words lies inside a block. A block meets a template if it holds at least ``threshold`` of the
-template's distinct tokens, those that tell the license apart among them. Tokens are ordered from the rarest to the
+template's distinct tokens. Tokens are ordered from the rarest to the
 most frequent over the whole corpus. A block that meets the threshold holds one of the first |T| - c + 1 tokens of the
 template (c: tokens that must be shared), has at least c tokens, and from its first shared prefix token on both sides
-still have c tokens to share. Only blocks around prefix tokens are formed; what passes the filters is verified.
+still have c tokens to share. Only blocks around prefix tokens are formed; what passes the filters is verified, and every
+block that meets a template counts. Labels that rest only on blocks without the words that tell the license apart are named
+beside the others.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonegrid.llm._tables import apart
+
 THRESHOLD = 0.8
 
 #: Phrases whose words stand consecutively, and the label of each.
@@ -24,7 +28,7 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Templates of license statements: label, text, and the words without which it is another license's.
+#: Templates of license statements: label, text, and the words without which it may be another license's.
 TEMPLATES = (
     ("apache-2", "Licensed under the Apache License, Version 2.0", "apache"),
     ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution"),
@@ -39,6 +43,9 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered"),
 )
 
+#: Names of columns that are no one else's.
+_OWN = ("__text", "__row", "__size", "__words", "__low", "__base", "__met", "__sure", "__score")
+
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,15 +74,15 @@ def template_tokens(templates=TEMPLATES) -> list[tuple[str, list[str], int, list
 
 def scan_licenses(docs: DataFrame, keep: list[str], templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """The columns ``keep`` of ``docs`` (doc_id, text: string) with n_words, n_base, first_word, last_word, base_labels,
-    labels and score.
+    labels, doubtful_labels and score.
 
     n_base counts the places where a phrase's words stand consecutively, first_word and last_word are the smallest and
-    largest start (null if none), base_labels their labels; labels adds those of templates that a block meets; score
-    is 1 with a phrase, else the largest share of a template's tokens in a block that meets it, else 0. A null text is
+    largest start (null if none), base_labels their labels; labels adds those of templates that a block meets,
+    doubtful_labels are those of them that no phrase and no block with the template's telling words has; score is 1 with a phrase, else the largest share of a template's tokens in a block that meets it, else 0. A null text is
     empty. Repeated rows are scanned alike. Clashing names: the added columns win.
     """
-    added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    keep = [c for c in keep if c not in added]
+    added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "doubtful_labels", "score"]
+    docs, keep, back = apart(docs, [c for c in keep if c not in added], _OWN)
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"), F.xxhash64("doc_id", "text").alias("__row"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("__size"))
 
     found = rows.select(*keep, "__row", "__size", spaced(F.col("__text")).alias("__words"))
@@ -97,13 +104,15 @@ def scan_licenses(docs: DataFrame, keep: list[str], templates=TEMPLATES, phrases
 
     met = _met(rows.select("__row", "__size", "__text"), template_tokens(templates), threshold)
     both = base.join(met, ["__row", "__size"], "left")
-    every = F.array_sort(F.array_union("__base", F.coalesce("__met", F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    every = F.array_sort(F.array_union("__base", F.coalesce("__met", none)))
+    doubtful = F.array_except(F.array_except(F.coalesce("__met", none), F.coalesce("__sure", none)), "__base")
     score = F.when(F.size("__base") > 0, F.lit(1.0)).otherwise(F.coalesce("__score", F.lit(0.0)))
-    return both.select(*keep, "n_words", "n_base", "first_word", "last_word", F.array_join("__base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
+    return both.select(*keep, "n_words", "n_base", "first_word", "last_word", F.array_join("__base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), F.array_join(doubtful, ",").alias("doubtful_labels"), score.alias("score")).withColumnsRenamed(back)
 
 
 def _met(rows: DataFrame, templates: list[tuple[str, list[str], int, list[str]]], threshold: float) -> DataFrame:
-    """(__row, __size, __met: labels, __score) of rows with a block that meets a template."""
+    """(__row, __size, __met: labels, __sure: those that blocks with all telling words have, __score) of rows with a block that meets a template."""
     spark = rows.sparkSession
     vocabulary = sorted({t for _, tokens, *_ in templates for t in tokens})
     words = rows.select(F.explode(F.split(F.trim(lowered(F.regexp_replace("__text", _GAPS, " "))), " ")).alias("token"))
@@ -138,5 +147,6 @@ def _met(rows: DataFrame, templates: list[tuple[str, list[str], int, list[str]]]
     left = F.least(F.col("size") - F.array_position("wanted", first) + 1, F.size("held") - F.array_position("held", first) + 1)
     fit = pairs.where((F.size("held") >= F.col("need")) & (left >= F.col("need")))
     shared = F.size(F.array_intersect("held", "wanted"))
-    sure = fit.where((shared >= F.col("need")) & (F.size(F.array_except("marks", "held")) == 0)).withColumn("share", shared / F.col("size"))
-    return sure.groupBy("__row", "__size").agg(F.array_sort(F.collect_set("label")).alias("__met"), F.max("share").alias("__score"))
+    met = fit.where(shared >= F.col("need")).withColumn("share", shared / F.col("size"))
+    sure = F.when(F.size(F.array_except("marks", "held")) == 0, F.col("label"))
+    return met.groupBy("__row", "__size").agg(F.array_sort(F.collect_set("label")).alias("__met"), F.collect_set(sure).alias("__sure"), F.max("share").alias("__score"))

@@ -124,12 +124,13 @@ def _license_sql() -> str:
       b AS (SELECT d.doc_id, p.label, i - 1 AS start FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d) d, p WHERE d.words[i] = p.words[1] AND d.words[i : i + len(p.words) - 1] = p.words),
       bs AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
       v AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM d),
-      m AS (SELECT doc_id, label, count(DISTINCT word) / len(tokens) AS share FROM v JOIN t ON list_contains(tokens, word), (VALUES (0), (1)) o(o) WHERE place // length >= o
-        GROUP BY doc_id, n, label, tokens, marks, place // length - o HAVING count(DISTINCT word) / len(tokens) >= {THRESHOLD} AND count(DISTINCT word) FILTER (list_contains(marks, word)) = len(marks)),
+      m AS (SELECT doc_id, label, count(DISTINCT word) / len(tokens) AS share, count(DISTINCT word) FILTER (list_contains(marks, word)) = len(marks) AS sure FROM v JOIN t ON list_contains(tokens, word), (VALUES (0), (1)) o(o) WHERE place // length >= o
+        GROUP BY doc_id, n, label, tokens, marks, place // length - o HAVING count(DISTINCT word) / len(tokens) >= {THRESHOLD}),
       lab AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM b) GROUP BY 1),
+      q AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS doubtful FROM (SELECT DISTINCT doc_id, label FROM m EXCEPT SELECT doc_id, label FROM m WHERE sure EXCEPT SELECT doc_id, label FROM b) GROUP BY 1),
       s AS (SELECT doc_id, max(share) AS share FROM m GROUP BY 1)
-      SELECT d.doc_id, len(d.words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-      CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN lab ON lab.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id"""
+      SELECT d.doc_id, len(d.words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(doubtful, '') AS doubtful_labels,
+      CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN lab ON lab.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN q ON q.doc_id = d.doc_id"""
 
 
 def _crc_sql(text: str) -> str:

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tonegrid.llm._blocks import BLOCK, BUCKET, bucket_of, by_bucket, dealt, ids_and_texts, in_order, joined, runs_of
+from tonegrid.llm._tables import apart
 from tonegrid.llm._vec import flatten, range_hashes, seed_hashes, window_hashes
 
 LENGTH = 400
@@ -190,7 +191,7 @@ def mark_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, keep_fi
     last; rows that repeat are copies of each other, and rows of one doc_id are in an order of their own. Clashing names: the added columns win.
     """
     added = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({} if digest else {"kept": "binary"})
-    keep = [c for c in keep if c not in added]
+    docs, keep, back = apart(docs, [c for c in keep if c not in added], (BLOCK, BUCKET))
     blocks, buckets = dealt(docs, list(dict.fromkeys([*keep, "doc_id", "text"])))
 
     def ask(table: pa.Table) -> pa.Table:
@@ -361,4 +362,4 @@ def mark_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, keep_fi
     shipped = blocks.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(ship, _ddl(_SHIP))
     found = shipped.groupBy(BUCKET).applyInArrow(match, _ddl(_FOUND))
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in names), *(f"{c} {t}" for c, t in added.items())])
-    return blocks.groupBy(BLOCK).cogroup(found.groupBy(BLOCK)).applyInArrow(finish, schema)
+    return blocks.groupBy(BLOCK).cogroup(found.groupBy(BLOCK)).applyInArrow(finish, schema).withColumnsRenamed(back)

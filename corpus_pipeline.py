@@ -19,10 +19,19 @@ from tonegrid.llm.shingles import keep_first_of_near
 from tonegrid.operators.lineage import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows of an Arrow batch, for texts of some kilobytes; the session's own value counts if it is smaller.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A document is rejected when it is more likely bad than good.
 REJECT_UNDER = 0.5
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds what the JVM and a Python worker hold of a batch of texts at a time, from now on in this session."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects; it learns from all labels.
 
@@ -30,6 +39,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     so repeated rows and rows without an id share the fate of their text. Labels that are null or of no document teach
     nothing; without two kinds of labels all texts have one score. Further columns of ``docs`` are dropped.
     """
+    _small_batches(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return score_quality(docs, model, COLUMNS, REJECT_UNDER).where("predicted = 1").select(COLUMNS)
 
@@ -41,6 +51,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     the sets decide. Null, empty and blank texts are alike. Rows without an id stay, and link nothing; rows that repeat
     an id stay or go together. Further columns of ``docs`` are dropped.
     """
+    _small_batches(spark)
     return keep_first_of_near(docs, COLUMNS)
 
 
@@ -51,6 +62,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     document; rows of one id are one document, so copies of a row lose nothing to each other. Further columns of
     ``docs`` are dropped.
     """
+    _small_batches(spark)
     left = drop_repeated_windows(docs, COLUMNS)
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
@@ -61,6 +73,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts, and all texts where the benchmark is empty, stay. Rows are judged one by one, repeated rows
     and rows without an id too. Further columns of ``docs`` are dropped.
     """
+    _small_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), COLUMNS).where("not contaminated").select(COLUMNS)
 
 
@@ -69,6 +82,7 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are begin and end alone. Rows are encoded one by one, repeated rows and rows without an id too.
     """
+    _small_batches(spark)
     return encode_pieces(docs, public_tokenizer("piece_bpe_32k.model"), ["doc_id"], decoded=False)
 
 

@@ -38,12 +38,45 @@ def outstanding(need: Column, have: Column, covered: Column) -> Column:
 
 def work_list(tracks: DataFrame, visible: DataFrame, focused: DataFrame) -> DataFrame:
     """(pid, rank, pos): what is in view first, then what is focused, then the rest, in row order."""
+    return ranked_work(tracks.where(needs_lookup(F.col("bpm"), F.col("key"))), visible, focused)
+
+
+def ranked_work(wanted: DataFrame, visible: DataFrame, focused: DataFrame) -> DataFrame:
+    """(pid, rank, row_idx) of ``wanted`` tracks in the order of ``work_list``, whatever makes them wanted."""
     mark = lambda f, name: f.select("pid").distinct().withColumn(name, F.lit(True))
-    rows = tracks.where(needs_lookup(F.col("bpm"), F.col("key"))).join(mark(visible, "v"), "pid", "left").join(mark(focused, "f"), "pid", "left")
+    rows = wanted.join(mark(visible, "v"), "pid", "left").join(mark(focused, "f"), "pid", "left")
     rank = F.when(F.col("v"), 0).when(F.col("f"), 1).otherwise(2)
     return rows.select("pid", rank.alias("rank"), "row_idx").orderBy("rank", "row_idx")
 
 
+#: What a lookup queue is told. A track states what it needs (the latest statement counts); a lookup states its status (hit,
+#: miss or error), the fields that it asked for (covered) and those that it brought (have).
+LOOKUP_EVENTS = "pid string, ts timestamp, need array<string>, status string, covered array<string>, have array<string>"
+
+
+def lookup_states(events: DataFrame) -> DataFrame:
+    """One row per pid of ``LOOKUP_EVENTS``: need, done (fields that a hit brought or asked for) and, for each field, when it
+    was last missed (missed, in the order of ``FIELDS``; null: never).
+
+    Sums of its events that do not depend on their order, of fixed size, so the same expression is a batch aggregate and
+    the state of a stream. An error leaves no trace; rows without a pid are no track's.
+    """
+    holds = lambda c, f: F.coalesce(F.array_contains(c, f), F.lit(False))
+    need = F.max_by("need", F.when(F.col("need").isNotNull(), F.struct("ts", F.array_sort("need").alias("n"))))
+    found = [F.coalesce(F.bool_or((F.col("status") == "hit") & (holds("covered", f) | holds("have", f))), F.lit(False)).alias(f"d_{f}") for f in FIELDS]
+    missed = [F.max(F.when((F.col("status") == "miss") & holds("covered", f), F.col("ts"))).alias(f"m_{f}") for f in FIELDS]
+    states = events.where("pid is not null").groupBy("pid").agg(need.alias("need"), *found, *missed)
+    done = F.array_compact(F.array(*(F.when(F.col(f"d_{f}"), f) for f in FIELDS)))
+    return states.select("pid", "need", done.alias("done"), F.array(*(f"m_{f}" for f in FIELDS)).alias("missed"))
+
+
+def outstanding_lookups(states: DataFrame, now: Column) -> DataFrame:
+    """(pid, outstanding) of ``lookup_states`` with fields left to look up: needed, not done, and not missed within a week."""
+    live = F.array_compact(F.array(*(F.when(F.get("missed", i) > now - F.expr(f"INTERVAL {MISS_DAYS} DAYS"), f) for i, f in enumerate(FIELDS))))
+    left = outstanding(F.coalesce("need", F.array().cast("array<string>")), F.col("done"), live)
+    return states.select("pid", left.alias("outstanding")).where("size(outstanding) > 0")
+
+
 def analysis_targets(tracks: DataFrame, visible: DataFrame) -> DataFrame:
     """(pid, audio, lookup) of visible tracks that lack sound features or tempo and key, or could be looked up."""
     rows = tracks.join(visible.select("pid").distinct(), "pid", "left_semi")

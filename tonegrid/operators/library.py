@@ -150,6 +150,25 @@ class Library(NamedTuple):
     collections: DataFrame
 
 
+def additions(base: Library, incoming: Library, label: str) -> Library | None:
+    """What ``incoming`` adds to ``base``: tracks of new pids, memberships that are not there under their final names, and
+    collections behind those of ``base``. None where no pid is new."""
+    new = keep_first(incoming.tracks.join(base.tracks.select("pid"), "pid", "left_anti"), ["pid"], F.col("row_idx"))
+    if new.isEmpty():
+        return None
+    renamed = rename_clashing(incoming.memberships, base.memberships, label)
+    moved = merge_memberships(base.memberships.limit(0), incoming.memberships, renamed)
+    last = base.collections.agg(F.max("pos")).first()[0]
+    after = incoming.collections.withColumn("pos", F.col("pos") + F.lit(0 if last is None else last + 1))
+    return Library(new, moved.join(base.memberships, ["playlist", "pid"], "left_anti"), after)
+
+
+def recounted(collections: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Collections with the number of tracks that they own; one that owns none keeps its count."""
+    counted = tracks.groupBy(F.col("collection").alias("id")).agg(F.count("*").alias("n"))
+    return collections.join(counted, "id", "left").withColumn("track_count", F.coalesce("n", "track_count")).drop("n")
+
+
 def merge(base: Library, incoming: Library, label: str) -> Library:
     """The union of two libraries in import order, or ``base`` untouched where ``incoming`` has no new pid.
 
@@ -157,16 +176,12 @@ def merge(base: Library, incoming: Library, label: str) -> Library:
     behind it. Collections of ``incoming`` follow those of ``base``, and all are counted anew; one that owns no track
     keeps its count.
     """
-    if incoming.tracks.join(base.tracks.select("pid"), "pid", "left_anti").isEmpty():
+    more = additions(base, incoming, label)
+    if more is None:
         return base
-    renamed = rename_clashing(incoming.memberships, base.memberships, label)
-    last = base.collections.agg(F.max("pos")).first()[0]
-    after = incoming.collections.withColumn("pos", F.col("pos") + F.lit(0 if last is None else last + 1))
-    tracks = merge_tracks(base.tracks, incoming.tracks)
-    both = base.collections.unionByName(after, allowMissingColumns=True)
-    counted = tracks.groupBy(F.col("collection").alias("id")).agg(F.count("*").alias("n"))
-    both = both.join(counted, "id", "left").withColumn("track_count", F.coalesce("n", "track_count")).drop("n")
-    return Library(tracks, merge_memberships(base.memberships, incoming.memberships, renamed), both)
+    tracks = merge_tracks(base.tracks, more.tracks)
+    members = base.memberships.select("playlist", "pid").distinct().unionByName(more.memberships)
+    return Library(tracks, members, recounted(base.collections.unionByName(more.collections, allowMissingColumns=True), tracks))
 
 
 def track_counts(collections: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from tonegrid.functions import text
 from tonegrid.operators import analytics, enrich, features, library, query, study
 from tonegrid.operators.lineage import new_folder
 from tonegrid.plans.bridge import view, with_views
-from tonegrid.plans.queries import _C, _TOP, ORACLES, _r, clustered, register, tracks_of
+from tonegrid.plans.queries import _C, _TOP, ORACLES, _r, _two_libraries, _whole, clustered, register, tracks_of
 from tonegrid.sources import readers, sinks
+from tonegrid.streaming import jobs
 
 
 
@@ -423,3 +424,40 @@ state("hulls", f"""WITH RECURSIVE {with_views('points')[5:]}, p AS (SELECT DISTI
   walk AS (SELECT cluster, CAST(0 AS BIGINT) AS pos, first(x ORDER BY x, y) AS x, first(y ORDER BY x, y) AS y, first(x ORDER BY x, y) AS sx, first(y ORDER BY x, y) AS sy FROM p GROUP BY 1 UNION ALL
     SELECT w.cluster, pos + 1, bx, by_, sx, sy FROM walk w JOIN edge e ON e.cluster = w.cluster AND e.ax = w.x AND e.ay = w.y WHERE bx <> sx OR by_ <> sy)
   SELECT cluster, pos, round(x, 6) AS x, round(y, 6) AS y FROM walk""")
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+@register("streamed_library", ORACLES["merge_whole_library"])
+def streamed_library(spark, sf):
+    """A library that is there, and one that arrives twice as a file."""
+    base, new = _two_libraries(spark, sf, "row_idx % 2 = 0")
+    folder = new_folder(spark, "streams")
+    jobs.start_library(base, f"{folder}/store")
+    for _ in range(2):
+        jobs.import_rows(new, "C3").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    jobs.stream_library(spark, f"{folder}/in", new.tracks._jdf.schema().toDDL(), f"{folder}/store").awaitTermination()
+    return _whole(jobs.read_library(spark, f"{folder}/store"))
+
+
+_ASKED = "CASE event_id % 3 WHEN 0 THEN 'bpm' WHEN 1 THEN 'key' ELSE 'label' END"
+
+
+@register("lookup_queue", f"""WITH e AS (SELECT pid, ts, status, {_ASKED} AS f FROM outcomes), last AS (SELECT max(ts) AS now FROM e),
+  n AS (SELECT pid, unnest(list_filter([CASE WHEN bpm IS NULL THEN 'bpm' END, CASE WHEN key IS NULL THEN 'key' END, CASE WHEN label IS NULL THEN 'label' END], lambda x: x IS NOT NULL)) AS f FROM tracks)
+  SELECT pid, f AS field FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.pid = n.pid AND e.f = n.f AND (e.status = 'purchase' OR (e.status = 'click' AND e.ts > (SELECT now FROM last) - INTERVAL 7 DAY)))""", ("tracks", "outcomes"))
+def lookup_queue(spark, sf):
+    """Purchases stand for hits, clicks for misses, the rest for errors; the queue as of the last event."""
+    none = F.lit(None).cast("array<string>")
+    need = F.array_compact(F.array(*(F.when(F.col(c).isNull(), c) for c in ("bpm", "key", "label"))))
+    wanted = tracks_of(spark, sf).select("pid", F.lit("2000-01-01").cast("timestamp").alias("ts"), need.alias("need"), F.lit(None).cast("string").alias("status"), none.alias("covered"), none.alias("have"))
+    status = F.when(F.col("status") == "purchase", "hit").when(F.col("status") == "click", "miss").otherwise("error")
+    asked = view(spark, sf, "outcomes").withColumns({"ts": F.col("ts").cast("timestamp"), "covered": F.array(F.expr(_ASKED)), "status": status, "need": none, "have": none})
+    folder = new_folder(spark, "streams")
+    for part in (asked.where("event_id % 2 = 0"), wanted, asked.where("event_id % 2 = 1")):
+        part.select("pid", "ts", "need", "status", "covered", "have").write.mode("append").parquet(f"{folder}/in")
+    jobs.stream_lookups(spark, f"{folder}/in", f"{folder}/table", f"{folder}/check", parts=8).awaitTermination()
+    now = asked.agg(F.max("ts")).first()[0]
+    left = enrich.outstanding_lookups(jobs.read_table(spark, f"{folder}/table"), F.lit(now))
+    return left.select("pid", F.explode("outstanding").alias("field"))

@@ -303,8 +303,44 @@ def test_layout_reaches_the_leading_eigenvectors(spark):
     axes = np.linalg.eigh(w / np.outer(root, root))[1][:, ::-1][:, 1:3]
     want = axes / root[:, None]
     assert np.allclose(got, want * np.sign((got * want).sum(0)), atol=1e-4)
+    got = np.array([(r.x, r.y) for r in geometry.layout_2d(graph, tolerance=1e-4, coarse=30).orderBy("node").collect()])
+    assert np.allclose(got, want * np.sign((got * want).sum(0)), atol=1e-2)
     with pytest.raises(ArithmeticError):
-        geometry.layout_2d(graph, tolerance=1e-6, steps=4)
+        geometry.layout_2d(graph, tolerance=1e-6, steps=1, coarse=4)
+
+
+def _residuals(graph, at):
+    """Of both axes, over their lengths, and how far they are from each other and from the trivial one."""
+    a, b, w = (np.array(c) for c in zip(*graph, strict=True))
+    n = max(b.max(), a.max()) + 1
+    deg = np.bincount(a, w, n) + np.bincount(b, w, n)
+    root = np.sqrt(deg)
+    x = np.array([at[i] for i in range(n)]) * root[:, None]
+    w = w / (root[a] * root[b])
+    moved = np.stack([np.bincount(a, w * x[b, i], n) + np.bincount(b, w * x[a, i], n) for i in range(2)], 1)
+    value = (x * moved).sum(0)
+    return np.linalg.norm(moved - x * value, axis=0), value, np.abs(np.hstack([x, root[:, None] / np.linalg.norm(root)]).T @ np.hstack([x, root[:, None] / np.linalg.norm(root)]) - np.eye(3)).max()
+
+
+def test_layout_of_a_long_path(spark):
+    path = [(i, i + 1, 1.0) for i in range(3999)]
+    at = {r.node: (r.x, r.y) for r in geometry.layout_2d(spark.createDataFrame(path, "a long, b long, weight double")).collect()}
+    left, value, off = _residuals(path, at)
+    assert (left <= 1.1e-3).all() and (value > 0.9999).all() and off < 1e-6
+    x = np.array([at[i][0] for i in range(4000)])
+    assert (np.diff(x[::100]) < 0).mean() in (0.0, 1.0)  # from one end to the other
+
+
+def test_layout_of_several_parts(spark):
+    rng = np.random.default_rng(5)
+    parts = [(30 * c + int(i), 30 * c + int(j), float(rng.random())) for c in range(5) for i in range(30) for j in rng.choice(30, 4, replace=False) if i < j]
+    parts += [(30 * c + i, 30 * c + i + 1, 0.5) for c in range(5) for i in range(29)]
+    graph = spark.createDataFrame(parts, "a long, b long, weight double")
+    merged = [(r.a, r.b, r.weight) for r in graph.groupBy("a", "b").sum("weight").toDF("a", "b", "weight").collect()]
+    for coarse in (1024, 3):  # 3: more parts than nodes of the contracted graph
+        at = {r.node: (r.x, r.y) for r in geometry.layout_2d(graph, coarse=coarse).collect()}
+        left, value, off = _residuals(merged, at)
+        assert (left <= 1.1e-3).all() and (value > 0.999).all() and off < 1e-6
 
 
 def clicks(bpm, seconds=20, rate=44_100):

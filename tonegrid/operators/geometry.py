@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegrid.operators.lineage import cut
@@ -18,6 +20,8 @@ BLOCK_ROWS = 4096
 #: Pivots of the neighbour search, at most.
 CELLS = 1024
 NEIGHBOURS = 15
+#: Nodes that a graph is contracted to for its layout, at most; their matrix is the driver's.
+COARSE_NODES = 1024
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -39,8 +43,8 @@ def gram(vectors: DataFrame, vec: str = "vec") -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"g": [total.tobytes()]})
 
     parts = vectors.select(vec).mapInArrow(run, "g binary").rdd.map(lambda r: np.frombuffer(r[0]))
-    add = lambda a, b: b if a is None else a if b is None else a + b
-    total = parts.treeAggregate(None, add, add)
+    both = lambda a, b: b if a is None else a if b is None else a + b
+    total = parts.treeAggregate(None, both, both)
     return np.zeros((0, 0)) if total is None else total.reshape(math.isqrt(len(total)), -1)
 
 
@@ -318,58 +322,125 @@ def fuzzy_graph(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return pair.groupBy("a", "b").agg((F.sum("weight") - F.when(F.count("*") > 1, F.exp(F.sum(F.log("weight")))).otherwise(0.0)).alias("weight"))
 
 
-def layout_2d(graph: DataFrame, tolerance: float = 1e-3, steps: int = 80, seed: int = 42) -> DataFrame:
+def layout_2d(graph: DataFrame, tolerance: float = 1e-3, steps: int = 80, seed: int = 42, coarse: int = COARSE_NODES) -> DataFrame:
     """(node, x, y): the two leading non-trivial eigenvectors of the normalized graph, over its degrees' roots.
 
-    Lanczos steps: each multiplies the newest direction by the graph, one join and one grouped sum over the edges, and
-    makes the product orthogonal to the trivial axis and to all directions so far, whose values a node keeps in an array
-    of ``steps`` numbers at most. The driver holds a tridiagonal matrix; the steps end when both axes leave a residual of
-    ``tolerance`` at most. If they do not within ``steps``, that is an error. An axis points where its first node (by
-    number) that is not near zero is positive.
+    The graph is contracted to ``coarse`` nodes at most, whose axes are exact and start those of the whole graph. Then
+    conjugate steps: the best two axes within the last two, their residuals and their last moves, until both leave a
+    residual of ``tolerance`` at most; if they do not within ``steps``, that is an error. A step is one join with the edges
+    and one sum; a node keeps twelve numbers, and the driver small matrices. A graph in several parts has axes that are
+    constant on each part. An axis points where its first node (by number) that is not near zero is positive.
     """
-    both = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(graph.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
-    degree = both.groupBy("u").agg(F.sum("weight").alias("deg"))
-    edges = cut(both.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("deg").alias("dv")), "v").select("u", "v", (F.col("weight") / F.sqrt(F.col("deg") * F.col("dv"))).alias("w")))
-    start = F.pmod(F.xxhash64(F.lit(seed), "u"), F.lit(2_000_001)) / 1e6 - 1
-    # q: the trivial axis, then the directions; n: the product to come
-    state = cut(degree.select("u", F.array(F.sqrt("deg")).alias("q"), start.alias("n")))
-    nodes = state.count()
+    both = cut(graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(graph.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight")).groupBy("u", "v").agg(F.sum("weight").alias("weight")))
+    degree = cut(both.groupBy("u").agg(F.sum("weight").alias("deg")))
+    nodes, total = degree.agg(F.count("*"), F.sum("deg")).first()
     if nodes < 3:
-        return state.select(F.col("u").alias("node"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    norm = state.agg(F.sqrt(F.sum(F.get("q", 0) * F.get("q", 0)))).first()[0]
-    state = state.withColumn("q", F.array(F.get("q", 0) / norm))
-    diagonal: list[float] = []
-    beside: list[float] = []
-    for _ in range(min(steps, nodes - 1)):
-        state, left = _freed(state)
-        if left < 1e-12:  # the graph has no further direction from here
+        return degree.select(F.col("u").alias("node"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    edges = cut(both.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("deg").alias("dv")), "v").select("u", "v", (F.col("weight") / F.sqrt(F.col("deg") * F.col("dv"))).alias("w")))
+    root = F.sqrt("deg")
+    begun = degree.join(_coarse_axes(both, nodes, coarse, seed), "u")
+    state = begun.select("u", (root / math.sqrt(total)).alias("t"), (root * F.col("y0")).alias("s0"), (root * F.col("y1")).alias("s1"))
+    state, width = _multiplied(state, edges, ["s0", "s1"], 0), 2
+    for step in range(steps + 1):
+        along, own, mixed, twice = _products(state, width)
+        values, c = _best_axes(own, mixed)
+        left = [math.sqrt(max(0.0, c[:, i] @ (twice - 2 * values[i] * mixed + values[i] ** 2 * own) @ c[:, i])) for i in range(2)]
+        if max(left) <= tolerance:
             break
-        beside.append(left)
-        state = cut(state.select("u", F.concat("q", F.array(F.col("n") / left)).alias("q")))
-        last = F.element_at("q", -1)
-        moved = edges.join(state.select(F.col("u").alias("v"), last.alias("x")), "v").groupBy("u").agg(F.sum(F.col("w") * F.col("x")).alias("n"))
-        state = cut(state.join(moved, "u"))
-        diagonal.append(state.agg(F.sum(last * F.col("n"))).first()[0])
-        ritz, axes = np.linalg.eigh(np.diag(diagonal) + np.diag(beside[1:], 1) + np.diag(beside[1:], -1))
-        if len(ritz) >= 2 and (len(ritz) % 4 == 0 or len(ritz) == nodes - 1):
-            rest = _freed(state)[1]
-            if (np.abs(axes[-1, -2:]) * rest <= tolerance).all():
-                break
-    else:
-        if nodes - 1 > steps:
-            raise ArithmeticError(f"the layout's axes did not settle within {steps} steps")
-    two = axes[:, ::-1][:, :2]
-    of = lambda c: F.aggregate(F.zip_with(F.slice("q", 2, len(two)), F.array(*(F.lit(float(v)) for v in two[:, c])), lambda p, w: p * w), F.lit(0.0), lambda s, p: s + p)
-    found = state.select(F.col("u").alias("node"), *((of(c) if c < two.shape[1] else F.lit(0.0)).alias(n) for c, n in enumerate("xy")), F.get("q", 0).alias("t"))
+        if step == steps:
+            raise ArithmeticError(f"the layout's axes did not settle within {steps} steps: {max(left):.3g} is left of {tolerance:.3g}")
+        moves = c.copy()
+        moves[:2] = 0
+        long = np.sqrt(np.maximum(np.einsum("ki,kl,li->i", moves, own, moves), 0))
+        moves = moves[:, long > 1e-12] / long[long > 1e-12]
+        kept = np.hstack([c, moves])
+        axis = lambda letter, weights: _sum_of(letter, weights) - F.lit(float(weights @ along)) * F.col("t")  # noqa: E731  the trivial axis stays out
+        found = {f"{letter}{i if i < 2 else i + 2}": axis(letter, kept[:, i]) for letter in "sa" for i in range(kept.shape[1])}
+        rest = {f"s{2 + i}": (_sum_of("a", c[:, i]) - F.lit(float(values[i])) * _sum_of("s", c[:, i]) - F.lit(float((1 - values[i]) * (c[:, i] @ along))) * F.col("t")) / F.lit(left[i] or 1.0) for i in range(2)}
+        state = state.select("u", "t", *(v.alias(n) for n, v in (found | rest).items()))
+        width = 4 + moves.shape[1]
+        state = _multiplied(state, edges, ["s2", "s3"], 2)
+    ends = [(_sum_of("s", c[:, i]) - F.lit(float(c[:, i] @ along)) * F.col("t")).alias(n) for i, n in enumerate("xy")]
+    found = state.select(F.col("u").alias("node"), *ends, "t")
     sign = lambda c: F.coalesce(F.min_by(F.signum(c), F.when(F.abs(F.col(c)) > 1e-6, F.col("node"))), F.lit(1.0)).alias(f"s{c}")
     found = found.crossJoin(F.broadcast(found.agg(sign("x"), sign("y"))))
+    norm = math.sqrt(total)
     return found.select("node", (F.col("x") * F.col("sx") / (F.col("t") * norm)).alias("x"), (F.col("y") * F.col("sy") / (F.col("t") * norm)).alias("y"))
 
 
-def _freed(state: DataFrame) -> tuple[DataFrame, float]:
-    """The product without its parts along all directions so far, taken out twice against rounding; and its length."""
-    for _ in range(2):
-        parts = state.select(F.posexplode(F.transform("q", lambda x: x * F.col("n"))).alias("i", "p")).groupBy("i").agg(F.sum("p")).collect()  # a row for each direction
-        along = F.array(*(F.lit(float(p)) for _, p in sorted(map(tuple, parts))))
-        state = state.withColumn("n", F.col("n") - F.aggregate(F.zip_with("q", along, lambda x, p: x * p), F.lit(0.0), lambda s, p: s + p))
-    return state, state.agg(F.sqrt(F.sum(F.col("n") * F.col("n")))).first()[0]
+def _sum_of(letter: str, weights: np.ndarray) -> Column:
+    return reduce(add, (F.lit(float(w)) * F.col(f"{letter}{i}") for i, w in enumerate(weights)))
+
+
+def _multiplied(state: DataFrame, edges: DataFrame, columns: list[str], first: int) -> DataFrame:
+    """The state with the graph's products of ``columns`` as a<first>, a<first + 1>, ..."""
+    sums = [F.sum(F.col("w") * F.col(c)).alias(f"a{first + i}") for i, c in enumerate(columns)]
+    moved = edges.join(state.select(F.col("u").alias("v"), *columns), "v").groupBy("u").agg(*sums)
+    return cut(state.join(moved, "u"))
+
+
+def _products(state: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """t's, s x s, s x a and a x a of the basis, in one pass; the last three without their parts along the trivial axis,
+    which the graph maps on itself."""
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    dot = lambda a, b: F.sum(F.col(a) * F.col(b))
+    asked = [dot("t", f"s{i}") for i in range(width)] + [dot(f"{a}{i}", f"{b}{j}") for a, b in ("ss", "sa", "aa") for i, j in pairs]
+    got = np.array(state.agg(*(x.alias(f"p{n}") for n, x in enumerate(asked))).first(), dtype=float)
+    along, out = got[:width], []
+    for part in np.split(got[width:], 3):
+        m = np.zeros((width, width))
+        for (i, j), v in zip(pairs, part, strict=True):
+            m[i, j] = m[j, i] = v
+        out.append(m - np.outer(along, along))
+    return along, *out
+
+
+def _best_axes(own: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two largest Ritz values of a basis and its weights of their unit axes; directions that repeat others drop out."""
+    scale = 1 / np.sqrt(np.maximum(np.diag(own), 1e-300))
+    size, turn = np.linalg.eigh(own * np.outer(scale, scale))
+    good = size > 1e-10
+    basis = scale[:, None] * turn[:, good] / np.sqrt(size[good])
+    ritz, axes = np.linalg.eigh(basis.T @ mixed @ basis)
+    axes = basis @ axes[:, ::-1][:, :2]
+    values = ritz[::-1][:2]
+    missing = 2 - len(values)
+    return np.pad(values, (0, missing)), np.pad(axes, ((0, 0), (0, missing)))
+
+
+def _coarse_axes(both: DataFrame, nodes: int, coarse: int, seed: int) -> DataFrame:
+    """(u, y0, y1): the leading axes, over degrees' roots, of the graph contracted to ``coarse`` nodes, for all its nodes.
+
+    A keyed coin makes nodes heads or tails in every round; tails go into the heaviest head beside them, and weights add
+    up. Rounds shrink the graph by a share, so all together cost a few times the first. Where no edge is left between the
+    nodes, and they are more, any two numbers a node are axes.
+    """
+    maps: list[DataFrame] = []
+    edges, left, idle = both, nodes, 0
+    while left > coarse and idle < 8:
+        head = lambda c, n=len(maps) + idle: F.pmod(F.xxhash64(F.lit(seed), F.lit(n), c), F.lit(2)) == 0
+        goes = edges.where(~head(F.col("u")) & head(F.col("v"))).groupBy("u").agg(F.max_by("v", F.struct("weight", F.xxhash64("u", "v").alias("h"), "v")).alias("to"))
+        into = cut(edges.select("u").distinct().join(goes, "u", "left").select("u", F.coalesce("to", "u").alias("to")))
+        now = into.select("to").distinct().count()
+        if now == left:
+            if edges.where("u <> v").isEmpty():
+                break
+            idle += 1
+            continue
+        left, idle = now, 0
+        maps.append(into)
+        edges = cut(edges.join(into, "u").select(F.col("to").alias("u"), "v", "weight").join(into.select(F.col("u").alias("v"), F.col("to").alias("tv")), "v").groupBy("u", F.col("tv").alias("v")).agg(F.sum("weight").alias("weight")))
+    number = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(f"axis {i}"), "u"), F.lit(2_000_001)) / 1e6 - 1
+    known = edges.select("u").distinct().select("u", number(0).alias("y0"), number(1).alias("y1"))
+    if 3 <= left <= coarse:
+        rows = edges.toPandas()  # coarse * coarse rows at most
+        ids, ends = np.unique(rows.u.to_numpy(), return_inverse=True)
+        w = np.zeros((len(ids), len(ids)))
+        w[ends, np.searchsorted(ids, rows.v.to_numpy())] = rows.weight
+        deg = np.sqrt(w.sum(1))
+        trivial = deg / np.linalg.norm(deg)
+        axes = np.linalg.eigh(w / np.outer(deg, deg) - 2 * np.outer(trivial, trivial))[1][:, ::-1][:, :2] / deg[:, None]
+        known = F.broadcast(both.sparkSession.createDataFrame(pd.DataFrame({"u": ids, "y0": axes[:, 0], "y1": axes[:, 1]})))
+    for into in reversed(maps):
+        known = into.join(known.withColumnRenamed("u", "to"), "to").select("u", "y0", "y1")
+    return known

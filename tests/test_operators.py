@@ -426,3 +426,37 @@ def test_outside_tracks_land_beside_their_like(spark):
     edited = t.withColumn("source_key", F.when(F.col("row_idx") == 4, "manual")).withColumn("source_bpm", F.lit(None).cast("string")).withColumn("bpm", F.when(F.col("row_idx") == 4, 160.0).otherwise(F.col("bpm"))).withColumn("key", F.when(F.col("row_idx") == 4, "7A").otherwise(F.col("key")))
     moved = {r.pid: r for r in placement.move_edited(edited, at, 5).collect()}
     assert (moved["p4"].cluster, moved["p4"].x) == (1, pytest.approx(10.0)) and moved["p6"].x == 0.0
+
+
+def test_many_polygons_equal_a_loop(spark):
+    rng = np.random.default_rng(11)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([rng.normal(0, 2, (300, 2)), rng.integers(-3, 4, (60, 2))]))] + [(900, None, 1.0)]
+    shapes = {n: [tuple(map(float, c)) for c in rng.normal(0, scale, (int(rng.integers(3, 8)), 2)) + rng.normal(0, 2, 2)] for n, scale in enumerate([0.05, 0.3, 1, 1, 5, 40])}
+    shapes |= {10: [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)], 11: [(0.0, 0.0), (1.0, 1.0)], 12: [(1.0, 1.0)] * 3, 13: [(-1e6, -1e6), (1e6, -1e6), (0.0, 1e6)]}
+    p = spark.createDataFrame(pts, "row_idx long, x double, y double")
+    g = spark.createDataFrame([(n, [*map(tuple, c)] + [None] * (n == 10)) for n, c in shapes.items()], "polygon_id long, corners array<struct<x: double, y: double>>")
+
+    def inside(x, y, c):
+        return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(c, [*c[1:], c[0]], strict=True)) % 2 == 1
+
+    want = sorted((n, i) for n, c in shapes.items() if len(c) > 2 for i, x, y in pts if x is not None and inside(x, y, c))
+    assert rows(query.in_polygons(p, g), "polygon_id", "row_idx") == want
+    assert query.in_polygons(p, g.limit(0)).count() == 0
+
+
+def test_ambiguous_files_are_listed(spark):
+    t = spark.createDataFrame([("a", "file://localhost/m/x/Song.mp3"), ("b", "file:///m/y/other.mp3"), ("c", "/no-local-file/s.mp3"), ("d", None), ("e", "/q/once.mp3")], "pid string, location string")
+    f = spark.createDataFrame([(1, "p/x/song.mp3"), (2, "r/x/song.mp3"), (3, "r/z/song.mp3"), (4, "k/other.mp3"), (5, "l/other.mp3"), (6, "o/once.mp3")], "file_id long, path string")
+    assert rows(linkage.ambiguous_files(t, f, "/no-local-file/"), "pid", "file_id") == [("a", 1, 2), ("a", 2, 2), ("b", 4, 1), ("b", 5, 1)]
+
+
+def test_first_centres_are_far_apart_and_need_few_jobs(spark):
+    rng = np.random.default_rng(4)
+    spots = [(10.0 * i, 10.0 * j) for i in range(4) for j in range(3)]
+    p = spark.createDataFrame([(n, x + float(rng.normal(0, 0.1)), y + float(rng.normal(0, 0.1))) for n, (x, y) in enumerate(spots * 30)], "row_idx long, x double, y double")
+    found = geometry.seed_centres(p, 12)
+    assert sorted({(round(x / 10), round(y / 10)) for x, y in found}) == sorted((int(x / 10), int(y / 10)) for x, y in spots)
+    assert found == geometry.seed_centres(p.repartition(7), 12)
+    few = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(50)], "row_idx long, x double, y double")
+    assert sorted(geometry.seed_centres(few, 5)) == [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)]
+    assert geometry.seed_centres(few.limit(0), 5) == []

@@ -20,6 +20,8 @@ BLOCK_ROWS = 4096
 #: Pivots of the neighbour search, at most.
 CELLS = 1024
 NEIGHBOURS = 15
+#: Rounds that draw candidates for the first centres of k-means.
+SEED_ROUNDS = 3
 #: Nodes that a graph is contracted to for its layout, at most; their matrix is the driver's.
 COARSE_NODES = 1024
 
@@ -215,34 +217,65 @@ def assign(points: DataFrame, centres: list[tuple[float, float]]) -> DataFrame:
 def kmeans_2d(points: DataFrame, k: int, seed: int = 42, rounds: int = 60) -> tuple[DataFrame, list[tuple[float, float]]]:
     """Points (row_idx, x, y) with ``cluster``, and the centres.
 
-    Seeds are drawn one by one with odds by squared distance to the nearest chosen one (the draw is a keyed hash, so
-    it does not depend on partitions); then centres move to the means of their points until no point changes its cluster. Only k rows
-    reach the driver per round.
+    Centres start at ``seed_centres`` and move to the means of their points until no point changes its cluster, which the
+    number of a cluster's points and the exclusive or of their hashes tell without a second assignment. A round is one
+    job, and only k rows reach the driver.
     """
     points = points.select("row_idx", "x", "y").where("x is not null and y is not null").persist()
     try:
-        unit = lambda i: (F.pmod(F.xxhash64(F.lit(seed + i), "row_idx"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        centres: list[tuple[float, float]] = []
-        while len(centres) < k:
-            odds = F.lit(1.0) if not centres else F.least(*(((F.col("x") - cx) ** 2 + (F.col("y") - cy) ** 2) for cx, cy in centres), F.lit(float("inf")))
-            r = points.select("x", "y", "row_idx", odds.alias("odds")).where("odds > 0").agg(F.min_by(F.struct("x", "y"), F.struct((-F.log(unit(len(centres))) / F.col("odds")).alias("draw"), "row_idx")).alias("p")).first()[0]
-            if r is None:
-                break
-            centres.append((r[0], r[1]))
+        centres = seed_centres(points, k, seed)
         before = None
-        for _ in range(rounds):
-            held = assign(points, centres)
-            held = held.withColumn("moved", F.lit(True)) if before is None else assign(held.withColumnRenamed("cluster", "now"), before).select("x", "y", F.col("now").alias("cluster"), (F.col("now") != F.col("cluster")).alias("moved"))
-            means = held.groupBy("cluster").agg(F.avg("x"), F.avg("y"), F.count_if("moved")).collect()
-            if not any(r[3] for r in means):
+        for _ in range(rounds if centres else 0):
+            rows = assign(points, centres).groupBy("cluster").agg(F.avg("x"), F.avg("y"), F.count("*"), F.bit_xor(F.xxhash64("row_idx"))).collect()
+            held = {r[0]: (r[3], r[4]) for r in rows}
+            if held == before:
                 break
-            before, means = centres, {r[0]: (r[1], r[2]) for r in means}
+            before, means = held, {r[0]: (r[1], r[2]) for r in rows}
             centres = [means.get(i, c) for i, c in enumerate(centres)]
         return assign(points, centres), centres
     finally:
         points.unpersist()
 
 
+def seed_centres(points: DataFrame, k: int, seed: int = 42) -> list[tuple[float, float]]:
+    """At most k different positions of points (row_idx, x, y), far from each other; fewer only where there are fewer.
+
+    Oversampling: in each of ``SEED_ROUNDS`` rounds a point is drawn with odds of 2k times its share of all squared
+    distances to the nearest drawn one, so about 2k at a time (rounds go on while there are less than k). Then k of the
+    drawn, weighted by the points nearest to them, are chosen one by one with odds by weight and squared distance. Draws
+    are keyed hashes of row_idx, so they do not depend on partitions; the number of jobs does not depend on k.
+    """
+    unit = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "row_idx"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    first = points.agg(F.min_by(F.struct("x", "y"), F.struct(unit(0).alias("u"), "row_idx"))).first()[0]
+    drawn = [] if first is None else [tuple(first)]
+    step = 0
+    while drawn and (step < SEED_ROUNDS or len(drawn) < k):
+        step += 1
+        away = _nearest(drawn)["d"]
+        all_ = points.agg(F.sum(away)).first()[0]
+        if not all_ > 0:
+            break
+        drawn += sorted(map(tuple, points.where(unit(step) < 2 * k * away / all_).select("x", "y").distinct().collect()))
+    if len(drawn) <= k:
+        return drawn
+    near = dict(map(tuple, points.groupBy(_nearest(drawn)["i"].alias("i")).agg(F.count("*")).collect()))
+    at, weight = np.array(drawn), np.array([near.get(i, 0) for i in range(len(drawn))], dtype=float)
+    rng = np.random.default_rng(seed)
+    chosen: list[int] = []
+    odds = weight
+    while len(chosen) < k and odds.sum() > 0:
+        chosen.append(int(rng.choice(len(at), p=odds / odds.sum())))
+        odds = weight * np.min([((at - at[i]) ** 2).sum(1) for i in chosen], axis=0)
+    return [drawn[i] for i in chosen]
+
+
+def _nearest(centres: list[tuple[float, float]]) -> Column:
+    """(d, i): the least squared distance to a centre and its number, the lowest on ties; one expression for any number."""
+    rows = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(i).alias("i")) for i, (x, y) in enumerate(centres)))
+    away = lambda c: (F.col("x") - c["x"]) * (F.col("x") - c["x"]) + (F.col("y") - c["y"]) * (F.col("y") - c["y"])
+    return F.array_min(F.transform(rows, lambda c: F.struct(away(c).alias("d"), c["i"].alias("i"))))
+
+
 def smooth_bandwidths(distances: np.ndarray, k: int, connectivity: float) -> tuple[np.ndarray, np.ndarray]:
     """sigma and rho of each row of sorted distances: with sigma, memberships beyond the first sum to log2(k)."""
     n, m = distances.shape

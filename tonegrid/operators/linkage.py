@@ -117,17 +117,35 @@ def resolve_files(tracks: DataFrame, files: DataFrame, synthetic_prefix: str) ->
     alike in any case and in any Unicode composition. Each side is known by all ends of its paths, and those of files are
     counted, so a file name that thousands share is one row, and a track's longest known end decides.
     """
-    rows = tracks.withColumn("path", decode_location(F.col("location")))
-    located = F.coalesce(F.col("path").isNotNull() & (F.col("path") != "") & ~F.col("path").startswith(synthetic_prefix), F.lit(False))
-    ends = lambda f, key: f.select(key, F.reverse(path_segments(_folded(F.col("path")))).alias("s")).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("s"), F.lit(1))), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice("s", F.lit(1), n), "/").alias("end")))).alias("e")).select(key, "e.*").where("end <> ''")
-    known = ends(files, "file_id").groupBy("end").agg(F.count("*").alias("n_files"), F.min("file_id").alias("file_id"))
-    met = ends(rows.where(located), "pid").join(known, "end")
-    found = met.groupBy("pid").agg(F.max_by(F.struct("n_files", "file_id", "depth"), "depth").alias("f")).select("pid", "f.*")
-    bucket = F.when(~located, "without_location").when(F.col("n_files").isNull(), "unmatched").when(F.col("n_files") > 1, "ambiguous").otherwise("matched")
+    rows, found = _longest_ends(tracks, files, synthetic_prefix)
+    bucket = F.when(~F.col("located"), "without_location").when(F.col("n_files").isNull(), "unmatched").when(F.col("n_files") > 1, "ambiguous").otherwise("matched")
     only = lambda c: F.when(F.col("n_files") == 1, F.col(c))
     return rows.join(found, "pid", "left").select("pid", bucket.alias("bucket"), only("file_id").alias("file_id"), only("depth").cast("long").alias("depth"), F.coalesce("n_files", F.lit(0)).alias("n_files"))
 
 
+def ambiguous_files(tracks: DataFrame, files: DataFrame, synthetic_prefix: str) -> DataFrame:
+    """(pid, file_id, depth): all files that share most segments with a track of the bucket ambiguous, and how many."""
+    found = _longest_ends(tracks, files, synthetic_prefix)[1].where("n_files > 1")
+    return found.select("pid", "end").join(_ends(files, "file_id"), "end").select("pid", "file_id", F.col("depth").cast("long").alias("depth"))
+
+
+def _longest_ends(tracks: DataFrame, files: DataFrame, synthetic_prefix: str) -> tuple[DataFrame, DataFrame]:
+    """(pid, located) of all tracks, and (pid, n_files, file_id, depth, end) of those that share an end with files: the longest."""
+    rows = tracks.withColumn("path", decode_location(F.col("location")))
+    located = F.coalesce(F.col("path").isNotNull() & (F.col("path") != "") & ~F.col("path").startswith(synthetic_prefix), F.lit(False))
+    known = _ends(files, "file_id").groupBy("end").agg(F.count("*").alias("n_files"), F.min("file_id").alias("file_id"))
+    met = _ends(rows.where(located), "pid").join(known, "end")
+    found = met.groupBy("pid").agg(F.max_by(F.struct("n_files", "file_id", "depth", "end"), "depth").alias("f")).select("pid", "f.*")
+    return rows.select("pid", located.alias("located")), found
+
+
+def _ends(rows: DataFrame, key: str) -> DataFrame:
+    """(key, depth, end): the last 1, 2, ... segments of a path, the last one first."""
+    parts = rows.select(key, F.reverse(path_segments(_folded(F.col("path")))).alias("s"))
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size("s"), F.lit(1))), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice("s", F.lit(1), n), "/").alias("end")))
+    return parts.select(key, F.explode(ends).alias("e")).select(key, "e.*").where("end <> ''")
+
+
 def _folded(path: Column) -> Column:
     """Lower case and composed; only text beyond ASCII leaves the JVM."""
     plain = path.rlike(r"^[\x00-\x7F]*$")

@@ -45,6 +45,35 @@ def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Colu
     return x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)) & (crossings % 2 == 1)
 
 
+def in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(polygon_id, row_idx) of points (row_idx, x, y) inside polygons (polygon_id, corners: array of (x, y)), by the rule of
+    ``in_polygon``.
+
+    They meet in grid cells: a polygon's cells have a side of the power of two that is at least a quarter of its box, so
+    it lies in 25 of them at most, and a point in one for each side in use. The edges of the polygons of a cell decide. Null
+    corners are left out; a polygon without extent, or with fewer than three corners, holds nothing.
+    """
+    x, y, cs = F.col("x"), F.col("y"), F.col("corners")
+    end = lambda pick, c: pick(F.transform("corners", lambda p: p[c]))
+    boxes = polygons.withColumn("corners", F.filter("corners", lambda p: p["x"].isNotNull() & p["y"].isNotNull())).where(F.size("corners") >= 3)
+    boxes = boxes.select("polygon_id", "corners", *(end(pick, c).alias(f"{c}{i}") for c in "xy" for i, pick in enumerate((F.array_min, F.array_max))))
+    boxes = boxes.withColumn("side", F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).where("side > 0")
+    boxes = boxes.withColumn("level", F.ceil(F.log2("side")).cast("int") - 2)
+    levels = boxes.select("level").distinct()  # as many as powers of two between the smallest and the largest box
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level")))
+    over = lambda c: F.sequence(cell(F.col(f"{c}0")), cell(F.col(f"{c}1")))
+    held = boxes.withColumn("cx", F.explode(over("x"))).withColumn("cy", F.explode(over("y")))
+    asked = points.select("row_idx", "x", "y").where("x is not null and y is not null").crossJoin(F.broadcast(levels)).withColumns({"cx": cell(x), "cy": cell(y)})
+    met = asked.join(held, ["level", "cx", "cy"]).where(x.between(F.col("x0"), F.col("x1")) & y.between(F.col("y0"), F.col("y1")))
+    n = F.size(cs)
+
+    def crossed(i):
+        a, b = F.get(cs, i), F.get(cs, F.when(i + 1 < n, i + 1).otherwise(0))
+        return ((a["y"] > y) != (b["y"] > y)) & (x < F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"])
+
+    return met.where(F.size(F.filter(F.sequence(F.lit(0), n - 1), crossed)) % 2 == 1).select("polygon_id", "row_idx")
+
+
 def in_viewport(x: Column, y: Column, box: tuple[float, float, float, float], margin: float = 0.05) -> Column:
     """Inside (x0, y0, x1, y1) with a margin of its sides."""
     x0, y0, x1, y1 = box

@@ -17,14 +17,16 @@ def search(tracks: DataFrame, queries: DataFrame, limit: int | None = 20, title:
 
     4 the title starts with the query, 3 the artist does, 2 the title holds it, 1 the artist does, else 0; row order on
     ties. Tracks and queries (query_id, q) meet on a run of up to ``GRAM`` letters of the query's longest token, an
-    equality that the planner broadcasts for few queries and shuffles for many; all tokens are then checked.
+    equality that the planner broadcasts for few queries and shuffles for many; all tokens are then checked. Tracks are
+    known by runs of the lengths that queries ask for, and no others.
     """
     t, a, q = F.col(title), F.coalesce(F.col(artist), F.lit("")), F.col("q")
     both = F.concat(t, F.lit(" "), a)
     longest = F.element_at(F.array_sort(F.transform(F.split(q, " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
     asked = queries.where("q <> ''").withColumn("gram", F.substring(longest, 1, GRAM)).where("gram <> ''")
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.length(both) - n + 1), lambda i: F.substring(both, i, F.lit(n)))
-    some = [F.when(F.length(both) >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)]
+    lengths = [r[0] for r in asked.select(F.length("gram")).distinct().collect()]  # GRAM at most
+    some = [F.when(F.length(both) >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in sorted(lengths) or [GRAM]]
     held = tracks.withColumn("gram", F.explode(F.array_distinct(F.concat(*some))))
     met = held.join(asked, "gram").where(F.forall(F.split(q, " "), lambda token: both.contains(token)))
     score = F.when(t.startswith(q), 4).when(a.startswith(q), 3).when(t.contains(q), 2).when(a.contains(q), 1).otherwise(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonegrid.functions import text
-from tonegrid.operators import analytics, enrich, features, library, linkage, query, study
+from tonegrid.operators import analytics, enrich, features, geometry, library, linkage, placement, query, study
 from tonegrid.operators.lineage import new_folder
 from tonegrid.plans.bridge import points, view, with_views
 from tonegrid.plans.queries import _C, _TOP, ORACLES, _r, _two_libraries, _whole, clustered, register, tracks_of
@@ -180,15 +180,14 @@ def highlight_facets(spark, sf):
 
 
 @register("influence_notes", """WITH n AS (SELECT count(*) AS total, count(label) AS label, count(*) FILTER (pid IN (SELECT pid FROM memberships)) AS filed FROM tracks), p AS (SELECT count(DISTINCT playlist) AS lists FROM memberships)
-  SELECT 'sound' AS kind, false AS enabled, 'No track has been listened to yet, so there is no sound to weigh and this can change nothing. Run ''Analyze songs'' first.' AS note
-  UNION ALL SELECT 'label', true, format('{:,}', label) || ' of ' || format('{:,}', total) || ' tracks have a known label; only those move when this changes.' FROM n
-  UNION ALL SELECT 'playlist', true, format('{:,}', filed) || ' of ' || format('{:,}', total) || ' tracks sit in one of ' || format('{:,}', lists) || ' playlists; only those move when this changes. Playlists start weak because they describe filing rather than sound.' FROM n, p""", ("tracks", "memberships"))
+  SELECT 'sound' AS kind, false AS enabled, 0::BIGINT AS n, total, NULL::BIGINT AS playlists FROM n
+  UNION ALL SELECT 'label', true, label, total, NULL FROM n UNION ALL SELECT 'playlist', true, filed, total, lists FROM n, p""", ("tracks", "memberships"))
 def influence_notes(spark, sf):
     return analytics.influence_notes(tracks_of(spark, sf), view(spark, sf, "memberships"))
 
 
 @register("outstanding_note", """WITH c AS (SELECT collection AS id, count(*) AS total, count(*) FILTER (bpm IS NULL OR key IS NULL) AS incomplete FROM tracks WHERE collection <> 'c1' OR (bpm IS NOT NULL AND key IS NOT NULL) GROUP BY 1)
-  SELECT 'Missing BPM or key: ' || string_agg(id || ' (' || format('{:,}', incomplete) || ' of ' || format('{:,}', total) || ')', ', ' ORDER BY id) FILTER (incomplete > 0) || '. Skipping ' || string_agg(id, ', ' ORDER BY id) FILTER (incomplete = 0) || ', already complete.' AS note FROM c""", ("tracks",))
+  SELECT id AS collection, incomplete, total, incomplete = 0 AS complete FROM c""", ("tracks",))
 def outstanding_note(spark, sf):
     return analytics.outstanding_note(analytics.coverage(tracks_of(spark, sf).where("collection <> 'c1' OR (bpm IS NOT NULL AND key IS NOT NULL)")))
 
@@ -455,6 +454,38 @@ def ambiguous_files(spark, sf):
     return linkage.ambiguous_files(pages.select(F.col("page_id").alias("pid"), F.col("path").alias("location")), pages.select(F.col("page_id").alias("file_id"), "path"), sinks.SYNTHETIC)
 
 
+# --- outside and edited tracks ---------------------------------------------------------------------------------------
+
+
+def _map_points(spark, sf):
+    return points(spark, sf).selectExpr("'p' || CAST(row_idx AS STRING) AS pid", "row_idx", "x", "y", "CAST(cluster AS INT) AS cluster")
+
+
+_MAP = "m AS (SELECT 'p' || CAST(row_idx AS STRING) AS pid, row_idx, x, y, CAST(cluster AS INTEGER) AS cluster FROM points)"
+
+
+@register("attach_points", f"WITH {_MAP} SELECT * FROM m WHERE row_idx % 3 <> 0 UNION ALL SELECT pid, row_idx, x + 1 AS x, y, cluster FROM m WHERE row_idx % 2 = 0 AND row_idx % 3 = 0", ("points",))
+def attach_points(spark, sf):
+    m = _map_points(spark, sf)
+    return placement.attach_outside(m.where("row_idx % 3 <> 0"), m.where("row_idx % 2 = 0").withColumn("x", F.col("x") + 1))
+
+
+@register("reproject_points", f"WITH {_MAP} SELECT pid, row_idx, CASE WHEN row_idx % 4 = 0 THEN y ELSE x END AS x, CASE WHEN row_idx % 4 = 0 THEN x ELSE y END AS y, CASE WHEN row_idx % 4 = 0 THEN 99 ELSE cluster END AS cluster FROM m", ("points",))
+def reproject_points(spark, sf):
+    """Every fourth point at its mirrored place; pids that no point has add nothing."""
+    m = _map_points(spark, sf)
+    new = m.where("row_idx % 4 = 0").selectExpr("pid", "y AS x", "x AS y", "99 AS cluster")
+    return geometry.reproject(m, new.unionByName(new.withColumn("pid", F.concat(F.lit("no "), "pid"))))
+
+
+@register("move_edited")
+def move_edited(spark, sf):
+    """The map by tempo and key, on which tracks whose row is a multiple of 40 were edited by hand."""
+    t = tracks_of(spark, sf).withColumns({"source_bpm": F.when(F.col("row_idx") % 40 == 0, "manual"), "source_key": F.lit(None).cast("string")})
+    known = t.where("bpm is not null or key is not null").select("pid", "row_idx", F.col("duration_ms").cast("double").alias("x"), F.col("year").cast("double").alias("y"), F.expr("CAST(row_idx % 5 AS INT) AS cluster"))
+    return placement.move_edited(t, known).select("pid", _r("x"), _r("y"), "cluster")
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 

@@ -74,10 +74,13 @@ def suggest_next(spark, sf):
 
 @register("evaluate_sets", f"""WITH {_T},
   e AS (SELECT s.set_id, s.pos, t.*, lag(t.pid) OVER (PARTITION BY s.set_id ORDER BY s.pos, s.pid) AS before FROM sets s JOIN t ON s.pid = t.pid)
-  SELECT b.set_id, b.pos, a.pid AS from_pid, b.pid AS to_pid, {_COMPAT} AS compat, {_DELTA} AS delta_pct, {_score(_COMPAT, _DELTA)} AS score
+  SELECT b.set_id, b.pos, a.pid AS from_pid, b.pid AS to_pid, {_COMPAT} AS compat, {_DELTA} AS delta_pct, {_score(_COMPAT, _DELTA)} AS score,
+  concat_ws(',', CASE WHEN a.key IS NULL OR b.key IS NULL THEN 'key-unknown' WHEN {_COMPAT} IN ('near', 'clash') THEN 'key ' || {_COMPAT} END,
+    CASE WHEN a.bpm IS NULL OR b.bpm IS NULL THEN 'bpm-unknown' WHEN {_DELTA} > 6 THEN 'bpm ' || CAST(CAST(round({_DELTA} * 10) AS BIGINT) AS STRING) END) AS warnings
   FROM e b JOIN t a ON b.before = a.pid""", ("tracks", "sets"))
 def evaluate_sets(spark, sf):
-    return sets.evaluate_sets(view(spark, sf, "sets"), tracks_of(spark, sf)).drop("warnings")
+    told = F.transform("warnings", lambda w: F.concat_ws(" ", w["kind"], w["compat"], F.round(w["delta_pct"] * 10).cast("long").cast("string")))
+    return sets.evaluate_sets(view(spark, sf, "sets"), tracks_of(spark, sf)).withColumn("warnings", F.array_join(told, ","))
 
 
 @register("key_compatibility", f"WITH {_T} SELECT a.row_idx, {_COMPAT} AS compat, {_DELTA} AS delta_pct FROM t a JOIN t b ON b.row_idx = a.row_idx + 1", ("tracks",))

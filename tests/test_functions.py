@@ -1,11 +1,15 @@
 """Keys, tempos and text forms on single values."""
 
+import json
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tonegrid.functions import music, text
+from tonegrid.sources import readers
 
 
 def one(spark, column):
@@ -63,3 +67,32 @@ def test_paths_and_links(spark):
     assert one(spark, text.preview_usable(F.lit("u?exp=100"), F.lit(30_000))) is True
     assert one(spark, text.preview_usable(F.lit("u?exp=100"), F.lit(50_000))) is False
     assert one(spark, text.search_url(F.lit("a b"), F.lit(" "))).endswith("=a%20b")
+
+
+def test_hashes_of_a_batch_equal_one_by_one():
+    rng = random.Random(3)
+    texts = ["", "a", "𝄞 clef", "\ud800", "x" * 5000, *("".join(rng.choices("abcdé米 ", k=rng.randrange(60))) for _ in range(300))]
+
+    def plain(s):
+        a, b = 0x811C9DC5, 0x01000193
+        raw = s.encode("utf-16-le", "surrogatepass")
+        for i in range(0, len(raw), 2):
+            unit = raw[i] | raw[i + 1] << 8
+            a, b = ((a ^ unit) * 0x01000193) & 0xFFFFFFFF, ((b ^ unit) * 0x85EBCA6B) & 0xFFFFFFFF
+        return f"{a:08x}{b:08x}"
+
+    want = [plain(s) for s in texts]
+    assert text.hashes64(texts) == want == [text.hash64(s) for s in texts] and text.hashes64([]) == []
+
+
+def test_hash_column_keeps_nulls(spark):
+    got = [r[0] for r in spark.createDataFrame([("a",), (None,), ("",)], "s string").select(text.hash_64(F.col("s"))).collect()]
+    assert got == [text.hash64("a"), None, text.hash64("")]
+
+
+def test_checkpoints_first_file_wins(spark, tmp_path):
+    for name, rows in (("one", [("x", "matched", 120.0), ("y", "no-match", None)]), ("two", [("y", "matched", 90.0), ("z", "http-error", None), ("z", "matched", 1.0)])):
+        results = [{"pid": p, "artist": "a", "title": "t", "status": s, "via": "combined", "rawTempo": r} for p, s, r in rows]
+        (tmp_path / f"{name}.json").write_text(json.dumps({"seed": 42, "results": results}, indent=1))
+    found = readers.read_checkpoints(spark, [str(tmp_path / "one.json"), str(tmp_path / "two.json")])
+    assert sorted((r.pid, r.status, r.rawTempo) for r in found.collect()) == [("x", "matched", 120.0), ("y", "no-match", None), ("z", "http-error", None)]

@@ -102,12 +102,39 @@ def label_identity(label: str) -> str | None:
     return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in s).split()) or None
 
 
+#: Texts that are worth a step of arrays for one unit.
+FEW_TEXTS = 16
+# The seeds and factors of both halves of the hash.
+HASH_SEEDS, HASH_FACTORS = (0x811C9DC5, 0x01000193), (0x01000193, 0x85EBCA6B)
+
+
 def hash64(s: str) -> str:
     """Sixteen hex digits of two 32-bit multiplicative hashes over UTF-16 units."""
-    mask, a, b = 0xFFFFFFFF, 0x811C9DC5, 0x01000193  # fixed values: the seeds, and the factors below
-    for unit in np.frombuffer(s.encode("utf-16-le", "surrogatepass"), "<u2").tolist():
-        a, b = ((a ^ unit) * 0x01000193) & mask, ((b ^ unit) * 0x85EBCA6B) & mask
-    return f"{a:08x}{b:08x}"
+    return hashes64([s])[0]
+
+
+def hashes64(texts: list[str]) -> list[str]:
+    """``hash64`` of every text: all texts that are long enough take their next unit at once, longest first."""
+    units = [np.frombuffer(s.encode("utf-16-le", "surrogatepass"), "<u2") for s in texts]
+    sizes = np.array([len(u) for u in units], dtype=np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    flat = np.concatenate([np.zeros(0, np.uint64), *(units[i].astype(np.uint64) for i in order)])
+    starts, sizes = np.concatenate([[0], np.cumsum(sizes[order])[:-1]]).astype(np.int64), sizes[order]
+    seeds, factors = (np.array(v, np.uint64)[:, None] for v in (HASH_SEEDS, HASH_FACTORS))
+    state, mask = np.repeat(seeds, len(texts), axis=1), np.uint64(0xFFFFFFFF)
+    live, at = len(texts), 0
+    while live and (live := int(np.searchsorted(-sizes[:live], -at))) >= FEW_TEXTS:  # those with more than ``at`` units
+        state[:, :live] = ((state[:, :live] ^ flat[starts[:live] + at]) * factors) & mask
+        at += 1
+    for i in range(live):  # the few longest, one by one
+        x, y = map(int, state[:, i])
+        for unit in flat[starts[i] + at : starts[i] + sizes[i]].tolist():
+            x, y = ((x ^ unit) * HASH_FACTORS[0]) & 0xFFFFFFFF, ((y ^ unit) * HASH_FACTORS[1]) & 0xFFFFFFFF
+        state[:, i] = x, y
+    out = [""] * len(texts)
+    for i, x, y in zip(order.tolist(), *state.tolist(), strict=True):
+        out[i] = f"{x:08x}{y:08x}"
+    return out
 
 
 def _over(function):
@@ -138,7 +165,16 @@ def label_key(label: Column) -> Column:
 
 
 def hash_64(text: Column) -> Column:
-    return _over(hash64)(text)
+    """``hash64`` of a column, a batch at once; null for null."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        known = s.notna().to_numpy()
+        out = np.full(len(s), None, dtype=object)
+        out[known] = hashes64(s[known].tolist())
+        return pd.Series(out)
+
+    return run(text)
 
 
 def fold_segment(segment: Column) -> Column:

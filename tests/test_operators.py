@@ -460,3 +460,32 @@ def test_first_centres_are_far_apart_and_need_few_jobs(spark):
     few = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(50)], "row_idx long, x double, y double")
     assert sorted(geometry.seed_centres(few, 5)) == [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)]
     assert geometry.seed_centres(few.limit(0), 5) == []
+
+
+def test_factored_blend_equals_the_spread_one(spark):
+    rng = np.random.default_rng(8)
+    t = spark.createDataFrame([(i, None if i % 9 == 0 else f"a{int(rng.integers(8))}") for i in range(60)] + [(60, "lone")], "row_idx long, artist string")
+    values = {(int(rng.integers(61)), f"t{int(rng.integers(6))}"): float(rng.random()) for _ in range(120)}
+    r = spark.createDataFrame([(i, "playlist", term, v) for (i, term), v in values.items()] + [(0, "genre", "g", 1.0)], "row_idx long, block string, term string, value double")
+    for blend in (0.3, 1.0):
+        f = features.artist_factors(r, t, blend)
+        dense = np.zeros((61, 6))
+        for x in features.blend_artists(r, t, blend).where("block = 'playlist'").collect():
+            dense[x.row_idx, int(x.term[1])] = x.value
+        assert features.blended_energy(f) == pytest.approx((dense**2).sum())
+        gram = np.zeros((6, 6))
+        for x in features.blended_gram(f).collect():
+            gram[int(x.a[1]), int(x.b[1])] = gram[int(x.b[1]), int(x.a[1])] = x.value
+        assert np.allclose(gram, dense.T @ dense)
+
+
+def test_a_fit_does_not_spread_a_hot_artist(spark):
+    """20,000 tracks of one artist in 500 playlists would be ten million mixed values."""
+    n, lists = 20_000, 500
+    t = spark.range(n).selectExpr("id AS row_idx", "'p' || id AS pid", "'Various' AS artist", "CAST(NULL AS STRING) AS genre", "CAST(NULL AS STRING) AS label", "120D AS bpm", "'8A' AS key", "2000 AS year", "1000L AS duration_ms")
+    m = spark.range(n).selectExpr(f"'l' || id % {lists} AS playlist", "'p' || id AS pid")
+    options = features.Options()
+    _, fit = features.fit_features(t, m, options)
+    idf, b = np.log(n / (n / lists)), options.artist_blend
+    energy = n * ((1 - b) ** 2 * idf**2 + b * (2 - b) * lists * (idf / lists) ** 2)
+    assert fit.scales["playlist"] == pytest.approx(options.weight("playlist") / np.sqrt(energy / n))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -119,19 +120,62 @@ def numeric_rows(tracks: DataFrame, moments: dict[str, tuple[float, float]], opt
     return tracks.select("row_idx", F.lit("numeric").alias("block"), F.inline(pairs)).where("value is not null and value <> 0")
 
 
-def blend_artists(rows: DataFrame, tracks: DataFrame, blend: float) -> DataFrame:
-    """Playlist values mixed with the mean over the tracks of the same artist, summed per artist before they spread.
+class ArtistBlend(NamedTuple):
+    """Playlist values mixed by artist, not spread: the value of a track is its own plus the mean of its artist, if it has one.
 
-    An artist with one track keeps its values.
+    own (row_idx, term, value) and means (artist, size, term, value) are weighted already; members (row_idx, artist) are
+    the tracks of artists with two or more.
     """
+
+    own: DataFrame
+    means: DataFrame
+    members: DataFrame
+    blend: float
+
+
+def artist_factors(rows: DataFrame, tracks: DataFrame, blend: float) -> ArtistBlend:
+    """``blend`` of the mean over the tracks of the same artist beside the rest of their own values; an artist with one
+    track keeps its values. As many rows as there were, and one for each artist and term."""
     of = tracks.where("artist is not null").select("row_idx", "artist")
     size = of.groupBy("artist").agg(F.count("*").alias("size")).where("size >= 2")
-    own = rows.where("block = 'playlist'").join(of, "row_idx", "left")
-    mean = own.where("artist is not null").groupBy("artist", "term").agg(F.sum("value").alias("total")).join(size, "artist").select("artist", "term", (F.col("total") / F.col("size")).alias("mean"))
-    members = of.join(size.select("artist"), "artist", "left_semi")
-    spread = members.join(mean, "artist").select("row_idx", "term", (F.col("mean") * blend).alias("value"))
-    kept = own.join(size, "artist", "left").select("row_idx", "term", (F.col("value") * F.when(F.col("size").isNotNull(), 1 - blend).otherwise(1.0)).alias("value"))
-    both = kept.unionByName(spread).groupBy("row_idx", "term").agg(F.sum("value").alias("value"))
+    own = rows.where("block = 'playlist'").join(of, "row_idx", "left").join(size, "artist", "left")
+    means = own.where("size is not null").groupBy("artist", "size", "term").agg((F.sum("value") / F.first("size") * blend).alias("value"))
+    share = F.when(F.col("size").isNotNull(), 1 - blend).otherwise(1.0)
+    return ArtistBlend(own.select("row_idx", "term", (F.col("value") * share).alias("value")), means, of.join(size.select("artist"), "artist", "left_semi"), blend)
+
+
+def blended_energy(factors: ArtistBlend) -> float:
+    """The sum of squares of the mixed values, from the factors alone.
+
+    Own values of an artist sum to its size times the mean, so the products of both parts are a multiple of the mean's
+    square: (2 - blend) / blend with it.
+    """
+    own = factors.own.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
+    means = factors.means.agg(F.sum(F.col("size") * F.col("value") * F.col("value"))).first()[0] or 0.0
+    return own + means * (2 - factors.blend) / factors.blend
+
+
+def blended_gram(factors: ArtistBlend) -> DataFrame:
+    """(a, b, value), a <= b: the sums of products of the mixed values of two playlists, from the factors alone.
+
+    Terms meet within a track and within an artist, so the rows are pairs of a track's own playlists and pairs of an
+    artist's, never a track's with its artist's.
+    """
+
+    def pairs(frame, key, weight):
+        left = frame.select(key, F.col("term").alias("a"), (F.col("value") * weight).alias("x"))
+        right = frame.select(key, F.col("term").alias("b"), F.col("value").alias("y"))
+        return left.join(right, key).where("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+
+    both = pairs(factors.own, "row_idx", F.lit(1.0)).unionByName(pairs(factors.means, "artist", F.col("size") * ((2 - factors.blend) / factors.blend)))
+    return both.groupBy("a", "b").agg(F.sum("value").alias("value"))
+
+
+def blend_artists(rows: DataFrame, tracks: DataFrame, blend: float, factors: ArtistBlend | None = None) -> DataFrame:
+    """Rows with the mixed playlist values of each track (``artist_factors``), the means spread over their tracks."""
+    f = artist_factors(rows, tracks, blend) if factors is None else factors
+    spread = f.members.join(f.means, "artist").select("row_idx", "term", "value")
+    both = f.own.unionByName(spread).groupBy("row_idx", "term").agg(F.sum("value").alias("value"))
     return rows.where("block <> 'playlist'").unionByName(both.select("row_idx", F.lit("playlist").alias("block"), "term", "value"))
 
 
@@ -147,12 +191,14 @@ def timbre_rows(tracks: DataFrame) -> tuple[DataFrame, list[tuple[float, float]]
     return rows, [moments[c] for c in range(width)]
 
 
-def block_scales(rows: DataFrame, n: int, options: Options, present: dict[str, int]) -> dict[str, float]:
+def block_scales(rows: DataFrame, n: int, options: Options, present: dict[str, int], known: dict[str, float] | None = None) -> dict[str, float]:
     """weight / sqrt(sum of squares / rows) of each block; labels and timbre count the rows that have them.
 
-    A block without energy keeps 1; so does the label block at weight 0, while timbre at weight 0 goes.
+    A block without energy keeps 1; so does the label block at weight 0, while timbre at weight 0 goes. The sums of
+    blocks in ``known`` are given.
     """
-    energy = {r[0]: r[1] for r in rows.groupBy("block").agg(F.sum(F.col("value") * F.col("value"))).collect()}
+    known = known or {}
+    energy = {r[0]: r[1] for r in rows.where(~F.col("block").isin(*known)).groupBy("block").agg(F.sum(F.col("value") * F.col("value"))).collect()} | known
     out = {}
     for block, total in energy.items():
         over = present.get(block, n)
@@ -162,22 +208,30 @@ def block_scales(rows: DataFrame, n: int, options: Options, present: dict[str, i
 
 
 def fit_features(tracks: DataFrame, memberships: DataFrame, options: Options = Options(), label_key: Column | None = None) -> tuple[DataFrame, Encoder]:
-    """The features of the tracks, and the fit that ``encode`` replays on others."""
+    """The features of the tracks, and the fit that ``encode`` replays on others.
+
+    The fit needs no track's mixed playlist values (``blended_energy``); they spread when the features are read.
+    """
     n = tracks.count()
     terms = _terms(tracks, memberships, options, F.col("label") if label_key is None else label_key)
     vocab = vocabulary(terms, n, options)
     rows = terms.join(vocab, ["block", "term"]).select("row_idx", "block", "term", F.col("idf").alias("value"))
+    plain, known = rows, {}
     if options.artist_blend > 0 and "playlists" not in options.exclude:
-        rows = blend_artists(rows, tracks, options.artist_blend)
+        factors = artist_factors(rows, tracks, options.artist_blend)
+        if energy := blended_energy(factors):
+            known["playlist"] = energy
+        plain, rows = rows.where("block <> 'playlist'"), blend_artists(rows, tracks, options.artist_blend, factors)
     moments = numeric_moments(tracks, options)
-    rows = rows.unionByName(numeric_rows(tracks, moments, options))
+    numbers = numeric_rows(tracks, moments, options)
+    plain, rows = plain.unionByName(numbers), rows.unionByName(numbers)
     present = {"label": vocab.where("block = 'label'").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]}  # a track has one label
     timbre: list[tuple[float, float]] = []
     if options.timbre > 0 and "timbre" not in options.exclude and "timbre" in tracks.columns:
         extra, timbre = timbre_rows(tracks)
-        rows = rows.unionByName(extra)
+        plain, rows = plain.unionByName(extra), rows.unionByName(extra)
         present["timbre"] = tracks.where(F.size("timbre") == len(timbre)).count()
-    scales = block_scales(rows, n, options, present)
+    scales = block_scales(plain, n, options, present, known)
     return _scaled(rows, scales), Encoder(options, vocab, moments, timbre, scales)
 
 

@@ -40,6 +40,8 @@ COMPARED = 500_000
 SENT = 6
 #: Values that ids are hashed to, for a filter of bounded size before texts are exchanged.
 HASHES = 1 << 20
+#: Entries of groups around one part that meet in one task.
+TOGETHER = 50_000
 #: Sets that are compared with one set in one task.
 MEMBERS = 256
 
@@ -286,13 +288,19 @@ def keep_first_of_near(docs: DataFrame, keep: list[str], words: int = WORDS) ->
     known = components(links)
     part = lambda node, name: known.select(F.col("node").alias(node), F.col("component").alias(name))
     others = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(part("a", "p"), "a", "left").join(part("b", "q"), "b", "left").where(F.coalesce("p", "a") != F.coalesce("q", "b"))
+    # what the other stars join needs no pairs between its parts
+    links = cut(links.unionByName(verified(others)))
+    known = components(links)
     # groups of three and more whose sets are still apart
     rest = entries.join(known, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    apart = rest.groupBy("token").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("n > 2 and low <> high").select("token")
-    drawn = rest.join(apart, "token").join(nodes.select("node", "sketch"), "node")
-    groups = drawn.groupBy("token").agg(F.collect_list(F.struct("node", "size", "at", "part", "sketch")).alias("held")).select("held")
+    apart = rest.groupBy("token").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("n > 2 and low <> high").select("token", "n", "low")
+    # groups around one part hold the same pairs again and again: they meet in one task, so that it can tell
+    slices = apart.groupBy("low").agg(F.ceil(F.sum("n") / TOGETHER).alias("slices"))
+    placed = apart.join(slices, "low").select("token", "low", F.pmod(F.xxhash64("token"), F.col("slices")).alias("slice"))
+    drawn = rest.join(placed, "token").join(nodes.select("node", "sketch"), "node").repartition(F.col("low"), F.col("slice"))
+    groups = drawn.groupBy("low", "slice", "token").agg(F.collect_list(F.struct("node", "size", "at", "part", "sketch")).alias("held")).select("held")
     more = _pairs_between_parts(groups).join(stars, ["a", "b"], "left_anti")
-    found = components(links.unionByName(verified(cut(others.select("a", "b").unionByName(more)))))
+    found = components(links.unionByName(verified(cut(more))))
     whole = cut(nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("part")))
     smallest = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     gone = cut(named.select("doc_id", "node").join(whole.select("node", "part").join(smallest, "part"), "node").where("doc_id <> component_id").select("doc_id").distinct())

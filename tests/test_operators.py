@@ -237,6 +237,21 @@ def test_neighbours_in_cells_of_blobs_and_copies(spark, target):
         assert got == {i: sorted((j for j in range(len(x)) if fits(i, c, j)), key=lambda j: (np.sqrt(((r - x[j]) ** 2).sum()), j))[:5] for i, r, c in asked}
 
 
+@pytest.mark.parametrize("target", [None, "kind"])
+def test_neighbours_in_cells_that_are_split_again(spark, target):
+    rng = np.random.default_rng(9)
+    x = np.round(np.concatenate([rng.normal(c, 1.0, (n, 3)) for c, n in (((0, 0, 0), 260), ((30, 0, 0), 5), ((0, 40, 0), 120))] + [np.ones((40, 3))]), 2)
+    v = spark.createDataFrame([(i, r.tolist(), i % 3) for i, r in enumerate(x)], "row_idx long, vec array<double>, kind int").repartition(3)
+    far = [[500.0, 1.0, 1.0], [0.0, 38.0, 0.5], [1.0, 1.0, 1.0]]
+    q = spark.createDataFrame([(1000 + i, r, i % 3) for i, r in enumerate(far)], "row_idx long, vec array<double>, kind int")
+    for queries, asked in ((None, [(i, r, i % 3) for i, r in enumerate(x)]), (q, [(1000 + i, np.array(r), i % 3) for i, r in enumerate(far)])):
+        got = {}
+        for r in geometry.nearest(v, queries, k=5, target=target, block_rows=16, cells=3).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append(r.row_idx)
+        fits = lambda i, c, j: j % 3 != c if target else i != j
+        assert got == {i: sorted((j for j in range(len(x)) if fits(i, c, j)), key=lambda j: (np.sqrt(((r - x[j]) ** 2).sum()), j))[:5] for i, r, c in asked}
+
+
 @pytest.mark.parametrize("target", [None, "kind"])
 def test_neighbours_of_many_equal_rows_are_the_lowest(spark, target):
     rng = np.random.default_rng(4)

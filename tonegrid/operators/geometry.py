@@ -12,13 +12,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tonegrid.operators.lineage import cut
 
 #: Rows of a block of the neighbour search.
 BLOCK_ROWS = 4096
-#: Pivots of the neighbour search, at most.
+#: Pivots of the neighbour search, at most: of all rows, and of the rows of a large cell.
 CELLS = 1024
+#: Rows that are held against the pivots of a large cell at a time.
+SLICE_ROWS = 1024
 NEIGHBOURS = 15
 #: Rounds that draw candidates for the first centres of k-means.
 SEED_ROUNDS = 3
@@ -74,16 +78,17 @@ def project(vectors: DataFrame, basis: np.ndarray) -> DataFrame:
     return vectors.select("row_idx", "vec").mapInArrow(run, "row_idx long, vec array<double>")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, target: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, target: str | None = None, block_rows: int = BLOCK_ROWS, cells: int = CELLS) -> DataFrame:
     """(query, row_idx, distance, rank): the k exact nearest rows of each query, lower rows first on ties.
 
     Queries (row_idx, vec) default to all rows; a row is never its own neighbour. With ``target`` (a column of both),
     only rows whose value differs from the query's count. Vectors with a non-finite component neither ask nor answer.
 
-    Rows belong to the cell of their nearest pivot. A query is answered in its own cell first; its k-th distance there
-    bounds what it needs, so it then goes only to cells whose pivot and radius leave room within that. Cells are dealt
-    into blocks of bounded size, and of equal vectors (and target) only the k + 1 lowest rows can be answers. Pivots and
-    radii, CELLS at most, are what reaches the driver.
+    Rows belong to the cell of their nearest pivot, and in a cell of over ``block_rows`` rows to that of its own nearest
+    pivot. A query is answered in its own cell first; its k-th distance there bounds what it needs, so it then goes only
+    to cells whose pivot and radius leave room within that, level by level. What is still over ``block_rows`` is dealt
+    into blocks, and of equal vectors (and target) only the k + 1 lowest rows can be answers. The pivots, counts and radii
+    of the first level, ``cells`` (CELLS or fewer) at most, are what reaches the driver; those of the second stay tables.
     """
     queries = vectors if queries is None else queries
     fine = F.forall("vec", lambda x: F.abs(x.cast("double")) < float("inf"))
@@ -92,20 +97,25 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, ta
     n = rows.count()
     if n <= block_rows:
         few = max(1, -(-asked.count() // block_rows)) if n else 1
-        return _ranked(_compared(asked.withColumn("cell", F.lit(0)), rows.withColumn("cell", F.lit(0)), {0: 1}, {0: few}, k, target), k)
+        whole = rows.sparkSession.createDataFrame([(0, 1, few)], "leaf int, rows int, asked int")
+        return _ranked(_compared(asked.withColumn("leaf", F.lit(0)), rows.withColumn("leaf", F.lit(0)), whole, k, target), k)
     copies = Window.partitionBy(F.xxhash64("vec", *extra), "vec", *extra).orderBy("row_idx")
     rows = rows.withColumn("__c", F.row_number().over(copies)).where(F.col("__c") <= k + 1).drop("__c")
-    drawn = rows.orderBy(F.xxhash64("row_idx"), "row_idx").limit(min(CELLS, -(-n // block_rows) * 4)).collect()
+    drawn = rows.orderBy(F.xxhash64("row_idx"), "row_idx").limit(min(cells, -(-n // block_rows) * 4)).collect()
     pivots = np.array([r["vec"] for r in drawn], np.float64)
     rows, asked = (cut(_in_cells(f, pivots, extra)) for f in (rows, asked))
-    cells = {r[0]: (r[1], r[2]) for r in rows.groupBy("cell").agg(F.count("*"), F.max("away")).collect()}
-    parts = lambda counts: {c: -(-m // block_rows) for c, m in counts.items()}
-    row_parts = parts({c: m for c, (m, _) in cells.items()})
-    at_home = asked.where(F.col("cell").isin(list(cells)))
-    home = cut(_compared(at_home, rows, row_parts, parts(_counted(at_home)), k, target))
+    first = {r[0]: (r[1], r[2]) for r in rows.groupBy("cell").agg(F.count("*"), F.max("away")).collect()}
+    large = {c: m for c, (m, _) in first.items() if m > block_rows}
+    inner = _inner_pivots(rows, large, block_rows) if large else None
+    split = sorted(r[0] for r in inner.select("cell").distinct().collect()) if large else []  # CELLS at most
+    rows, asked = (cut(_in_leaves(f, inner, split, extra)) for f in (rows, asked)) if split else (_in_leaves(f, inner, split, extra) for f in (rows, asked))
+    home = cut(_compared(asked, rows, _parts(asked, rows, block_rows), k, target))
     bound = home.groupBy("query").agg(F.when(F.count("*") >= k, F.max_by("distance", F.struct("distance", "row_idx"))).alias("bound"))
-    abroad = cut(_visits(asked.join(bound.withColumnRenamed("query", "row_idx"), "row_idx", "left"), pivots, {c: r for c, (_, r) in cells.items()}, extra))
-    return _ranked(home.unionByName(_compared(abroad, rows, row_parts, parts(_counted(abroad)), k, target)), k)
+    abroad = _visits(asked.join(bound.withColumnRenamed("query", "row_idx"), "row_idx", "left"), pivots, {c: r for c, (_, r) in first.items()}, split, extra)
+    if split:
+        abroad = _inner_visits(cut(abroad), rows, inner, split, extra)
+    abroad = cut(abroad.select("row_idx", "vec", *extra, "leaf"))
+    return _ranked(home.unionByName(_compared(abroad, rows, _parts(abroad, rows, block_rows), k, target)), k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -113,8 +123,10 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "row_idx", "distance", "rank")
 
 
-def _counted(frame: DataFrame) -> dict[int, int]:
-    return {r[0]: r[1] for r in frame.groupBy("cell").count().collect()}  # a row for each cell
+def _parts(asked: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
+    """(leaf, rows, asked): into how many blocks each side of a leaf is dealt."""
+    of = lambda f, name: f.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    return of(rows, "rows").join(of(asked, "asked"), "leaf")
 
 
 def _apart(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -135,38 +147,106 @@ def _in_cells(frame: DataFrame, pivots: np.ndarray, extra: list[str]) -> DataFra
     return frame.mapInArrow(run, ", ".join(f"`{c}` {fields[c]}" for c in ("row_idx", "vec", *extra)) + ", cell int, away double")
 
 
-def _visits(asked: DataFrame, pivots: np.ndarray, radii: dict[int, float], extra: list[str]) -> DataFrame:
-    """Queries once for each cell, beside their own, that may hold a row within their bound (null: any row)."""
-    number = np.array(sorted(radii))
-    radius = np.array([radii[c] for c in number.tolist()])
+def _inner_pivots(rows: DataFrame, large: dict[int, int], block_rows: int) -> DataFrame:
+    """(cell, at, vec): pivots of large cells (cell: rows), drawn from their rows, numbered from 0."""
+    wanted = [(c, m, min(CELLS, -(-m // block_rows) * 4)) for c, m in large.items()]
+    sizes = rows.sparkSession.createDataFrame(wanted, "cell int, m long, wanted int")
+    drawn = F.xxhash64(F.lit(5), "row_idx")
+    # some two times as many as wanted are ordered, not a whole cell
+    some = rows.join(F.broadcast(sizes), "cell").where(F.pmod(drawn, F.ceil(F.col("m") / (2 * F.col("wanted")))) == 0)
+    at = F.row_number().over(Window.partitionBy("cell").orderBy(drawn, "row_idx")) - 1
+    return cut(some.withColumn("at", at).where("at < wanted").select("cell", "at", "vec"))
+
+
+def _against(frame: DataFrame, inner: DataFrame, meet, schema: str) -> DataFrame:
+    """``meet`` (rows, pivots by number) of rows of large cells, SLICE_ROWS or so at a time, with the pivots of their cell."""
+    slices = frame.groupBy("cell").agg(F.ceil(F.count("*") / SLICE_ROWS).alias("slices"))  # a row for each cell
+    dealt = frame.join(F.broadcast(slices), "cell").withColumn("slice", F.pmod(F.xxhash64(F.lit(6), "row_idx"), F.col("slices"))).drop("slices")
+    spread = inner.join(F.broadcast(slices), "cell").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices")
+    spread = spread.select(*(F.col(c).alias(c) for c in spread.columns))  # pivots are drawn from rows: columns of their own
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    names = target.names
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return meet(left, right.sort_by("at")).select(names) if len(left) and len(right) else target.empty_table()
+
+    return dealt.groupBy("cell", "slice").cogroup(spread.groupBy("cell", "slice")).applyInArrow(run, schema)
+
+
+def _in_leaves(frame: DataFrame, inner: DataFrame | None, split: list[int], extra: list[str]) -> DataFrame:
+    """Rows of cells with their ``leaf``: number of the cell times CELLS, and in a cell that is split the nearest pivot's
+    number besides; ``inside`` is how far away that is."""
+    whole = frame.where(~F.col("cell").isin(split)).select("row_idx", "vec", *extra, "cell", (F.col("cell") * CELLS).alias("leaf"), F.lit(0.0).alias("inside"))
+    if not split:
+        return whole
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        d = _apart(_matrix(left["vec"]), _matrix(right["vec"]))
+        at = d.argmin(axis=1)
+        leaf = left["cell"].to_numpy().astype(np.int64) * CELLS + right["at"].to_numpy()[at]
+        return left.append_column("leaf", pa.array(leaf.astype(np.int32))).append_column("inside", pa.array(d[np.arange(len(d)), at]))
+
+    fields = {f.name: f.dataType.simpleString() for f in frame.schema}
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in ("row_idx", "vec", *extra, "cell")) + ", leaf int, inside double"
+    return whole.unionByName(_against(frame.where(F.col("cell").isin(split)), inner, meet, schema))
+
+
+def _inner_visits(abroad: DataFrame, rows: DataFrame, inner: DataFrame, split: list[int], extra: list[str]) -> DataFrame:
+    """Visits to cells that are split become visits to their leaves within the bound, a query's own left out."""
+    radii = rows.where(F.col("cell").isin(split)).groupBy("leaf").agg(F.max("inside").alias("radius"))
+    held = inner.withColumn("leaf", F.col("cell") * CELLS + F.col("at")).join(radii, "leaf")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, p = _matrix(left["vec"]), _matrix(right["vec"])
+        leaf = right["leaf"].to_numpy()
+        near = _within(x, p, right["radius"].to_numpy(), pc.fill_null(left["bound"], np.inf).to_numpy()) & (leaf != left["own"].to_numpy()[:, None])
+        i, j = np.nonzero(near)
+        return left.take(pa.array(i)).drop_columns("leaf").append_column("leaf", pa.array(leaf[j].astype(np.int32)))
+
+    fields = {f.name: f.dataType.simpleString() for f in abroad.schema}
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in ("row_idx", "vec", *extra, "leaf"))
+    deeper = _against(abroad.where(F.col("cell").isin(split)), held, meet, schema)
+    return abroad.where(~F.col("cell").isin(split)).select("row_idx", "vec", *extra, "leaf").unionByName(deeper)
+
+
+def _within(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Which pivots' rows may lie within each row's bound."""
     # rounding may move a distance from a pivot by this share of the largest norm
     slack = 1e-7 * (1 + np.sqrt((pivots**2).sum(1)).max())
+    return _apart(x, pivots) - radius - slack * (1 + np.sqrt((x**2).sum(1)))[:, None] <= bound[:, None]
+
+
+def _visits(asked: DataFrame, pivots: np.ndarray, radii: dict[int, float], split: list[int], extra: list[str]) -> DataFrame:
+    """Queries once for each cell, beside their own unless that is split, that may hold a row within their bound (null: any
+    row); ``own`` is the leaf they come from, ``leaf`` the one of a cell that is whole."""
+    number = np.array(sorted(radii))
+    radius = np.array([radii[c] for c in number.tolist()])
+    again = np.isin(number, split)
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b["vec"])
             bound = pc.fill_null(b["bound"], np.inf).to_numpy(zero_copy_only=False)
-            near = _apart(x, pivots[number]) - radius - slack * (1 + np.sqrt((x**2).sum(1)))[:, None] <= bound[:, None]
-            near &= number != b["cell"].to_numpy()[:, None]
+            near = _within(_matrix(b["vec"]), pivots[number], radius, bound)
+            near &= again | (number != b["cell"].to_numpy()[:, None])
             i, j = np.nonzero(near)
-            kept = b.select(["row_idx", "vec", *extra]).take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(number[j].astype(np.int32))], names=[*kept.schema.names, "cell"])
+            kept = b.select(["row_idx", "vec", *extra, "bound", "leaf"]).take(pa.array(i))
+            there = number[j].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(there), pa.array(there * CELLS)], names=["row_idx", "vec", *extra, "bound", "own", "cell", "leaf"])
 
     fields = {f.name: f.dataType.simpleString() for f in asked.schema}
-    return asked.select("row_idx", "vec", *extra, "cell", "bound").mapInArrow(run, ", ".join(f"`{c}` {fields[c]}" for c in ("row_idx", "vec", *extra)) + ", cell int")
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in ("row_idx", "vec", *extra)) + ", bound double, own int, cell int, leaf int"
+    return asked.select("row_idx", "vec", *extra, "cell", "bound", "leaf").mapInArrow(run, schema)
 
 
-def _compared(asked: DataFrame, rows: DataFrame, row_parts: dict[int, int], asked_parts: dict[int, int], k: int, target: str | None) -> DataFrame:
-    """(query, row_idx, distance): k rows and ties of each query's cell, block by block."""
-    spark = rows.sparkSession
-    parts = spark.createDataFrame([(c, row_parts[c], m) for c, m in asked_parts.items() if c in row_parts], "cell int, rows int, asked int")
+def _compared(asked: DataFrame, rows: DataFrame, parts: DataFrame, k: int, target: str | None) -> DataFrame:
+    """(query, row_idx, distance): k rows and ties of each query's leaf, block by block."""
     extra = [target] if target else []
     deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "row_idx"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(parts, "cell").select("row_idx", "vec", *extra, "cell", F.lit(True).alias("__q"), deal(1, "asked").alias("__i"), each("rows").alias("__j"))
-    right = rows.join(parts, "cell").select("row_idx", "vec", *extra, "cell", F.lit(False).alias("__q"), each("asked").alias("__i"), deal(2, "rows").alias("__j"))
+    left = asked.join(parts, "leaf").select("row_idx", "vec", *extra, "leaf", F.lit(True).alias("__q"), deal(1, "asked").alias("__i"), each("rows").alias("__j"))
+    right = rows.join(parts, "leaf").select("row_idx", "vec", *extra, "leaf", F.lit(False).alias("__q"), each("asked").alias("__i"), deal(2, "rows").alias("__j"))
 
     def compare(t: pa.Table) -> pa.Table:
         q = t["__q"].to_numpy()
@@ -200,7 +280,7 @@ def _compared(asked: DataFrame, rows: DataFrame, row_parts: dict[int, int], aske
             out.append(pa.table({"query": ia[i[first]], "row_idx": ib[j[first]], "distance": exact[first]}))
         return pa.concat_tables(out)
 
-    return left.unionByName(right).groupBy("cell", "__i", "__j").applyInArrow(compare, "query long, row_idx long, distance double")
+    return left.unionByName(right).groupBy("leaf", "__i", "__j").applyInArrow(compare, "query long, row_idx long, distance double")
 
 
 def default_clusters(n: int) -> int:

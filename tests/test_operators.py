@@ -523,3 +523,26 @@ def test_clips_are_made_where_they_are_heard(spark, tmp_path):
     assert queries.analyze_clips(spark, str(tmp_path)).rdd.getNumPartitions() == 24  # grows with the suppliers
     one = queries._clips(spark, str(tmp_path)).where("pid = '30'").first()
     assert len(one.samples) == 48_000 and abs(one.samples[1] - math.sin(220 * 2**0.5 * 2 * math.pi / 8000) * math.exp(-1 / 400)) < 1e-6
+
+
+def test_xml_is_split_among_tasks(spark, tmp_path):
+    lists = "".join(f'<NODE Type="1" Name="L&amp;{n}" KeyType="0">' + "".join(f'<TRACK Key="{n * i}"/>' if i % 3 else f"<TRACK\n Key='{n * i}'></TRACK>" for i in range(n % 7 * 10)) + "</NODE>" for n in range(30))
+    tracks = "".join(f'<TRACK TrackID="{i}" Name="a > {i}" AverageBpm="120.00"><TEMPO Inizio="0"/></TRACK>' for i in range(200))
+    doc = f'<?xml version="1.0" encoding="UTF-8"?>\n<!-- made here -->\n<DJ_PLAYLISTS><COLLECTION>{tracks}</COLLECTION><PLAYLISTS><NODE Type="0" Name="ROOT"><NODE Type="0" Name="é"><NODE Type="1" Name="empty"/>{lists}</NODE></NODE></PLAYLISTS></DJ_PLAYLISTS>'
+    (tmp_path / "c.xml").write_text(doc)
+    (tmp_path / "odd.xml").write_text(doc.replace("made here", "<TRACK TrackID='7' Name='no'/>"))
+    (tmp_path / "cut.xml").write_text(doc.removesuffix("</PLAYLISTS></DJ_PLAYLISTS>"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        found = readers.read_xml_playlists(spark, str(tmp_path / "c.xml"))
+        assert found.rdd.getNumPartitions() > 10 and readers.read_xml_tracks(spark, str(tmp_path / "c.xml")).rdd.getNumPartitions() > 10
+        got = sorted(map(tuple, found.select("playlist", "key_type", "key", "pos").collect()))
+        assert got == sorted((r["playlist"], r["key_type"], r["key"], r["pos"]) for r in readers._xml_lists(doc.encode())) and len(got) > 800
+        assert sorted(r.name for r in readers.read_xml_tracks(spark, str(tmp_path / "c.xml")).collect()) == sorted(f"a > {i}" for i in range(200))
+        assert readers.read_xml_tracks(spark, str(tmp_path / "odd.xml")).count() == 200
+        assert readers.read_xml_playlists(spark, str(tmp_path / "odd.xml")).count() == len(got)
+        with pytest.raises(ValueError, match="ends inside"):
+            readers.read_xml_playlists(spark, str(tmp_path / "cut.xml"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import plistlib
+import re
 import xml.etree.ElementTree as ET
 from datetime import datetime
 from io import BytesIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +36,36 @@ def route(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", detect_format(F.col("path"), head).alias("format"))
 
 
+#: A tag from behind its ``<``: closing, name, attributes, empty.
+_TAG = r"""(/?)([^\s/>"'=]+)((?:\s+[^\s=/>"']+\s*=\s*(?:"[^"]*"|'[^']*'))*)\s*(/?)>"""
+
+
+def _xml_tags(spark: SparkSession, path: str) -> DataFrame | None:
+    """(file, start, value): a row for each ``<`` of the documents, with what follows it up to the next, in order within a
+    block of a file that begins at ``start``. No attribute holds a ``<``, so a document may be split at any.
+
+    None where a comment or another section may hold markup, or the encoding is not a superset of ASCII in UTF-8.
+    """
+    tags = spark.read.option("lineSep", "<").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    v = F.col("value")
+    encoding = F.lower(F.regexp_extract(v, r"""^\?xml[^>]*encoding\s*=\s*["']([^"']*)""", 1))
+    odd = (v.startswith("!") & ~(v.startswith("!--") & v.contains("-->"))) | v.contains("\0") | ~encoding.isin("", "utf-8", "us-ascii")
+    return tags if tags.where(odd).isEmpty() else None
+
+
 def read_xml_tracks(spark: SparkSession, path: str) -> DataFrame:
     """Tracks of XML exports; references in playlists carry a key and no name, and are left out.
 
     Tempo and key are the user's own analysis: confidence 1, source ``rekordbox``. ``path`` is the decoded location.
+    Documents are split among tasks at their tags (``_xml_tags``); others are read whole by Spark's reader.
     """
-    rows = spark.read.format("xml").option("rowTag", "TRACK").schema(_XML_TRACK).load(path)
+    tags = _xml_tags(spark, path)
+    if tags is None:
+        rows = spark.read.format("xml").option("rowTag", "TRACK").schema(_XML_TRACK).load(path)
+    else:
+        attributes = F.regexp_extract("value", f"^{_TAG}", 3)
+        named = tags.where(F.col("value").rlike(r"^TRACK\s") & F.col("value").contains("TrackID"))
+        rows = named.select(F.from_xml(F.concat(F.lit("<TRACK"), attributes, F.lit("/>")), _XML_TRACK).alias("t")).select("t.*")
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
     positive = lambda c, t: F.when(F.col(c).try_cast(t) > 0, F.col(c).try_cast(t))
     found = rows.where("_TrackID is not null and _Name is not null and _Name <> ''").select(
@@ -70,22 +96,184 @@ def _documents(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
 
 
 def read_xml_playlists(spark: SparkSession, path: str) -> DataFrame:
-    """(file, playlist, key_type, key, pos); folders prefix the names below them, the root does not count."""
+    """(file, playlist, key_type, key, pos); folders prefix the names below them, the root does not count.
 
-    def parse(content: bytes):
-        root = ET.parse(BytesIO(content)).getroot()
-        todo = [(n, ()) for n in root.findall("./PLAYLISTS/NODE")]
-        while todo:
-            node, above = todo.pop(0)
-            name = node.get("Name", "")
-            if node.get("Type") == "0":
-                inner = above if name == "ROOT" and not above else (*above, name)
-                todo = [(n, inner) for n in node.findall("NODE")] + todo
-                continue
-            for pos, t in enumerate(node.findall("TRACK")):
-                yield {"playlist": " / ".join((*above, name)), "key_type": int(node.get("KeyType") or 0), "key": t.get("Key"), "pos": pos}
-
-    return _documents(spark, path, parse, "file string, playlist string, key_type int, key string, pos long")
+    Documents are split among tasks at their tags (``_xml_tags``): a first pass tells which elements each block of a file
+    closes and leaves open, a row for each block; together they give the elements that are open where a block begins, from
+    which the second pass reads on. Files named ``part-...`` in one folder (``sinks.write_xml``) follow each other in a document,
+    whose file is the first. Documents that cannot be split are read whole, each by a task. What is not well formed is
+    an error.
+    """
+    schema = "file string, playlist string, key_type int, key string, pos long"
+    tags = _xml_tags(spark, path)
+    if tags is None:
+        return _documents(spark, path, _xml_lists, schema)
+    begun = _open_elements(tags)
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64()]
+
+    def run(batches):
+        at = walk = None
+        for b in batches:
+            out: list[tuple] = []
+            for block, values in _blocks(b):
+                if block != at:
+                    at, walk = block, _Walk(*begun[block])
+                out += ((walk.document, *found) for v in values if (found := walk.step(v)))
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return tags.withColumn("value", F.col("value").cast("binary")).mapInArrow(run, schema)
+
+
+def _xml_lists(content: bytes):
+    """The lists of a document as a whole."""
+    todo = [(n, ()) for n in ET.parse(BytesIO(content)).getroot().findall("./PLAYLISTS/NODE")]
+    while todo:
+        node, above = todo.pop(0)
+        name = node.get("Name", "")
+        if node.get("Type") == "0":
+            inner = above if name == "ROOT" and not above else (*above, name)
+            todo = [(n, inner) for n in node.findall("NODE")] + todo
+            continue
+        for pos, t in enumerate(node.findall("TRACK")):
+            yield {"playlist": " / ".join((*above, name)), "key_type": int(node.get("KeyType") or 0), "key": t.get("Key"), "pos": pos}
+
+
+_TAG_BYTES = re.compile(_TAG.encode())
+_REFERENCE = re.compile(rb"""TRACK\s+Key="([^"&\r\n\t]*)"\s*/>""")  # the commonest tag
+_ATTRIBUTE = re.compile(rb"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def _attribute(attributes: bytes, name: bytes) -> str | None:
+    """The value of an attribute, as an XML parser gives it."""
+    code = lambda m: _ENTITIES[m[1]] if m[1][0] != "#" else chr(int(m[1][2:], 16) if m[1][1] == "x" else int(m[1][1:]))
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1] == name:
+            return re.sub(r"&([^;]+);", code, re.sub(r"\r\n|[\r\n\t]", " ", (m[2] if m[2] is not None else m[3]).decode()))
+    return None
+
+
+class _Walk:
+    """The elements (tag, attributes, TRACK elements so far) that are open while the tags of a block go by. Where those of
+    before the block are not known, ``closed`` has the tags of those that it closes, and ``more`` counts the TRACK elements
+    of the innermost that is left."""
+
+    def __init__(self, document: str | None = None, above: tuple = (), known: bool = True):
+        self.document, self.known = document, known
+        self.open = [list(e) for e in above]
+        self.closed: list[bytes] = []
+        self.more = 0
+        self.playlist = self._named()
+
+    def _named(self) -> tuple[str, int] | None:
+        """(playlist, key_type) where the innermost element is a list."""
+        e = self.open
+        if not self.known or len(e) < 3 or e[1][0] != b"PLAYLISTS" or any(x[0] != b"NODE" for x in e[2:]):
+            return None
+        kinds = [_attribute(x[1], b"Type") for x in e[2:]]
+        if kinds[-1] == "0" or any(k != "0" for k in kinds[:-1]):
+            return None
+        names = [_attribute(x[1], b"Name") or "" for x in e[2:]]
+        above = names[:-1]
+        while above and above[0] == "ROOT":
+            above = above[1:]
+        return " / ".join((*above, names[-1])), int(_attribute(e[-1][1], b"KeyType") or 0)
+
+    def step(self, value: bytes) -> tuple[str, int, str | None, int] | None:
+        """Goes on by a tag; a TRACK element of a list gives (playlist, key_type, key, pos)."""
+        if m := _REFERENCE.match(value):
+            if not self.open:
+                self.more += 1
+                return None
+            top = self.open[-1]
+            top[2] += 1
+            return (*self.playlist, m[1].decode(), top[2] - 1) if self.playlist else None
+        m = _TAG_BYTES.match(value)
+        if m is None:
+            if value[:1] in (b"?", b"!") or not value.strip(b"\xef\xbb\xbf \t\r\n"):
+                return None
+            raise ValueError(f"not well formed: <{value[:80].decode(errors='replace')}")
+        closing, tag, attributes, empty = m.groups()
+        if closing:
+            if self.open:
+                if self.open.pop()[0] != tag:
+                    raise ValueError(f"not well formed: </{tag.decode()}>")
+            elif self.known:
+                raise ValueError(f"not well formed: </{tag.decode()}>")
+            else:
+                self.closed.append(tag)
+                self.more = 0
+            self.playlist = self._named()
+            return None
+        found = None
+        if tag == b"TRACK":
+            if self.playlist:
+                found = (*self.playlist, _attribute(attributes, b"Key"), self.open[-1][2])
+            if self.open:
+                self.open[-1][2] += 1
+            else:
+                self.more += 1
+        if not empty:
+            self.open.append([tag, attributes if tag == b"NODE" else b"", 0])
+            self.playlist = self._named()
+        return found
+
+
+def _blocks(batch: pa.RecordBatch):
+    """((file, start), values) of each run of rows of one block."""
+    n, values = batch.num_rows, batch["value"].to_pylist()
+    at = lambda i: (batch["file"][i].as_py(), batch["start"][i].as_py())
+    if n and at(0) == at(n - 1):  # blocks do not come twice
+        yield at(0), values
+        return
+    starts, files, lo = batch["start"].to_pylist(), batch["file"].to_pylist(), 0
+    for hi in range(1, len(values) + 1):
+        if hi == len(values) or starts[hi] != starts[lo] or files[hi] != files[lo]:
+            yield (files[lo], starts[lo]), values[lo:hi]
+            lo = hi
+
+
+def _open_elements(tags: DataFrame) -> dict[tuple[str, int], tuple[str, tuple]]:
+    """(document, open elements) where each block (file, start) begins, from one row for each block."""
+    element = pa.struct([("tag", pa.binary()), ("attributes", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("closed", pa.list_(pa.binary())), ("more", pa.int64()), ("open", pa.list_(element))])
+
+    def run(batches):
+        at = walk = None
+        told = lambda: pa.RecordBatch.from_pylist([{"file": at[0], "start": at[1], "closed": walk.closed, "more": walk.more, "open": [dict(zip(("tag", "attributes", "n"), e, strict=True)) for e in walk.open]}], schema)
+        for b in batches:
+            for block, values in _blocks(b):
+                if block != at:
+                    if at is not None:
+                        yield told()
+                    at, walk = block, _Walk(known=False)
+                for v in values:
+                    walk.step(v)
+        if at is not None:
+            yield told()
+
+    ddl = "file string, start long, closed array<binary>, more long, open array<struct<tag: binary, attributes: binary, n: bigint>>"
+    rows = tags.withColumn("value", F.col("value").cast("binary")).mapInArrow(run, ddl).collect()
+    folder = lambda f: f.rsplit("/", 1)[0] if f.rsplit("/", 1)[1].startswith("part-") else f
+    begun, above, document, last = {}, [], None, None
+    for r in sorted(rows, key=lambda r: (folder(r.file), r.file, r.start)):
+        if folder(r.file) != last and above:
+            raise ValueError(f"{document} ends inside <{above[-1][0].decode()}>")
+        last = folder(r.file)
+        document = document if above else r.file
+        begun[r.file, r.start] = (document, tuple(map(tuple, above)))
+        for tag in r.closed:
+            if not above or above[-1][0] != bytes(tag):
+                raise ValueError(f"{document} is not well formed: </{bytes(tag).decode()}>")
+            above.pop()
+        if above:
+            above[-1][2] += r.more
+        above += [[bytes(e.tag), bytes(e.attributes), e.n] for e in r.open]
+    if above:
+        raise ValueError(f"{document} ends inside <{above[-1][0].decode()}>")
+    return begun
 
 
 def read_plist_tracks(spark: SparkSession, path: str) -> DataFrame:

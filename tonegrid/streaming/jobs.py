@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tonegrid.operators.enrich import LOOKUP_EVENTS, apply_answers, lookup_states
 from tonegrid.operators.library import Library, additions, merge_tracks, recounted
-from tonegrid.operators.lineage import cut
+from tonegrid.operators.lineage import cut, new_folder
 
 
 #: Parts that a table is dealt into by pid unless told otherwise; a batch rewrites those that hold its pids, so a large
@@ -50,7 +50,9 @@ def _upserting(stream: DataFrame, table: str, checkpoint: str, step: Callable[[D
         spark = batch.sparkSession
         if first is not None and not _exists(spark, table):
             _write(_dealt(first, parts), table)
-        batch = cut(_dealt(batch, parts))
+        batch, held = _dealt(batch, parts), new_folder(spark, "batches")
+        batch.write.parquet(held)  # once: a checkpoint runs a plan twice, and a second run would commit the stream's state again
+        batch = spark.read.schema(batch.schema).parquet(held)
         touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # ``parts`` at most
         before = spark.read.parquet(table).where(F.col(BUCKET).isin(touched)).select(batch.columns if first is None else [*first.columns, BUCKET]) if _exists(spark, table) else batch.limit(0)
         _write(cut(_dealt(step(before.drop(BUCKET), batch.drop(BUCKET)), parts)), table)

@@ -283,6 +283,52 @@ def test_kmeans_finds_blobs_and_repeats(spark):
     assert a == {r.row_idx: r.cluster for r in geometry.kmeans_2d(p, 3)[0].collect()}
 
 
+def _held(monkeypatch, found) -> list[int]:
+    """How many rows of queries go into each comparison while ``found`` runs."""
+    seen, real = [], geometry._compared
+    monkeypatch.setattr(geometry, "_compared", lambda asked, *rest: seen.append(asked.count()) or real(asked, *rest))
+    found()
+    return seen
+
+
+def test_a_query_goes_to_a_shelf_once(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (600, 12))  # no shape: most cells are within reach
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_idx long, vec array<double>")
+    got = {}
+
+    def found():
+        for r in geometry.nearest(v, k=3, block_rows=30).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append(r["row_idx"])
+
+    seen = _held(monkeypatch, found)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: np.argsort(d[i], kind="stable")[:3].tolist() for i in range(600)}
+    assert max(seen) <= 600 * 10  # 80 cells of 30 rows or less, shelves of 120
+
+
+def test_equal_queries_ask_once(spark, monkeypatch):
+    v = spark.range(9000).selectExpr("id AS row_idx", "array(CAST(id % 7 AS DOUBLE), CAST(id % 3 AS DOUBLE)) AS vec", "id % 2 AS kind")
+    for target in (None, "kind"):
+        got = {}
+
+        def found(got=got, target=target):
+            for r in geometry.nearest(v, k=4, target=target).where("query % 500 < 40").orderBy("query", "rank").collect():
+                got.setdefault(r["query"], []).append((r["row_idx"], r["distance"]))
+
+        assert max(_held(monkeypatch, found)) <= 42
+        monkeypatch.undo()
+        rows = np.arange(9000)
+        for q, near in got.items():
+            d = np.hypot(rows % 7 - q % 7, rows % 3 - q % 3)
+            d[q] = np.inf
+            if target:
+                d[rows % 2 == q % 2] = np.inf
+            want = np.lexsort((rows, d))[:4]
+            assert near == [(i, pytest.approx(d[i])) for i in want.tolist()]
+
+
 def test_placement_lands_among_its_neighbours(spark):
     v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(30)], "row_idx long, vec array<double>")
     coords = v.selectExpr("row_idx", "row_idx * 2D AS x", "1D AS y", "IF(row_idx < 15, 'l', 'r') AS side")

@@ -23,6 +23,10 @@ BLOCK_ROWS = 4096
 CELLS = 1024
 #: Rows that are held against the pivots of a large cell at a time.
 SLICE_ROWS = 1024
+#: Queries that are held against a leaf at a time.
+TILE_ROWS = 512
+#: Blocks of the neighbour search in a shelf, and leaves of a split cell that share one.
+SHELF_BLOCKS, SHELF_LEAVES = 4, 16
 NEIGHBOURS = 15
 #: Rounds that draw candidates for the first centres of k-means.
 SEED_ROUNDS = 3
@@ -85,22 +89,41 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, ta
     only rows whose value differs from the query's count. Vectors with a non-finite component neither ask nor answer.
 
     Rows belong to the cell of their nearest pivot, and in a cell of over ``block_rows`` rows to that of its own nearest
-    pivot. A query is answered in its own cell first; its k-th distance there bounds what it needs, so it then goes only
-    to cells whose pivot and radius leave room within that, level by level. What is still over ``block_rows`` is dealt
-    into blocks, and of equal vectors (and target) only the k + 1 lowest rows can be answers. The pivots, counts and radii
-    of the first level, ``cells`` (CELLS or fewer) at most, are what reaches the driver; those of the second stay tables.
+    pivot. A query is answered in its own leaf first; its k-th distance there bounds what it needs, so it then goes only
+    to shelves (leaves of 4 * ``block_rows`` rows or so together) where a pivot and radius leave room within that, once
+    to each; there it is held against the leaves within its bound. What is over a shelf's rows is dealt into blocks. Of
+    equal vectors (and target) only the k + 1 lowest rows can be answers, and where most queries are equal they ask once.
+    The pivots, counts and radii of the first level, ``cells`` (CELLS or fewer) at most, are what reaches the driver;
+    those of the second stay tables. Tasks hold a shelf and TILE_ROWS queries' distances to a leaf, whatever the table.
     """
     queries = vectors if queries is None else queries
     fine = F.forall("vec", lambda x: F.abs(x.cast("double")) < float("inf"))
     extra = [target] if target else []
     rows, asked = vectors.where(fine).select("row_idx", "vec", *extra), queries.where(fine).select("row_idx", "vec", *extra)
+    copies = Window.partitionBy(F.xxhash64("vec", *extra), "vec", *extra).orderBy("row_idx")
+    rows = cut(rows.withColumn("__c", F.row_number().over(copies)).where(F.col("__c") <= k + 1).drop("__c"))
+    several, different = asked.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("vec", *extra))).first()
+    if several <= max(block_rows, 2 * different):
+        return _ranked(_found(rows, asked, k, target, block_rows, cells, True), k)
+    classes = cut(asked.groupBy("vec", *extra).agg(F.min("row_idx").alias("row_idx")).select("row_idx", "vec", *extra))
+    ranked = _ranked(_found(rows, classes, k + 1, target, block_rows, cells, False), k + 1)
+    hits = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "row_idx", "distance"))).alias("h"))  # k + 1 entries each
+    one = asked.select(F.col("row_idx").alias("query"), "vec", *extra)
+    named = classes.select(F.col("row_idx").alias("__one"), F.col("vec").alias("__v"), *(F.col(c).alias("__t") for c in extra))
+    same = (F.col("vec") == F.col("__v")) & F.col(target).eqNullSafe(F.col("__t")) if target else F.col("vec") == F.col("__v")
+    met = one.join(named, same).select("query", "__one").join(hits.withColumnRenamed("query", "__one"), "__one")
+    left = F.slice(F.filter("h", lambda x: x["row_idx"] != F.col("query")), 1, k)
+    return met.select("query", F.posexplode(left).alias("p", "x")).select("query", "x.row_idx", "x.distance", (F.col("p") + 1).alias("rank"))
+
+
+def _found(rows: DataFrame, asked: DataFrame, k: int, target: str | None, block_rows: int, cells: int, apart: bool) -> DataFrame:
+    """(query, row_idx, distance): the k nearest rows of each query and others; with ``apart``, none of its own number."""
+    extra = [target] if target else []
     n = rows.count()
     if n <= block_rows:
-        few = max(1, -(-asked.count() // block_rows)) if n else 1
-        whole = rows.sparkSession.createDataFrame([(0, 1, few)], "leaf int, rows int, asked int")
-        return _ranked(_compared(asked.withColumn("leaf", F.lit(0)), rows.withColumn("leaf", F.lit(0)), whole, k, target), k)
-    copies = Window.partitionBy(F.xxhash64("vec", *extra), "vec", *extra).orderBy("row_idx")
-    rows = rows.withColumn("__c", F.row_number().over(copies)).where(F.col("__c") <= k + 1).drop("__c")
+        whole = lambda f: f.withColumns({"shelf": F.lit(0), "leaf": F.lit(0)})
+        asked, rows = whole(asked).withColumn("bound", F.lit(None).cast("double")), whole(rows)
+        return _compared(asked, rows, k, target, block_rows, apart, True)
     drawn = rows.orderBy(F.xxhash64("row_idx"), "row_idx").limit(min(cells, -(-n // block_rows) * 4)).collect()
     pivots = np.array([r["vec"] for r in drawn], np.float64)
     rows, asked = (cut(_in_cells(f, pivots, extra)) for f in (rows, asked))
@@ -109,13 +132,29 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, ta
     inner = _inner_pivots(rows, large, block_rows) if large else None
     split = sorted(r[0] for r in inner.select("cell").distinct().collect()) if large else []  # CELLS at most
     rows, asked = (cut(_in_leaves(f, inner, split, extra)) for f in (rows, asked)) if split else (_in_leaves(f, inner, split, extra) for f in (rows, asked))
-    home = cut(_compared(asked, rows, _parts(asked, rows, block_rows), k, target))
-    bound = home.groupBy("query").agg(F.when(F.count("*") >= k, F.max_by("distance", F.struct("distance", "row_idx"))).alias("bound"))
-    abroad = _visits(asked.join(bound.withColumnRenamed("query", "row_idx"), "row_idx", "left"), pivots, {c: r for c, (_, r) in first.items()}, split, extra)
+    own = asked.withColumns({"shelf": F.col("leaf"), "bound": F.lit(None).cast("double")})
+    home = cut(_ranked(_compared(own, rows.withColumn("shelf", F.col("leaf")), k, target, block_rows, apart, True), k).drop("rank"))
+    bound = home.groupBy("query").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
+    shelves = _shelves({c: m for c, (m, _) in first.items() if c not in set(split)}, SHELF_BLOCKS * block_rows)
+    abroad = _visits(asked.join(bound.withColumnRenamed("query", "row_idx"), "row_idx", "left"), pivots, {c: r for c, (_, r) in first.items()}, split, shelves, extra)
     if split:
         abroad = _inner_visits(cut(abroad), rows, inner, split, extra)
-    abroad = cut(abroad.select("row_idx", "vec", *extra, "leaf"))
-    return _ranked(home.unionByName(_compared(abroad, rows, _parts(abroad, rows, block_rows), k, target)), k)
+    abroad = abroad.select("row_idx", "vec", *extra, "bound", "leaf", "shelf")
+    number = F.create_map(*(F.lit(x) for pair in shelves.items() for x in pair)) if shelves else None
+    there = F.when(F.col("cell").isin(split), F.col("leaf") - F.pmod("leaf", F.lit(SHELF_LEAVES))) if split else F.lit(None).cast("int")
+    rows = rows.withColumn("shelf", there if number is None else F.coalesce(there, number[F.col("cell")]))
+    return home.unionByName(_compared(cut(abroad), rows, k, target, SHELF_BLOCKS * block_rows, apart, False))
+
+
+def _shelves(sizes: dict[int, int], most: int) -> dict[int, int]:
+    """The shelf of each whole cell (cell: rows): cells that follow each other, of ``most`` rows together; a shelf has the
+    leaf number of its first cell."""
+    out, held, at = {}, 0, None
+    for c in sorted(sizes):
+        if at is None or held + sizes[c] > most:
+            held, at = 0, c * CELLS
+        out[c], held = at, held + sizes[c]
+    return out
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -123,12 +162,6 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "row_idx", "distance", "rank")
 
 
-def _parts(asked: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
-    """(leaf, rows, asked): into how many blocks each side of a leaf is dealt."""
-    of = lambda f, name: f.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
-    return of(rows, "rows").join(of(asked, "asked"), "leaf")
-
-
 def _apart(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances from each row to each pivot."""
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0))
@@ -192,86 +225,131 @@ def _in_leaves(frame: DataFrame, inner: DataFrame | None, split: list[int], extr
 
 
 def _inner_visits(abroad: DataFrame, rows: DataFrame, inner: DataFrame, split: list[int], extra: list[str]) -> DataFrame:
-    """Visits to cells that are split become visits to their leaves within the bound, a query's own left out."""
+    """Visits to cells that are split become visits to their shelves with a leaf within the bound, a query's own left out."""
     radii = rows.where(F.col("cell").isin(split)).groupBy("leaf").agg(F.max("inside").alias("radius"))
     held = inner.withColumn("leaf", F.col("cell") * CELLS + F.col("at")).join(radii, "leaf")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         x, p = _matrix(left["vec"]), _matrix(right["vec"])
         leaf = right["leaf"].to_numpy()
-        near = _within(x, p, right["radius"].to_numpy(), pc.fill_null(left["bound"], np.inf).to_numpy()) & (leaf != left["own"].to_numpy()[:, None])
-        i, j = np.nonzero(near)
-        return left.take(pa.array(i)).drop_columns("leaf").append_column("leaf", pa.array(leaf[j].astype(np.int32)))
+        near = _within(x, p, right["radius"].to_numpy(), pc.fill_null(left["bound"], np.inf).to_numpy()) & (leaf != left["leaf"].to_numpy()[:, None])
+        i, shelf = _once_a_shelf(near, leaf - leaf % SHELF_LEAVES)
+        return left.take(pa.array(i)).drop_columns("shelf").append_column("shelf", pa.array(shelf.astype(np.int32)))
 
     fields = {f.name: f.dataType.simpleString() for f in abroad.schema}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in ("row_idx", "vec", *extra, "leaf"))
-    deeper = _against(abroad.where(F.col("cell").isin(split)), held, meet, schema)
-    return abroad.where(~F.col("cell").isin(split)).select("row_idx", "vec", *extra, "leaf").unionByName(deeper)
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in ("row_idx", "vec", *extra, "bound", "leaf", "shelf"))
+    deeper = _against(abroad.where("shelf is null"), held, meet, schema)
+    return abroad.where("shelf is not null").select("row_idx", "vec", *extra, "bound", "leaf", "shelf").unionByName(deeper)
 
 
 def _within(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Which pivots' rows may lie within each row's bound."""
     # rounding may move a distance from a pivot by this share of the largest norm
     slack = 1e-7 * (1 + np.sqrt((pivots**2).sum(1)).max())
-    return _apart(x, pivots) - radius - slack * (1 + np.sqrt((x**2).sum(1)))[:, None] <= bound[:, None]
+    return ~(_apart(x, pivots) - radius - slack * (1 + np.sqrt((x**2).sum(1)))[:, None] > bound[:, None])
+
+
+def _once_a_shelf(near: np.ndarray, shelf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shelf) of each row and each shelf with a leaf that is near."""
+    names, starts = np.unique(shelf, return_index=True)
+    order = np.argsort(shelf, kind="stable")
+    starts = np.searchsorted(shelf[order], names)
+    if not len(names):
+        return np.zeros(0, np.int64), names
+    i, j = np.nonzero(np.logical_or.reduceat(near[:, order], starts, axis=1))
+    return i, names[j]
 
 
-def _visits(asked: DataFrame, pivots: np.ndarray, radii: dict[int, float], split: list[int], extra: list[str]) -> DataFrame:
-    """Queries once for each cell, beside their own unless that is split, that may hold a row within their bound (null: any
-    row); ``own`` is the leaf they come from, ``leaf`` the one of a cell that is whole."""
-    number = np.array(sorted(radii))
-    radius = np.array([radii[c] for c in number.tolist()])
-    again = np.isin(number, split)
+def _visits(asked: DataFrame, pivots: np.ndarray, radii: dict[int, float], split: list[int], shelves: dict[int, int], extra: list[str]) -> DataFrame:
+    """Queries once for each shelf of whole cells that may hold a row within their bound (null: any row) outside their own
+    leaf, and once for each cell that is split (shelf null); ``leaf`` is the one they come from."""
+    whole, again = np.array(sorted(shelves), np.int64), np.array(split, np.int64)
+    shelf = np.array([shelves[c] for c in whole.tolist()], np.int64)
+    reach = lambda cells: np.array([radii[c] for c in cells.tolist()])
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bound = pc.fill_null(b["bound"], np.inf).to_numpy(zero_copy_only=False)
-            near = _within(_matrix(b["vec"]), pivots[number], radius, bound)
-            near &= again | (number != b["cell"].to_numpy()[:, None])
-            i, j = np.nonzero(near)
-            kept = b.select(["row_idx", "vec", *extra, "bound", "leaf"]).take(pa.array(i))
-            there = number[j].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(there), pa.array(there * CELLS)], names=["row_idx", "vec", *extra, "bound", "own", "cell", "leaf"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                b = batch.slice(lo, SLICE_ROWS)
+                bound = pc.fill_null(b["bound"], np.inf).to_numpy(zero_copy_only=False)
+                x, kept = _matrix(b["vec"]), b.select(["row_idx", "vec", *extra, "bound", "leaf"])
+                names = ["row_idx", "vec", *extra, "bound", "leaf", "cell", "shelf"]
+                if len(whole):
+                    near = _within(x, pivots[whole], reach(whole), bound) & (whole != b["cell"].to_numpy()[:, None])
+                    i, there = _once_a_shelf(near, shelf)
+                    for at in range(0, len(i), SLICE_ROWS * 16):
+                        part = slice(at, at + SLICE_ROWS * 16)
+                        held, none = kept.take(pa.array(i[part])), pa.nulls(len(i[part]), pa.int32())
+                        yield pa.RecordBatch.from_arrays([*held.columns, none, pa.array(there[part].astype(np.int32))], names=names)
+                if len(again):
+                    i, j = np.nonzero(_within(x, pivots[again], reach(again), bound))
+                    for at in range(0, len(i), SLICE_ROWS * 16):
+                        part = slice(at, at + SLICE_ROWS * 16)
+                        held, none = kept.take(pa.array(i[part])), pa.nulls(len(i[part]), pa.int32())
+                        yield pa.RecordBatch.from_arrays([*held.columns, pa.array(again[j[part]].astype(np.int32)), none], names=names)
 
     fields = {f.name: f.dataType.simpleString() for f in asked.schema}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in ("row_idx", "vec", *extra)) + ", bound double, own int, cell int, leaf int"
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in ("row_idx", "vec", *extra)) + ", bound double, leaf int, cell int, shelf int"
     return asked.select("row_idx", "vec", *extra, "cell", "bound", "leaf").mapInArrow(run, schema)
 
 
-def _compared(asked: DataFrame, rows: DataFrame, parts: DataFrame, k: int, target: str | None) -> DataFrame:
-    """(query, row_idx, distance): k rows and ties of each query's leaf, block by block."""
+def _compared(asked: DataFrame, rows: DataFrame, k: int, target: str | None, block_rows: int, apart: bool, home: bool) -> DataFrame:
+    """(query, row_idx, distance): k rows of each query's shelf at least where there are, block by block. At home a query is
+    held against its own leaf, else against the other leaves of the shelf that reach within its ``bound``."""
     extra = [target] if target else []
+    of = lambda f, name: f.groupBy("shelf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    parts = of(rows, "rows").join(of(asked, "asked"), "shelf")
     deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "row_idx"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(parts, "leaf").select("row_idx", "vec", *extra, "leaf", F.lit(True).alias("__q"), deal(1, "asked").alias("__i"), each("rows").alias("__j"))
-    right = rows.join(parts, "leaf").select("row_idx", "vec", *extra, "leaf", F.lit(False).alias("__q"), each("asked").alias("__i"), deal(2, "rows").alias("__j"))
+    left = asked.join(parts, "shelf").select("row_idx", "vec", *extra, "shelf", "leaf", "bound", F.lit(True).alias("__q"), deal(1, "asked").alias("__i"), each("rows").alias("__j"))
+    right = rows.join(parts, "shelf").select("row_idx", "vec", *extra, "shelf", "leaf", F.lit(None).cast("double").alias("bound"), F.lit(False).alias("__q"), each("asked").alias("__i"), deal(2, "rows").alias("__j"))
 
     def compare(t: pa.Table) -> pa.Table:
         q = t["__q"].to_numpy()
-        ids = t["row_idx"].to_numpy().astype(np.int64)
-        empty = pa.table({"query": pa.array([], pa.int64()), "row_idx": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        out = [pa.table({"query": pa.array([], pa.int64()), "row_idx": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})]
         if q.all() or not q.any():
-            return empty
-        x = _matrix(t["vec"])
-        a, b, ia, ib = x[q], x[~q], ids[q], ids[~q]
-        d = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
-        hide = ia[:, None] == ib[None, :]
-        if target:
-            c = np.asarray(t[target].to_pylist(), object)
-            hide |= c[q][:, None] == c[~q][None, :]
-        d[hide] = np.inf
+            return out[0]
+        ids, leaf, x = t["row_idx"].to_numpy().astype(np.int64), t["leaf"].to_numpy(), _matrix(t["vec"])
+        bound = pc.fill_null(t["bound"], np.inf).to_numpy(zero_copy_only=False)[q]
+        kinds = pc.dictionary_encode(t[target].combine_chunks(), null_encoding="encode").indices.to_numpy() if target else np.zeros(len(t), np.int8)
+        a, ia, la, ka = x[q], ids[q], leaf[q], kinds[q]
+        order = np.argsort(leaf[~q], kind="stable")
+        b, ib, lb, kb = (v[~q][order] for v in (x, ids, leaf, kinds))
+        del x
+        a2, b2 = (a**2).sum(1), (b**2).sum(1)
         # rounding moves a squared distance, either way it is computed, by no more than ``off``
-        off = 4 * (x.shape[1] + 8) * np.finfo(np.float64).eps * ((a**2).sum(1) + (b**2).sum(1).max())
-        far = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(a), np.inf)
-        within = ~(d > (far + 2 * off)[:, None]) & ~hide
-        step = max(1, int(4e6) // (d.shape[1] * max(1, x.shape[1])))
-        out = [empty]
-        for lo in range(0, len(a), step):
-            i, j = np.nonzero(within[lo : lo + step])
-            i += lo
-            exact = np.sqrt(((a[i] - b[j]) ** 2).sum(-1))
+        off = 4 * (a.shape[1] + 8) * np.finfo(np.float64).eps * (a2 + b2.max())
+        starts = np.append(np.flatnonzero(np.append(True, lb[1:] != lb[:-1])), len(lb))
+        tiles = [(lo, min(lo + BLOCK_ROWS, end)) for first, end in zip(starts[:-1], starts[1:], strict=True) for lo in range(first, end, BLOCK_ROWS)]
+        if home:
+            near = la[:, None] == lb[[lo for lo, _ in tiles]]
+        else:
+            centres = np.stack([b[lo:hi].mean(0) for lo, hi in tiles])
+            radius = np.array([np.sqrt(((b[lo:hi] - c) ** 2).sum(1).max()) for (lo, hi), c in zip(tiles, centres, strict=True)])
+            near = _within(a, centres, radius, bound) & (la[:, None] != lb[[lo for lo, _ in tiles]])
+        for top in range(0, len(a), TILE_ROWS):
+            best = []
+            for tile, (lo, hi) in enumerate(tiles):
+                s = top + np.flatnonzero(near[top : top + TILE_ROWS, tile])
+                if not len(s):
+                    continue
+                d = a2[s, None] + b2[lo:hi] - 2 * (a[s] @ b[lo:hi].T)
+                hide = ia[s, None] == ib[lo:hi] if apart else np.zeros(d.shape, bool)
+                if target:
+                    hide |= ka[s, None] == kb[lo:hi]
+                d[hide] = np.inf
+                far = bound[s] ** 2
+                within = ~(d > (far + 2 * off[s])[:, None]) & ~hide
+                if k < d.shape[1] and within.sum(1).max() > 2 * k:
+                    far = np.minimum(far, np.partition(d, k - 1, axis=1)[:, k - 1])
+                    within &= ~(d > (far + 2 * off[s])[:, None])
+                i, j = np.nonzero(within)
+                best.append((s[i], lo + j))
+            if not best:
+                continue
+            i, j = (np.concatenate(v) for v in zip(*best, strict=True))
+            step = max(1, int(1e6) // max(1, a.shape[1]))
+            exact = np.concatenate([np.sqrt(((a[i[lo : lo + step]] - b[j[lo : lo + step]]) ** 2).sum(-1)) for lo in range(0, len(i), step)] or [np.zeros(0)])
             ok = np.isfinite(exact)
             i, j, exact = i[ok], j[ok], exact[ok]
             order = np.lexsort((ib[j], exact, i))
@@ -280,7 +358,7 @@ def _compared(asked: DataFrame, rows: DataFrame, parts: DataFrame, k: int, targe
             out.append(pa.table({"query": ia[i[first]], "row_idx": ib[j[first]], "distance": exact[first]}))
         return pa.concat_tables(out)
 
-    return left.unionByName(right).groupBy("leaf", "__i", "__j").applyInArrow(compare, "query long, row_idx long, distance double")
+    return left.unionByName(right).groupBy("shelf", "__i", "__j").applyInArrow(compare, "query long, row_idx long, distance double")
 
 
 def default_clusters(n: int) -> int:

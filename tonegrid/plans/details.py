@@ -500,7 +500,7 @@ def streamed_library(spark, sf):
     folder = new_folder(spark, "streams")
     jobs.start_library(base, f"{folder}/store")
     for _ in range(2):
-        jobs.import_rows(new, "C3").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        jobs.import_rows(new, "C3").repartition(1).write.mode("append").parquet(f"{folder}/in")
     jobs.stream_library(spark, f"{folder}/in", new.tracks._jdf.schema().toDDL(), f"{folder}/store").awaitTermination()
     return _whole(jobs.read_library(spark, f"{folder}/store"))
 

@@ -392,6 +392,14 @@ def test_layout_of_a_long_path(spark):
     assert (np.diff(x[::100]) < 0).mean() in (0.0, 1.0)  # from one end to the other
 
 
+def test_layout_brings_further_axes_along(spark):
+    """A path has values close behind the second; two axes alone take more than 60 steps from a start that tells little."""
+    path = [(i, i + 1, 1.0) for i in range(119)]
+    at = {r.node: (r.x, r.y) for r in geometry.layout_2d(spark.createDataFrame(path, "a long, b long, weight double"), steps=45, coarse=3).collect()}
+    left, value, off = _residuals(path, at)
+    assert (left <= 1.1e-3).all() and (value > 0.99).all() and off < 1e-6
+
+
 def test_layout_of_several_parts(spark):
     rng = np.random.default_rng(5)
     parts = [(30 * c + int(i), 30 * c + int(j), float(rng.random())) for c in range(5) for i in range(30) for j in rng.choice(30, 4, replace=False) if i < j]

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,6 +30,8 @@ NEIGHBOURS = 15
 SEED_ROUNDS = 3
 #: Nodes that a graph is contracted to for its layout, at most; their matrix is the driver's.
 COARSE_NODES = 1024
+#: Axes that the layout brings along, so that its two settle whatever lies close behind them.
+AXES = 8
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -517,10 +517,12 @@ def layout_2d(graph: DataFrame, tolerance: float = 1e-3, steps: int = 80, seed:
     """(node, x, y): the two leading non-trivial eigenvectors of the normalized graph, over its degrees' roots.
 
     The graph is contracted to ``coarse`` nodes at most, whose axes are exact and start those of the whole graph. Then
-    conjugate steps: the best two axes within the last two, their residuals and their last moves, until both leave a
-    residual of ``tolerance`` at most; if they do not within ``steps``, that is an error. A step is one join with the edges
-    and one sum; a node keeps twelve numbers, and the driver small matrices. A graph in several parts has axes that are
-    constant on each part. An axis points where its first node (by number) that is not near zero is positive.
+    conjugate steps: the best AXES axes within the last ones, their residuals and their last moves, until the first two
+    leave a residual of ``tolerance`` at most; if they do not within ``steps``, that is an error. The further axes are not
+    returned: where many parts hang together loosely, values close behind the second would hold two axes up for long. A
+    step is one join with the edges and one sum; a node keeps 6 * AXES numbers, and the driver small matrices. A graph in
+    several parts has axes that are constant on each part. An axis points where its first node (by number) that is not
+    near zero is positive.
     """
     both = cut(graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(graph.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight")).groupBy("u", "v").agg(F.sum("weight").alias("weight")))
     degree = cut(both.groupBy("u").agg(F.sum("weight").alias("deg")))
@@ -530,81 +532,90 @@ def layout_2d(graph: DataFrame, tolerance: float = 1e-3, steps: int = 80, seed:
     edges = cut(both.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("deg").alias("dv")), "v").select("u", "v", (F.col("weight") / F.sqrt(F.col("deg") * F.col("dv"))).alias("w")))
     root = F.sqrt("deg")
     begun = degree.join(_coarse_axes(both, nodes, coarse, seed), "u")
-    state = begun.select("u", (root / math.sqrt(total)).alias("t"), (root * F.col("y0")).alias("s0"), (root * F.col("y1")).alias("s1"))
-    state, width = _multiplied(state, edges, ["s0", "s1"], 0), 2
+    state = begun.select("u", (root / math.sqrt(total)).alias("t"), F.transform("y", lambda y: root * y).alias("s"), F.array().cast("array<double>").alias("a"))
+    state = _multiplied(state, edges, AXES)
     for step in range(steps + 1):
-        along, own, mixed, twice = _products(state, width)
-        values, c = _best_axes(own, mixed)
-        left = [math.sqrt(max(0.0, c[:, i] @ (twice - 2 * values[i] * mixed + values[i] ** 2 * own) @ c[:, i])) for i in range(2)]
-        if max(left) <= tolerance:
+        along, own, mixed, twice = _products(state)
+        values, c = _best_axes(own, mixed, AXES)
+        left = np.array([math.sqrt(max(0.0, w @ (twice - 2 * v * mixed + v**2 * own) @ w)) for v, w in zip(values, c.T, strict=True)])
+        if max(left[:2]) <= tolerance:
             break
         if step == steps:
-            raise ArithmeticError(f"the layout's axes did not settle within {steps} steps: {max(left):.3g} is left of {tolerance:.3g}")
+            raise ArithmeticError(f"the layout's axes did not settle within {steps} steps: {max(left[:2]):.3g} is left of {tolerance:.3g}")
         moves = c.copy()
-        moves[:2] = 0
+        moves[:AXES] = 0
         long = np.sqrt(np.maximum(np.einsum("ki,kl,li->i", moves, own, moves), 0))
         moves = moves[:, long > 1e-12] / long[long > 1e-12]
-        kept = np.hstack([c, moves])
-        axis = lambda letter, weights: _sum_of(letter, weights) - F.lit(float(weights @ along)) * F.col("t")  # noqa: E731  the trivial axis stays out
-        found = {f"{letter}{i if i < 2 else i + 2}": axis(letter, kept[:, i]) for letter in "sa" for i in range(kept.shape[1])}
-        rest = {f"s{2 + i}": (_sum_of("a", c[:, i]) - F.lit(float(values[i])) * _sum_of("s", c[:, i]) - F.lit(float((1 - values[i]) * (c[:, i] @ along))) * F.col("t")) / F.lit(left[i] or 1.0) for i in range(2)}
-        state = state.select("u", "t", *(v.alias(n) for n, v in (found | rest).items()))
-        width = 4 + moves.shape[1]
-        state = _multiplied(state, edges, ["s2", "s3"], 2)
-    ends = [(_sum_of("s", c[:, i]) - F.lit(float(c[:, i] @ along)) * F.col("t")).alias(n) for i, n in enumerate("xy")]
-    found = state.select(F.col("u").alias("node"), *ends, "t")
+        kept, zero = np.hstack([c, moves]), np.zeros_like
+        kept, moved = kept[:, :AXES], kept[:, AXES:]
+        open_ = left > 1e-12
+        d, v = c[:, open_] / left[open_], values[open_]
+        # rows: t, s, a; the trivial axis stays out of what is found
+        axis = np.vstack([-(along @ kept), kept, zero(kept)]), np.vstack([-(along @ kept), zero(kept), kept])
+        past = np.vstack([-(along @ moved), moved, zero(moved)]), np.vstack([-(along @ moved), zero(moved), moved])
+        rest = np.vstack([-(1 - v) * (along @ d), -d * v, d])
+        state = _combined(state, np.hstack([axis[0], past[0], rest]), np.hstack([axis[1], past[1]]))
+        state = _multiplied(state, edges, rest.shape[1])
+    ends = np.vstack([-(along @ c[:, :2]), c[:, :2], np.zeros_like(c[:, :2])])
+    found = _combined(state, ends, ends[:, :0]).select(F.col("u").alias("node"), F.get("s", 0).alias("x"), F.get("s", 1).alias("y"), "t")
     sign = lambda c: F.coalesce(F.min_by(F.signum(c), F.when(F.abs(F.col(c)) > 1e-6, F.col("node"))), F.lit(1.0)).alias(f"s{c}")
     found = found.crossJoin(F.broadcast(found.agg(sign("x"), sign("y"))))
     norm = math.sqrt(total)
     return found.select("node", (F.col("x") * F.col("sx") / (F.col("t") * norm)).alias("x"), (F.col("y") * F.col("sy") / (F.col("t") * norm)).alias("y"))
 
 
-def _sum_of(letter: str, weights: np.ndarray) -> Column:
-    return reduce(add, (F.lit(float(w)) * F.col(f"{letter}{i}") for i, w in enumerate(weights)))
+def _combined(state: DataFrame, to_s: np.ndarray, to_a: np.ndarray) -> DataFrame:
+    """The state (u, t, s, a) with sums of (t, s, a) as new s and a, by the weights in the columns."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                z = np.hstack([b["t"].to_numpy()[:, None], _matrix(b["s"]), _matrix(b["a"])])
+                made = (pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * m.shape[1]), pa.array((z @ m).ravel())) for m in (to_s, to_a))
+                yield pa.RecordBatch.from_arrays([b["u"], b["t"], *made], names=["u", "t", "s", "a"])
+
+    fields = {f.name: f.dataType.simpleString() for f in state.schema}
+    return state.mapInArrow(run, f"u {fields['u']}, t double, s array<double>, a array<double>")
 
 
-def _multiplied(state: DataFrame, edges: DataFrame, columns: list[str], first: int) -> DataFrame:
-    """The state with the graph's products of ``columns`` as a<first>, a<first + 1>, ..."""
-    sums = [F.sum(F.col("w") * F.col(c)).alias(f"a{first + i}") for i, c in enumerate(columns)]
-    moved = edges.join(state.select(F.col("u").alias("v"), *columns), "v").groupBy("u").agg(*sums)
-    return cut(state.join(moved, "u"))
+def _multiplied(state: DataFrame, edges: DataFrame, last: int) -> DataFrame:
+    """The state with the graph's products of the last numbers of s behind a."""
+    ends = state.select(F.col("u").alias("v"), F.slice("s", -last, last).alias("x"))
+    sums = F.array(*(F.sum(F.col("w") * F.col("x")[i]) for i in range(last))).alias("more")
+    return cut(state.join(edges.join(ends, "v").groupBy("u").agg(sums), "u").select("u", "t", "s", F.concat("a", "more").alias("a")))
 
 
-def _products(state: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _products(state: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """t's, s x s, s x a and a x a of the basis, in one pass; the last three without their parts along the trivial axis,
     which the graph maps on itself."""
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    dot = lambda a, b: F.sum(F.col(a) * F.col(b))
-    asked = [dot("t", f"s{i}") for i in range(width)] + [dot(f"{a}{i}", f"{b}{j}") for a, b in ("ss", "sa", "aa") for i, j in pairs]
-    got = np.array(state.agg(*(x.alias(f"p{n}") for n, x in enumerate(asked))).first(), dtype=float)
-    along, out = got[:width], []
-    for part in np.split(got[width:], 3):
-        m = np.zeros((width, width))
-        for (i, j), v in zip(pairs, part, strict=True):
-            m[i, j] = m[j, i] = v
-        out.append(m - np.outer(along, along))
-    return along, *out
-
-
-def _best_axes(own: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two largest Ritz values of a basis and its weights of their unit axes; directions that repeat others drop out."""
-    scale = 1 / np.sqrt(np.maximum(np.diag(own), 1e-300))
+    g = gram(state.select(F.concat(F.array("t"), "s", "a").alias("vec")))
+    w = len(g) // 2
+    along, trivial = g[0, 1 : w + 1], np.outer(g[0, 1 : w + 1], g[0, 1 : w + 1])
+    mixed = g[1 : w + 1, w + 1 :]
+    return along, g[1 : w + 1, 1 : w + 1] - trivial, (mixed + mixed.T) / 2 - trivial, g[w + 1 :, w + 1 :] - trivial
+
+
+def _best_axes(own: np.ndarray, mixed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest Ritz values of a basis, ``most`` with zeros where there are fewer, and its weights of their unit axes;
+    directions that repeat others drop out."""
+    there = np.diag(own) > 1e-24 * max(1e-276, np.diag(own).max())
+    scale = np.where(there, 1 / np.sqrt(np.where(there, np.diag(own), 1)), 0)
     size, turn = np.linalg.eigh(own * np.outer(scale, scale))
     good = size > 1e-10
     basis = scale[:, None] * turn[:, good] / np.sqrt(size[good])
     ritz, axes = np.linalg.eigh(basis.T @ mixed @ basis)
-    axes = basis @ axes[:, ::-1][:, :2]
-    values = ritz[::-1][:2]
-    missing = 2 - len(values)
+    axes = basis @ axes[:, ::-1][:, :most]
+    values = ritz[::-1][:most]
+    missing = most - len(values)
     return np.pad(values, (0, missing)), np.pad(axes, ((0, 0), (0, missing)))
 
 
 def _coarse_axes(both: DataFrame, nodes: int, coarse: int, seed: int) -> DataFrame:
-    """(u, y0, y1): the leading axes, over degrees' roots, of the graph contracted to ``coarse`` nodes, for all its nodes.
+    """(u, y): the AXES leading axes, over degrees' roots, of the graph contracted to ``coarse`` nodes, for all its nodes.
 
     A keyed coin makes nodes heads or tails in every round; tails go into the heaviest head beside them, and weights add
     up. Rounds shrink the graph by a share, so all together cost a few times the first. Where no edge is left between the
-    nodes, and they are more, any two numbers a node are axes.
+    nodes, and they are more, any numbers a node are axes; so are those that a small graph has not.
     """
     maps: list[DataFrame] = []
     edges, left, idle = both, nodes, 0
@@ -622,7 +633,8 @@ def _coarse_axes(both: DataFrame, nodes: int, coarse: int, seed: int) -> DataFra
         maps.append(into)
         edges = cut(edges.join(into, "u").select(F.col("to").alias("u"), "v", "weight").join(into.select(F.col("u").alias("v"), F.col("to").alias("tv")), "v").groupBy("u", F.col("tv").alias("v")).agg(F.sum("weight").alias("weight")))
     number = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(f"axis {i}"), "u"), F.lit(2_000_001)) / 1e6 - 1
-    known = edges.select("u").distinct().select("u", number(0).alias("y0"), number(1).alias("y1"))
+    given = 2 if left < 3 else AXES
+    known = edges.select("u").distinct().select("u", F.array(*map(number, range(given))).alias("y"))
     if 3 <= left <= coarse:
         rows = edges.toPandas()  # coarse * coarse rows at most
         ids, ends = np.unique(rows.u.to_numpy(), return_inverse=True)
@@ -630,8 +642,10 @@ def _coarse_axes(both: DataFrame, nodes: int, coarse: int, seed: int) -> DataFra
         w[ends, np.searchsorted(ids, rows.v.to_numpy())] = rows.weight
         deg = np.sqrt(w.sum(1))
         trivial = deg / np.linalg.norm(deg)
-        axes = np.linalg.eigh(w / np.outer(deg, deg) - 2 * np.outer(trivial, trivial))[1][:, ::-1][:, :2] / deg[:, None]
-        known = F.broadcast(both.sparkSession.createDataFrame(pd.DataFrame({"u": ids, "y0": axes[:, 0], "y1": axes[:, 1]})))
+        axes = np.linalg.eigh(w / np.outer(deg, deg) - 2 * np.outer(trivial, trivial))[1][:, ::-1][:, : min(AXES, left - 1)] / deg[:, None]
+        given = axes.shape[1]
+        known = F.broadcast(both.sparkSession.createDataFrame(pd.DataFrame({"u": ids, "y": axes.tolist()}), f"u {dict(edges.dtypes)['u']}, y array<double>"))
     for into in reversed(maps):
-        known = into.join(known.withColumnRenamed("u", "to"), "to").select("u", "y0", "y1")
-    return known
+        known = into.join(known.withColumnRenamed("u", "to"), "to").select("u", "y")
+    # what a small graph has not is drawn node by node, as constants on its few parts would say nothing new
+    return known.select("u", F.concat("y", F.array(*map(number, range(given, AXES))).cast("array<double>")).alias("y"))

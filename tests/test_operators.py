@@ -620,3 +620,11 @@ def test_next_tracks_are_not_ranked_track_by_track(spark):
     out = sets.suggest_next(t, k=3)
     assert [(r.rank, r.to_pid) for r in out.where("pid = 'p1'").orderBy("rank").collect()] == [(1, "p0"), (2, "p2"), (3, "p3")]
     assert not [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "windowspecdefinition(pid" in line]
+
+
+def test_sets_are_judged_by_keys_read_once_a_track(spark):
+    t = spark.createDataFrame([("a", 0, 120.0, "8A", 1.0), ("b", 1, 130.0, "11B", 1.0), ("c", 2, None, None, 1.0)], TRACK)
+    out = sets.evaluate_sets(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")], "set_id long, pos int, pid string"), t)
+    assert [(r.pos, r.compat, r.delta_pct, [w.kind for w in r.warnings]) for r in out.orderBy("pos").collect()] == [(2, "clash", 8.3, ["key", "bpm"]), (3, None, None, ["key-unknown", "bpm-unknown"])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan[: plan.index("Window")] and "regexp_extract" in plan

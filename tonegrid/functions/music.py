@@ -48,8 +48,7 @@ def to_camelot(key: Column) -> Column:
 
 def camelot_number(key: Column) -> Column:
     """Place on the wheel, 1 to 12; null if the key is no Camelot code."""
-    n = F.regexp_extract(key, r"^(\d{1,2})\s*[ABab]$", 1).try_cast("int")
-    return F.when(n.between(1, 12), n)
+    return F.regexp_extract(key, r"^(0?[1-9]|1[0-2])\s*[ABab]$", 1).try_cast("int")
 
 
 def camelot_minor(key: Column) -> Column:
@@ -64,9 +63,14 @@ def key_vector(key: Column) -> Column:
 
 def key_compatibility(a: Column, b: Column) -> Column:
     """same, relative, adjacent, near or clash; null unless both are codes."""
-    apart = F.pmod(camelot_number(a) - camelot_number(b), F.lit(12))
+    return wheel_compatibility(camelot_number(a), camelot_minor(a), camelot_number(b), camelot_minor(b))
+
+
+def wheel_compatibility(a: Column, minor_a: Column, b: Column, minor_b: Column) -> Column:
+    """``key_compatibility`` of places on the wheel and their modes."""
+    apart = F.pmod(a - b, F.lit(12))
     apart = F.least(apart, F.lit(12) - apart)
-    alike = camelot_minor(a) == camelot_minor(b)
+    alike = minor_a == minor_b
     return F.when(apart == 0, F.when(alike, "same").otherwise("relative")).when(apart == 1, F.when(alike, "adjacent").otherwise("near")).when(apart > 1, "clash")
 
 

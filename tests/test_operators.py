@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonegrid.operators import analytics, audio, enrich, features, geometry, library, linkage, query, sets
+from tonegrid.operators import analytics, audio, enrich, features, geometry, library, lineage, linkage, query, sets
 from tonegrid.sources import readers, sinks
 
 TRACK = "pid string, row_idx long, bpm double, key string, confidence double"
@@ -646,3 +646,18 @@ def test_fits_share_their_terms_and_read_them_once(spark, monkeypatch):
             over = 8 if block == "label" else 12
             assert rows.where(rows.block == block).agg(F.sum(F.col("value") ** 2)).first()[0] == pytest.approx(options.weight(block) ** 2 * over)
     assert set().union(*energies) == {"numeric"}
+
+
+def test_playlists_meet_tracks_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "TASK_ROWS", 10)
+    t = spark.createDataFrame([("f", i, i, f"p{i}", f"/{i}") for i in range(20)] + [("f", 3, 99, "late", "/3")], "file string, track_id long, row_idx long, pid string, location string")
+    items = spark.createDataFrame([("f", f"l{i % 4}", i % 25, i) for i in range(100)], "file string, playlist string, track_id long, pos long")
+    met = library.join_playlist_items(items, t)
+    assert met.count() == 80 and {r.pid for r in met.where("pos = 3").collect()} == {"late"}
+    refs = items.select("file", "playlist", F.when(F.col("pos") % 2 == 0, 0).otherwise(1).alias("key_type"), F.expr("if(pos % 2 = 0, CAST(track_id AS STRING), '/' || CAST(track_id AS STRING))").alias("key"), "pos")
+    told = library.join_playlist_refs(refs, t)
+    want = {("l%d" % (i % 4), "late" if i % 25 == 3 else f"p{i % 25}"): i for i in reversed(range(100)) if i % 25 < 20 and not (i % 2 == 0 and i % 25 == 0)}
+    assert {(r.playlist, r.pid): r.pos for r in told.collect()} == want
+    for f in (met, told):  # nothing is broadcast, and rows are dealt by their number
+        plan = f._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "REPARTITION_BY_NUM" in plan

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegrid.functions.text import hash_64
+from tonegrid.operators.lineage import dealt
 
 #: Playlists that players make by themselves (fixed values).
 RESERVED = ("Library", "Music", "Downloaded", "Recently Added")
@@ -60,20 +61,27 @@ def join_playlist_refs(refs: DataFrame, tracks: DataFrame) -> DataFrame:
     """(file, playlist, pid, pos) of refs (file, playlist, key_type, key, pos) that meet a track by id or by location.
 
     Of tracks with one id the last counts; id 0 is none; a repeat within a playlist counts once, at its first place.
+    Refs and tracks meet in tasks of bounded rows; no side goes whole to a task.
     """
-    by_id = tracks.where("track_id <> 0").groupBy("file", "track_id").agg(F.max_by("pid", "row_idx").alias("pid")).select("file", F.col("track_id").cast("string").alias("key"), "pid", F.lit(0).alias("key_type"))
-    by_place = tracks.where("location is not null").groupBy("file", "location").agg(F.max_by("pid", "row_idx").alias("pid")).select("file", F.col("location").alias("key"), "pid", F.lit(1).alias("key_type"))
-    met = refs.join(by_id.unionByName(by_place), ["file", "key_type", "key"])
-    return met.groupBy("file", "playlist", "pid").agg(F.min("pos").alias("pos"))
+    n = refs.count()
+    size = n + 2 * tracks.count()
+    ref = lambda kind, key: F.concat(kind.cast("string"), F.lit(":"), key).alias("ref")  # noqa: E731  one column, so that a constant kind leaves the dealing as it is
+    by_id = tracks.where("track_id <> 0").select("file", ref(F.lit(0), F.col("track_id").cast("string")), "pid", "row_idx")
+    by_place = tracks.where("location is not null").select("file", ref(F.lit(1), F.col("location")), "pid", "row_idx")
+    one = ["file", "ref"]
+    known = dealt(by_id.unionByName(by_place), size, *one).groupBy(*one).agg(F.max_by("pid", "row_idx").alias("pid"))
+    met = dealt(refs.select("file", "playlist", ref(F.col("key_type"), F.col("key")), "pos"), size, *one).hint("merge").join(known, one)
+    return dealt(met.select("file", "playlist", "pid", "pos"), n, "file", "playlist", "pid").groupBy("file", "playlist", "pid").agg(F.min("pos").alias("pos"))
 
 
 def join_playlist_items(items: DataFrame, tracks: DataFrame) -> DataFrame:
     """(file, playlist, pid, pos) of items (file, playlist, track_id, pos) that meet a track; repeats stay.
 
-    Of tracks with one id in a file, the last counts.
+    Of tracks with one id in a file, the last counts. Items and tracks meet in tasks of bounded rows.
     """
-    by_id = tracks.groupBy("file", "track_id").agg(F.max_by("pid", "row_idx").alias("pid"))
-    return items.join(by_id, ["file", "track_id"]).select("file", "playlist", "pid", "pos")
+    size, one = items.count() + tracks.count(), ["file", "track_id"]
+    by_id = dealt(tracks.select(*one, "pid", "row_idx"), size, *one).groupBy(*one).agg(F.max_by("pid", "row_idx").alias("pid"))
+    return dealt(items, size, *one).hint("merge").join(by_id, one).select("file", "playlist", "pid", "pos")
 
 
 def filter_playlists(playlists: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:

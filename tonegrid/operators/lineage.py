@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -33,6 +34,18 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+#: Rows of a task where rows are dealt by their number.
+TASK_ROWS = 125_000
+
+
+def dealt(frame: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The frame by hash of the keys, in tasks of TASK_ROWS rows or so where it has ``rows``.
+
+    Partitions that are joined by their bytes hold millions of short rows, whose tables of groups take many times that.
+    """
+    return frame.repartition(max(1, math.ceil(rows / TASK_ROWS)), *keys)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path that nothing uses yet, in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

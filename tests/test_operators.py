@@ -661,3 +661,11 @@ def test_playlists_meet_tracks_in_tasks_of_bounded_rows(spark, monkeypatch):
     for f in (met, told):  # nothing is broadcast, and rows are dealt by their number
         plan = f._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_playlists_of_clusters_are_counted_without_sorting(spark):
+    t = spark.createDataFrame([("a", 0, 0, "house", "x"), ("b", 1, 0, "house", "y")], "pid string, row_idx long, cluster int, genre string, artist string")
+    m = spark.createDataFrame([("z", "a"), ("y", "a"), ("x", "b")], "playlist string, pid string")
+    out = analytics.summarize_clusters(t, m)
+    assert out.first().playlists == ["y", "z", "x"]  # one row's playlists by name
+    assert "seen_at" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -201,6 +202,24 @@ def test_components(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_components_of_a_short_table_run_in_few_tasks(spark):
+    """Where tasks are many, as for a large corpus, each round of some links would write files for all of them (pipeline)."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    folder = Path(re.sub("^file:/*", "/", spark.sparkContext._jsc.sc().getCheckpointDir().get()))
+    parts = lambda: {str(p) for p in folder.rglob("part-*") if p.suffix != ".crc"}
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        old = parts()
+        assert {r.component for r in components(links).collect()} == {0}
+        assert 64 <= len(parts() - old) < 2 * 64
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_folder_that_a_cluster_must_name():
     class Cluster:
         class conf:

@@ -22,7 +22,7 @@ from tonegrid.llm._blocks import ANSWER, ASK, BLOCK, BUCKET, asked, ddl, dealt,
 from tonegrid.llm._vec import NOT_SPACE, Words, passes, release, utf8
 from tonegrid.llm.components import components
 from tonegrid.llm.simhash import link
-from tonegrid.operators.lineage import cut
+from tonegrid.operators.lineage import cut, cut_short
 
 #: Words of a shingle, and the least similarity as a fraction.
 WORDS, SHARED, OF = 5, 4, 5
@@ -268,7 +268,7 @@ def keep_first_of_near(docs: DataFrame, keep: list[str], words: int = WORDS) ->
         home = nodes.select("node", BLOCK, "doc_id")
         b_side = pairs.join(slices, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int")).withColumn("node", F.col("b"))
         a_side = slices.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("salt"), F.col("a").alias("node"))
-        wanted = cut(b_side.select("a", "b", "salt", "node").unionByName(a_side).join(home, "node"))
+        wanted = cut_short(b_side.select("a", "b", "salt", "node").unionByName(a_side).join(home, "node"))
         some = blocks.select("doc_id", "text", BLOCK).join(in_demand(wanted), hash_of("doc_id") == F.col("hash"), "left_semi")
         shipped = some.groupBy(BLOCK).cogroup(wanted.groupBy(BLOCK)).applyInArrow(ship, ddl(_SHIP))
         return shipped.groupBy(F.pmod(F.xxhash64("a", "salt"), F.lit(buckets))).applyInArrow(decide, "a long, b long")
@@ -282,14 +282,14 @@ def keep_first_of_near(docs: DataFrame, keep: list[str], words: int = WORDS) ->
     same = prints.join(by_print.select("fp", F.col("node").alias("a")), "fp").where("a <> node").select("a", F.col("node").alias("b"))
     close = link(by_print).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     proposed = stars.unionByName(same.unionByName(close).select("a", "b", F.lit(1 << 20).cast("long").alias("n")))
-    stars = cut(_admitted(proposed.groupBy("a", "b").agg(F.max("n").alias("n")), nodes))
-    best = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
-    links = cut(verified(best))
+    stars = cut_short(_admitted(proposed.groupBy("a", "b").agg(F.max("n").alias("n")), nodes))
+    best = cut_short(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
+    links = cut_short(verified(best))
     known = components(links)
     part = lambda node, name: known.select(F.col("node").alias(node), F.col("component").alias(name))
     others = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(part("a", "p"), "a", "left").join(part("b", "q"), "b", "left").where(F.coalesce("p", "a") != F.coalesce("q", "b"))
     # what the other stars join needs no pairs between its parts
-    links = cut(links.unionByName(verified(others)))
+    links = cut_short(links.unionByName(verified(others)))
     known = components(links)
     # groups of three and more whose sets are still apart
     rest = entries.join(known, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
@@ -300,10 +300,10 @@ def keep_first_of_near(docs: DataFrame, keep: list[str], words: int = WORDS) ->
     drawn = rest.join(placed, "token").join(nodes.select("node", "sketch"), "node").repartition(F.col("low"), F.col("slice"))
     groups = drawn.groupBy("low", "slice", "token").agg(F.collect_list(F.struct("node", "size", "at", "part", "sketch")).alias("held")).select("held")
     more = _pairs_between_parts(groups).join(stars, ["a", "b"], "left_anti")
-    found = components(links.unionByName(verified(cut(more))))
+    found = components(links.unionByName(verified(cut_short(more))))
     whole = cut(nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("part")))
     smallest = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    gone = cut(named.select("doc_id", "node").join(whole.select("node", "part").join(smallest, "part"), "node").where("doc_id <> component_id").select("doc_id").distinct())
+    gone = cut_short(named.select("doc_id", "node").join(whole.select("node", "part").join(smallest, "part"), "node").where("doc_id <> component_id").select("doc_id").distinct())
     rows = docs.select(*dict.fromkeys([*keep, "doc_id"]))
     sure = rows.join(in_demand(gone), hash_of("doc_id") == F.col("hash"), "left_anti")
     doubtful = rows.join(in_demand(gone), hash_of("doc_id") == F.col("hash"), "left_semi").join(gone, "doc_id", "left_anti")

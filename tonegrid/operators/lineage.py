@@ -46,6 +46,24 @@ def dealt(frame: DataFrame, rows: int, *keys: str) -> DataFrame:
     return frame.repartition(max(1, math.ceil(rows / TASK_ROWS)), *keys)
 
 
+#: Tasks of a short table, so that no single one holds all of it.
+FEWEST = 4
+
+
+def fewer(frame: DataFrame, rows: int) -> DataFrame:
+    """The frame in tasks of TASK_ROWS rows or so where it has ``rows``, or in those that it has if they are fewer.
+
+    Every task of a shuffle writes files of its own; a table of some thousand links over hundreds of tasks is mostly files.
+    """
+    return frame.coalesce(max(FEWEST, math.ceil(rows / TASK_ROWS)))
+
+
+def cut_short(frame: DataFrame) -> DataFrame:
+    """The frame from a reliable checkpoint, read in as few tasks as ``fewer`` deals out; for rows of some bytes."""
+    short = cut(frame)
+    return fewer(short, short.count())
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path that nothing uses yet, in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -76,6 +76,15 @@ def test_overrides_leave_the_rest_alone(spark):
     assert (bare.bpm, bare.source_bpm, bare.confidence_bpm, bare.source_key) == (125.0, "manual", 1.0, None)
 
 
+def test_memberships_are_dealt_in_tasks_of_bounded_rows(spark):
+    """Repeats within a side and between sides count once, and the number of tasks follows the number of rows."""
+    m = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "playlist string, pid string")
+    n = spark.createDataFrame([("a", "z"), ("a", "z"), ("c", "y")], "playlist string, pid string")
+    merged = library.merge_memberships(m, n, library.rename_clashing(n, m, "new"), 5 * lineage.TASK_ROWS)
+    assert rows(merged, "playlist", "pid") == [("a", "x"), ("a [new]", "z"), ("b", "y"), ("c", "y")]
+    assert merged.rdd.getNumPartitions() == 5
+
+
 def test_merge_keeps_the_first_and_inherits_playlists(spark):
     a = spark.createDataFrame([("x", 0, "old")], "pid string, row_idx long, name string")
     b = spark.createDataFrame([("x", 0, "new"), ("y", 1, "y")], "pid string, row_idx long, name string")

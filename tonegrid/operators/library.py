@@ -144,10 +144,15 @@ def rename_clashing(incoming: DataFrame, taken: DataFrame, label: str) -> DataFr
     return found.select(F.col("stem").alias("playlist"), F.concat("stem", mark).alias("free"))
 
 
-def merge_memberships(base: DataFrame, incoming: DataFrame, renamed: DataFrame) -> DataFrame:
-    """All memberships under their final names; a known track inherits the incoming playlists."""
+def merge_memberships(base: DataFrame, incoming: DataFrame, renamed: DataFrame, rows: int | None = None) -> DataFrame:
+    """All memberships under their final names; a known track inherits the incoming playlists. Repeats count once.
+
+    ``rows`` says about how many memberships there are on both sides. They are then dealt before repeats are found, in
+    tasks of bounded rows: nearly all differ, so to look for repeats earlier would hold all rows of a task for nothing.
+    """
     moved = incoming.join(renamed, "playlist", "left").select(F.coalesce("free", "playlist").alias("playlist"), "pid")
-    return base.select("playlist", "pid").unionByName(moved).distinct()
+    both = base.select("playlist", "pid").unionByName(moved)
+    return (both if rows is None else dealt(both, rows, "playlist", "pid")).distinct()
 
 
 class Library(NamedTuple):

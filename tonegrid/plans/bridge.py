@@ -41,11 +41,12 @@ VIEWS = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame; only the columns it names reach the scan."""
+def view(spark: SparkSession, sf_dir: str, name: str, repeats: bool = False) -> DataFrame:
+    """A view as a DataFrame; only the columns it names reach the scan. With ``repeats``, equal rows stay: for readers
+    that tell them by themselves."""
     table, columns, distinct = VIEWS[name]
     found = spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns)
-    return found.distinct() if distinct else found
+    return found.distinct() if distinct and not repeats else found
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,17 @@ def test_memberships_are_dealt_in_tasks_of_bounded_rows(spark):
     assert merged.rdd.getNumPartitions() == 5
 
 
+def test_merged_libraries_deal_memberships_by_their_rows(spark):
+    t = lambda *pids: spark.createDataFrame([(p, i, "c") for i, p in enumerate(pids)], "pid string, row_idx long, collection string")
+    m = lambda *pairs: spark.createDataFrame(list(pairs), "playlist string, pid string")
+    listed = spark.createDataFrame([("c", "C", 0, 1)], "id string, label string, pos int, track_count long")
+    base, more = library.Library(t("x"), m(("a", "x"), ("a", "x")), listed), library.Library(t("x", "y"), m(("a", "y"), ("a", "y"), ("b", "x")), listed)
+    n = 6 * lineage.TASK_ROWS
+    members = library.merge(base, more, "new", n).memberships
+    assert rows(members, "playlist", "pid") == [("a", "x"), ("a [new]", "y"), ("b", "x")]
+    assert members.rdd.getNumPartitions() % 6 == 0
+
+
 def test_merge_keeps_the_first_and_inherits_playlists(spark):
     a = spark.createDataFrame([("x", 0, "old")], "pid string, row_idx long, name string")
     b = spark.createDataFrame([("x", 0, "new"), ("y", 1, "y")], "pid string, row_idx long, name string")

@@ -144,6 +144,12 @@ def rename_clashing(incoming: DataFrame, taken: DataFrame, label: str) -> DataFr
     return found.select(F.col("stem").alias("playlist"), F.concat("stem", mark).alias("free"))
 
 
+def different(memberships: DataFrame, rows: int | None = None) -> DataFrame:
+    """(playlist, pid) without repeats; with ``rows``, about how many there are, dealt in tasks of bounded rows before."""
+    pairs = memberships.select("playlist", "pid")
+    return (pairs if rows is None else dealt(pairs, rows, "playlist", "pid")).distinct()
+
+
 def merge_memberships(base: DataFrame, incoming: DataFrame, renamed: DataFrame, rows: int | None = None) -> DataFrame:
     """All memberships under their final names; a known track inherits the incoming playlists. Repeats count once.
 
@@ -151,8 +157,7 @@ def merge_memberships(base: DataFrame, incoming: DataFrame, renamed: DataFrame,
     tasks of bounded rows: nearly all differ, so to look for repeats earlier would hold all rows of a task for nothing.
     """
     moved = incoming.join(renamed, "playlist", "left").select(F.coalesce("free", "playlist").alias("playlist"), "pid")
-    both = base.select("playlist", "pid").unionByName(moved)
-    return (both if rows is None else dealt(both, rows, "playlist", "pid")).distinct()
+    return different(base.select("playlist", "pid").unionByName(moved), rows)
 
 
 class Library(NamedTuple):
@@ -163,17 +168,18 @@ class Library(NamedTuple):
     collections: DataFrame
 
 
-def additions(base: Library, incoming: Library, label: str) -> Library | None:
+def additions(base: Library, incoming: Library, label: str, rows: int | None = None) -> Library | None:
     """What ``incoming`` adds to ``base``: tracks of new pids, memberships that are not there under their final names, and
-    collections behind those of ``base``. None where no pid is new."""
+    collections behind those of ``base``. None where no pid is new. ``rows`` as in ``merge``."""
     new = keep_first(incoming.tracks.join(base.tracks.select("pid"), "pid", "left_anti"), ["pid"], F.col("row_idx"))
     if new.isEmpty():
         return None
     renamed = rename_clashing(incoming.memberships, base.memberships, label)
-    moved = merge_memberships(base.memberships.limit(0), incoming.memberships, renamed)
+    moved = merge_memberships(base.memberships.limit(0), incoming.memberships, renamed, rows)
     last = base.collections.agg(F.max("pos")).first()[0]
     after = incoming.collections.withColumn("pos", F.col("pos") + F.lit(0 if last is None else last + 1))
-    return Library(new, moved.join(base.memberships, ["playlist", "pid"], "left_anti"), after)
+    known = base.memberships if rows is None else different(base.memberships, rows)
+    return Library(new, moved.join(known, ["playlist", "pid"], "left_anti"), after)
 
 
 def recounted(collections: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -182,18 +188,18 @@ def recounted(collections: DataFrame, tracks: DataFrame) -> DataFrame:
     return collections.join(counted, "id", "left").withColumn("track_count", F.coalesce("n", "track_count")).drop("n")
 
 
-def merge(base: Library, incoming: Library, label: str) -> Library:
+def merge(base: Library, incoming: Library, label: str, rows: int | None = None) -> Library:
     """The union of two libraries in import order, or ``base`` untouched where ``incoming`` has no new pid.
 
     A known pid keeps its first row and inherits the incoming playlists. A playlist whose name is taken gets ``label``
     behind it. Collections of ``incoming`` follow those of ``base``, and all are counted anew; one that owns no track
-    keeps its count.
+    keeps its count. ``rows`` says about how many memberships there are, so that they meet in tasks of bounded rows.
     """
-    more = additions(base, incoming, label)
+    more = additions(base, incoming, label, rows)
     if more is None:
         return base
     tracks = merge_tracks(base.tracks, more.tracks)
-    members = base.memberships.select("playlist", "pid").distinct().unionByName(more.memberships)
+    members = different(base.memberships, rows).unionByName(more.memberships)
     return Library(tracks, members, recounted(base.collections.unionByName(more.collections, allowMissingColumns=True), tracks))
 
 

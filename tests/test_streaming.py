@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tonegrid.operators import enrich
 from tonegrid.operators.library import Library, merge, merge_tracks
+from tonegrid.plans import details  # noqa: F401  registers the queries
+from tonegrid.plans.queries import QUERIES
 from tonegrid.streaming import jobs
 
 SCHEMA = "pid string, row_idx long, name string"
@@ -33,6 +35,26 @@ def test_a_batch_leaves_other_parts_alone(spark, tmp_path):
     assert len(old.items() - files.items()) <= 3
 
 
+def test_batches_without_rows(spark, tmp_path):
+    """A file may have none, the first one of all too: its task had nothing to write."""
+    none, some = spark.createDataFrame([], SCHEMA), spark.createDataFrame([("x", 0, "a")], SCHEMA)
+    (tmp_path / "table").mkdir()  # as a write that broke off leaves it
+    for f, want in ((none, []), (some, [("x", 0, "a")]), (none, [("x", 0, "a")])):
+        f.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.stream_import(spark, str(tmp_path / "in"), SCHEMA, str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
+        got = jobs.read_table(spark, str(tmp_path / "table"))
+        assert got.columns == none.columns and [tuple(r) for r in got.collect()] == want
+
+
+def test_lookup_queue_without_events(spark, tmp_path):
+    """The first batch has no rows, and there is no last event."""
+    events, part = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("events", "part"))
+    events.limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    part.where("p_partkey < 60").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["lookup_queue"](spark, str(tmp_path)).collect())
+    assert got == sorted((f"rb:{i}", f) for i in range(60) for f, n in (("bpm", 5), ("key", 6), ("label", 4)) if i % n == 0)
+
+
 def test_answers_land_first_wins(spark, tmp_path):
     tracks = spark.createDataFrame([("x", None, None, "House", None), ("y", 120.0, "8A", None, None)], "pid string, bpm double, key string, genre string, label string")
     schema = "pid string, bpm double, key string, label string, source string"

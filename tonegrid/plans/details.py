@@ -524,5 +524,5 @@ def lookup_queue(spark, sf):
         part.select("pid", "ts", "need", "status", "covered", "have").write.mode("append").parquet(f"{folder}/in")
     jobs.stream_lookups(spark, f"{folder}/in", f"{folder}/table", f"{folder}/check", parts=8).awaitTermination()
     now = asked.agg(F.max("ts")).first()[0]
-    left = enrich.outstanding_lookups(jobs.read_table(spark, f"{folder}/table"), F.lit(now))
+    left = enrich.outstanding_lookups(jobs.read_table(spark, f"{folder}/table"), F.lit(now).cast("timestamp"))
     return left.select("pid", F.explode("outstanding").alias("field"))

@@ -29,9 +29,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
 
 
+def _begun(spark: SparkSession, table: str) -> bool:
+    """Whether the table has a part; its folder alone may be what a write that broke off has left."""
+    if not _exists(spark, table):
+        return False
+    where = spark._jvm.org.apache.hadoop.fs.Path(table)
+    found = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(where)
+    return any(f.getPath().getName().startswith(f"{BUCKET}=") for f in found)
+
+
 def _write(frame: DataFrame, table: str) -> None:
-    """Replaces the parts of the table that the frame holds, and no others."""
+    """Replaces the parts of the table that the frame holds, and no others.
+
+    A table without rows would have no file to tell its columns: it has a part without rows.
+    """
     frame.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(table)
+    if not _begun(frame.sparkSession, table):
+        frame.drop(BUCKET).limit(0).write.mode("overwrite").parquet(f"{table}/{BUCKET}=0")
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
@@ -48,11 +62,11 @@ def _upserting(stream: DataFrame, table: str, checkpoint: str, step: Callable[[D
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if first is not None and not _exists(spark, table):
+        if first is not None and not _begun(spark, table):
             _write(_dealt(first, parts), table)
         batch = cut(_dealt(batch, parts))
         touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # ``parts`` at most
-        before = spark.read.parquet(table).where(F.col(BUCKET).isin(touched)).select(batch.columns if first is None else [*first.columns, BUCKET]) if _exists(spark, table) else batch.limit(0)
+        before = spark.read.parquet(table).where(F.col(BUCKET).isin(touched)).select(batch.columns if first is None else [*first.columns, BUCKET]) if _begun(spark, table) else batch.limit(0)
         _write(cut(_dealt(step(before.drop(BUCKET), batch.drop(BUCKET)), parts)), table)
 
     return stream.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

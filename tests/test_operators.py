@@ -328,6 +328,27 @@ def test_a_query_goes_to_a_shelf_once(spark, monkeypatch):
     assert max(seen) <= 600 * 10  # 80 cells of 30 rows or less, shelves of 120
 
 
+def test_neighbours_read_twice_are_the_same(spark):
+    x = np.random.default_rng(0).normal(0, 1, (600, 4))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_idx long, vec array<double>")
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    want = {i: np.argsort(d[i], kind="stable")[:3].tolist() for i in range(600)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        near = geometry.nearest(v, k=3, block_rows=50)
+        rows = near.withColumn("side", F.lit(0)).unionByName(near.withColumn("side", F.lit(1))).orderBy("query", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for side in (0, 1):
+        got = {}
+        for r in rows:
+            if r["side"] == side:
+                got.setdefault(r["query"], []).append(r["row_idx"])
+        assert got == want
+
+
 def test_equal_queries_ask_once(spark, monkeypatch):
     v = spark.range(9000).selectExpr("id AS row_idx", "array(CAST(id % 7 AS DOUBLE), CAST(id % 3 AS DOUBLE)) AS vec", "id % 2 AS kind")
     for target in (None, "kind"):

@@ -358,7 +358,9 @@ def _compared(asked: DataFrame, rows: DataFrame, k: int, target: str | None, blo
             out.append(pa.table({"query": ia[i[first]], "row_idx": ib[j[first]], "distance": exact[first]}))
         return pa.concat_tables(out)
 
-    return left.unionByName(right).groupBy("shelf", "__i", "__j").applyInArrow(compare, "query long, row_idx long, distance double")
+    # both sides come dealt by their shelf, each in partitions joined by its own sizes: what meets is dealt anew
+    met = left.unionByName(right).repartition("shelf", "__i", "__j")
+    return met.groupBy("shelf", "__i", "__j").applyInArrow(compare, "query long, row_idx long, distance double")
 
 
 def default_clusters(n: int) -> int:
@@ -524,6 +526,7 @@ def layout_2d(graph: DataFrame, tolerance: float = 1e-3, steps: int = 80, seed:
     several parts has axes that are constant on each part. An axis points where its first node (by number) that is not
     near zero is positive.
     """
+    graph = cut(graph.select("a", "b", "weight"))  # both directions are read from one graph
     both = cut(graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(graph.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight")).groupBy("u", "v").agg(F.sum("weight").alias("weight")))
     degree = cut(both.groupBy("u").agg(F.sum("weight").alias("deg")))
     nodes, total = degree.agg(F.count("*"), F.sum("deg")).first()
